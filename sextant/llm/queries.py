@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.llm.ann import ann_search
 from sextant.llm.bpe_stream import encode_decode
 from sextant.llm.decontaminate import contamination
 from sextant.llm.line_dedup import line_dedup
@@ -30,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -74,7 +79,7 @@ from l left join often on l.key = often.key group by doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
