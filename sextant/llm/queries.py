@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sextant.llm.ann import ann_search
 from sextant.llm.bpe_stream import encode_decode
 from sextant.llm.decontaminate import contamination
+from sextant.llm.langid import language_id
 from sextant.llm.line_dedup import line_dedup
 from sextant.llm.simhash import simhash_components
 from sextant.llm.token_counts import token_counts
@@ -31,6 +32,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = language_id(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -79,7 +87,7 @@ from l left join often on l.key = often.key group by doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
