@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sextant.llm.ann import ann_search
 from sextant.llm.bpe_stream import encode_decode
 from sextant.llm.decontaminate import contamination
+from sextant.llm.html_extract import extract_text
 from sextant.llm.langid import language_id
 from sextant.llm.line_dedup import line_dedup
 from sextant.llm.simhash import simhash_components
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -87,7 +92,7 @@ from l left join often on l.key = often.key group by doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_extract_html, op2_decontaminate, op3_simhash, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
