@@ -13,6 +13,8 @@ from sextant.llm.bpe_stream import encode_decode
 from sextant.llm.decontaminate import contamination
 from sextant.llm.html_extract import extract_text
 from sextant.llm.langid import language_id
+from sextant.llm.licenses import license_scan
+from sextant.llm.licenses import oracle as license_oracle
 from sextant.llm.line_dedup import line_dedup
 from sextant.llm.simhash import simhash_components
 from sextant.llm.token_counts import token_counts
@@ -37,6 +39,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -64,6 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op4_license_scan": license_oracle(),
     "op2_decontaminate": rf"""
 with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
@@ -92,7 +99,7 @@ from l left join often on l.key = often.key group by doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract_html, op2_decontaminate, op3_simhash, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_extract_html, op2_decontaminate, op3_simhash, op4_license_scan, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
