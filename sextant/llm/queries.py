@@ -16,6 +16,7 @@ from sextant.llm.langid import language_id
 from sextant.llm.licenses import license_scan
 from sextant.llm.licenses import oracle as license_oracle
 from sextant.llm.line_dedup import line_dedup
+from sextant.llm.quality import quality_scores
 from sextant.llm.simhash import simhash_components
 from sextant.llm.token_counts import token_counts
 
@@ -43,6 +44,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "score", "content_score", "meta_score", "keep")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -99,7 +105,7 @@ from l left join often on l.key = often.key group by doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract_html, op2_decontaminate, op3_simhash, op4_license_scan, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_extract_html, op2_decontaminate, op3_simhash, op4_license_scan, op5_quality, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -173,3 +173,39 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: i
     found = connected_components(links.select("u", "v"))
     of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, shingles (array of the different shingles' hashes) for each row of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [list({int.from_bytes(xxhash.xxh64_digest(x, 42), "big", signed=True) for x in shingles(t, size)}) for t in texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return map_batches(docs, run, "doc_id long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 128, radius: int = 30, tile: int = TILE) -> DataFrame:
+    """doc_id, component_id for every different doc_id of docs (doc_id, text; others are ignored): near-duplicate groups.
+
+    Documents link if the Jaccard similarity of their word shingles is `least` or more, or their fingerprints are equal.
+    Fingerprints of that many bits find the candidates: at a similarity of 0.8, 128 bits differ in 19.4 places on
+    average with a deviation of 4.1, so 30 miss less than one in a hundred such pairs, while texts that share nothing
+    come that near once in 10^9. Of the candidates a spanning forest, nearest first, is verified on exact shingle sets;
+    links that fail are cut. Texts without words are equal. Rows that share a doc_id are one document, of the smallest
+    of their texts; rows without a doc_id have no part.
+    """
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    prints = checkpointed(fingerprints(docs, size, bits).groupBy("doc_id").agg(F.min("fp").alias("fp")))
+    reps, links = simhash_links(prints, bits, radius, tile)
+    links = checkpointed(links.select("u", "v").distinct())
+    ends = links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = _sets(docs.join(ends, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
+    sets = checkpointed(sets)
+    both = links.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    true = both.withColumn("common", common).where(F.col("common") >= least * (F.size("a") + F.size("b") - F.col("common")))
+    found = connected_components(true.select("u", "v"))
+    of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(of, "fp", "left").select("doc_id", "component_id")
