@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Hashable
 from heapq import heapify, heappop, heappush
 
 
@@ -98,3 +99,24 @@ class Merges:
                 if far > reach.get(x, 0):
                     reach[x] = far
         return max(reach.values(), default=0) + 1
+
+
+class Memory(dict):
+    """key -> make(key), remembered in two generations of at most `most` keys: when the younger is full it becomes the
+    older, whose keys come back when asked for and are else forgotten. Frequent keys stay, memory is bounded."""
+
+    def __init__(self, make: Callable[[str], object], most: int, longest: int = 64) -> None:
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+        self.older: dict[Hashable, object] = {}
+
+    def __missing__(self, key: str) -> object:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) < self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found

@@ -10,15 +10,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sextant.llm.bpe import Merges
+from sextant.llm.bpe import Memory, Merges
 from sextant.llm.common import map_batches, texts
 
 #: The pieces that byte-level BPE never merges across.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What carries on a piece that began: the kind of its last character.
 _KINDS, _SPACES = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")], regex.compile(r"\s+")
-#: Pieces whose tokens a worker remembers; a full memory is emptied.
-REMEMBERED = 1 << 16
+#: Pieces whose tokens a worker remembers, twice.
+REMEMBERED = 1 << 17
 
 
 class Transducer:
@@ -59,6 +59,10 @@ class Transducer:
         return out
 
     def encode(self, piece: bytes) -> list[int]:
+        """A piece from its beginning to its end."""
+        if len(piece) < self.window:
+            first = self.merges.first
+            return self.merges.apply([first[b] for b in piece])
         return [*self.push(piece), *self.finish()]
 
 
@@ -155,30 +159,19 @@ def token_bytes(merges: Merges) -> dict[int, bytes]:
     return {n: bytes([of[c] for c in t]) for t, n in merges.vocabulary.items()} | {n: t.encode() for t, n in merges.specials.items()}
 
 
-class Memory(dict):
-    """Piece -> (its tokens, the same as decimal text), made when asked for; emptied when full."""
-
-    def __init__(self, merges: Merges) -> None:
-        super().__init__()
-        self.piece = Transducer(merges)
-
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.piece.encode(piece.encode())
-        found = (tuple(ids), ",".join(map(str, ids)))
-        if len(piece) < 64:
-            self[piece] = found
-        return found
-
-
 class Encoder:
     """Whole texts, with the transducer and a memory of pieces."""
 
     def __init__(self, merges: Merges) -> None:
-        self.merges, self.memory, self.bytes = merges, Memory(merges), token_bytes(merges)
+        self.merges, self.piece, self.bytes = merges, Transducer(merges), token_bytes(merges)
+        #: Piece -> its tokens, as numbers and as decimal text.
+        self.memory = Memory(self._piece, REMEMBERED)
         self.special = regex.compile("(" + "|".join(map(regex.escape, merges.specials)) + ")") if merges.specials else None
 
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        ids = self.piece.encode(piece.encode())
+        return tuple(ids), ",".join(map(str, ids))
+
     def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """Per piece its tokens, as numbers and as decimal text. Special strings in a text are their tokens."""
         segments = self.special.split(text) if self.special and any(s in text for s in self.merges.specials) else [text]
