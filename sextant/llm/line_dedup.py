@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import ascii_lower
+from sextant.llm.common import ascii_lower, checkpointed
 
 #: What is stripped at both ends of a line: [\x20\x09-\x0D].
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -38,7 +38,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     # a row for each document and key, so that partial sums leave one row a key and task, however hot the key
     keys = row.select("_ka", "_kb", F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key"))
     keys = keys.where(F.length("key") >= min_chars).select("_ka", "_kb", _hash(F.col("key")).alias("h")).select("_ka", "_kb", "h.a", "h.b")
-    often = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    # cut off, so that both sides of the join are plain shuffles and a hot key's rows can be split over tasks
+    often = checkpointed(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
     gone = keys.join(often, ["a", "b"]).groupBy("_ka", "_kb").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
     out = docs.withColumns({"_ka": F.xxhash64(text), "_kb": F.xxhash64(F.lit(11), text)}).join(gone, ["_ka", "_kb"], "left")
     out = out.withColumn("_lines", F.split(text, "\n", -1))
