@@ -29,19 +29,22 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     Null and empty texts are one empty line and stay as an empty text. Repeated rows count as documents of their own.
     Columns of docs named kept_text, n_lines or n_dropped are replaced.
 
-    Lines are exploded only as 128-bit hashes. The hashes to drop come back a document, keyed by a 128-bit hash of the
-    text, and the text is reassembled by position, in place.
+    Lines are exploded only as 128-bit hashes. The hashes to drop come back a document, keyed by a 128-bit hash of its
+    doc_id, if it has one, and its text, and the text is reassembled by position, in place.
     """
     docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped", "_ka", "_kb", "_drop")])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = docs.select(text.alias("text")).select("text", F.xxhash64("text").alias("_ka"), F.xxhash64(F.lit(11), "text").alias("_kb"))
+    # the row's key: of all it is known by, so that copies of a text under other ids are dealt to different tasks
+    named = [docs["doc_id"]] if "doc_id" in docs.columns else []
+    key = {"_ka": F.xxhash64(*named, text), "_kb": F.xxhash64(F.lit(11), *named, text)}
     # a row for each document and key, so that partial sums leave one row a key and task, however hot the key
-    keys = row.select("_ka", "_kb", F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key"))
+    # (outer: a plain explode would have the optimizer compute all lines once more, to see that there are any)
+    keys = docs.withColumns(key).select("_ka", "_kb", F.explode_outer(F.array_distinct(line_keys(text))).alias("key"))
     keys = keys.where(F.length("key") >= min_chars).select("_ka", "_kb", _hash(F.col("key")).alias("h")).select("_ka", "_kb", "h.a", "h.b")
     # cut off, so that both sides of the join are plain shuffles and a hot key's rows can be split over tasks
     often = checkpointed(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
     gone = keys.join(often, ["a", "b"]).groupBy("_ka", "_kb").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
-    out = docs.withColumns({"_ka": F.xxhash64(text), "_kb": F.xxhash64(F.lit(11), text)}).join(gone, ["_ka", "_kb"], "left")
+    out = docs.withColumns(key).join(gone, ["_ka", "_kb"], "left")
     out = out.withColumn("_lines", F.split(text, "\n", -1))
 
     def stays(line: Column) -> Column:
