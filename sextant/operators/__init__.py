@@ -1 +1 @@
-"""operators"""
+"""Operators: DataFrames in, DataFrames out."""

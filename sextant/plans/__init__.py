@@ -1 +1,28 @@
-"""plans"""
+"""Named queries over the fixture tables, each with the same in SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Registry:
+    """Queries by name, in the order in which they are written down."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.sql: dict[str, str] = {}
+
+    def query(self, sql: str | None = None) -> Callable:
+        def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+            self.queries[f.__name__] = f
+            if sql:
+                self.sql[f.__name__] = sql
+            return f
+
+        return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
