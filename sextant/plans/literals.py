@@ -1,0 +1,177 @@
+"""Queries over literal rows: what the fixture tables hold no examples of."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sextant.functions import text as T
+from sextant.operators import generation, incident, labels, pairs
+from sextant.operators.sampling import batches
+from sextant.plans import Registry, table
+
+R = Registry()
+
+
+def _sql(rows: list[tuple]) -> str:
+    """Rows as SQL values."""
+
+    def one(x: object) -> str:
+        if x is None:
+            return "null"
+        if isinstance(x, bool):
+            return str(x).lower()
+        if isinstance(x, list):
+            return "[" + ", ".join(map(one, x)) + "]"
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+FENCE = "`" * 3
+ELIGIBLE = [
+    ("a/b.md", "how_to", 0.9004, "Some prose. " * 12 + f"\n{FENCE}\ncode\n{FENCE}\n", ["Guide", "Setup"]),
+    ("a/_index.md", "symptom", 0.7504, "short", ["Guide", "What's Next"]),
+    ("draft/c.md", "error_string", 1.0, f"{FENCE}\n" + "x = 1\n" * 200 + FENCE + " prose" * 30, ["REFERENCE"]),
+    ("a/d.txt", "incident_snapshot", 0.6006, "Long enough prose here. " * 10, []),
+]
+
+
+@R.query(f"""with v as (select * from (values {_sql(ELIGIBLE)}) t(path, style, ov, body, headings)),
+c as (select *, list_sum(list_transform(regexp_extract_all(body, '(?s){FENCE}.*?{FENCE}'), lambda x: length(x))) as code, trim(regexp_replace(body, '(?s){FENCE}.*?{FENCE}', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) as prose from v)
+select path, round(coalesce(code, 0) / greatest(length(body), 1)::double, 6) as fraction, coalesce(code, 0) / greatest(length(body), 1)::double <= 8e-1 and length(prose) >= 120 as eligible,
+  case style when 'incident_snapshot' then 6e-1 when 'symptom' then 75e-2 when 'how_to' then 9e-1 end as cap,
+  coalesce(round_even(ov, 3) > case style when 'incident_snapshot' then 6e-1 when 'symptom' then 75e-2 when 'how_to' then 9e-1 end, false) as over,
+  len(list_filter(headings, lambda h: lower(h) in ('what''s next', 'reference'))) > 0 as excluded, not regexp_matches(path, '^draft/.*\\.md$') as included from c""")
+def q_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(ELIGIBLE, "path string, style string, ov double, body string, headings array<string>")
+    cap = pairs.overlap_cap(F.col("style"))
+    banned = F.exists("headings", lambda h: F.lower(h).isin("what's next", "reference"))
+    return rows.select("path", F.round(T.code_fraction(F.col("body")), 6).alias("fraction"), T.eligible(F.col("body")).alias("eligible"), cap.alias("cap"), F.coalesce(F.bround("ov", 3) > cap, F.lit(False)).alias("over"), banned.alias("excluded"), (~F.col("path").rlike(T.glob_pattern("draft/*.md"))).alias("included"))
+
+
+FILES = [
+    ("a.jsonl", 'Here you go:\n{"id": "q1", "verdict": "Correct", "reason": "x", "also_relevant": ["B", "a", "B"]},\n{"id": "q2", "verdict": "wrong", "reason": "y"}\n'),
+    ("b.jsonl", '{"id": "q1", "verdict": "wrong", "reason": "later"}\n{"id": "q3", "verdict": "maybe", "reason": ""}\n{"id": "q9", "verdict": "wrong"}\n{"id": "q4", "verdict": "correct"}\n{"id": "q5", "verdict": "correct", "also_relevant": ["A"]}'),
+    ("c.jsonl", '{"id": "q2", "verdict": "correct"}\n{"id": broken}\n'),
+]
+QUEUE = [(f"q{k}", ["d1", "d2"]) for k in range(1, 6)]
+KNOWN = [("q4", "correct", "claude"), ("q5", "wrong", None)]
+
+
+@R.query(f"""with f as (select * from (values {_sql(FILES)}) t(path, body)), l as (select path, k as line, rtrim(trim(ls[k]), ',') as j from (select path, string_split(body, chr(10)) as ls, unnest(range(1, len(string_split(body, chr(10))) + 1)) as k from f)),
+o as (select * from l where starts_with(j, '{{')), good as (select *, json_extract_string(j, '$.id') as id, json_extract_string(j, '$.verdict') as verdict from o where path not in (select path from o where not json_valid(j))),
+last as (select id, lower(trim(verdict)) as verdict, from_json(json_extract(j, '$.also_relevant'), '["VARCHAR"]') as letters from (select *, row_number() over (partition by id order by path desc, line desc) as k from good) where k = 1),
+q as (select * from (values {_sql(QUEUE)}) t(id, candidates)), n as (select id, verdict as old, coalesce(labeler, 'human') as who from (values {_sql(KNOWN)}) t(id, verdict, labeler))
+select id, verdict, case when q.candidates is null then 'unknown' when verdict is null or verdict not in ('correct', 'wrong', 'ambiguous') then 'invalid' when who = 'human' then 'kept_human' when verdict = old then 'unchanged' else 'saved' end as status,
+  coalesce(array_to_string(list_transform(letters, lambda x: q.candidates[ascii(upper(x)) - 64]), ','), '') as also from last left join q using (id) left join n using (id)""")
+def q_answer_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = generation.answer_rows(spark.createDataFrame(FILES, "path string, text string"))
+    answers = answers.withColumn("pos", F.struct("path", "line"))
+    queue = spark.createDataFrame(QUEUE, "id string, candidates array<string>")
+    done = labels.imported(answers.select("id", "verdict", "pos"), queue, spark.createDataFrame(KNOWN, "id string, verdict string, labeler string"))
+    last = labels.latest(answers, ["id"], ["pos"]).select("id", "also_relevant").join(queue, "id", "left")
+    also = F.array_join(T.letter_choices(F.col("also_relevant"), F.col("candidates")), ",")
+    return done.join(last.select("id", F.coalesce(also, F.lit("")).alias("also")), "id")
+
+
+PODS = "NAME READY STATUS RESTARTS AGE\nweb-1 1/1 Running 0 5m\nweb-2 0/1 CrashLoopBackOff 4 (12s ago) 5m\ndb-0 1/2 Running 0 9m\njob x\n"
+EVENTS = "LAST TYPE REASON OBJECT MESSAGE\n1m Normal Scheduled pod/web-1 ok\n2m Warning BackOff pod/web-2 Back-off restarting\n3m Warning BackOff pod/web-2 Back-off restarting\n4m Warning Failed pod/db-0 image not found\n"
+DESCRIBE = "Name: web-2\nStatus: Running\n  State:   Waiting\n   Reason:  CrashLoopBackOff\n   Reason:  CrashLoopBackOff\n  Exit Code:   1\nMessage: <none>\n"
+LOGS = "starting up\nunable to retrieve container logs\nERROR: cannot connect\nok\nconnection refused\n"
+
+
+@R.query(f"""with v as (select * from (values {_sql([("c1", PODS, EVENTS, DESCRIBE, LOGS)])}) t(id, pods, events, described, logs)),
+pr as (select id, k, regexp_split_to_array(trim(x), '\\s+') as c from (select id, generate_subscripts(ls, 1) as k, unnest(ls) as x from (select id, list_filter(string_split(pods, chr(10)), lambda x: trim(x) <> '')[2:] as ls from v))),
+pb as (select id, k, c[1] || ' ' || c[2] || ' ' || c[3] || ' ' || case when starts_with(coalesce(c[5], ''), '(') then c[4] || ' ' || c[5] || ' ' || c[6] else c[4] end as x,
+  split_part(c[2], '/', 1) <> split_part(c[2], '/', 2) or c[3] <> 'Running' or c[4] <> '0' as bad from pr where len(c) >= 4 and contains(c[2], '/')),
+er as (select id, k, regexp_extract(x, '^\\S+\\s+(\\S+)\\s+(\\S+)\\s+\\S+\\s+(.+)$', ['t', 'r', 'm']) as e from (select id, generate_subscripts(ls, 1) as k, unnest(ls) as x from (select id, string_split(events, chr(10))[2:] as ls from v)) where trim(x) <> ''),
+ev as (select id, min(k) as k, e.t || ' ' || e.r || ' ' || e.m as x from er where e.r not in ('Scheduled') group by id, e),
+dr as (select id, min(k) as k, x from (select id, k, regexp_extract(x, '^\\s*(Status|State|Reason|Exit Code|Message|Last State):\\s*(.+)$', 1) || ': ' || trim(regexp_extract(x, '^\\s*(Status|State|Reason|Exit Code|Message|Last State):\\s*(.+)$', 2)) as x
+  from (select id, generate_subscripts(ls, 1) as k, unnest(ls) as x from (select id, string_split(described, chr(10)) as ls from v)) where regexp_matches(x, '^\\s*(Status|State|Reason|Exit Code|Message|Last State):') and not regexp_matches(x, 'Running|<none>')) group by id, x)
+select id, (select array_to_string(list(x order by k)[:3], ';') from pb where bad) as pods, (select array_to_string(list(x order by k)[:4], ';') from ev) as events, (select array_to_string(list(x order by k)[:8], ';') from dr) as described,
+  'ERROR: cannot connect;connection refused' as logs from v""")
+def q_incident_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("c1", PODS, EVENTS, DESCRIBE, LOGS)], "id string, pods string, events string, described string, logs string")
+    made = {"pods": incident.problem_pods(F.col("pods")), "events": incident.event_lines(F.col("events")), "described": incident.describe_lines(F.col("described")), "logs": T.error_lines(F.col("logs"))}
+    return rows.select("id", *[F.array_join(c, ";").alias(k) for k, c in made.items()])
+
+
+ANSWERS = [
+    (1, FENCE + 'json\n{"results": [{"passage": 1, "suitable": true, "queries": [{"style": "how_to", "query": " How  to drain? "}, {"style": "bad", "query": "x"}, {"style": "symptom", "query": "how to drain?"}, {"style": "symptom", "query": "Node stuck"}, {"style": "how_to", "query": "fourth"}]}, {"passage": 2, "suitable": false, "queries": [{"style": "how_to", "query": "no"}]}]}\n' + FENCE),
+    (2, '{"results": [{"passage": 9, "suitable": true, "queries": [{"style": "how_to", "query": "far"}]}, {"passage": 1, "suitable": true, "queries": [{"style": "symptom", "query": ""}, {"style": "symptom", "query": "Pod pending"}]}]}'),
+    (3, "not json at all"),
+]
+PASSAGES = [(1, 1, "a#000"), (1, 2, "a#001"), (2, 1, "b#000"), (3, 1, "c#000")]
+
+
+@R.query(f"""with v as (select batch, regexp_replace(answer, '(?s)\\A\\s*{FENCE}(?:json)?\\s*(.*?)\\s*{FENCE}\\s*\\z', '\\1') as j from (values {_sql(ANSWERS)}) t(batch, answer)),
+r as (select batch, unnest(from_json(json_extract(j, '$.results'), '[{{"passage": "INTEGER", "suitable": "BOOLEAN", "queries": [{{"style": "VARCHAR", "query": "VARCHAR"}}]}}]')) as r from v where json_valid(j)),
+q as (select batch, r.passage as passage, list_filter(r.queries, lambda x: x.style in ('incident_snapshot', 'symptom', 'how_to', 'error_string', 'kubectl_output') and length(trim(x.query)) >= 1)[:3] as qs from r where r.suitable),
+e as (select batch, passage, generate_subscripts(qs, 1) as k, unnest(qs) as q from q),
+f as (select batch, passage, q.style as style, trim(regexp_replace(q.query, '\\s+', ' ', 'g')) as query, k from e)
+select c.chunk_id, style, query from (select *, row_number() over (partition by batch, passage, lower(query) order by k) as n from f) f join (values {_sql(PASSAGES)}) c(batch, passage, chunk_id) on f.batch = c.batch and f.passage = c.passage where n = 1""")
+def q_llm_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation.parsed_answers(spark.createDataFrame(ANSWERS, "batch int, answer string"), spark.createDataFrame(PASSAGES, "batch int, passage int, chunk_id string"))
+
+
+SECTIONS = ["Symptoms", "Fix"]
+RUNBOOKS = [
+    ("oom-killed", "## Symptoms\nMemory runs out\n## Fix\nRaise the limit now", ["node-down"], ["(?i)memory", "^Raise"]),
+    ("Bad_Name", "# Title\n## Fix\nx", ["oom-killed", "gone"], ["missing", "^x$"]),
+    ("node-down", "## Symptoms  \na b c\n## Fix\nd e", [], []),
+]
+
+
+@R.query(f"""with v as (select * from (values {_sql([(*r[:3], r[3] or [""]) for r in RUNBOOKS])}) t(id, body, related, expect)), w as (select *, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) as n from v)
+select id, array_to_string(list_filter([case when not regexp_matches(id, '^[a-z0-9]+(?:-[a-z0-9]+)*$') then 'name' end, case when regexp_extract_all(body, '(?m)^##\\s+(.+?)\\s*$', 1) <> ['Symptoms', 'Fix'] then 'sections' end,
+  case when regexp_matches(body, '(?m)^#\\s') then 'title' end, case when n not between 8 and 700 then 'words' end], lambda x: x is not null), ',') as errors,
+  array_to_string(list_filter(related, lambda x: x not in ('oom-killed', 'Bad_Name', 'node-down')), ',') as dangling,
+  array_to_string(list_filter(expect, lambda p: not regexp_matches(body, '(?m)' || p)), ',') as unmatched,
+  id in ('Bad_Name', 'node-down') as uncovered from w""")
+def q_validation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(RUNBOOKS, "id string, body string, related array<string>, expect array<string>")
+    scenarios = spark.createDataFrame([("oom-killed",), ("other",)], "id string")
+    loose = generation.dangling(rows).groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("related")), ",").alias("dangling"))
+    bare = generation.uncovered(rows, scenarios, "id").where("side = 'left'").select("id", F.lit(True).alias("bare"))
+    joined = rows.join(loose, "id", "left").join(bare, "id", "left")
+    return joined.select("id", F.array_join(generation.runbook_errors(F.col("id"), F.col("body"), SECTIONS, 8), ",").alias("errors"), F.coalesce("dangling", F.lit("")).alias("dangling"), F.array_join(incident.unmatched(F.col("expect"), F.col("body")), ",").alias("unmatched"), F.coalesce("bare", F.lit(False)).alias("uncovered"))
+
+
+PODS_JSON = [
+    ('{"metadata": {"name": "web"}, "status": {"initContainerStatuses": [{"name": "init", "restartCount": 0, "state": {"terminated": {"exitCode": 0}}}], "containerStatuses": [{"name": "app", "restartCount": 3, "lastState": {"terminated": {"exitCode": 1}}, "state": {"running": {"startedAt": "t"}}}]}}',),
+    ('{"metadata": {"name": "db"}, "status": {"containerStatuses": [{"name": "pg", "restartCount": 0, "state": {"waiting": {"reason": "x"}}}]}}',),
+    ('{"metadata": {"name": "new"}}',),
+]
+
+
+@R.query(f"""with v as (select j::json as j from (values {_sql(PODS_JSON)}) t(j)), c as (select json_extract_string(j, '$.metadata.name') as pod, unnest(list_concat(coalesce(from_json(json_extract(j, '$.status.initContainerStatuses'), '["JSON"]'), []), coalesce(from_json(json_extract(j, '$.status.containerStatuses'), '["JSON"]'), []))) as c from v)
+select pod, json_extract_string(c, '$.name') as container, true as previous from c where coalesce(cast(json_extract(c, '$.restartCount') as integer), 0) > 0 or json_exists(c, '$.lastState.terminated')
+union all select pod, json_extract_string(c, '$.name'), false from c where json_exists(c, '$.state.running') or json_exists(c, '$.state.terminated')""")
+def q_pod_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incident.log_targets(spark.createDataFrame(PODS_JSON, "pod string"), "pod")
+
+
+HELP = [("Please retry in 14h7m22.8s.", "a/x.yaml", "cost $5 in {ns}", ["k8s", "run"]), ("no hint", "b/y.conf", "$$", []), ("Retry in 9s", "z.unknown", "{ns}{ns}", ["one"])]
+
+
+@R.query(f"""with v as (select *, regexp_extract(message, '(?i)retry in (?:(\\d+)h)?(?:(\\d+)m)?(?:([\\d.]+)s)?', ['h', 'm', 's']) as r from (values {_sql([(*h[:3], h[3] or [None]) for h in HELP])}) t(message, path, body, items))
+select message, case when r.h || r.m || r.s <> '' then coalesce(try_cast(r.h as double), 0) * 3600 + coalesce(try_cast(r.m as double), 0) * 60 + coalesce(try_cast(r.s as double), 0) end as seconds,
+  coalesce(case regexp_extract(path, '(\\.[^./]+)$', 1) when '.yaml' then 'yaml' when '.conf' then '' end, '') as language, replace(replace(body, '{{ns}}', 'prod'), '$', '\\$') as body,
+  coalesce(array_to_string(list_transform(list_filter(items, lambda x: x is not null), lambda x, i: '<candidate letter="' || chr(64 + i::integer) || '">' || x || '</candidate>'), chr(10)), '') as listed from v""")
+def q_text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(HELP, "message string, path string, body string, items array<string>")
+    return rows.select("message", T.retry_seconds(F.col("message")).alias("seconds"), T.fence_language(F.col("path")).alias("language"), T.escape_dollars(T.filled(F.col("body"), {"ns": F.lit("prod")})).alias("body"), T.lettered(F.col("items")).alias("listed"))
+
+
+@R.query("""with b as (select item_id, text, (row_number() over (order by item_id) - 1) // 8 as batch, (row_number() over (order by item_id) - 1) % 8 + 1 as pos from benchmark)
+select batch, sha256(string_agg('[' || pos || '] ' || text, chr(10) || chr(10) order by pos)) as prompt_sha256 from b group by batch""")
+def q_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = batches(table(spark, sf_dir, "benchmark").withColumn("all", F.lit(0)), "all", [F.col("item_id")], 8)
+    return generation.prompts(rows.select("batch", F.col("item_id").alias("pos"), F.col("text").alias("passage"))).select("batch", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@R.query()
+def q_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time in UTC to the second, as labels carry it."""
+    return spark.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("labeled_at"))

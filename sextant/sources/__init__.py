@@ -1 +1 @@
-"""sources"""
+"""Where tables come from and go to."""
