@@ -69,7 +69,7 @@ def suffix_array(text: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
     rank, have = text.astype(np.int64), 1
     while have < depth:
         ahead = np.full(len(rank), -1, np.int64)
-        ahead[: len(rank) - have] = rank[have:]
+        ahead[: max(0, len(rank) - have)] = rank[have:]
         ahead[rank < 0] = -1
         live = np.flatnonzero(rank >= 0)
         if not live.size:
