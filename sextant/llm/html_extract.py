@@ -23,6 +23,7 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 MARKS = frozenset(
     "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose contents may be chosen as a whole; those whose class can't make them boilerplate.
 CONTAINERS = frozenset("article body div main section table td".split())
 WHOLE = frozenset("article body html main".split())
@@ -60,7 +61,10 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, tuple(n for t, n, _ in self.open if t in CONTAINERS), self.outs > 0))
+            tags = {t for t, _, _ in self.open}
+            # of an article's own header only the headings are part of it
+            byline = "header" in tags and tags.isdisjoint(HEADINGS)
+            self.lines.append(Line(text, self.tags, self.linked, tuple(n for t, n, _ in self.open if t in CONTAINERS), self.outs > 0 or byline))
             self.tags = 0
         self.words, self.linked = [], 0
 
