@@ -122,11 +122,12 @@ class Classifier:
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, handed: int = HANDED) -> Classifier:
     """views: two feature matrices over the same documents; y: 1 good, 0 bad, -1 not known.
 
-    Every fifth labelled document is kept for calibration. In each round both views are fitted; each hands its surest
+    A fifth of the labelled documents, drawn at random, is kept for calibration. In each round both views are fitted; each hands its surest
     guesses about unknown documents (at most `handed`, in the classes' proportions) to the other as labels.
     """
     known = np.flatnonzero(y >= 0)
-    held, taught = known[::5], np.setdiff1d(known, known[::5])
+    drawn = np.random.default_rng(0).permutation(known)
+    held, taught = np.sort(drawn[: len(drawn) // 5]), np.sort(drawn[len(drawn) // 5 :])
     if len({*y[taught].tolist()}) < 2 or len({*y[held].tolist()}) < 2:
         held = taught = known
     share = float(y[known].mean())
