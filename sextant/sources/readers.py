@@ -44,13 +44,28 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def _hidden(spark: SparkSession, root: str) -> DataFrame:
+    """file, text of Markdown files whose names begin with _, which Spark's sources leave out: index pages of folders.
+    They are listed and read by the driver, through Hadoop's file systems."""
+    jvm, top = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows, files = [], fs.listFiles(top, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().startswith("_") and path.getName().endswith(".md"):
+            stream = fs.open(path)
+            rows.append((path.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return spark.createDataFrame(rows, "file string, text string")
+
+
 def markdown_tree(spark: SparkSession, root: str, include: Iterable[str] = ("**",), exclude: Iterable[str] = ()) -> DataFrame:
     """path, doc_id, text of the Markdown files below root whose relative path an include pattern matches and no exclude
     pattern does; pos gives their order by parts of the path, as a listing of directories has it."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = root.rstrip("/").rpartition(":")[2].lstrip("/")
-    relative = F.substring_index(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), base + "/", -1)
-    rows = files.select(relative.alias("path"), F.col("value").alias("text"))
+    shown = files.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("text"))
+    rows = shown.unionByName(_hidden(spark, root)).select(F.substring_index("file", base + "/", -1).alias("path"), "text")
 
     def any_of(globs: Iterable[str]):  # noqa: ANN202
         found = F.lit(False)
