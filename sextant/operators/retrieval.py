@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.functions.text import tokens
+from sextant.functions.text import COMPOUND, tokens
+
+_COMPOUND, _SEPARATOR = re.compile(COMPOUND), re.compile("[._:/-]")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -19,75 +22,122 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 4) -> DataFrame:
-    """docs: doc_id, text; queries: qid, query. qid, doc_id, score > 0 or < 0 of every document that shares a token.
+def split_tokens(text: str) -> list[str]:
+    """What functions.text.tokens gives, for one text in Python."""
+    out: list[str] = []
+    for c in _COMPOUND.findall(text.lower()):
+        if not c.isalnum():
+            out += _SEPARATOR.split(c)
+        out.append(c)
+    return out
+
+
+def best_of_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """scores: a row for each query, a column for each document. Query row, document, score of each query's k best, ties
+    to the smaller document: what may still be among the k best of all batches."""
+    if scores.shape[1] > 4 * k:  # all that score as much as the k-th best, in case of ties
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        row, column = np.nonzero(scores >= least[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], ids[column[keep]], scores[row[keep], column[keep]]
+
+
+def ranked_batches(docs: DataFrame, blocks: Iterable[tuple[list, object]], score: Callable[[object, pa.RecordBatch], np.ndarray], k: int, qid: str = "long") -> DataFrame:
+    """A stated query set against all documents (doc_id and what score needs), block by block: each block is broadcast,
+    each batch of documents scored against all of it at once, and only each query's k best of a batch are shuffled."""
+    spark, out = docs.sparkSession, None
+    for names, block in blocks:
+        given = spark.sparkContext.broadcast((names, block))
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            names, block = given.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    b = whole.slice(at, 512)
+                    row, doc, value = best_of_batch(score(block, b), b.column("doc_id").to_numpy(), k)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()]), pa.array(doc), pa.array(value)], ["qid", "doc_id", "score"])
+
+        some = docs.mapInArrow(run, f"qid {qid}, doc_id long, score double")
+        out = some if out is None else out.unionByName(some)
+    return spark.createDataFrame([], f"qid {qid}, doc_id long, score double") if out is None else out
+
+
+def in_blocks(rows: DataFrame, size: int) -> Iterator[list]:
+    """Rows in lists of at most size, streamed to the driver partition by partition."""
+    held: list = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 4, block: int = 256) -> DataFrame:
+    """docs: doc_id, text; queries: qid, query. The k best documents of every query by BM25, those that score 0 included.
 
     Okapi: idf = ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by epsilon times the mean idf of all terms;
     query tokens count as often as they occur; parts of identifiers count in lengths and frequencies. Scores are
     rounded, so that their order doesn't hang on the order of a sum.
 
-    Document frequencies need one shuffle of distinct tokens, summed before it. Term frequencies are only counted for
-    terms that a query has: the postings of other terms never move.
-    """
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", "w", F.size("w").alias("dl"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = docs.select(tokens(F.col("text")).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    idf = df.join(F.broadcast(size), how="cross").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg((F.avg("raw") * epsilon).alias("low"))
-    asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = idf.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean), how="cross")
-    idf = idf.select("term", "avgdl", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
-    tf = words.select("doc_id", "dl", F.explode("w").alias("term")).join(idf, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return asked.join(tf, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
-
-
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, **how: float) -> DataFrame:
-    """The k best documents of every query. Documents without a shared token score 0 and still have ranks: where fewer
-    than k documents score more, they follow by doc_id; k + k smallest doc_ids are enough to find them."""
-    scored = bm25(docs, queries, **how)
-    first = [r["doc_id"] for r in docs.select("doc_id").orderBy("doc_id").limit(2 * k).collect()]
-    zero = queries.select("qid", F.explode(F.array(*[F.lit(x) for x in first]) if first else F.array().cast("array<bigint>")).alias("doc_id"))
-    zero = zero.join(scored, ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(scored.unionByName(zero), k)
-
-
-def dense(queries: DataFrame, docs: DataFrame, k: int = 100, digits: int = 6, block: int = 4096) -> DataFrame:
-    """queries: qid, q (vector); docs: doc_id, v (vector). Exact inner products in double precision, the k best each.
-
-    Queries go out in blocks of bounded size to all partitions of docs; each batch of docs meets a block in one matrix
-    product and leaves its own k best, so what is shuffled is k rows a query and batch.
+    One pass over the documents counts, in the JVM, each term's documents and, under no term, documents and tokens; it
+    shuffles a row for each term and task. The second pass scores: queries go out in blocks with the idf of their own
+    terms, and a batch of documents meets a block in one matrix product, so documents and postings never move.
     """
-    spark, out = docs.sparkSession, None
+    words = docs.select(tokens(F.col("text")).alias("w")).select(F.size("w").cast("long").alias("dl"), F.concat(F.array_distinct("w"), F.array(F.lit(None))).alias("w"))
+    df = words.select("dl", F.explode_outer("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")).persist()
+    size = df.where("term is null").first()
+    if size is None:
+        return docs.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
+    n, avgdl = size["df"], (size["dl"] / size["df"]) or 1.0
+    raw = df.where("term is not null").select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    low = epsilon * (raw.agg(F.avg("raw")).first()[0] or 0.0)
+
+    def blocks() -> Iterator[tuple[list, object]]:
+        for rows in in_blocks(queries.select("qid", "query"), block):
+            asked = [split_tokens(r["query"] or "") for r in rows]
+            terms = docs.sparkSession.createDataFrame([(t,) for t in sorted({t for ts in asked for t in ts})], "term string")
+            idf = {r["term"]: r["raw"] if r["raw"] >= 0 else low for r in raw.join(F.broadcast(terms), "term").collect()}
+            place = {t: j for j, t in enumerate(sorted(idf))}
+            often = np.zeros((len(rows), len(place)))
+            for i, ts in enumerate(asked):
+                for t in ts:
+                    if t in place:
+                        often[i, place[t]] += idf[t] * (k1 + 1)
+            yield [r["qid"] for r in rows], (place, often)
+
+    def score(given: tuple[dict[str, int], np.ndarray], batch: pa.RecordBatch) -> np.ndarray:
+        place, often = given
+        tf, lengths = np.zeros((batch.num_rows, len(place))), np.zeros(batch.num_rows)
+        for i, text in enumerate(batch.column("text")):
+            found = split_tokens(text.as_py() or "")
+            lengths[i] = len(found)
+            at = [j for t in found if (j := place.get(t)) is not None]
+            tf[i] = np.bincount(at, minlength=len(place))[: len(place)] if at else 0
+        weight = tf / (tf + k1 * (1 - b + b * lengths / avgdl)[:, None])
+        return np.round(often @ weight.T, digits) + 0.0
+
+    found = ranked_batches(docs.select("doc_id", "text"), blocks(), score, k, queries.schema["qid"].dataType.simpleString())
+    df.unpersist()
+    return top_k(found, k)
+
+
+def dense(queries: DataFrame, docs: DataFrame, k: int = 100, digits: int = 6, block: int = 1024) -> DataFrame:
+    """queries: qid, q (vector); docs: doc_id, v (vector). Exact inner products in double precision, the k best each."""
     rows = docs.select("doc_id", F.col("v").cast("array<double>").alias("v"))
-    waiting: list = []
-
-    def ranked(some: list) -> DataFrame:
-        names = [r["qid"] for r in some]
-        given = spark.sparkContext.broadcast(np.array([r["q"] for r in some], np.float64))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                q, ids = given.value, b.column("doc_id").to_numpy()
-                v = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
-                s = np.round(q @ v.T, digits) + 0.0
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                which = np.repeat(np.arange(len(q)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["at", "doc_id", "score"])
-
-        found = rows.mapInArrow(run, "at long, doc_id long, score double")
-        return found.select(F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("at") + 1).cast("int")).alias("qid"), "doc_id", "score")
-
-    for r in queries.select("qid", "q").toLocalIterator():
-        waiting.append(r)
-        if len(waiting) == block:
-            out = ranked(waiting) if out is None else out.unionByName(ranked(waiting))
-            waiting = []
-    if waiting or out is None:
-        out = ranked(waiting) if out is None and waiting else out.unionByName(ranked(waiting)) if waiting else spark.createDataFrame([], "qid long, doc_id long, score double")
-    return top_k(out, k)
+    blocks = (([r["qid"] for r in some], np.array([r["q"] for r in some], np.float64)) for some in in_blocks(queries.select("qid", "q"), block))
+
+    def score(q: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+        return np.round(q @ v.T, digits) + 0.0
+
+    return top_k(ranked_batches(rows, blocks, score, k, queries.schema["qid"].dataType.simpleString()), k)
 
 
 def rrf(rankings: list[DataFrame], k: int = 100, constant: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators.corpus import numbered, statistics, without_duplicates
-from sextant.operators.pairs import mark_duplicates
+from sextant.operators.pairs import mark_duplicates, overlaps
 from sextant.plans import Registry, table
 
 R = Registry()
@@ -32,13 +32,9 @@ o as (select item_id, doc_id, {OVERLAP.format("q", "p")} as ov, contains(d.text,
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id, ov, has for every item and document. The items, a stated query set, meet all documents as one
-    array of a single row that is broadcast; documents never move."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text", T.content_words(F.col("text")).alias("q"))
-    given = items.agg(F.collect_list(F.struct("item_id", "text", "q")).alias("items"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", T.content_words(F.col("text")).alias("p"))
-    both = docs.join(F.broadcast(given), how="cross").select("doc_id", F.col("text").alias("body"), "p", F.inline("items"))
-    return both.select("item_id", "doc_id", T.overlap(F.col("q"), F.col("p")).alias("ov"), F.contains("body", "text").alias("has"))
+    """item_id, doc_id, ov, has for every benchmark item, a stated query set, and document."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return overlaps(table(spark, sf_dir, "documents"), items).withColumnRenamed("qid", "item_id")
 
 
 @R.query(f"""with {PAIRS} select item_id, count(*) filter (ov > 5e-1) as over_half, round(max(ov), 6) as most, round_even(max(ov), 3) as most3, count(*) filter (has) as containing
