@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from sextant.llm.common import bounded_batches, checkpointed, map_batches, texts
 from sextant.llm.components import connected_components
 
-#: Fingerprints in a tile; pairs of tiles are compared in blocks of at most BLOCK fingerprints squared.
-TILE, BLOCK = 16_384, 1 << 20
+#: Fingerprints in a tile, at least and at most: a 32nd of all, so what is sent around grows with the input, not with its
+#: square, up to 32 times the most. Pairs of tiles are compared in blocks of at most BLOCK pairs of fingerprints.
+TILE, LARGEST_TILE, BLOCK = 16_384, 1 << 18, 1 << 20
 _DIGEST = {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest}
 
 
@@ -108,7 +109,7 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
     return i, j, d
 
 
-def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between different fingerprints at radius differing bits or fewer.
 
     prints: doc_id (long), fp (binary). Returns (reps, links): reps has each fingerprint once with rep, its smallest
@@ -127,7 +128,9 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int = TILE) -
     count = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
     width = max(1, (radius + 1) // 4)
     dealt = reps.withColumn("bucket", F.floor(count / width).cast("int"))
-    sizes = {r["bucket"]: ceil(r["count"] / tile) for r in dealt.groupBy("bucket").count().collect()}
+    counts = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}
+    tile = tile or min(LARGEST_TILE, max(TILE, sum(counts.values()) // 32))
+    sizes = {k: ceil(n / tile) for k, n in counts.items()}
     empty = spark.createDataFrame([], "u long, v long, distance int")
     if not sizes:
         return reps, empty
@@ -161,7 +164,7 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int = TILE) -
     return reps, work.mapInArrow(run, "u long, v long, distance int")
 
 
-def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: int = 4, seed: int = 42, tile: int = TILE) -> DataFrame:
+def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: int = 4, seed: int = 42, tile: int | None = None) -> DataFrame:
     """doc_id, fp (binary), component_id, for every row of docs (doc_id, text; other columns are ignored).
 
     Documents link at radius differing bits or fewer; component_id is the smallest doc_id that can be reached, the
@@ -186,7 +189,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 128, radius: int = 30, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 128, radius: int = 30, tile: int | None = None) -> DataFrame:
     """doc_id, component_id for every different doc_id of docs (doc_id, text; others are ignored): near-duplicate groups.
 
     Documents link if the Jaccard similarity of their word shingles is `least` or more, or their fingerprints are equal.
