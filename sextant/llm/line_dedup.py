@@ -32,30 +32,30 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     Lines are exploded only as 128-bit hashes. The hashes to drop come back a document, keyed by a 128-bit hash of its
     doc_id, if it has one, and its text, and the text is reassembled by position, in place.
     """
-    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped", "_ka", "_kb", "_drop")])
+    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped", "__line_ka", "__line_kb", "__line_drop")])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the row's key: of all it is known by, so that copies of a text under other ids are dealt to different tasks
     named = [docs["doc_id"]] if "doc_id" in docs.columns else []
-    key = {"_ka": F.xxhash64(*named, text), "_kb": F.xxhash64(F.lit(11), *named, text)}
+    key = {"__line_ka": F.xxhash64(*named, text), "__line_kb": F.xxhash64(F.lit(11), *named, text)}
     # a row for each document and key, so that partial sums leave one row a key and task, however hot the key
     # (outer: a plain explode would have the optimizer compute all lines once more, to see that there are any)
-    keys = docs.withColumns(key).select("_ka", "_kb", F.explode_outer(F.array_distinct(line_keys(text))).alias("key"))
-    keys = keys.where(F.length("key") >= min_chars).select("_ka", "_kb", _hash(F.col("key")).alias("h")).select("_ka", "_kb", "h.a", "h.b")
+    keys = docs.withColumns(key).select("__line_ka", "__line_kb", F.explode_outer(F.array_distinct(line_keys(text))).alias("key"))
+    keys = keys.where(F.length("key") >= min_chars).select("__line_ka", "__line_kb", _hash(F.col("key")).alias("h")).select("__line_ka", "__line_kb", "h.a", "h.b")
     # cut off, so that both sides of the join are plain shuffles and a hot key's rows can be split over tasks
     often = checkpointed(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
-    gone = keys.join(often, ["a", "b"]).groupBy("_ka", "_kb").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
-    out = docs.withColumns(key).join(gone, ["_ka", "_kb"], "left")
-    out = out.withColumn("_lines", F.split(text, "\n", -1))
+    gone = keys.join(often, ["a", "b"]).groupBy("__line_ka", "__line_kb").agg(F.collect_set(F.struct("a", "b")).alias("__line_drop"))
+    out = docs.withColumns(key).join(gone, ["__line_ka", "__line_kb"], "left")
+    out = out.withColumn("__line_lines", F.split(text, "\n", -1))
 
     def stays(line: Column) -> Column:
         key = F.trim(ascii_lower(line), F.lit(STRIPPED))
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_drop"), _hash(key))
+        return (F.length(key) < min_chars) | ~F.array_contains(F.col("__line_drop"), _hash(key))
 
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = out.withColumn("_kept", kept)
+    kept = F.when(F.col("__line_drop").isNull(), F.col("__line_lines")).otherwise(F.filter("__line_lines", stays))
+    out = out.withColumn("__line_kept", kept)
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.array_join("_kept", "\n").alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.array_join("__line_kept", "\n").alias("kept_text"),
+        F.size("__line_lines").cast("long").alias("n_lines"),
+        (F.size("__line_lines") - F.size("__line_kept")).cast("long").alias("n_dropped"),
     )
