@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.operators.sampling import numbered_within
+
 
 def without_duplicates(pieces: DataFrame, text: str, order: list[str]) -> DataFrame:
     """The first row of each text. Texts are compared by SHA-256, so long ones are not shuffled as keys, and the first
@@ -14,10 +16,14 @@ def without_duplicates(pieces: DataFrame, text: str, order: list[str]) -> DataFr
     return pieces.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h")).agg(first.alias("_row")).select("_row.*")
 
 
-def numbered(pieces: DataFrame, doc: str, order: list[str]) -> DataFrame:
-    """Adds chunk_id, doc#000 and so on: dense within each document."""
-    k = F.row_number().over(Window.partitionBy(doc).orderBy(*order)) - 1
-    return pieces.withColumn("chunk_id", F.format_string("%s#%03d", F.col(doc).cast("string"), k))
+def numbered(pieces: DataFrame, doc: str, order: list[str], small: bool = True) -> DataFrame:
+    """Adds chunk_id, doc#000 and so on: dense within each document. small: no document has more pieces than a task can
+    sort; else they are dealt by ranges."""
+    if small:
+        out = pieces.withColumn("pos", F.row_number().over(Window.partitionBy(doc).orderBy(*order)))
+    else:
+        out = numbered_within(pieces, [doc], [F.col(c) for c in order]).drop("n")
+    return out.withColumn("chunk_id", F.format_string("%s#%03d", F.col(doc).cast("string"), F.col("pos") - 1)).drop("pos")
 
 
 def statistics(chunks: DataFrame, by: str, size: str) -> DataFrame:

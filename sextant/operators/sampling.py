@@ -6,20 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.session import checkpointed
+
 
 def shuffled(seed: str, *ids: Column) -> list[Column]:
     """Columns to order by: the salted hash, then the ids."""
     return [F.md5(F.concat_ws(":", F.lit(seed), *[i.cast("string") for i in ids])), *ids]
 
 
+def numbered_within(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Adds pos, from 1 in each group in the order, and n, the group's size. No task sorts more than a share of the rows,
+    even if one group holds them all: rows are dealt by ranges of group and order, and the rows of a group in earlier
+    ranges are added. The ranges are drawn from samples, so they are pinned down by a checkpoint."""
+    keys = [f"_o{k}" for k in range(len(order))]
+    dealt = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*group, *keys)
+    dealt = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
+    named = {f"_g{k}": F.col(g) for k, g in enumerate(group)}
+    sizes = dealt.groupBy(F.col("_part").alias("_p"), *[c.alias(k) for k, c in named.items()]).agg(F.count(F.lit(1)).alias("_m"))
+    inside = Window.partitionBy(*(named or [F.lit(0)]))
+    before = F.sum("_m").over(inside.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("*", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(inside).alias("n"))
+    same = F.col("_part") == F.col("_p")
+    for k, c in named.items():
+        same = same & c.eqNullSafe(F.col(k))
+    k = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*keys))
+    out = dealt.withColumn("_k", k).join(sizes, same)
+    return out.withColumn("pos", (F.col("_k") + F.col("_before")).cast("long")).drop("_k", "_before", "_m", "_p", "_part", *keys, *named)
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds pos, from 1 in the order, and n, all rows."""
+    return numbered_within(rows, [], order)
+
+
 def stratified_split(docs: DataFrame, id_: str, stratum: str, seed: str, share: float = 0.1, least: int = 3) -> DataFrame:
     """Adds split: in each stratum max(least, share, rounded half to even) documents are test, as many val, the rest
     train. Sizes are exact; membership follows the hash. A stratum needs 2 * least + 1 documents: check strata first."""
-    sizes = docs.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.greatest(F.lit(least), F.bround(F.col("_n") * share)).cast("int")
-    k = F.row_number().over(Window.partitionBy(stratum).orderBy(*shuffled(seed, F.col(id_))))
-    out = docs.join(F.broadcast(sizes), stratum).withColumn("_k", k)
-    return out.withColumn("split", F.when(F.col("_k") <= n, "test").when(F.col("_k") <= 2 * n, "val").otherwise("train")).drop("_k", "_n")
+    out = numbered_within(docs, [stratum], shuffled(seed, F.col(id_)))
+    n = F.greatest(F.lit(least), F.bround(F.col("n") * share))
+    return out.withColumn("split", F.when(F.col("pos") <= n, "test").when(F.col("pos") <= 2 * n, "val").otherwise("train")).drop("pos", "n")
 
 
 def too_small(docs: DataFrame, stratum: str, least: int = 3) -> DataFrame:
@@ -36,34 +61,19 @@ def one_each(rows: DataFrame, group: str, id_: str, seed: str) -> DataFrame:
 def round_robin(rows: DataFrame, style: str, id_: str, seed: str, n: int, first: Column | None = None) -> DataFrame:
     """All rows where `first` holds, then rounds over the styles until n rows: adds round (0 for the first ones)."""
     first = F.lit(False) if first is None else first
-    k = F.row_number().over(Window.partitionBy(style).orderBy(*shuffled(seed, F.col(id_))))
     ahead = rows.where(first).withColumn("round", F.lit(0))
     left = max(0, n - ahead.count())
+    # of a style no more than `left` rows can count, so the window keeps as many a task, before and after the shuffle
+    k = F.row_number().over(Window.partitionBy(style).orderBy(*shuffled(seed, F.col(id_))))
     rest = rows.where(~first).withColumn("round", k).where(F.col("round") <= left)
     return ahead.unionByName(rest.orderBy("round", style).limit(left))
 
 
 def halves(rows: DataFrame, id_: str, seed: str) -> DataFrame:
-    """Adds half: val for the first half by hash, rounded down, test for the rest. Ranks come from a range partitioning
-    of the hashes and the counts before each range, so no task sorts all rows."""
+    """Adds half: val for the first half by hash, rounded down, test for the rest."""
     return ranked(rows, shuffled(seed, F.col(id_))).withColumn("half", F.when(F.col("pos") <= F.floor(F.col("n") / 2), "val").otherwise("test")).drop("pos", "n")
 
 
-def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds pos (from 1) in the order and n, all rows, without one task that sorts them all."""
-    keys = [f"_o{k}" for k in range(len(order))]
-    dealt = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.persist()
-    sizes = dealt.groupBy("_part").count().collect()
-    total, before = 0, {}
-    for r in sorted(sizes, key=lambda r: r["_part"]):
-        before[r["_part"]] = total
-        total += r["count"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0)
-    k = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return dealt.withColumn("pos", (k + offset).cast("long")).withColumn("n", F.lit(total).cast("long")).drop("_part", *keys)
-
-
 def hash_sample(rows: DataFrame, id_: str, seed: str, n: int) -> DataFrame:
     """Exactly n rows (all, if fewer), by hash: each task keeps n at most."""
     return rows.orderBy(*shuffled(seed, F.col(id_))).limit(n)
@@ -71,5 +81,5 @@ def hash_sample(rows: DataFrame, id_: str, seed: str, n: int) -> DataFrame:
 
 def batches(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
     """Adds batch: consecutive rows of a group, `size` each, numbered from 0."""
-    k = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("batch", F.floor((k - 1) / size))
+    out = numbered_within(rows, [group], order)
+    return out.withColumn("batch", F.floor((F.col("pos") - 1) / size)).drop("pos", "n")

@@ -68,7 +68,7 @@ def q_exact_dedupe_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     kept = without_duplicates(docs, "text", ["doc_id"]).select("doc_id", "source")
     sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.sha2("text", 256)).alias("m")).select((F.col("n") - F.col("m")).alias("dropped"))
-    return numbered(kept, "source", ["doc_id"]).join(F.broadcast(sizes), how="cross").select("chunk_id", "doc_id", "source", "dropped")
+    return numbered(kept, "source", ["doc_id"], small=False).join(F.broadcast(sizes), how="cross").select("chunk_id", "doc_id", "source", "dropped")
 
 
 @R.query(f"""with n as (select doc_id, source, array_to_string({WORDS.format("text")}, ' ') as norm from documents),

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", name: str = "sextant", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -22,6 +22,14 @@ def session(cores: int | str = "*", name: str = "sextant", memory: str = "8g", p
     return builder.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts df's lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names, or a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sextant-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set[str] = set()
 
 
