@@ -51,3 +51,25 @@ def worst(rankings: DataFrame, qrels: DataFrame, n: int, depth: int = 100) -> Da
     """The n queries whose first relevant document comes last, with the three documents ranked first."""
     top = rankings.where("rank <= 3").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("top3"))
     return first_relevant(rankings, qrels, depth).join(top, "qid", "left").orderBy(F.desc("rank"), "qid").limit(n)
+
+
+def renamed(metrics: Column, suffixes: dict[str, str], prefix: str = "") -> Column:
+    """A map of metrics with only the keys that end in one of the suffixes, under the prefix and the suffix's own name."""
+    kept = F.map_filter(metrics, lambda k, v: F.array_contains(F.transform(F.array(*[F.lit(s) for s in suffixes]), lambda s: F.endswith(k, s)), True))
+    name = F.lit(None).cast("string")
+    names = list(suffixes.items())
+
+    def put(k: Column, v: Column) -> Column:
+        out = name
+        for suffix, new in reversed(names):
+            out = F.when(F.endswith(k, F.lit(suffix)), F.lit(prefix + new)).otherwise(out)
+        return out
+
+    return F.transform_keys(kept, put)
+
+
+def ir_data(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a trainer evaluates on: queries (qid, query), passages (chunk_id, passage), and each query's set of chunks.
+    Only queries with relevance, and the whole corpus."""
+    relevant = qrels.groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+    return queries.join(relevant.select("qid"), "qid", "left_semi").select("qid", "query"), corpus.select("chunk_id", "passage"), relevant

@@ -47,9 +47,9 @@ def q_ood_half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""with b as (select doc_id, lang, (row_number() over (partition by lang order by source, doc_id) - 1) // 8 as batch from documents)
-select lang, batch, count(*) as n, string_agg(cast(doc_id as varchar), ',' order by doc_id) as ids, lang || '-' || lpad(cast(batch + 1 as varchar), 2, '0') || '.md' as file from b where batch between 1 and 6 group by lang, batch""")
+select lang, batch, count(*) as n, string_agg(cast(doc_id as varchar), ',' order by doc_id) as ids, lang || '-' || case when batch < 9 then '0' else '' end || (batch + 1) || '.md' as file from b group by lang, batch""")
 def q_batching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = sampling.batches(_docs(spark, sf_dir), "lang", [F.col("source"), F.col("doc_id")], 8).where(F.col("batch").between(1, 6))
+    b = sampling.batches(_docs(spark, sf_dir), "lang", [F.col("source"), F.col("doc_id")], 8)
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
     return b.groupBy("lang", "batch").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids")).withColumn("file", F.format_string("%s-%02d.md", "lang", (F.col("batch") + 1).cast("int")))
 
@@ -67,11 +67,11 @@ def _verdicts(df: DataFrame, column: str = "quality") -> DataFrame:
 
 
 @R.query("""with l as (select doc_id as id, case when quality = 1 then 'correct' else 'wrong' end as verdict, 'claude' as labeler from labels),
-s as (select doc_id as id, case when toxic = 1 then 'wrong' else 'correct' end as verdict from labels where doc_id % 7 = 0)
+s as (select doc_id as id, 'wrong' as verdict from labels where toxic = 1)
 select id, coalesce(s.verdict, l.verdict) as verdict, case when s.id is null then labeler else 'human' end as labeler from l left join s using (id)""")
 def q_label_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(spark, sf_dir)
-    spot = rows.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "wrong").otherwise("correct").alias("verdict"))
+    spot = rows.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("wrong").alias("verdict"))
     return labels.overridden(_verdicts(rows).withColumn("labeler", F.lit("claude")), spot).select("id", "verdict", "labeler")
 
 
@@ -115,10 +115,10 @@ def q_task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""with q as (select conv_id as qid, list(distinct 'src' || (turn % 20)) as docs from conversations group by conv_id), e as (select qid, unnest(docs) as source from q),
-r as (select distinct qid, doc_id from e join documents using (source) where n_chars < 600) select qid, count(*) as n, min(doc_id) as first, max(doc_id) as last from r group by qid""")
+r as (select distinct qid, doc_id from e join documents using (source)) select qid, count(*) as n, min(doc_id) as first, max(doc_id) as last from r group by qid""")
 def q_incident_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.collect_set(F.concat(F.lit("src"), (F.col("turn") % 20).cast("string"))).alias("relevant_docs"))
-    corpus = _docs(spark, sf_dir).where("n_chars < 600").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"))
+    corpus = _docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"))
     return freeze.qrels(asked, corpus).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
 
 
@@ -149,11 +149,11 @@ def q_spot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hash_sample(pool, "doc_id", "spot", 30).select("doc_id", "source")
 
 
-@R.query("""with keys as (select doc_id, sha256(text) as key from documents), cache as (select distinct key, true as hit from keys where doc_id % 3 = 0)
+@R.query("""with keys as (select doc_id, lang, sha256(text) as key from documents), cache as (select distinct key, true as hit from keys where lang = 'en')
 select coalesce(hit, false) as hit, count(*) as n, count(distinct key) as n_keys, min(doc_id) as first from keys left join cache using (key) group by 1""")
 def q_cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
-    cache = keys.where("doc_id % 3 = 0").select("key").distinct().withColumn("hit", F.lit(True))
+    keys = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("key"))
+    cache = keys.where("lang = 'en'").select("key").distinct().withColumn("hit", F.lit(True))
     probed = keys.join(cache, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     return probed.groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.min("doc_id").alias("first"))
 

@@ -33,6 +33,6 @@ def q_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def q_randomize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_id % 100 = 0")
+    events = table(spark, sf_dir, "events")
     name = F.concat(F.lit("pod web-app-"), F.substring(F.md5(F.col("user_id").cast("string")), 1, 10), F.lit("-"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 5), F.lit(" failed"))
     return events.select("event_id", randomized(name).alias("text"))
