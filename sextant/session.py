@@ -25,8 +25,9 @@ def session(cores: int | str = "*", name: str = "sextant", memory: str = "8g", p
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts df's lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names, or a temporary one."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sextant-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sextant-checkpoint-")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
