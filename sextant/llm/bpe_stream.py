@@ -18,7 +18,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: What carries on a piece that began: the kind of its last character.
 _KINDS, _SPACES = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")], regex.compile(r"\s+")
 #: Pieces whose tokens a worker remembers, twice.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 
 class Transducer:
