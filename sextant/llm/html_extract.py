@@ -23,6 +23,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 MARKS = frozenset(
     "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Elements within a line, whose class says nothing about regions.
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose contents may be chosen as a whole; those whose class can't make them boilerplate.
 CONTAINERS = frozenset("article body div main section table td".split())
@@ -76,8 +78,10 @@ class Lines(HTMLParser):
             return False
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and not tag.startswith("h") and any(w.lower() in MARKS for w in _WORD.findall(value)):
-                return True
+            if name in ("class", "id") and tag not in INLINE and not HEADINGS & {tag}:
+                marks = MARKS & {w.lower() for w in _WORD.findall(value)}
+                if marks - {"header", "masthead"} if inside else marks:
+                    return True
             if name == "role" and value.strip().lower() in ROLES:
                 return True
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):

@@ -20,6 +20,7 @@ PAGES = {
     "<nav><ul><li><a href=/>home</a></ul></nav><div class=ad>Buy<article><h1>T</h1><p><b>First.<br><p>Second &lt;3</p><script>var x='</p>'</script><form><p>mail</p></form></article>": "T\nFirst.\nSecond <3",
     "just text, no tags &eacute;": "just text, no tags é",
     "<article><p>Cut off te": "Cut off te",
+    "<div class='site-header'>Site</div><article><div class='post-header'><h2>Head</h2></div><p>One <span class='comment'>two</span></p><div id='replyBox'>x</div></article>": "Head\nOne two",
     "<p>a<p>b</p": "a\nb",
     "": "",
     "<style>p{}</style><script>x": "",
