@@ -34,7 +34,7 @@ def summary(queue: DataFrame, labels: DataFrame, verdict: str) -> DataFrame:
     return out.select(F.coalesce("total", F.lit(0)).alias("total"), "labelled", ((F.col("total") > 0) & (F.col("labelled") >= F.col("total"))).alias("done"), "counts")
 
 
-def agreement(human: DataFrame, other: DataFrame, labeler: str = "claude") -> DataFrame:
+def agreement(human: DataFrame, other: DataFrame, labeler: str = "model") -> DataFrame:
     """n, the share of equal verdicts to three places (null without any), and the sorted ids that differ."""
     both = human.select("id", F.col("verdict").alias("h")).join(other.where(F.col("labeler") == labeler).select("id", F.col("verdict").alias("c")), "id")
     return both.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg((F.col("h") == F.col("c")).cast("double")), 3).alias("agreement"), F.array_sort(F.collect_list(F.when(F.col("h") != F.col("c"), F.col("id")))).alias("disagreements"))

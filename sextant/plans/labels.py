@@ -66,13 +66,13 @@ def _verdicts(df: DataFrame, column: str = "quality") -> DataFrame:
     return df.select(F.col("doc_id").alias("id"), F.when(F.col(column) == 1, "correct").otherwise("wrong").alias("verdict"))
 
 
-@R.query("""with l as (select doc_id as id, case when quality = 1 then 'correct' else 'wrong' end as verdict, 'claude' as labeler from labels),
+@R.query("""with l as (select doc_id as id, case when quality = 1 then 'correct' else 'wrong' end as verdict, 'model' as labeler from labels),
 s as (select doc_id as id, 'wrong' as verdict from labels where toxic = 1)
 select id, coalesce(s.verdict, l.verdict) as verdict, case when s.id is null then labeler else 'human' end as labeler from l left join s using (id)""")
 def q_label_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(spark, sf_dir)
     spot = rows.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("wrong").alias("verdict"))
-    return labels.overridden(_verdicts(rows).withColumn("labeler", F.lit("claude")), spot).select("id", "verdict", "labeler")
+    return labels.overridden(_verdicts(rows).withColumn("labeler", F.lit("model")), spot).select("id", "verdict", "labeler")
 
 
 @R.query("""with b as (select doc_id, lang, (row_number() over (partition by lang order by doc_id) - 1) // 50 + 1 as batch from documents),
@@ -98,11 +98,11 @@ def q_next_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.next_unlabelled(queue, _labels(spark, sf_dir).select(F.col("doc_id").alias("id")), 500)
 
 
-@R.query("""with h as (select doc_id, quality = 1 as v from labels), c as (select doc_id, toxic = 0 as v, case when doc_id % 5 = 0 then 'human' else 'claude' end as labeler from labels)
-select count(*) as n, round_even(avg(cast(h.v = c.v as integer)), 3) as agreement, list_sort(list(h.doc_id) filter (h.v <> c.v)) as disagreements from h join c using (doc_id) where labeler = 'claude'""")
+@R.query("""with h as (select doc_id, quality = 1 as v from labels), c as (select doc_id, toxic = 0 as v, case when doc_id % 5 = 0 then 'human' else 'model' end as labeler from labels)
+select count(*) as n, round_even(avg(cast(h.v = c.v as integer)), 3) as agreement, list_sort(list(h.doc_id) filter (h.v <> c.v)) as disagreements from h join c using (doc_id) where labeler = 'model'""")
 def q_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(spark, sf_dir)
-    other = rows.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "correct").otherwise("wrong").alias("verdict"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("claude").alias("labeler"))
+    other = rows.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "correct").otherwise("wrong").alias("verdict"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("labeler"))
     return labels.agreement(_verdicts(rows), other)
 
 

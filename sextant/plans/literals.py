@@ -56,7 +56,7 @@ FILES = [
     ("c.jsonl", '{"id": "q2", "verdict": "correct"}\n{"id": broken}\n'),
 ]
 QUEUE = [(f"q{k}", ["d1", "d2"]) for k in range(1, 6)]
-KNOWN = [("q4", "correct", "claude"), ("q5", "wrong", None)]
+KNOWN = [("q4", "correct", "model"), ("q5", "wrong", None)]
 
 
 @R.query(f"""with f as (select * from (values {_sql(FILES)}) t(path, body)), l as (select path, k as line, rtrim(trim(ls[k]), ',') as j from (select path, string_split(body, chr(10)) as ls, unnest(range(1, len(string_split(body, chr(10))) + 1)) as k from f)),

@@ -158,7 +158,7 @@ def test_labels(spark):
     log = spark.createDataFrame([("a", "wrong", 1), ("b", "correct", 2), ("a", "correct", 3)], "id string, verdict string, pos long")
     assert {r["id"]: r["verdict"] for r in labels.latest(log, ["id"], ["pos"]).collect()} == {"a": "correct", "b": "correct"}
     human = spark.createDataFrame([("t1", "correct"), ("t2", "wrong")], "id string, verdict string")
-    other = spark.createDataFrame([("t1", "correct", "claude"), ("t2", "correct", "claude"), ("t3", "wrong", "claude")], "id string, verdict string, labeler string")
+    other = spark.createDataFrame([("t1", "correct", "model"), ("t2", "correct", "model"), ("t3", "wrong", "model")], "id string, verdict string, labeler string")
     r = labels.agreement(human, other).first()
     assert (r["n"], r["agreement"], r["disagreements"]) == (2, 0.5, ["t2"])
     empty = labels.agreement(human.limit(0), other).first()
@@ -177,7 +177,7 @@ def test_import_is_idempotent(spark):
     answers = spark.createDataFrame([("a", "correct", 0), ("b", "correct", 1), ("x", "correct", 2)], "id string, verdict string, pos long")
     first = {r["id"]: r["status"] for r in labels.imported(answers, queue, none).collect()}
     assert first == {"a": "saved", "b": "kept_human", "x": "unknown"}
-    after = none.union(spark.createDataFrame([("a", "correct", "claude")], none.schema))
+    after = none.union(spark.createDataFrame([("a", "correct", "model")], none.schema))
     assert {r["id"]: r["status"] for r in labels.imported(answers, queue, after).collect()} == {"a": "unchanged", "b": "kept_human", "x": "unknown"}
 
 
