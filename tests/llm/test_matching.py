@@ -149,6 +149,16 @@ def test_large_group_of_near_copies_gives_few_links():
     assert len(i) == len(np.unique(m, axis=0)) - 1 and d.max() <= 4
 
 
+def test_opposite_prints_do_not_link_and_loose_links_stay():
+    m = np.zeros((2, 4), np.uint64)
+    m[1] = ~m[1]
+    assert len(S.compare(m, None, 72)[0]) == 0 and len(S.compare(m[:1], m[1:], 72)[0]) == 0
+    # a triangle: the forest has two sides, with more = (1, 2) the longest one, as 0's nearest loose link, stays too
+    m = np.array([[0], [0b11], [0b11111]], np.uint64)
+    assert len(S.compare(m, None, 8)[0]) == 2
+    assert sorted(zip(*(x.tolist() for x in S.compare(m, None, 8, (1, 2))), strict=True)) == [(0, 1, 2), (0, 2, 5), (1, 2, 3)]
+
+
 def _contaminated(rows, bench, window):
     import re
 
