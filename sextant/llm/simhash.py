@@ -17,6 +17,8 @@ from sextant.llm.components import connected_components
 #: Fingerprints in a tile, at least and at most: a 32nd of all, so what is sent around grows with the input, not with its
 #: square, up to 32 times the most. Pairs of tiles are compared in blocks of at most BLOCK pairs of fingerprints.
 TILE, LARGEST_TILE, BLOCK = 16_384, 1 << 18, 1 << 20
+#: Shingles in a tile of texts whose sets are compared, on average.
+SET_TILE = 1 << 20
 _DIGEST = {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest, 256: lambda x, seed: xxhash.xxh3_128_digest(x, seed) + xxhash.xxh3_128_digest(x, seed + 1)}
 
 
@@ -203,16 +205,97 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 72, tile: int | None = None) -> DataFrame:
+def true_links(m: np.ndarray, sizes: np.ndarray, items: np.ndarray, labels: np.ndarray, first: int, radius: int, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) of similarity `least` or more that join all labels which such links between candidates join.
+
+    m: uint64 matrix of fingerprints; sizes: the texts' numbers of different shingles; items: these, one text after the
+    other; labels: what is joined already. Candidates are the pairs within the radius of the first `first` rows and the
+    others (first = 0: of all rows). Each is verified unless links found before have joined its ends.
+    """
+    items = np.unique(items, return_inverse=True)[1]
+    ends, root, flag = np.cumsum(sizes), labels.copy(), np.zeros(len(items), bool)
+    starts, links = ends - sizes, []
+    step = max(1, BLOCK // max(1, len(m)))
+    for k in range(0, first or len(m), step):
+        rows, low = m[k : min(k + step, first or len(m))], first or k + 1
+        some = slice(k, k + len(rows))
+        far = np.zeros((len(rows), len(m) - low), np.uint16)
+        for w in range(m.shape[1]):
+            far += np.bitwise_count(rows[:, w : w + 1] ^ m[None, low:, w])
+        near = (far <= radius) & (root[some, None] != root[None, low:])
+        near &= np.minimum(sizes[some, None], sizes[None, low:]) >= least * np.maximum(sizes[some, None], sizes[None, low:])
+        for i in (np.flatnonzero(near.any(axis=1)) + k).tolist():
+            j = np.flatnonzero(near[i - k]) + low
+            j = j[(root[j] != root[i]) & (j > i)]
+            if not j.size:
+                continue
+            mine, n = items[starts[i] : ends[i]], sizes[j]
+            flag[mine] = True
+            offset = np.cumsum(n) - n
+            common = np.add.reduceat(flag[items[np.arange(n.sum()) + np.repeat(starts[j] - offset, n)]].astype(np.int64), offset)
+            flag[mine] = False
+            j = j[common >= least * (sizes[i] + n - common)]
+            if j.size:
+                joined, at = np.unique(root[j], return_index=True)
+                links += [(i, x) for x in j[at].tolist()]
+                root[np.isin(root, joined)] = root[i]
+    return links
+
+
+def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile: int) -> DataFrame:
+    """u, v: true links that join what candidates within a group can join. nodes: group, label, fp, rep, shingles.
+
+    Groups are dealt into tiles of about set_tile shingles by hash; every pair of a group's tiles is compared by one
+    task at a time, so memory is bounded at any size of a group, and texts of a group that fits one tile are sent once.
+    """
+    total = nodes.groupBy("group").agg(F.ceil(F.sum(F.size("shingles").cast("long") + 32) / set_tile).cast("long").alias("tiles"))
+    dealt = nodes.join(total, "group").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    key = ["group", "low", "high"]
+    dealt = dealt.select("group", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "label", "fp", "rep", "shingles")
+    # a pair of tiles is a run of rows, the lower tile's first
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "tile")
+
+    def verify(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        col = {c: t.column(c).combine_chunks() for c in t.column_names}
+        m = np.frombuffer(b"".join(col["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
+        tile, ids, labels = (col[c].to_numpy(zero_copy_only=False) for c in ("tile", "rep", "label"))
+        sizes = np.diff(col["shingles"].offsets.to_numpy()).astype(np.int64)
+        pair = col["low"][0].as_py() != col["high"][0].as_py()
+        first = int(np.searchsorted(tile, col["high"][0].as_py())) if pair else 0
+        links = true_links(m, sizes, col["shingles"].flatten().to_numpy(), labels, first, radius, least) if not pair or 0 < first < len(m) else []
+        u, v = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in key], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+            for x, y in zip(cuts, cuts[1:]):
+                if parts and tuple(keys[x]) != now:
+                    yield verify(parts)
+                    parts = []
+                now = tuple(keys[x])
+                parts.append(b.slice(x, y - x))
+        if parts:
+            yield verify(parts)
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 72, tile: int | None = None, set_tile: int = SET_TILE) -> DataFrame:
     """doc_id, component_id for every different doc_id of docs (doc_id, text; others are ignored): near-duplicate groups.
 
     Documents link if the Jaccard similarity of their word shingles is `least` or more, or their fingerprints are equal.
     Fingerprints of that many bits find the candidates: at a similarity of 0.8, 256 bits differ in 39 places on average
     with a deviation of 6, for texts of four and five shingles in 48; 72 miss one in thousands of such pairs, while
-    texts that share nothing come that near once in 10^11. Of the candidates a spanning forest, nearest first, is
-    verified on exact shingle sets; links that fail are cut. As a failed link may have stood for another, each text's
-    three nearest beyond 28 bits, below which links hardly ever fail, are verified as well. Texts without words are
-    equal. Rows that share a doc_id are one document, of the smallest of their texts; rows without one have no part.
+    texts that share nothing come that near once in 10^11. Of the candidates a spanning forest, nearest first, and each
+    text's three nearest beyond 28 bits, below which links hardly ever fail, are verified on exact shingle sets first.
+    Where links fail and leave apart what candidates join, all candidates between the parts are verified as well, so
+    groups are those of all true candidates. Texts without words are equal. Rows that share a doc_id are one document,
+    of the smallest of their texts; rows without one have no part.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     prints = checkpointed(fingerprints(docs, size, bits).groupBy("doc_id").agg(F.min("fp").alias("fp")))
@@ -223,7 +306,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     sets = checkpointed(sets)
     both = links.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    true = both.withColumn("common", common).where(F.col("common") >= least * (F.size("a") + F.size("b") - F.col("common")))
-    found = connected_components(true.select("u", "v"))
+    true = both.withColumn("common", common).select("u", "v", (F.col("common") >= least * (F.size("a") + F.size("b") - F.col("common"))).alias("same"))
+    true = checkpointed(true)
+    found = connected_components(true.where("same").select("u", "v"))
+    # failed links between different components join them to groups, and no candidate lies outside of one
+    label = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
+    failed = true.where("not same").join(label("u"), "u", "left").join(label("v"), "v", "left")
+    failed = failed.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")).where("u <> v")
+    groups = connected_components(failed).select(F.col("node").alias("label"), F.col("component").alias("group"))
+    nodes = reps.join(found, reps["rep"] == found["node"], "left").withColumn("label", F.coalesce("component", "rep")).join(groups, "label")
+    nodes = nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("group", "label", "fp", "rep", "shingles")
+    rest = checkpointed(_remaining(nodes, bits, radius, least, set_tile))
+    if not rest.isEmpty():
+        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
     of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", "component_id")

@@ -140,6 +140,32 @@ def test_near_duplicates_are_verified(spark):
     assert got[1000] == 0 and got[1390 + 1] == 39 and got[9001] == 9000
 
 
+def _groups(rows, size=5, least=0.8):
+    """The components of all pairs of that similarity, by comparing all sets."""
+    sets = {i: frozenset(S.shingles(t, size)) for i, t in rows}
+    ids = sorted(sets)
+    a, b = np.array([(x, y) for x in ids for y in ids if x < y and (sets[x] == sets[y] or len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y]))] or np.zeros((0, 2), int)).T
+    of = _labels(max(ids) + 1, a, b, np.ones(len(a), bool))
+    return {i: of[i] for i in ids}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"tile": 50, "set_tile": 3000}])
+def test_near_duplicates_of_a_family_about_the_limit(spark, sizes):
+    rng = random.Random(11)
+    rows = []
+    for family in range(2):
+        words = [rng.choice(WORDS) for _ in range(100)]
+        for k in range(250):
+            some = words[:]
+            for at in rng.sample(range(100), 2 if k % 10 else 3):
+                some[at] = f"v{rng.randrange(10**6)}"
+            rows.append((1000 * family + k, " ".join(some)))
+    got = S.near_duplicates(spark.createDataFrame(rows, DOC).repartition(4), **sizes).collect()
+    want = _groups(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 20 < len({*want.values()}) < 480
+
+
 def test_large_group_of_near_copies_gives_few_links():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
