@@ -166,6 +166,18 @@ def test_near_duplicates_of_a_family_about_the_limit(spark, sizes):
     assert 20 < len({*want.values()}) < 480
 
 
+def test_near_duplicates_with_a_passage_repeated_inside(spark):
+    rng = random.Random(12)
+    rows = []
+    for k, times in enumerate((2, 5, 10, 50)):
+        text = " ".join(rng.choice(WORDS) for _ in range(120))
+        rows += [(k, text), (100 + k, text + f" {text[-40:]}" * times)]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    want = _groups(rows)
+    assert all(want[100 + k] == k for k in range(4))
+    assert got == want
+
+
 def test_large_group_of_near_copies_gives_few_links():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
