@@ -178,6 +178,19 @@ def test_near_duplicates_with_a_passage_repeated_inside(spark):
     assert got == want
 
 
+def test_equal_prints_of_different_texts_are_verified(spark):
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice(WORDS) for _ in range(60)) + " again" * 200) for k in range(6)]
+    rows += [(10, rows[3][1].upper()), (11, rows[4][1].replace(" ", "  ") + " again")]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == _groups(rows) == {**{k: k for k in range(6)}, 10: 3, 11: 4}
+    # and prints that are equal though each shingle counts once
+    prints = spark.createDataFrame([(7, b"\1" * 32, b"a"), (3, b"\1" * 32, b"b"), (5, b"\1" * 32, b"b")], "doc_id long, fp binary, digest binary")
+    reps, links = S.simhash_links(prints, 256, 72)
+    assert sorted(r["rep"] for r in reps.collect()) == [3, 7]
+    assert [sorted(r[:2]) + [r[2]] for r in links.collect()] == [[3, 7, 0]]
+
+
 def test_large_group_of_near_copies_gives_few_links():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
