@@ -177,8 +177,8 @@ def threshold(values: np.ndarray) -> float:
 
 def extract(html: str) -> list[str]:
     """The lines of a page's main text. Lines in the upper cluster of smoothed text-to-tag ratios choose the regions:
-    articles that hold any of them, else the innermost element that holds most of their text. Chosen regions are kept
-    whole but for boilerplate elements, so short paragraphs among long ones stay."""
+    articles that hold any of them. Chosen regions are kept whole but for boilerplate elements, so short paragraphs among
+    long ones stay. A page without an article is a region itself, but for containers that hold only lines of links."""
     parser = lines_of(html)
     lines = [x for x in parser.lines if not x.out]
     if not lines:
@@ -188,13 +188,9 @@ def extract(html: str) -> list[str]:
     wholes = {next((n for n in x.path if parser.kinds[n] == "article"), next((n for n in x.path if parser.kinds[n] == "main"), -1)) for x in chosen} - {-1}
     if wholes:
         return [x.text for x in lines if wholes & {*x.path}]
-    weight: dict[int, int] = {}
-    for x in chosen:
-        for n in x.path:
-            weight[n] = weight.get(n, 0) + len(x.text)
-    total = sum(len(x.text) for x in chosen)
-    region = max((n for n, w in weight.items() if 2 * w > total), default=-1)
-    return [x.text for x in lines if (region < 0 or region in x.path) and 2 * x.linked <= len(x.text)]
+    # without an article all blocks stay but containers of nothing but links: these are menus
+    prose = {x.path[-1:] for x in lines if 2 * x.linked <= len(x.text)}
+    return [x.text for x in lines if x.path[-1:] in prose]
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

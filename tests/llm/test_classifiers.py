@@ -192,3 +192,15 @@ def test_few_neighbours(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, -1.0)]
     assert ann.ann_search(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).collect() == []
     assert ann.ann_search(spark.createDataFrame([(0, [1.0])], kind), F.col("vec_id") % 20 == 0).collect() == []
+
+
+@pytest.mark.parametrize("block", ["<div>{}</div>", "<section><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>"])
+def test_blocks_without_an_article_all_stay(block):
+    from sextant.llm.html_extract import extract
+
+    texts = ["long words " * 60, "fewer words " * 34, "short", "last words " * 50]
+    page = "<body><div><a href=x>Home</a> <a href=y>Contact</a></div><div class=content>" + "".join(map(block.format, texts))
+    page += "<p>All of it</p><p><a href=z>A paragraph that is a link</a></p></div><footer>Imprint</footer></body>"
+    assert extract(page) == [*(t.strip() for t in texts), "All of it", "A paragraph that is a link"]
+    two = ["x" * 600, "y" * 400]
+    assert extract("<body><div class=content>" + "".join(f"<div><p>{t}</p></div>" for t in two) + "</div></body>") == two
