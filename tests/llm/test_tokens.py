@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import psutil
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sextant.llm.bpe import Memory, Merges
-from sextant.llm.bpe_stream import Encoder, StreamDecoder, StreamEncoder, Transducer, encode_decode
+from sextant.llm.bpe_stream import CHUNK, Codec, StreamDecoder, StreamEncoder, Transducer, chunks_of, encode_decode
 from sextant.llm.token_counts import Counter, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -41,22 +42,23 @@ def test_streams_equal_the_library(byte_bpe, text, cut):
     merges, library = byte_bpe
     text = text.encode("utf-8", "ignore").decode()
     want = library.encode(text, add_special_tokens=False).ids
-    assert _encoder(merges).encode(text) == want
-    stream, out = StreamEncoder(merges), []
-    for k in range(0, len(text), cut):
-        out += stream.feed(text[k : k + cut])
-    assert out + stream.finish() == want
+    assert _encoded(merges, text) == want
+    assert _encoded(merges, text, cut) == want
     decoder = StreamDecoder(merges)
     assert "".join(decoder.feed([x]) for x in want) + decoder.finish() == library.decode(want, skip_special_tokens=False)
 
 
-_MADE: list[Encoder] = []
+_MADE: list[Codec] = []
 
 
-def _encoder(merges):
+def _encoded(merges, text, cut=1 << 14):
     if not _MADE:
-        _MADE.append(Encoder(merges))
-    return _MADE[0]
+        _MADE.append(Codec(merges))
+    parts = [*_MADE[0].round_trip(chunks_of(text, cut))]
+    ids = [x for p in parts for x in p[0]]
+    assert ",".join(p[1] for p in parts if p[0]) == ",".join(map(str, ids))
+    assert "".join(p[2] for p in parts) == text
+    return ids
 
 
 def test_lookahead_is_enough_and_memory_constant(byte_bpe):
@@ -69,13 +71,14 @@ def test_lookahead_is_enough_and_memory_constant(byte_bpe):
         for k in range(0, len(text), 113):
             out += stream.feed(text[k : k + 113])
             most = max(most, len(stream.text) + len(stream.piece.held))
-        assert out + stream.finish() == library.encode(text, add_special_tokens=False).ids
+        out += stream.finish()
+        assert [x for ids, _ in out for x in ids] == library.encode(text, add_special_tokens=False).ids
         assert most < 8 * stream.piece.window
     # whatever follows, tokens that end that far back stay
     ahead = merges.lookahead()
     for _ in range(40):
         text = "".join(rng.choice("abcdefinorst") for _ in range(ahead + 60)).encode()
-        one = Transducer(merges, 10_000)
+        one = Transducer(merges, window=10_000)
         first, other = one.encode(text), one.encode(text + bytes(rng.choice(b"aeinorst") for _ in range(30)))
         end, n = 0, 0
         while end + one.sizes[first[n]] <= len(text) - ahead:
@@ -84,6 +87,37 @@ def test_lookahead_is_enough_and_memory_constant(byte_bpe):
         assert first[:n] == other[:n]
 
 
+def test_memory_is_the_same_for_fifty_megabytes(byte_bpe):
+    """The whole way of the query, but for the row itself: nothing as long as the text is held."""
+    merges, library = byte_bpe
+    codec, rng, process = Codec(merges), random.Random(5), psutil.Process()
+    passage = " ".join(rng.choice(["streaming", "tokens", "naïve", "日本", "  ", "1234", "!?", "international", "\n"]) for _ in range(200_000)) + ".\n"
+    want = library.encode(passage, add_special_tokens=False).ids
+    times = -(-50_000_000 // len(passage.encode()))
+    digest, expected, count, memory = hashlib.sha256(), hashlib.sha256(), 0, []
+    for k, (some, _, piece) in enumerate(codec.round_trip(c for _ in range(times) for c in chunks_of(passage))):
+        count += len(some)
+        assert len(some) <= 2 * CHUNK and len(piece) <= 2 * CHUNK
+        digest.update(piece.encode())
+        if k % 64 == 0:
+            memory.append(process.memory_info().rss)
+    for _ in range(times):
+        expected.update(passage.encode())
+    assert count == times * len(want) and digest.digest() == expected.digest()
+    assert len(memory) > 40 and max(memory[4:]) - memory[4] < 4_000_000
+
+
+def test_every_piece_runs_through_the_transducer(byte_bpe):
+    merges, _ = byte_bpe
+    codec = Codec(merges)
+    seen: list[bytes] = []
+    push = codec.piece.push
+    codec.piece.push = lambda more: seen.append(more) or push(more)
+    for _ in codec.round_trip(["a short text, ", "x" * 40_000]):
+        pass
+    assert b"a" in seen and b" short" in seen and len(codec.piece.held) == 0 and sum(map(len, seen)) == 14 + 40_000
+
+
 @given(text=st.one_of(PARTS, st.text(max_size=60)))
 @settings(max_examples=250, deadline=None)
 def test_counts_equal_the_library(word_bpe, text):
@@ -95,12 +129,11 @@ def test_counts_equal_the_library(word_bpe, text):
 def test_splitting_agrees_for_all_characters(word_bpe, byte_bpe):
     counter, library = word_bpe
     merges, other = byte_bpe
-    encoder = _encoder(merges)
     for c in [*range(0x3000), *range(0x3000, 0x110000, 257)]:
         if not 0xD800 <= c < 0xE000:
             text = f"a{chr(c)}b 1{chr(c)}!{chr(c)} {chr(c)}C"
             assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), hex(c)
-            assert encoder.encode(text) == other.encode(text, add_special_tokens=False).ids, hex(c)
+            assert _encoded(merges, text) == other.encode(text, add_special_tokens=False).ids, hex(c)
 
 
 def test_whole_tokens_are_proven(word_bpe):
@@ -129,7 +162,8 @@ def test_queries(spark, byte_bpe, word_bpe):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = {(i, len(ids := lib(byte_bpe[1], t)), sha(",".join(map(str, ids))), sha(byte_bpe[1].decode(ids, skip_special_tokens=False))) for i, t in rows}
     assert {tuple(r) for r in encode_decode(df, BYTE).collect()} == want
-    full = encode_decode(df, BYTE, ids=True).where("doc_id = 3").first()
+    assert {tuple(r) for r in encode_decode(df, BYTE, chunk=3).collect()} == want
+    full = encode_decode(df, BYTE, ids=True, decoded=True).where("doc_id = 3").first()
     assert full["decoded"] == HARD[3] and full["token_ids"] == lib(byte_bpe[1], HARD[3])
     empty = spark.createDataFrame([], DOC)
     assert encode_decode(empty, BYTE).collect() == [] and token_counts(empty, WORD).collect() == []
