@@ -51,7 +51,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every document."""
-    return encode_decode(_documents(docs), public_tokenizers.path("byte_bpe_50k.json"), ids=True).drop("decoded")
+    return encode_decode(_documents(docs), public_tokenizers.path("byte_bpe_50k.json"), ids=True)
 
 
 STAGES = [
