@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
+import time
+from html import unescape
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +46,129 @@ def test_extract_query(spark):
 
 def test_smoothing_and_threshold():
     assert np.allclose(smoothed(np.ones(7)), 1) and np.allclose(smoothed(np.array([3.0])), 3)
-    assert 2 < threshold(np.array([1.0, 1, 2, 9, 10])) < 9
+    assert 2 < threshold(np.array([1.0, 1, 2, 19, 20])) < 19
+    assert threshold(np.array([9.0, 10, 12])) == -1 and threshold(np.array([5.0])) == -1 and threshold(np.zeros(3)) == -1
+
+
+def _everything(values):
+    return -1.0
+
+
+MENU = "<div><a href=1>Home</a> <a href=2>News</a></div>"
+LONG, SHORT = "Some words of a paragraph that goes on for a while. " * 8, "Short."
+
+
+def test_clusters_decide():
+    """With one cluster for all lines other regions are selected, with an article and without one."""
+    no_article = f"<body>{MENU}<div>Imprint of the house</div><h1>Title</h1><div><p>{LONG}</p><p>{SHORT}</p></div><div><p>{SHORT}</p></div><div><p>{LONG}</p></div><div>All rights reserved</div></body>"
+    assert extract(no_article) == ["Title", LONG.strip(), SHORT, SHORT, LONG.strip()]
+    assert len(extract(no_article, _everything)) == 7
+    article = f"<body><article><p>{LONG}</p><div class='share-buttons'>Tell all your friends</div><p>{SHORT}</p></article><article><p>Teaser</p></article></body>"
+    assert extract(article) == [LONG.strip(), SHORT]
+    assert len(extract(article, _everything)) == 4
+
+
+def test_classes_are_a_feature_only():
+    for name in ("related-work", "notice-of-results", "replies-model", "ad-hoc methods", "commentary"):
+        page = f"<body>{MENU}<article><h1>T</h1><p>{LONG}</p><section class='{name}' id='{name}'><h2>Part</h2><p>{LONG}</p><p>{SHORT}</p></section></article></body>"
+        assert extract(page) == ["T", LONG.strip(), "Part", LONG.strip(), SHORT], name
+    for name in ("ad", "comments", "comment-list", "relatedPosts", "newsletter-signup box"):
+        page = f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG}</p><p>{SHORT}</p></div><p>{SHORT}</p></article></body>"
+        assert extract(page) == [LONG.strip(), SHORT], name
+    # the only text of a page is its text, whatever the class
+    assert extract(f"<div class=widget><p>{LONG}</p></div>") == [LONG.strip()]
+
+
+def test_deep_and_long_pages_take_linear_time():
+    deep = "<div><b><p>" * 20_000 + LONG + "</i></section>" * 20_000
+    many = "".join(f"<div><p>{LONG}{k}</p></div>" for k in range(5000))
+    began = time.perf_counter()
+    assert extract(deep) == [LONG.strip()] and len(extract(many)) == 5000
+    assert time.perf_counter() - began < 10
+
+
+class _Tree(HTMLParser):
+    """A slow and simple reading of well-formed pages: a tree, from which everything is looked up anew."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.nodes, self.stack, self.text, self.tags, self.found = [("", "", None)], [0], [], 0, []
+        self.feed(html)
+        self.close()
+        self.cut()
+
+    def chain(self, n):
+        return [] if n is None else [n, *self.chain(self.nodes[n][2])]
+
+    def cut(self):
+        words = " ".join("".join(t for t, _ in self.text).split())
+        if words:
+            linked = sum(len(t) for t, n in self.text if any(self.nodes[x][0] == "a" for x in self.chain(n)))
+            self.found.append((words, self.tags, linked, self.stack[-1]))
+            self.tags = 0
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        self.tags += 1
+        if tag not in ("a", "b", "br"):
+            self.cut()
+        if tag == "br":
+            self.text.append((" ", self.stack[-1]))
+        else:
+            self.nodes.append((tag, dict(attrs).get("class", ""), self.stack[-1]))
+            self.stack.append(len(self.nodes) - 1)
+
+    def handle_endtag(self, tag):
+        self.tags += 1
+        if tag not in ("a", "b"):
+            self.cut()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if not any(self.nodes[n][0] in ("nav", "footer", "script", "title", "form", "aside", "head") for n in self.chain(self.stack[-1])):
+            self.text.append((data, self.stack[-1]))
+
+    def main_text(self):
+        against = lambda n: max((x for x in self.chain(n) if self.nodes[x][1] in ("ad", "comments")), default=None)
+        article = lambda n: min((x for x in self.chain(n) if self.nodes[x][0] == "article"), default=None)
+        lines = [(t, (len(t) - linked) / max(1, tags) * (0.02 if against(n) else 4 if article(n) else 1), n) for t, tags, linked, n in self.found]
+        smooth = []
+        for k, (_, _, n) in enumerate(lines):
+            flow = [j for j, x in enumerate(lines) if (against(x[2]) or article(x[2])) == (against(n) or article(n))]
+            at = flow.index(k)
+            near = [(np.exp(-((at - i) ** 2) / 2), lines[j][1]) for i, j in enumerate(flow) if abs(at - i) <= 2]
+            smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        cut = threshold(np.array(smooth)) if lines else 0
+        strong = {against(n) for (_, _, n), v in zip(lines, smooth) if v > cut}
+        roots = {article(n) for (_, _, n), v in zip(lines, smooth) if v > cut and (not against(n) or against(n) in strong)} - {None}
+        return [t for t, _, n in lines if article(n) in roots and (not against(n) or against(n) in strong)]
+
+
+def test_extraction_equals_a_slow_tree():
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice(["word", "text", "&amp;", "né"]) for _ in range(rng.randint(1, n)))
+    some = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            inner = "".join(
+                rng.choice(["<p>{}</p>", "<p><b>{}</b><br>x</p>", "<div class='ad'>{}</div>", "<div class='comments'><p>{}</p></div>", "<section><h2>{}</h2></section>", "<aside>{}</aside>", "<ul><li><a href='x'>{}</a></li></ul>", "<script>{}</script>"]).format(words(rng.choice([3, 60])))
+                for _ in range(rng.randint(0, 6))
+            )
+            parts.append(rng.choice(["<article>{}</article>", "<article>{}</article>", "<nav>{}</nav>", "<footer>{}</footer>"]).format(inner))
+        page = "<html><head><title>t</title></head><body>" + "".join(parts) + f"<article><p>{LONG}</p></article></body></html>"
+        want = _Tree(page).main_text()
+        assert extract(page) == want
+        some += len(want) > 2
+    assert some > 50
+
+
+def test_given_pages_lose_nothing():
+    """Of the given pages: every block of the article, and nothing else."""
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        body = re.search(r"<article>(.*)</article>", r["html"], re.DOTALL)[1]
+        blocks = [re.sub(r"<br>", " ", re.sub(r"</?b>", "", b)) for b in re.split(r"</?(?:h1|p)>", body)]
+        assert extract(r["html"]) == [" ".join(unescape(b).split()) for b in blocks if b.strip()]
 
 
 def test_license_scan_equals_exact_containment(spark):
@@ -196,8 +323,6 @@ def test_few_neighbours(spark):
 
 @pytest.mark.parametrize("block", ["<div>{}</div>", "<section><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>"])
 def test_blocks_without_an_article_all_stay(block):
-    from sextant.llm.html_extract import extract
-
     texts = ["long words " * 60, "fewer words " * 34, "short", "last words " * 50]
     page = "<body><div><a href=x>Home</a> <a href=y>Contact</a></div><div class=content>" + "".join(map(block.format, texts))
     page += "<p>All of it</p><p><a href=z>A paragraph that is a link</a></p></div><footer>Imprint</footer></body>"
