@@ -10,14 +10,15 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from sextant.llm.bpe import Merges
+from sextant.llm.bpe import Merges, byte_letters
 from sextant.llm.common import map_batches, texts
 
 #: The pieces of normalised text; white space between them is dropped.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Beyond these characters the library's own normaliser and splitter are used: only below are both known to agree.
+#: Up to here all characters are known to be normalised and split as the library does it; each one beyond is compared
+#: with the library when it is first met.
 _BEYOND = regex.compile(r"[^\x00-ɏ]")
-#: Pieces other than whole tokens whose counts a worker remembers; a full memory is emptied.
+#: Pieces other than whole tokens whose counts a worker remembers, and characters; a full memory is emptied.
 REMEMBERED = 1 << 17
 
 
@@ -62,12 +63,42 @@ class Counts(dict):
         return n
 
 
+class Agreed(dict):
+    """Character -> whether the library normalises it and splits around it as PIECES and unicodedata do."""
+
+    def __init__(self, library: Tokenizer) -> None:
+        self.library = library
+
+    def __missing__(self, c: str) -> bool:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = f"a{c}b 1{c}!{c} {c}C{c}"
+        normal = self.library.normalizer.normalize_str(text)
+        pieces = [text_of(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        self[c] = unicodedata.category(c) != "Cn" and normalised(text) == normal and PIECES.findall(normal) == pieces
+        return self[c]
+
+
+_BYTE = {c: b for b, c in enumerate(byte_letters())}
+
+
+def text_of(letters: str) -> str:
+    """The text that byte letters stand for."""
+    return bytes([_BYTE[c] for c in letters]).decode("utf-8", "replace")
+
+
+def normalised(text: str) -> str:
+    """Composed and in lower case, each character for itself: a final sigma is no other than any."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class Counter:
     """Counts the tokens of whole texts as the library would."""
 
     def __init__(self, tokenizer: str) -> None:
         self.merges = Merges(tokenizer)
         self.counts, self.library = Counts(self.merges), Tokenizer.from_str(tokenizer)
+        self.agreed = Agreed(self.library)
         self.special = regex.compile("|".join(map(regex.escape, self.merges.specials))) if self.merges.specials else None
 
     def count(self, text: str) -> int:
@@ -76,11 +107,13 @@ class Counter:
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        if _BEYOND.search(text):
-            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)) if text else []
-            return sum(len(merged(self.merges, p)) for p, _ in pieces)
+        """All pieces are looked up among the proven tokens and what is remembered, however the text was split."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            beyond = set(_BEYOND.findall(text))
+            if not all(map(self.agreed.__getitem__, beyond)):
+                pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                return sum(self.counts[text_of(p)] for p, _ in pieces)
+            text = normalised(text) if beyond else unicodedata.normalize("NFC", text)
         return sum(map(self.counts.__getitem__, PIECES.findall(text.lower())))
 
 
@@ -102,7 +135,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     Tokens are those of the lower-casing word tokenizer in the JSON file at tokenizer_path (read by the driver, sent to
     the workers) for the whole text, without added tokens; special strings in a text are one token each. A null text
-    is empty: 0 bytes, 0 tokens. Rows are independent: nothing is shuffled, repeated rows come back as often.
+    is empty: 0 bytes, 0 tokens. Rows are independent: nothing is shuffled, repeated rows come back as often. A very long
+    text is one row, so a task holds it and the list of its pieces, but remembers a bounded number of pieces.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         given = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import psutil
 import public_tokenizers
@@ -136,6 +137,26 @@ def test_splitting_agrees_for_all_characters(word_bpe, byte_bpe):
             assert _encoded(merges, text) == other.encode(text, add_special_tokens=False).ids, hex(c)
 
 
+def test_any_character_takes_the_shortcut(word_bpe):
+    """Texts with quotes, dashes and other scripts are looked up as others are, and few characters need the library."""
+    counter, library = word_bpe
+    texts = ["It’s “quoted” — and so on… ", "Съешь же ещё этих мягких французских булок ", "日本語のテキストです。 ", "ΟΔΥΣΣΕΥΣ ΑΣ ", "한국어 텍스트 ", "ไทย हिन्दी עברית \u1100\u1161 "]
+    merged_before = len(counter.counts)
+    for t in texts:
+        assert counter.count(t * 50) == len(library.encode(t * 50, add_special_tokens=False).ids), t
+    assert len(counter.counts) > merged_before
+    assert all(counter.agreed[c] for c in "’“”—…Съ日本語。ΣΟ한")
+    known = [c for k in range(0x250, 0xD800) if (c := chr(k)).isalpha()]
+    assert sum(map(counter.agreed.__getitem__, known)) > 0.98 * len(known)
+    plain, quoted = "the same words again and again " * 20_000, "the same words’ again and again " * 20_000
+    times = []
+    for t in (plain, quoted):
+        began = time.perf_counter()
+        counter.count(t)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 4 * times[0] + 0.1
+
+
 def test_whole_tokens_are_proven(word_bpe):
     counter, library = word_bpe
     assert len(counter.counts.proven) > 20_000
