@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +26,17 @@ def bounded_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of df with a reliable checkpoint in the folder named by spark.checkpoint.dir.
 
-    Where no folder is named, as in tests on one machine, a temporary one is set for the session.
+    Where no folder is named a temporary one is set if all runs on one machine, as in tests; it goes when the driver
+    ends. On a cluster that is an error: executors don't share the driver's folders.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sextant-checkpoint-")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not named:
+            if sc.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="sextant-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
@@ -54,3 +62,20 @@ def ascii_lower(c):  # noqa: ANN001, ANN201
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name do no harm. Column names match as Spark resolves them."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+def wrapped(docs: DataFrame, made: Iterable[str], **columns: str) -> DataFrame:
+    """`row`, a struct of all columns of docs but those named in `made` (in any case), and the named columns of docs cast
+    to the given kinds: inside of `row` no name can clash with one that an operator makes."""
+    kept = [docs[f"`{c}`"] for c in _kept(docs, made)]
+    return docs.select(F.struct(*kept).alias("row"), *[docs[c].cast(kind).alias(c) for c, kind in columns.items()])
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame, made: Iterable[str]) -> DataFrame:
+    """The columns of docs that `wrapped` put into `row`, and those made."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in _kept(docs, made)], *made)
+
+
+def _kept(docs: DataFrame, made: Iterable[str]) -> list[str]:
+    gone = {c.lower() for c in made}
+    return [c for c in docs.columns if c.lower() not in gone]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import map_batches
+from sextant.llm.common import checkpointed, map_batches, unwrapped, wrapped
 
 #: A word's characters: all but these ASCII ones; A-Z are lower-cased before.
 _SPACES = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _FOLD = bytes.maketrans(_SPACES + bytes(range(0x41, 0x5B)), b" " * len(_SPACES) + bytes(range(0x61, 0x7B)))
-#: Words of a shard, at least one document; bytes of benchmark text held at once.
-SHARD_WORDS, BLOCK_BYTES = 1 << 19, 32 << 20
+#: Words of a shard, at least one document; bytes of benchmark words held at once: the index of a block takes about 25
+#: times as many, so 100 MB, on the driver and in each worker.
+SHARD_WORDS, BLOCK_BYTES = 1 << 19, 4 << 20
+
+Item = tuple[str | None, list[bytes]]
 
 
 def words(text: str) -> list[bytes]:
@@ -27,37 +30,64 @@ def words(text: str) -> list[bytes]:
 
 @dataclass
 class Tests:
-    """Benchmark items as word numbers, and the windows that count as contamination."""
+    """A block of benchmark items as word numbers, its suffixes in order, and the windows that count as contamination."""
 
     vocabulary: dict[bytes, int]
-    #: All items' words, each item closed by -1; the item's name at each word.
+    names: list[str | None]
+    #: All items' words, each item closed by -1; at each word the number of its item.
     stream: np.ndarray
-    #: Start in the stream and length of each different window; items (as text, None: unnamed) that have it.
+    item: np.ndarray
+    #: All suffixes as positions in the stream, in order, and at each position how many words are left of the item.
+    suffixes: np.ndarray
+    left: np.ndarray
+    #: Of each different window: one position in the stream, its length, and as CSR the items that have it.
     starts: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
-    longest: int
+    ends: np.ndarray
+    owners: np.ndarray
+    #: At each position in the stream the number of the window there, or -1.
+    window: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[object, str | None]], window: int) -> Tests:
+    def of(cls, items: Iterable[Item], window: int) -> Tests:
         vocabulary: dict[bytes, int] = {}
-        stream: list[int] = []
-        at: dict[tuple[int, ...], int] = {}
-        starts, lengths, items, longest = [], [], [], 0
-        for name, text in rows:
-            numbers = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text or "")]
-            longest = max(longest, len(numbers))
-            size = min(window, len(numbers))
-            for k in range(len(numbers) - size + 1 if numbers else 0):
-                seen = at.setdefault(tuple(numbers[k : k + size]), len(starts))
-                if seen == len(starts):
-                    starts.append(len(stream) + k)
-                    lengths.append(size)
-                    items.append([])
-                if name is not None and str(name) not in items[seen]:
-                    items[seen].append(str(name))
-            stream += [*numbers, -1]
-        return cls(vocabulary, np.array(stream, np.int64), np.array(starts, np.int64), np.array(lengths, np.int64), items, longest)
+        names, parts, sizes = [], [], []
+        for name, w in items:
+            if w:
+                names.append(name)
+                parts.append(np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in w), np.int64, len(w)))
+                parts.append(np.array([-1]))
+                sizes.append(len(w))
+        stream = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64) + 1)
+        left = runs(stream)
+        need = np.minimum(window, np.array(sizes, np.int64))[item] if sizes else left
+        suffixes = suffix_array(stream, np.flatnonzero(stream >= 0), max(sizes, default=1))
+        # windows that are equal stand side by side among the suffixes that hold one
+        at = suffixes[left[suffixes] >= need[suffixes]]
+        agree, _ = _compare(stream, at[1:], stream, at[:-1], need[at[:-1]])
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (agree < need[at[:-1]]) | (need[at[1:]] != need[at[:-1]])
+        number = np.cumsum(fresh) - 1
+        of = np.full(len(stream), -1, np.int64)
+        of[at] = number
+        # a window of a whole short item may stand between those of longer ones that begin with it
+        order = np.lexsort((item[at], number))
+        pairs = np.unique(np.stack([number[order], item[at][order]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        return cls(vocabulary, names, stream, item, suffixes, left, at[fresh], need[at[fresh]], np.searchsorted(pairs[:, 0], np.arange(int(fresh.sum()) + 1)), pairs[:, 1], of)
+
+    @property
+    def least(self) -> int:
+        return int(self.lengths.min()) if len(self.lengths) else 1
+
+    @property
+    def longest(self) -> int:
+        return int(self.left.max()) if len(self.left) else 1
+
+    def items_of(self, numbers: np.ndarray) -> list[str]:
+        """The names of the items that have one of these windows, sorted."""
+        found = {x for k in numbers.tolist() for x in self.owners[self.ends[k] : self.ends[k + 1]].tolist()}
+        return sorted({n for x in found if (n := self.names[x]) is not None})
 
 
 def suffix_array(text: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
@@ -101,154 +131,225 @@ def _compare(text: np.ndarray, at: np.ndarray, stream: np.ndarray, start: np.nda
     return agree, sign
 
 
-def bounds(text: np.ndarray, suffixes: np.ndarray, tests: Tests, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each test prefix (start, length) the range of the suffix array that begins with it: binary search."""
-    found = []
-    for upper in (False, True):
-        low, high = np.zeros(len(start), np.int64), np.full(len(start), len(suffixes), np.int64)
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
-            _, sign = _compare(text, suffixes[mid], tests.stream, start[open_], length[open_])
-            right = (sign < 0) | (upper & (sign == 0))
-            low[open_] = np.where(right, mid + 1, low[open_])
-            high[open_] = np.where(right, high[open_], mid)
-        found.append(low)
-    return found[0], found[1]
+def bounds(text: np.ndarray, suffixes: np.ndarray, stream: np.ndarray, start: np.ndarray, length: np.ndarray, upper: bool = False) -> np.ndarray:
+    """Where each prefix (start, length) of the stream would stand among the text's suffixes: before all that begin with
+    it, or with `upper` behind them. Binary search, for all prefixes at once."""
+    low, high = np.zeros(len(start), np.int64), np.full(len(start), len(suffixes), np.int64)
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_]) // 2
+        _, sign = _compare(text, suffixes[mid], stream, start[open_], length[open_])
+        right = (sign < 0) | (upper & (sign == 0))
+        low[open_] = np.where(right, mid + 1, low[open_])
+        high[open_] = np.where(right, high[open_], mid)
+    return low
 
 
 def runs(text: np.ndarray) -> np.ndarray:
     """For each position how many numbers from 0 follow one another from there."""
     stops = np.flatnonzero(text < 0)
-    nxt = stops[np.searchsorted(stops, np.arange(len(text)))]
+    nxt = stops[np.searchsorted(stops, np.arange(len(text)))] if len(text) else stops
     return nxt - np.arange(len(text))
 
 
 class Shard:
     """Documents as one text of word numbers, a -1 after each; words that no test has are -1 as well."""
 
-    def __init__(self, tests: Tests, documents: list[list[bytes]]) -> None:
-        self.tests, get = tests, tests.vocabulary.get
+    def __init__(self, tests: Tests, documents: list[np.ndarray]) -> None:
+        self.tests = tests
         self.lengths = np.array([len(d) for d in documents], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
-        self.text = np.fromiter((n for d in documents for n in [*[get(w, -1) for w in d], -1]), np.int64, int(self.lengths.sum()) + len(documents))
-        # a suffix that ends, or meets an unknown word, before the shortest window is through holds no window
-        least = int(tests.lengths.min()) if len(tests.lengths) else 1
-        self.suffixes = suffix_array(self.text, np.flatnonzero(runs(self.text) >= least) if len(self.text) else np.zeros(0, np.int64), max(1, tests.longest))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each occurrence of a window: its number, and its position in the text."""
-        t = self.tests
-        if not len(self.suffixes) or not len(t.starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low, high = bounds(self.text, self.suffixes, t, t.starts, t.lengths)
-        times = high - low
-        which = np.repeat(np.arange(len(times)), times)
-        inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        return which, self.suffixes[np.repeat(low, times) + inside]
+        end = np.array([-1])
+        self.text = np.concatenate([x for d in documents for x in (d, end)]) if documents else np.zeros(0, np.int64)
+        # what stands between unknown words, or ends, and is shorter than the shortest window holds none
+        left = runs(self.text)
+        begin = np.flatnonzero((left > 0) & np.concatenate([[True], left[:-1] == 0])) if len(left) else left
+        short = begin[left[begin] < tests.least]
+        drop = np.repeat(short, left[short]) + np.arange(int(left[short].sum())) - np.repeat(np.cumsum(left[short]) - left[short], left[short])
+        self.text[drop] = -1
+        left[drop] = 0
+        self.suffixes = suffix_array(self.text, np.flatnonzero(left >= tests.least), tests.longest)
 
-    def document(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, side="right") - 1
+    @classmethod
+    def of(cls, tests: Tests, documents: list[list[bytes]]) -> Shard:
+        return cls(tests, [numbers(tests, d) for d in documents])
 
     def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every suffix of every item, at its position in the tests' stream: the longest verbatim match in this
-        shard (0 if shorter than the shortest window) and the place in the text of one such match (-1)."""
+        shard (0 if shorter than the shortest window) and the place in the text of one such match (-1). Each suffix
+        is binary-searched: its neighbours, where it would stand, share most with it."""
         t = self.tests
-        start = np.flatnonzero(t.stream >= 0)
-        most = runs(t.stream)[start] if len(t.stream) else np.zeros(0, np.int64)
+        start = t.suffixes
         best, place = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
         if len(self.suffixes) and len(start):
-            low, _ = bounds(self.text, self.suffixes, t, start, most)
-            for near in (low - 1, low):  # the neighbours of where the suffix would stand share most with it
+            low = bounds(self.text, self.suffixes, t.stream, start, t.left[start])
+            for near in (low - 1, low):
                 at = self.suffixes[np.clip(near, 0, len(self.suffixes) - 1)]
-                agree, _ = _compare(self.text, at, t.stream, start, most)
+                agree, _ = _compare(self.text, at, t.stream, start, t.left[start])
                 better = agree > best
                 best, place = np.where(better, agree, best), np.where(better, at, place)
-        least = int(t.lengths.min()) if len(t.lengths) else 1
-        return start, np.where(best >= least, best, 0), np.where(best >= least, place, -1)
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The stated benchmark in blocks of at most block_bytes of text (or one item), streamed partition by partition."""
-    rows, size = [], 0
-    for r in benchmark.select(benchmark["item_id"], benchmark["text"].cast("string").alias("text")).toLocalIterator():
-        if rows and size + len(r["text"] or "") > block_bytes:
-            yield rows
-            rows, size = [], 0
-        rows.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
+        return start, np.where(best >= t.least, best, 0), np.where(best >= t.least, place, -1)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each occurrence of a window: its number, and its position in the text. A window occurs if the longest match of
+        a suffix that begins with it is as long as it; its occurrences are a range of the suffix array."""
+        t = self.tests
+        start, best, _ = self.longest()
+        of = t.window[start]
+        some = np.unique(of[(of >= 0) & (best >= t.lengths[of] if len(t.lengths) else False)])
+        if not len(some):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low, high = (bounds(self.text, self.suffixes, t.stream, t.starts[some], t.lengths[some], upper) for upper in (False, True))
+        times = high - low
+        inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(some, times), self.suffixes[np.repeat(low, times) + inside]
+
+    def verbatim(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest match of any item's words with the text from each position, and where in the stream it begins."""
+        t = self.tests
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(t.suffixes), np.int64)
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) // 2
+            _, sign = _compare(self.text, at[open_], t.stream, t.suffixes[mid], t.left[t.suffixes[mid]])
+            right = sign >= 0
+            low[open_] = np.where(right, mid + 1, low[open_])
+            high[open_] = np.where(right, high[open_], mid)
+        best, where = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+        for near in (low - 1, low):
+            start = t.suffixes[np.clip(near, 0, len(t.suffixes) - 1)]
+            agree, _ = _compare(self.text, at, t.stream, start, t.left[start])
+            better = agree > best
+            best, where = np.where(better, agree, best), np.where(better, start, where)
+        return best, where
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
+def numbers(tests: Tests, document: list[bytes]) -> np.ndarray:
+    get = tests.vocabulary.get
+    return np.fromiter((get(w, -1) for w in document), np.int64, len(document))
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[list[Item]]:
+    """The stated benchmark in blocks of about block_bytes of words, streamed partition by partition; at least one block.
+
+    An item that is longer is cut into parts that share window - 1 words, so none of its windows is lost.
+    """
+    rows: list[Item] = []
+    size = 0
+    for r in benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].cast("string").alias("text")).toLocalIterator():
+        w = words(r["text"] or "")
+        step = len(w) if sum(map(len, w)) + len(w) <= block_bytes else max(1, block_bytes // 64)
+        for k in range(0, max(1, len(w) - window + 1), max(1, step)):
+            part = w[k : k + step + (window - 1 if step < len(w) else 0)]
+            more = sum(map(len, part)) + len(part)
+            if rows and size + more > block_bytes:
+                yield rows
+                rows, size = [], 0
+            rows.append((r["item_id"], part))
+            size += more
     yield rows
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _shards(batches: Iterator[pa.RecordBatch], tests: Tests, shard_words: int) -> Iterator[tuple[list[pa.RecordBatch], Shard]]:
+    """Consecutive rows of a partition, over as many batches as it takes, until they have shard_words words."""
+    parts, found, size = [], [], 0
     for b in batches:
-        column, begin, part, size = b.column("text"), 0, [], 0
+        column, begin = b.column("text"), 0
         for k in range(len(column)):
-            part.append(words(column[k].as_py() or ""))
-            size += len(part[-1])
+            found.append(numbers(tests, words(column[k].as_py() or "")))
+            size += len(found[-1])
             if size >= shard_words:
-                yield b.slice(begin, k + 1 - begin), part
-                begin, part, size = k + 1, [], 0
-        if part:
-            yield b.slice(begin), part
+                yield [*parts, b.slice(begin, k + 1 - begin)], Shard(tests, found)
+                parts, found, size, begin = [], [], 0, k + 1
+        if begin < len(column):
+            parts.append(b.slice(begin))
+    if found:
+        yield parts, Shard(tests, found)
+
+
+_LONGEST = "struct<n_words: bigint, doc_word: bigint, item: string, item_word: bigint>"
+_FOUND = pa.struct([("n_words", pa.int64()), ("doc_word", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
 
 
-def _spans(docs: DataFrame, tests: Tests, shard_words: int, keep: list[str]) -> DataFrame:
-    """The columns keep of docs and n_words, hits (array of [first, after] word places), items for every row."""
+def _searched(docs: DataFrame, tests: Tests, shard_words: int, again: bool) -> DataFrame:
+    """docs: row, text, and if again also hits, items and longest, which are carried on. Adds or carries on n_words, hits
+    (array of [first, after] word places, in order and apart), items (sorted) and longest."""
     given = docs.sparkSession.sparkContext.broadcast(tests)
 
+    def merged(spans: list[list[int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for first, after in spans:
+            if out and first <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], after)
+            else:
+                out.append([first, after])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = given.value
-        for batch, documents in _shards(batches, shard_words):
-            shard = Shard(tests, documents)
+        t = given.value
+        for parts, shard in _shards(batches, t, shard_words):
             which, at = shard.windows()
-            owner = shard.document(at)
-            order = np.lexsort((at, owner))
-            which, at, owner = which[order], at[order], owner[order]
-            n = len(documents)
-            cut = np.searchsorted(owner, np.arange(n + 1))
-            hits: list[list[list[int]]] = []
-            items: list[list[str]] = []
-            for d in range(n):
-                a, w = at[cut[d] : cut[d + 1]] - shard.starts[d], which[cut[d] : cut[d + 1]]
-                merged: list[list[int]] = []
-                for first, after in zip(a.tolist(), (a + tests.lengths[w]).tolist(), strict=True):
-                    if merged and first <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], after)
-                    else:
-                        merged.append([first, after])
-                hits.append(merged)
-                items.append(sorted({x for k in np.unique(w).tolist() for x in tests.items[k]}))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(shard.lengths), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-                [*keep, "n_words", "hits", "items"],
-            )
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return map_batches(docs, run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_words long", "hits array<array<long>>", "items array<string>"]))
+            order = np.argsort(at, kind="stable")
+            which, at = which[order], at[order]
+            cut = np.searchsorted(at, [*shard.starts, len(shard.text)])
+            some, place = shard.verbatim(np.unique(at))
+            first = np.searchsorted(np.unique(at), [*shard.starts, len(shard.text)])
+            spot = np.unique(at)
+            doc = 0
+            for b in parts:
+                hits, items, longest = [], [], []
+                for k in range(b.num_rows):
+                    x, y = cut[doc], cut[doc + 1]
+                    a = at[x:y] - shard.starts[doc]
+                    spans = merged(np.stack([a, a + t.lengths[which[x:y]]], axis=1).tolist()) if y > x else []
+                    names, most = t.items_of(np.unique(which[x:y])) if y > x else [], None
+                    if y > x:
+                        j = first[doc] + int(some[first[doc] : first[doc + 1]].argmax())
+                        p = int(place[j])
+                        begin = p - int(np.searchsorted(t.item[: p + 1], t.item[p]))
+                        most = {"n_words": int(some[j]), "doc_word": int(spot[j] - shard.starts[doc]), "item": t.names[t.item[p]], "item_word": begin}
+                    if again:
+                        before = {c: b.column(c)[k].as_py() for c in ("hits", "items", "longest")}
+                        spans, names = merged(sorted([*before["hits"], *spans])), sorted({*before["items"], *names})
+                        if before["longest"] and (not most or before["longest"]["n_words"] >= most["n_words"]):
+                            most = before["longest"]
+                    hits.append(spans)
+                    items.append(names)
+                    longest.append(most)
+                    doc += 1
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("row"), b.column("text"), pa.array(shard.lengths[doc - b.num_rows : doc]), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(longest, _FOUND)],
+                    ["row", "text", "n_words", "hits", "items", "longest"],
+                )
+
+    kind = docs.schema["row"].dataType.simpleString()
+    return map_batches(docs, run, f"row {kind}, text string, n_words long, hits array<array<long>>, items array<string>, longest {_LONGEST}")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns item (string), item_word, n_words, doc_id, doc_word (long): for every test suffix the longest verbatim
     match within each shard of docs, and one place of it, where it is at least as long as the shortest window. For
-    inspection: a shard is some documents of one partition, so a suffix has a row for each shard that holds a match."""
+    inspection: a shard is some documents of one partition, so a suffix has a row for each shard that holds a match.
+
+    Null and empty texts and items match nothing; items without an id have a null item. Suffixes of an item cut for
+    its length count from where the part begins. More than one block of the benchmark: results of each are put together.
+    """
     out = None
-    spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    for block in _blocks(benchmark, block_bytes):
-        names = [None if i is None else str(i) for i, t in block for _ in range(len(words(t or "")) + 1)]
-        begins = [k for _, t in block for k in range(len(words(t or "")) + 1)]
-        given = spark.sparkContext.broadcast((Tests.of(block, window), names, begins))
+    for block in _blocks(benchmark, window, block_bytes):
+        given = docs.sparkSession.sparkContext.broadcast(Tests.of(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            tests, names, begins = given.value
-            for batch, documents in _shards(batches, shard_words):
-                shard = Shard(tests, documents)
+            t = given.value
+            for parts, shard in _shards(batches, t, shard_words):
                 start, best, place = shard.longest()
                 some = np.flatnonzero(best)
                 owner = shard.document(place[some])
-                ids = batch.column("doc_id").take(pa.array(owner))
-                s = start[some].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in s], pa.string()), pa.array([begins[k] for k in s], pa.int64()), pa.array(best[some]), ids, pa.array(place[some] - shard.starts[owner])], ["item", "item_word", "n_words", "doc_id", "doc_word"])
+                ids = pa.chunked_array([b.column("doc_id") for b in parts]).take(pa.array(owner)).combine_chunks()
+                item = t.item[start[some]]
+                begin = start[some] - np.searchsorted(t.item, item)
+                yield pa.RecordBatch.from_arrays([pa.array([t.names[k] for k in item.tolist()], pa.string()), pa.array(begin), pa.array(best[some]), ids, pa.array(place[some] - shard.starts[owner])], ["item", "item_word", "n_words", "doc_id", "doc_word"])
 
         part = map_batches(rows, run, "item string, item_word long, n_words long, doc_id long, doc_word long")
         out = part if out is None else out.unionByName(part)
@@ -257,7 +358,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For every row of docs (doc_id, text; all other columns stay): n_words, n_hit (long), items (array of string,
-    sorted) and contaminated (boolean). Columns of docs with those names are replaced.
+    sorted), contaminated (boolean), hits (array of [first, after]: the hit places, in words) and longest (the longest
+    verbatim match that holds a window: n_words, doc_word, item, item_word; else null). Columns of docs with those names,
+    in any case, are replaced; any other names do no harm.
 
     Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] with A-Z lower-cased. A window is `window` consecutive words of an
     item of benchmark (item_id, text), or all words of a shorter one. A document word inside any occurrence of a window
@@ -265,34 +368,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     words have no window; an item whose id is null hits words but is not listed. Repeated rows and items do no harm.
 
     A shard is consecutive documents of a partition, of shard_words words or one document of any length. Its suffix
-    array is sorted by rank doubling as deep as the longest item; windows are binary-searched in it. Documents never
-    move. The benchmark is a stated query set, held in blocks of block_bytes; documents are read once a block, and for
-    more than one block the hit places of a row, keyed by its text, are merged.
+    array is sorted by rank doubling as deep as the longest item; every suffix of every item is binary-searched in it
+    for its longest match, and where that holds a window all occurrences are read from the array. Documents never move.
+    The benchmark is a stated query set. It is indexed on the driver and sent out one block of about block_bytes at a
+    time, whatever its size; for more than one block the rows, with what was found, are written down between blocks.
     """
-    made = ("n_words", "n_hit", "items", "contaminated", "hits", "_a", "_b")
-    keep = [c for c in docs.columns if c.lower() not in made]
-    docs = docs.select(*[docs[f"`{c}`"].cast("string").alias(c) if c == "text" else docs[f"`{c}`"] for c in keep])
-    blocks = [Tests.of(b, window) for b in _blocks(benchmark, block_bytes)] or [Tests.of([], window)]
-    out = _spans(docs, blocks[0], shard_words, keep)
-    if len(blocks) > 1:
-        key = {"_a": F.xxhash64(F.coalesce("text", F.lit(""))), "_b": F.xxhash64(F.lit(11), F.coalesce("text", F.lit("")))}
-        bare = docs.select("text").distinct()
-        parts = [_spans(bare, t, shard_words, ["text"]).where("size(hits) > 0").withColumns(key).select("_a", "_b", "hits", "items") for t in blocks[1:]]
-        more = parts[0]
-        for p in parts[1:]:
-            more = more.unionByName(p)
-        more = more.groupBy("_a", "_b").agg(F.flatten(F.collect_list("hits")).alias("more"), F.flatten(F.collect_list("items")).alias("also"))
-        out = out.withColumns(key).join(more, ["_a", "_b"], "left")
-        out = out.withColumns({"hits": F.concat("hits", F.coalesce("more", F.expr("cast(array() as array<array<long>>)"))), "items": F.array_sort(F.array_distinct(F.concat("items", F.coalesce("also", F.expr("cast(array() as array<string>)")))))})
-    # words within any span: spans in order, each counted from where those before it end
-    hit = F.aggregate(
-        F.array_sort("hits"),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x[1] - F.greatest(x[0], s["end"]))).alias("n"), F.greatest(s["end"], x[1]).alias("end")),
-        lambda s: s["n"],
-    )
-    out = out.withColumn("n_hit", hit)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    spark = docs.sparkSession
+    made = ("n_words", "n_hit", "items", "contaminated", "hits", "longest")
+    rows = wrapped(docs, made, text="string")
+    blocks = _blocks(benchmark, window, block_bytes)
+    block, again = next(blocks), False
+    while block is not None:
+        rows = _searched(rows, Tests.of(block, window), shard_words, again)
+        block, again = next(blocks, None), True
+        if block is not None:
+            rows = checkpointed(rows)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+    rows = rows.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    return unwrapped(rows, docs, made)
 
 
 def items_digest(items: list[str]) -> str:

@@ -231,26 +231,59 @@ def _contaminated(rows, bench, window):
     return out
 
 
-@pytest.mark.parametrize("size", [{}, {"shard_words": 40}, {"block_bytes": 60}])
+@pytest.mark.parametrize("size", [{}, {"shard_words": 40}, {"block_bytes": 60}, {"block_bytes": 8, "shard_words": 300}])
 def test_contamination_brute_force(spark, size):
     rng = random.Random(6)
     small = ["a", "B", "c", "é", "7"]
     bench = [(k, " ".join(rng.choice(small) for _ in range(rng.randint(1, 9)))) for k in range(12)] + [(3, "a, b"), (20, None), (21, " ?!"), (None, "c c c c c"), (22, "zz top"), (10, "zz")]
     rows = [(k, rng.choice([" ", ", ", "\n"]).join(rng.choice([*small, "zz", "unknown"]) for _ in range(rng.randint(0, 60)))) for k in range(40)] + [(40, None), (41, ""), (0, "a b c"), (42, "!" * 9)]
     want = _contaminated(rows, bench, 4)
-    df = spark.createDataFrame([(*r, True) for r in rows], DOC + ", items boolean")
+    df = spark.createDataFrame([(*r, True, 1, 2, 3, 4) for r in rows], DOC + ", items boolean, HITS int, row int, more int, _a int").coalesce(2)
     got = D.contamination(df, spark.createDataFrame(bench, "item_id long, text string"), window=4, **size)
+    assert got.columns == ["doc_id", "text", "row", "more", "_a", "n_words", "n_hit", "items", "contaminated", "hits", "longest"]
+    assert got.where("(longest is null) <> (n_hit = 0) or longest.n_words > n_words or (row, more, _a) <> (2, 3, 4)").count() == 0
     assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()) == sorted(want)
 
 
 def test_contamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = D.contamination(spark.createDataFrame([(1, "a b")], DOC), none).collect()
-    assert [tuple(r) for r in got] == [(1, "a b", 2, 0, [], False)]
+    assert [tuple(r) for r in got] == [(1, "a b", 2, 0, [], False, [], None)]
     assert D.contamination(spark.createDataFrame([], DOC), none).collect() == []
     assert D.items_digest(["10", "9"]) == hashlib.sha256(b"10,9").hexdigest()
 
 
+def test_longest_match_of_a_document(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdef")
+    bench = [(f"i{k}", [word() for _ in range(rng.randint(3, 14))]) for k in range(25)]
+    rows = [(k, [word() for _ in range(rng.randint(0, 60))]) for k in range(60)]
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = {d: max((same(w[p:], v[q:]) for p in range(len(w)) for _, v in bench for q in range(len(v))), default=0) for d, w in rows}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], DOC).coalesce(1)
+    got = D.contamination(df, spark.createDataFrame([(i, " ".join(v)) for i, v in bench], "item_id string, text string"), window=3, shard_words=500).collect()
+    for r in got:
+        m = r["longest"]
+        assert (m["n_words"] if m else 0) == (want[r["doc_id"]] if want[r["doc_id"]] >= 3 else 0)
+        if m:
+            w, v = dict(rows)[r["doc_id"]], dict(bench)[m["item"]]
+            assert w[m["doc_word"] :][: m["n_words"]] == v[m["item_word"] :][: m["n_words"]]
+
+
+def test_windows_come_from_the_longest_matches():
+    """Without the search of every suffix no window is found."""
+    tests = D.Tests.of([("i", D.words("a b c d e"))], 3)
+    shard = D.Shard.of(tests, [D.words("x a b c d y")])
+    assert sorted(shard.windows()[1].tolist()) == [1, 2]
+    shard.longest = lambda: (tests.suffixes, np.zeros(5, np.int64), np.full(5, -1))
+    assert shard.windows()[1].tolist() == []
+
+
+def test_shared_windows_are_searched_once():
+    tests = D.Tests.of([(str(k), D.words("the same opening words and then item number " + str(k))) for k in range(3000)], 5)
+    assert len(tests.starts) == 4 + 3000 * 1 and len(tests.items_of(np.array([tests.window[0]]))) == 3000
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "x a b c d y"), (2, "b c"), (3, None)], DOC)
     bench = spark.createDataFrame([("i", "a b c d e"), ("j", "b")], "item_id string, text string")
