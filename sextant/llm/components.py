@@ -14,7 +14,7 @@ def _least(links: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links: u, v (long). Returns node, component: the smallest node that can be reached, for every node of a link.
+    """links: u, v (of one kind that has an order). Returns node, component: the smallest node that can be reached, for every node of a link.
 
     Loops and repeated links do no harm; links with a null end are ignored; no links give no rows. Rounds go on until
     nothing changes, a number that grows with the logarithm of the nodes. Each round ends in a checkpoint; nothing but

@@ -150,8 +150,8 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int, more: tuple[int, i
 def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None = None, more: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame]:
     """Links between different fingerprints at radius differing bits or fewer.
 
-    prints: doc_id (long), fp (binary) and any columns that tell texts of equal fingerprints apart, which then link at
-    distance 0. Returns (reps, links): reps has each fingerprint (with these columns) once with rep, its smallest
+    prints: doc_id (of any kind that has an order), fp (binary) and any columns that tell texts of equal fingerprints apart,
+    which then link at distance 0. Returns (reps, links): reps has each fingerprint (with these columns) once with rep, its smallest
     doc_id; links has u, v (reps) and distance: within each pair of tiles a minimum spanning forest of all links, so
     components at every distance are those of all links; for `more` see compare. Rows whose doc_ids are all null have
     no rep and no links.
@@ -172,7 +172,9 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None =
     counts = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}
     tile = tile or min(LARGEST_TILE, max(TILE, sum(counts.values()) // 32))
     sizes = {k: ceil(n / tile) for k, n in counts.items()}
-    empty = spark.createDataFrame([], "u long, v long, distance int")
+    kind = reps.schema["rep"].dataType.simpleString()
+    schema = f"u {kind}, v {kind}, distance int"
+    empty = spark.createDataFrame([], schema)
     if not sizes:
         return reps, empty
     split = F.create_map(*[F.lit(int(x)) for kv in sorted(sizes.items()) for x in kv])
@@ -187,9 +189,9 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None =
     right = tiles.select(F.col("tile").alias("b"), F.col("items").alias("y"))
     work = pairs.join(left, "a").join(right, "b")
 
-    def matrix(items: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(items: pa.ListScalar) -> tuple[np.ndarray, pa.Array]:
         raw = b"".join(items.values.field("fp").to_pylist())
-        return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, bits // 64), items.values.field("rep").to_numpy(zero_copy_only=False)
+        return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, bits // 64), items.values.field("rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +200,11 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None =
                 other = None
                 if a.as_py() != b.as_py():
                     other, theirs = matrix(y)
-                    ids = np.concatenate([ids, theirs])
+                    ids = pa.concat_arrays([ids, theirs])
                 i, j, d = compare(m, other, radius, more)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(d.astype(np.int32))], ["u", "v", "distance"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(d.astype(np.int32))], ["u", "v", "distance"])
 
-    return reps, work.mapInArrow(run, "u long, v long, distance int")
+    return reps, work.mapInArrow(run, schema)
 
 
 def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: int = 4, seed: int = 42, tile: int | None = None) -> DataFrame:
@@ -210,12 +212,15 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: i
 
     Documents link at radius differing bits or fewer; component_id is the smallest doc_id that can be reached, the
     document's own included. Null and empty texts have no words: their fingerprint is zero and links like any other.
-    Rows that repeat come back as often. A null doc_id is never a component_id, unless all that is reachable is null.
+    Rows that repeat come back as often. Rows without a doc_id link like others, so what they are near to is joined through
+    them; a component_id is null only if no doc_id can be reached. A very long text costs memory for its shingles alone.
     """
     prints = checkpointed(fingerprints(docs, size, bits, seed))
-    reps, links = simhash_links(prints, bits, radius, tile)
+    # a node is a fingerprint; nodes are in the order of their smallest doc_id, those without one last
+    named = prints.select("fp", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "fp").alias("doc_id"))
+    reps, links = simhash_links(named, bits, radius, tile)
     found = connected_components(links.select("u", "v"))
-    of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep")["doc_id"].alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 

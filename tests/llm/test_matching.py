@@ -120,6 +120,22 @@ def test_simhash_brute_force(spark, tile):
     assert S.simhash_components(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_prints_without_an_id_are_bridges(spark):
+    prints = [(9, 0b0), (None, 0b1111), (5, 0b11111111), (None, 0b1111 << 40), (None, 0b1111 << 41), (7, 0xFFFF << 48), (7, 0xFFFF << 48)]
+    rows = spark.createDataFrame([(i, p.to_bytes(8, "big")) for i, p in prints], "doc_id long, fp binary")
+    made = S.fingerprints
+    S.fingerprints = lambda *_: rows
+    try:
+        got = S.simhash_components(rows).collect()
+    finally:
+        S.fingerprints = made
+    assert sorted((r["fp"].hex()[-4:], str(r["component_id"])) for r in got if int(r["fp"].hex(), 16) < 1 << 16) == [("0000", "5"), ("000f", "5"), ("00ff", "5")]
+    assert [r["component_id"] for r in got if 1 << 39 < int(r["fp"].hex(), 16) < 1 << 50] == [5, 5]
+    assert [r["component_id"] for r in got if r["doc_id"] == 7] == [7, 7]
+    alone = spark.createDataFrame([(None, "x y z"), (None, "x y z"), (1, "a b c d e")], DOC)
+    assert {(r["doc_id"], r["component_id"]) for r in S.simhash_components(alone).collect()} == {(None, None), (1, 1)}
+
+
 def test_near_duplicates_are_verified(spark):
     rng = random.Random(4)
     rows, clean = [], []
