@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import ascii_lower, checkpointed
+from sextant.llm.common import ascii_lower, checkpointed, unwrapped, wrapped
 
 #: What is stripped at both ends of a line: [\x20\x09-\x0D].
 STRIPPED = " \t\n\x0b\x0c\r"
+MADE = ("kept_text", "n_lines", "n_dropped")
 
 
 def line_keys(text: Column) -> Column:
@@ -23,39 +24,44 @@ def _hash(key: Column) -> Column:
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Adds to docs the columns kept_text (string), n_lines and n_dropped (long); `text` (string) is read, all columns stay.
+    Columns of docs with those names, in any case, are replaced; any other names do no harm.
 
-    Each row is a document. A line's key is the line with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased;
-    keys of at least min_chars code points found in at least min_docs rows lose all their lines in every row.
-    Null and empty texts are one empty line and stay as an empty text. Repeated rows count as documents of their own.
-    Columns of docs named kept_text, n_lines or n_dropped are replaced.
+    A line's key is the line with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased; keys of at least min_chars
+    code points found in at least min_docs documents lose all their lines in every row. A document is a doc_id: rows
+    that share one count once, rows without one, or all if docs has no such column, count each. Every row is
+    reassembled by itself. Null and empty texts are one empty line and stay as an empty text. A very long text is a row
+    of one task, and as many hashes as it has lines.
 
     Lines are exploded only as 128-bit hashes. The hashes to drop come back a document, keyed by a 128-bit hash of its
     doc_id, if it has one, and its text, and the text is reassembled by position, in place.
     """
-    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped", "__line_ka", "__line_kb", "__line_drop")])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = "doc_id" in (c.lower() for c in docs.columns)
+    kinds = {"text": "string"} | ({"doc_id": docs.schema[_name(docs, "doc_id")].dataType.simpleString()} if named else {})
+    rows = wrapped(docs, MADE, **kinds).withColumn("text", F.coalesce("text", F.lit("")))
     # the row's key: of all it is known by, so that copies of a text under other ids are dealt to different tasks
-    named = [docs["doc_id"]] if "doc_id" in docs.columns else []
-    key = {"__line_ka": F.xxhash64(*named, text), "__line_kb": F.xxhash64(F.lit(11), *named, text)}
+    by = [F.col("doc_id")] * named
+    rows = rows.withColumns({"ka": F.xxhash64(*by, "text"), "kb": F.xxhash64(F.lit(11), *by, "text")})
     # a row for each document and key, so that partial sums leave one row a key and task, however hot the key
     # (outer: a plain explode would have the optimizer compute all lines once more, to see that there are any)
-    keys = docs.withColumns(key).select("__line_ka", "__line_kb", F.explode_outer(F.array_distinct(line_keys(text))).alias("key"))
-    keys = keys.where(F.length("key") >= min_chars).select("__line_ka", "__line_kb", _hash(F.col("key")).alias("h")).select("__line_ka", "__line_kb", "h.a", "h.b")
+    keys = rows.select("ka", "kb", *by, F.explode_outer(F.array_distinct(line_keys(F.col("text")))).alias("key"))
+    keys = keys.where(F.length("key") >= min_chars).select("ka", "kb", *by, _hash(F.col("key")).alias("h")).select("ka", "kb", *by, "h.a", "h.b")
+    counted = keys
+    if named and not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
+        # only where ids repeat do lines have to be told apart by document; else a row is one
+        counted = keys.where("doc_id is not null").select("doc_id", "a", "b").distinct().unionByName(keys.where("doc_id is null").select("doc_id", "a", "b"))
     # cut off, so that both sides of the join are plain shuffles and a hot key's rows can be split over tasks
-    often = checkpointed(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
-    gone = keys.join(often, ["a", "b"]).groupBy("__line_ka", "__line_kb").agg(F.collect_set(F.struct("a", "b")).alias("__line_drop"))
-    out = docs.withColumns(key).join(gone, ["__line_ka", "__line_kb"], "left")
-    out = out.withColumn("__line_lines", F.split(text, "\n", -1))
+    often = checkpointed(counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
+    gone = keys.select("ka", "kb", "a", "b").join(often, ["a", "b"]).groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    out = rows.join(gone, ["ka", "kb"], "left").withColumn("lines", F.split("text", "\n", -1))
 
     def stays(line: Column) -> Column:
         key = F.trim(ascii_lower(line), F.lit(STRIPPED))
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("__line_drop"), _hash(key))
-
-    kept = F.when(F.col("__line_drop").isNull(), F.col("__line_lines")).otherwise(F.filter("__line_lines", stays))
-    out = out.withColumn("__line_kept", kept)
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.array_join("__line_kept", "\n").alias("kept_text"),
-        F.size("__line_lines").cast("long").alias("n_lines"),
-        (F.size("__line_lines") - F.size("__line_kept")).cast("long").alias("n_dropped"),
-    )
+        return (F.length(key) < min_chars) | ~F.array_contains(F.col("drop"), _hash(key))
+
+    out = out.withColumn("kept", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
+    return unwrapped(out.withColumns({"kept_text": F.array_join("kept", "\n"), "n_lines": n_lines, "n_dropped": n_lines - n_kept}), docs, MADE)
+
+
+def _name(docs: DataFrame, name: str) -> str:
+    return next(c for c in docs.columns if c.lower() == name)

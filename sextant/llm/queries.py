@@ -94,13 +94,14 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(hit.n_hit, 0) as
   sha256(coalesce(it.items, '')) as items_sha256, coalesce(hit.n_hit, 0) > 0 and 20 * coalesce(hit.n_hit, 0) >= len(d.w) as contaminated
 from d left join hit using (doc_id) left join it using (doc_id)""",
     "op10_line_dedup": rf"""
-with l as (
-  select doc_id, k, ls[k] as line, trim({_LOWER.format("ls[k]")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
-  from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as k from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
-often as (select key from l where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (
+  select r, doc_id, k, ls[k] as line, trim({_LOWER.format("ls[k]")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
+  from (select r, doc_id, ls, unnest(range(1, len(ls) + 1)) as k from d)),
+often as (select key from l where length(key) >= 1 group by key having count(distinct doc_id) + count(distinct r) filter (doc_id is null) >= 10)
 select doc_id, count(*) as n_lines, count(*) filter (often.key is not null) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by k) filter (often.key is null), '')) as kept_sha256
-from l left join often on l.key = often.key group by doc_id""",
+from l left join often on l.key = often.key group by r, doc_id""",
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from sextant.llm import decontaminate as D
 from sextant.llm import simhash as S
 from sextant.llm.components import connected_components
 from sextant.llm.line_dedup import line_dedup
+from sextant.llm.queries import ORACLES
 
 DOC = "doc_id long, text string"
 
@@ -39,6 +41,22 @@ def test_line_dedup_brute_force(spark):
     assert line_dedup(df).columns == ["doc_id", "text", "a", "kept_text", "n_lines", "n_dropped"]
 
 
+def test_line_dedup_counts_documents(spark):
+    """Query and SQL agree where rows share a doc_id or have none, and where columns have the names of what is made."""
+    rows = [(k % 5, f"five\nof {k}") for k in range(10)] + [(None, "without\nid")] * 11 + [(100 + k, "TEN\nx") for k in range(9)] + [(100, "ten \ny"), (109, "\tten"), (None, "x")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], DOC + ", N_LINES int, row int, ka int, `drop` int, `a.b` int")
+    out = line_dedup(df)
+    assert out.columns == ["doc_id", "text", "row", "ka", "drop", "a.b", "kept_text", "n_lines", "n_dropped"]
+    got = [tuple(r) for r in out.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(kept_text, 256)").collect()]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    want = db.execute(ORACLES["op10_line_dedup"]).fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r["kept_text"] for r in out.where("doc_id < 5").collect()} == {f"five\nof {k}" for k in range(10)}
+    assert {r["kept_text"] for r in out.where("doc_id is null").collect()} == {""} and out.where("doc_id = 109").first()["kept_text"] == ""
+
+
 def test_line_dedup_without_rows_or_ids(spark):
     assert line_dedup(spark.createDataFrame([], DOC)).collect() == []
     hot = spark.createDataFrame([("a\nb",)] * 12 + [("c",)], "text string")
