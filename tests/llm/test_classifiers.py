@@ -248,11 +248,12 @@ def _quality_rows(rng, n):
 def test_quality(spark):
     rows, labels = _quality_rows(random.Random(3), 600)
     rows += [(9000, None, None, None, None, None), (9001, " \n", "en", "s1", 2, "b"), (9002, "word", None, None, -5, "c"), (1, rows[1][1], "en", "s1", 9, "again")]
-    schema = DOC + ", lang string, source string, n_chars long, keep string"
+    rows = [(*r, 1, 2) for r in rows]
+    schema = DOC + ", lang string, source string, n_chars long, keep string, row int, SCORE int"
     table = spark.createDataFrame(labels + [(None, 1, 0), (2, 0, 0), (2, 1, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
     df = spark.createDataFrame(rows, schema)
     found = quality.quality_scores(df, table)
-    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "content_score", "meta_score", "keep"]
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "score", "content_score", "meta_score", "keep"]
     got = found.collect()
     assert len(got) == len(rows)
     unseen = [(r["keep"], r["doc_id"] % 4 != 0) for r in got if r["doc_id"] < 9000 and r["doc_id"] % 2]
@@ -268,11 +269,52 @@ def test_quality(spark):
 def test_pseudo_labels_help():
     rng = np.random.default_rng(4)
     y = rng.integers(0, 2, 1200)
-    views = tuple(np.c_[y + rng.normal(0, s, 1200), rng.normal(0, 1, (1200, 4))].astype(np.float32) for s in (0.35, 0.35))
-    given = np.where(np.arange(1200) < 60, y, -1)
-    model = quality.co_train(views, given, sure=0.9)
-    score, one, _ = model.scores(*views)
-    assert np.mean((score > 0.5) == y) > np.mean((one > 0.5) == y) > 0.85
+    x = tuple(np.c_[y + rng.normal(0, s, 1200), rng.normal(0, 1, (1200, 4))].astype(np.float32) for s in (0.35, 0.35))
+    given, rest = tuple(m[:60] for m in x), tuple(m[60:] for m in x)
+    model = quality.co_train(given, y[:60], lambda views: quality.guesses(views, rest, 0.9))
+    alone = quality.co_train(given, y[:60], lambda views: {})
+    score, one, _ = model.scores(*rest)
+    right = lambda p: np.mean((p > 0.5) == y[60:])
+    assert right(score) > right(one) > 0.85 and right(score) >= right(alone.scores(*rest)[0])
+
+
+def test_sums_of_parts_are_sums_of_all():
+    rng = np.random.default_rng(7)
+    x = tuple(rng.normal(0, 1, (500, 6)).astype(np.float32) for _ in range(2))
+    views = tuple(quality.View(np.zeros(6), np.ones(6), rng.normal(0, 3, 7)) for _ in range(2))
+    whole, parts = quality.guesses(views, x, 0.8), {}
+    for k in range(0, 500, 37):
+        quality.added(parts, quality.guesses(views, tuple(m[k : k + 37] for m in x), 0.8))
+    assert whole.keys() == parts.keys() and len(whole) > 20
+    assert all(whole[k][0] == parts[k][0] and np.allclose(whole[k][1], parts[k][1]) for k in whole)
+    # every document that a view is sure of counts, once
+    for taught in (0, 1):
+        p = 1 / (1 + np.exp(-views[1 - taught].raw(x[1 - taught])))
+        assert sum(n for k, (n, _) in whole.items() if k[0] == taught) == ((p >= 0.8) | (p <= 0.2)).sum()
+
+
+def test_quality_equals_one_machine(spark):
+    """The distributed fit and scores against all features in one matrix, and pseudo-labels found document by document."""
+    rows, labels = _quality_rows(random.Random(5), 500)
+    rows += [(7000 + k, *rows[k][1:]) for k in range(0, 200, 3)]
+    labels = labels[:120]
+    y_of = {i: q for i, q, _ in labels}
+    x = quality.features([r[1:5] for r in rows])
+    at = [k for k, r in enumerate(rows) if r[0] in y_of]
+    rest = [k for k in range(len(rows)) if rows[k][0] not in y_of]
+
+    def ask(views):
+        out = {}
+        for k in rest:
+            quality.added(out, quality.guesses(views, tuple(m[k : k + 1] for m in x), 0.9))
+        return out
+
+    model = quality.co_train(tuple(m[at] for m in x), np.array([y_of[rows[k][0]] for k in at]), ask)
+    want = {r[0]: s for r, s in zip(rows, model.scores(*x)[0], strict=True)}
+    df = spark.createDataFrame(rows, DOC + ", lang string, source string, n_chars long, keep string").repartition(5)
+    got = quality.quality_scores(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sure=0.9).collect()
+    assert len(got) == len(rows) and max(abs(r["score"] - want[r["doc_id"]]) for r in got) < 1e-4
+    assert quality.guesses((model.content, model.meta), x, 0.9)
 
 
 def test_balanced_parts():
