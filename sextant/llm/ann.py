@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 
 from sextant.llm.common import checkpointed, map_batches
 
-#: Vectors that the index is fitted on, at most, and parts. The rest is only routed.
-SAMPLE, PARTS, NEIGHBOURS = 8192, 32, 16
+#: Links of a vector in the neighbour graph, vectors of a part on average, parts at least (if each has four), vectors of
+#: the sample for each part, and vectors that the index is fitted on, at least and at most. The rest is only routed.
+NEIGHBOURS, PART, LEAST_PARTS, EACH, LEAST_SAMPLE, SAMPLE = 16, 8192, 32, 32, 8192, 65_536
 #: Rows of a block of candidates and of queries; parts of any size are dealt out in such blocks.
 CANDIDATES, QUERIES = 8192, 4096
 
@@ -113,12 +114,19 @@ def train(x: np.ndarray, target: np.ndarray, hidden: int = 64, epochs: int = 40,
     return Router(centre, scale, *w, probes=1)
 
 
-def fit(x: np.ndarray, parts: int = PARTS, k: int = 20, recall: float = 0.95) -> Router:
+def parts_for(n: int, sample: int = SAMPLE) -> int:
+    """Parts for n vectors, a power of two: one for each PART vectors, but LEAST_PARTS at least, of four vectors or more,
+    and no more than the largest sample can teach."""
+    most = min(max(LEAST_PARTS, n / PART), n / 4, sample / EACH)
+    return 1 << max(0, int(np.floor(np.log2(max(1.0, most)))))
+
+
+def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95) -> Router:
     """Fits on a sample: graph, balanced parts, classifier, then the least number of probes with which a fifth of the
     sample's vectors find that share of their k nearest, each classified to its own part. In all data neighbours are
-    nearer than in the sample, which only helps."""
+    nearer than in the sample, which only helps. One part needs no fit."""
     x = np.ascontiguousarray(x, np.float64)
-    if len(x) < 4 * parts:
+    if parts == 1:
         return Router(np.zeros(x.shape[1]), 1.0, np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     near = neighbours(x, NEIGHBOURS)
     label = partition(near, parts)
@@ -147,19 +155,21 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, parts: int = PARTS, recall: float = 0.95, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, parts: int | None = None, recall: float = 0.95, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of vectors (vec_id, embedding; other columns only for is_query)
     where is_query holds, its k nearest of those found, by the largest inner product in double precision of the
     original vectors, ties to the smaller vec_id. The query's own id is no candidate. All candidates, if there are fewer.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without a vec_id or
     vectors of another length than the most frequent one (of several, the longest). Rows that share a vec_id count
-    once, with the smallest of their vectors. No usable rows give no rows.
-
-    The index is fitted on the driver on at most `sample` vectors, those with the smallest hashes of their ids; every
-    vector is then routed to the part that the classifier holds most probable, every query to as many as the fit found
-    necessary. Parts of any size are dealt out as blocks of candidates by blocks of queries, so no task holds more
-    than one of each, however many vectors share a part.
+    once, with the smallest of their vectors. No usable rows give no rows. A score that is not a number, as of products
+    that overflow both ways, ranks last.
+
+    The index is fitted on the driver on at most `sample` vectors, those with the smallest hashes of their ids, into as
+    many parts as parts_for says; every vector is then routed once to the part that the classifier holds most probable.
+    A query goes to as many parts as the fit found necessary, or more, until these hold k others. Parts of any size are
+    dealt out as blocks of candidates by blocks of queries, so no task holds more than one of each, however many vectors
+    share a part.
     """
     spark = vectors.sparkSession
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("v"), is_query.alias("q"))
@@ -171,22 +181,35 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int =
     width = widths[0]["width"]
     rows = rows.where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"), F.max(F.coalesce("q", F.lit(False))).alias("q"))
     rows = checkpointed(rows)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    router = fit(_matrix(picked.column("v"), width), parts, k, recall)
+    n = rows.count()
+    parts = parts or parts_for(n, sample)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, max(LEAST_SAMPLE, EACH * parts))).select("v").toArrow()
+    router = fit(_matrix(picked.column("v"), width), min(parts, parts_for(len(picked), sample)), k, recall)
     given = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = given.value.scores(_matrix(b.column("v"), width))
-            order = np.argsort(-s, axis=1, kind="stable")[:, : given.value.probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("q"), pa.array(order[:, 0]), pa.array(list(order), pa.list_(pa.int32()))], ["vec_id", "v", "q", "part", "parts"])
-
-    routed = map_batches(rows, route, "vec_id long, v array<double>, q boolean, part int, parts array<int>")
-    sizes = routed.groupBy("part").count().collect()  # a number for each part
-    asked = routed.where("q").select(F.explode("parts").alias("part")).groupBy("part").count().collect()
-    blocks = {r["part"]: [-(-r["count"] // candidates), 0] for r in sizes}
+            part = given.value.scores(_matrix(b.column("v"), width)).argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("q"), pa.array(part)], ["vec_id", "v", "q", "part"])
+
+    routed = checkpointed(map_batches(rows, route, "vec_id long, v array<double>, q boolean, part int"))
+    sizes = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}  # a number for each part
+    held = np.array([sizes.get(p, 0) for p in range(max(sizes) + 1)])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = np.argsort(-given.value.scores(_matrix(b.column("v"), width)), axis=1, kind="stable")
+            some = np.where(order < len(held), held[np.minimum(order, len(held) - 1)], 0)
+            # a part is asked if it is among the first ones, or those before it hold too few; empty ones never
+            asked = (np.cumsum(some > 0, axis=1) <= given.value.probes) | (np.cumsum(some, axis=1) - some <= k)
+            to = [o[a].astype(np.int32) for o, a in zip(order, asked & (some > 0), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(to, pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
+
+    probes = checkpointed(map_batches(routed.where("q").select("vec_id", "v"), probe, "vec_id long, v array<double>, parts array<int>"))
+    asked = probes.select(F.explode("parts").alias("part")).groupBy("part").count().collect()
+    blocks = {p: [-(-n // candidates), 0] for p, n in sizes.items()}
     for r in asked:
-        blocks.setdefault(r["part"], [0, 0])[1] = -(-r["count"] // queries)
+        blocks[r["part"]][1] = -(-r["count"] // queries)
 
     def blocks_of(part: str, side: int) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for p, n in sorted(blocks.items()) for x in (p, max(1, n[side]))]), F.col(part))
@@ -198,7 +221,9 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int =
         df = df.select("vec_id", "v", F.col(part).alias("part"), mine.alias("mine"), other.alias("other"), F.lit(query).alias("q"))
         return df.select("vec_id", "v", "q", F.struct("part", F.col("other" if query else "mine").alias("c"), F.col("mine" if query else "other").alias("q")).alias("key"))
 
-    both = dealt(routed, "part", 0, False).unionByName(dealt(routed.where("q").withColumn("to", F.explode("parts")), "to", 1, True))
+    if not asked:
+        return nothing
+    both = dealt(routed.where(F.col("part").isin([r["part"] for r in asked])), "part", 0, False).unionByName(dealt(probes.withColumn("to", F.explode("parts")), "to", 1, True))
 
     def nearest(table: pa.Table) -> pa.Table:
         flag = table.column("q").to_numpy()
@@ -208,17 +233,17 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int =
         c, cid, q, qid = x[~flag], ids[~flag], x[flag], ids[flag]
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         parts = [out]
-        for a in range(0, len(q) if len(c) else 0, 64):
+        for a in range(0, len(q) if len(c) else 0, 64):  # a block of parts without candidates gives nothing
             # einsum sums each pair in the same order, so equal vectors have equal scores; candidates are in order of id
             s = np.einsum("qd,cd->qc", q[a : a + 64], c)
-            s[qid[a : a + 64, None] == cid[None, :]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(s, top, axis=1)
-            real = value > -np.inf
-            parts.append([np.broadcast_to(qid[a : a + 64, None], top.shape)[real], cid[top][real], value[real]])
+            own = qid[a : a + 64, None] == cid[None, :]
+            top = np.argsort(np.where(own | np.isnan(s), np.inf, -s), axis=1, kind="stable")[:, : k + 1]
+            real = ~np.take_along_axis(own, top, axis=1)
+            real &= np.cumsum(real, axis=1) <= k
+            parts.append([np.broadcast_to(qid[a : a + 64, None], top.shape)[real], cid[top][real], np.take_along_axis(s, top, axis=1)[real]])
         found = [np.concatenate(z) for z in zip(*parts, strict=True)]
         return pa.table({"query_id": pa.array(found[0]), "vec_id": pa.array(found[1]), "score": pa.array(found[2])})
 
     found = both.groupBy("key").applyInArrow(nearest, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -354,6 +354,47 @@ def test_neighbours_equal_brute_force(spark):
     assert {r["query_id"] for r in got} == set(ids[ids % 20 == 0].tolist())
 
 
+def test_clustered_vectors_need_few_probes(spark):
+    """Each query is compared with a small share of all vectors, and finds its neighbours by brute force."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((64, 24)) * 3
+    x = centres[rng.integers(0, 64, 6000)] + rng.standard_normal((6000, 24)) * 0.6
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    made = []
+    fit = ann.fit
+    ann.fit = lambda *a: made.append(fit(*a)) or made[-1]
+    try:
+        got = ann.ann_search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, sample=3000).collect()
+    finally:
+        ann.fit = fit
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(found[20 * k] & set(b.tolist())) / 20 for k, b in enumerate(best)]) >= 0.9
+    assert len(made[0].last) == 32 and made[0].probes <= 8
+
+
+def test_parts_grow_with_the_vectors():
+    assert [ann.parts_for(n) for n in (0, 1, 7, 8, 100, 200, 10_000, 262_144, 10**6, 10**7, 10**9)] == [1, 1, 1, 2, 16, 32, 32, 32, 64, 1024, 2048]
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 21, 22, 60, 130])
+def test_small_tables_lose_no_candidate(spark, n):
+    """There are always min(k, n - 1) found, whatever the parts hold."""
+    rows = _vectors(np.random.default_rng(n), n)
+    got = ann.ann_search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=20).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == ({q: min(20, n - 1) for q in range(0, n, 20)} if n > 1 else {})
+
+
+def test_products_that_overflow(spark):
+    rows = [(0, [1e200, 1e200]), (1, [-1e200, -1e200]), (2, [1e200, -1e200]), (3, [1.0, 0.0]), (4, [-1e200, 1e200])]
+    got = ann.ann_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got][:1] == [3] and {r["vec_id"] for r in got} == {1, 2, 3, 4} and got[0]["score"] == 1e200
+
+
 def test_few_neighbours(spark):
     kind = "vec_id long, embedding array<double>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.5])], kind)
