@@ -127,7 +127,8 @@ def language_id(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS,
     Learns from text and lang of the rows where `training` holds and lang is not null, all of them, whole; the
     prediction sees the text alone. lang_pred is the language whose prototype has the largest cosine with the bundle of
     the text's n-grams (ties: the first in order), score that cosine, 0 if negative. A text that is null or has no
-    letter is `und` with score 0, as is every text if nothing can be learned. Repeated rows come back as often.
+    letter is `und` with score 0, as is every text if nothing can be learned. Repeated rows come back as often. A very
+    long text costs memory for its letters; its n-grams are bundled in bounded parts.
     """
     prototypes = fit(docs.where(training & F.col("lang").isNotNull()).select("text", "lang"), dimensions, seed)
     names = sorted(prototypes)

@@ -26,30 +26,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, from its whole html. A null or empty page has the empty text; ids may be null or repeat."""
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document stands in benchmark windows of 13 words, and whose. Null and empty texts have no words;
+    rows that repeat come back as often."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64-bit fingerprint of every document and the smallest doc_id that can be reached over links of 4 bits. Null and
+    empty texts have the fingerprint zero; component_id is null only where no doc_id can be reached."""
     found = simhash_components(_table(spark, sf_dir, "documents"), size=4, bits=64, radius=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and license notice or text found in it. Documents without any have no row."""
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The co-trained score of every document; null and blank texts have score 0 and aren't kept."""
     found = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "score", "content_score", "meta_score", "keep")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out; null texts and texts without letters
+    are `und`. Rows without a doc_id are not held out."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     found = language_id(docs, ~held_out)
@@ -57,18 +66,23 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of those found for every twentieth vector, against all others; ties to the smaller vec_id. Unusable
+    vectors take no part."""
     return ann_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text; null texts are empty."""
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text and what they decode to, as digests; null texts are empty."""
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that 10 documents or more share; null and empty texts are one empty line."""
     found = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

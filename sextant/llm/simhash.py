@@ -8,10 +8,10 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, checkpointed, map_batches, texts
+from sextant.llm.common import bounded_batches, checkpointed, map_batches, texts, unwrapped
 from sextant.llm.components import connected_components
 
 #: Fingerprints in a tile, at least and at most: a 32nd of all, so what is sent around grows with the input, not with its
@@ -67,15 +67,21 @@ def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, seed: int = 42)
     return map_batches(rows, run, "doc_id long, fp binary")
 
 
+def row_id(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: doc_id and 128 bits of both. In its order those without a doc_id come last."""
+    return F.struct(F.isnull(doc_id).alias("unnamed"), doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(11), doc_id, text).alias("b"))
+
+
 def _set_prints(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """doc_id, fp, digest (see set_print) for each row of docs (doc_id, text)."""
+    """id, fp, digest (see set_print) for each row of docs (id, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [set_print(t, size, bits) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["doc_id", "fp", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["id", "fp", "digest"])
 
-    return map_batches(docs, run, "doc_id long, fp binary, digest binary")
+    return map_batches(docs, run, f"id {kind}, fp binary, digest binary")
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -225,14 +231,15 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: i
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles (array of the different shingles' hashes) for each row of docs (doc_id, text)."""
+    """id, shingles (array of the different shingles' hashes) for each row of docs (id, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [list({int.from_bytes(xxhash.xxh64_digest(x, 42), "big", signed=True) for x in shingles(t, size)}) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return map_batches(docs, run, "doc_id long, shingles array<long>")
+    return map_batches(docs, run, f"id {kind}, shingles array<long>")
 
 
 def true_links(m: np.ndarray, sizes: np.ndarray, items: np.ndarray, labels: np.ndarray, first: int, radius: int, least: float) -> list[tuple[int, int]]:
@@ -282,7 +289,8 @@ def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile:
     dealt = nodes.join(total, "group").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     key = ["group", "low", "high"]
-    dealt = dealt.select("group", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "label", "fp", "rep", "shingles")
+    dealt = dealt.select("group", F.xxhash64("group").alias("group_hash"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "label", "fp", "rep", "shingles")
+    kind = dealt.schema["rep"].dataType.simpleString()
     # a pair of tiles is a run of rows, the lower tile's first
     dealt = dealt.repartition(*key).sortWithinPartitions(*key, "tile")
 
@@ -290,18 +298,19 @@ def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile:
         t = pa.Table.from_batches(parts).combine_chunks()
         col = {c: t.column(c).combine_chunks() for c in t.column_names}
         m = np.frombuffer(b"".join(col["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
-        tile, ids, labels = (col[c].to_numpy(zero_copy_only=False) for c in ("tile", "rep", "label"))
+        tile, ids = col["tile"].to_numpy(zero_copy_only=False), col["rep"]
+        labels = np.unique(np.array([str(x) for x in col["label"].to_pylist()]), return_inverse=True)[1]
         sizes = np.diff(col["shingles"].offsets.to_numpy()).astype(np.int64)
         pair = col["low"][0].as_py() != col["high"][0].as_py()
         first = int(np.searchsorted(tile, col["high"][0].as_py())) if pair else 0
         links = true_links(m, sizes, col["shingles"].flatten().to_numpy(), labels, first, radius, least) if not pair or 0 < first < len(m) else []
         u, v = np.array(links, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["u", "v"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for b in batches:
-            keys = np.stack([b.column(c).to_numpy() for c in key], axis=1)
+            keys = np.stack([b.column(c).to_numpy() for c in ("group_hash", "low", "high")], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
             for x, y in zip(cuts, cuts[1:]):
                 if parts and tuple(keys[x]) != now:
@@ -312,11 +321,13 @@ def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile:
         if parts:
             yield verify(parts)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 72, tile: int | None = None, set_tile: int = SET_TILE) -> DataFrame:
-    """doc_id, component_id for every different doc_id of docs (doc_id, text; others are ignored): near-duplicate groups.
+    """id, component for every different pair of doc_id and text in docs (doc_id, text; others are ignored): near-duplicate
+    groups. id is row_id of the pair, component the smallest id in the group, so the rows whose id is their component
+    are one of each group.
 
     Documents link if the Jaccard similarity of their sets of word shingles is `least` or more. Equal sets, told by a
     digest, are grouped first; equal fingerprints of different sets are candidates like any others.
@@ -326,18 +337,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     texts that share nothing come that near once in 10^11. Of the candidates a spanning forest, nearest first, and each
     text's three nearest beyond 28 bits, below which links hardly ever fail, are verified on exact shingle sets first.
     Where links fail and leave apart what candidates join, all candidates between the parts are verified as well, so
-    groups are those of all true candidates. Texts without words are equal. Rows that share a doc_id are one document,
-    of the smallest of their texts; rows without one have no part.
+    groups are those of all true candidates. Texts without words are equal. Rows that share a doc_id but not the text are
+    different, rows without a doc_id take part like others, equal rows are one. A very long text costs memory for its
+    shingles alone.
     """
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    prints = _set_prints(docs, size, bits).groupBy("doc_id").agg(F.min(F.struct("fp", "digest")).alias("x"))
-    prints = checkpointed(prints.select("doc_id", "x.fp", "x.digest"))
+    doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    docs = docs.select(row_id(doc_id, text).alias("id"), text.alias("text"))
+    prints = checkpointed(_set_prints(docs, size, bits).select(F.col("id").alias("doc_id"), "fp", "digest"))
     reps, links = simhash_links(prints, bits, radius, tile, (3, int(0.11 * bits)))
     links = checkpointed(links.select("u", "v").distinct())
-    ends = links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = _sets(docs.join(ends, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
+    ends = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = _sets(docs.join(ends, "id", "left_semi"), size).groupBy("id").agg(F.max("shingles").alias("shingles"))
     sets = checkpointed(sets)
-    both = links.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+    both = links.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     true = both.withColumn("common", common).select("u", "v", (F.col("common") >= least * (F.size("a") + F.size("b") - F.col("common"))).alias("same"))
     true = checkpointed(true)
@@ -348,9 +360,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     failed = failed.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")).where("u <> v")
     groups = connected_components(failed).select(F.col("node").alias("label"), F.col("component").alias("group"))
     nodes = reps.join(found, reps["rep"] == found["node"], "left").withColumn("label", F.coalesce("component", "rep")).join(groups, "label")
-    nodes = nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("group", "label", "fp", "rep", "shingles")
+    nodes = nodes.join(sets.withColumnRenamed("id", "rep"), "rep").select("group", "label", "fp", "rep", "shingles")
     rest = checkpointed(_remaining(nodes, bits, radius, least, set_tile))
     if not rest.isEmpty():
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
-    of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "digest", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, ["fp", "digest"], "left").select("doc_id", "component_id")
+    of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "digest", F.coalesce("component", "rep").alias("component"))
+    # partial groups before the shuffle: equal rows are one, however many
+    return prints.join(of, ["fp", "digest"], "left").groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each near-duplicate group of docs one row: of the smallest doc_id and, where it has several texts or rows, always
+    the same one. Rows without a doc_id stay only if nothing in their group has one. All columns stay."""
+    made = near_duplicates(docs).where("id = component").select("id")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(row_id(docs["doc_id"].cast("long"), text).alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    first = rows.join(made, "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+    return unwrapped(first, docs, ())

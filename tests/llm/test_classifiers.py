@@ -230,6 +230,39 @@ def test_language_id(spark):
     assert langid.language_id(spark.createDataFrame([], DOC + ", lang string"), ~held).collect() == []
 
 
+def _bundle(text, dimensions, seed):
+    """Letter by letter: the sum over all places of the product of rotated letter vectors."""
+    letters, out = re.sub(r"[\W\d_]+", " ", text.lower()).strip(), np.zeros(dimensions)
+    space = langid.Space(dimensions, seed)
+    padded = f" {letters} "
+    for k in range(len(padded) - 2):
+        v = np.ones(dimensions)
+        for back in range(3):
+            letter = space.letter(ord(padded[k + 2 - back])).astype(float)
+            v *= np.concatenate([letter[dimensions - back :], letter[: dimensions - back]])
+        out += v
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    """Prototypes and cosines against sums over all letters of all texts, one after another; ties go to the first name."""
+    rows = _languages(random.Random(9), 90) + [(500, "Ébène, l'été", "xc"), (501, "twin", "ya"), (502, "twin", "yb"), (503, "twin", "xa"), (504, "a " * 3000, "xb")]
+    train = [r for r in rows if r[0] % 3]
+    names = sorted({r[2] for r in train})
+    unit = {n: (v := sum(_bundle(t, 96, 4) for _, t, g in train if g == n)) / np.linalg.norm(v) for n in names}
+    common = sum(unit.values()) / (2 * len(unit))
+    df = spark.createDataFrame(rows, DOC + ", lang string").repartition(3)
+    got = {r["doc_id"]: r for r in langid.language_id(df, F.col("doc_id") % 3 > 0, 96, 4).collect()}
+    for i, text, _ in rows:
+        v = _bundle(text, 96, 4)
+        cos = [float(v @ (p := unit[n] - common)) / np.linalg.norm(p) / np.linalg.norm(v) for n in names]
+        best = max(cos)
+        assert abs(got[i]["score"] - max(0.0, best)) < 1e-6
+        assert got[i]["lang_pred"] in [n for n, c in zip(names, cos) if c > best - 1e-6]
+    twins = spark.createDataFrame([(1, "same words here", "zb"), (2, "same words here", "za"), (3, "same words", None)], DOC + ", lang string")
+    assert {r["lang_pred"] for r in langid.language_id(twins, F.lit(True), 96, 4).collect()} == {"za"}
+
+
 def test_grams_do_not_depend_on_batches():
     one, two = langid.Space(64), langid.Space(64)
     codes, counts = langid.grams("Été, hiver; l'été!")

@@ -154,6 +154,27 @@ def test_prints_without_an_id_are_bridges(spark):
     assert {(r["doc_id"], r["component_id"]) for r in S.simhash_components(alone).collect()} == {(None, None), (1, 1)}
 
 
+def _near(found):
+    rows = found.collect()
+    assert len(rows) == len({r["id"] for r in rows})
+    return {r["id"]["doc_id"]: r["component"]["doc_id"] for r in rows}
+
+
+def test_one_row_of_each_group(spark):
+    """Rows that share a doc_id, have none or repeat; columns of any name."""
+    rng = random.Random(14)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, b + " more"), (3, c), (None, c), (None, d), (None, d + " more"), (None, "short"), (5, "short"), (6, None), (None, "")]
+    df = spark.createDataFrame([(*r, k, "x", 1) for k, r in enumerate(rows)], DOC + ", id int, row string, FP int")
+    out = S.one_of_each(df)
+    assert out.columns == ["doc_id", "text", "id", "row", "FP"]
+    got = sorted((str(r["doc_id"]), str(r["text"])[:8]) for r in out.collect())
+    # of the two that have no id and are near to each other one stays
+    assert len(got) == 6 and got[:2] == sorted([("1", a[:8]), ("1", b[:8])]) and got[2:5] == [("3", c[:8]), ("5", "short"), ("6", "None")] and got[5] == ("None", d[:8])
+    assert S.one_of_each(spark.createDataFrame([], DOC)).collect() == []
+
+
 def test_near_duplicates_are_verified(spark):
     rng = random.Random(4)
     rows, clean = [], []
@@ -168,8 +189,8 @@ def test_near_duplicates_are_verified(spark):
         half = words[:75] + [rng.choice(WORDS) for _ in range(75)]
         rows.append((5000 + k, " ".join(half)))
         clean.append(5000 + k)
-    rows += [(9000, None), (9001, ""), (None, "no id")]
-    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    rows += [(9000, None), (9001, ""), (9001, "")]
+    got = _near(S.near_duplicates(spark.createDataFrame(rows, DOC)))
     assert {d for d, c in got.items() if d == c} == {*clean, 9000}
     assert got[1000] == 0 and got[1390 + 1] == 39 and got[9001] == 9000
 
@@ -194,9 +215,9 @@ def test_near_duplicates_of_a_family_about_the_limit(spark, sizes):
             for at in rng.sample(range(100), 2 if k % 10 else 3):
                 some[at] = f"v{rng.randrange(10**6)}"
             rows.append((1000 * family + k, " ".join(some)))
-    got = S.near_duplicates(spark.createDataFrame(rows, DOC).repartition(4), **sizes).collect()
+    got = _near(S.near_duplicates(spark.createDataFrame(rows, DOC).repartition(4), **sizes))
     want = _groups(rows)
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert got == want
     assert 20 < len({*want.values()}) < 480
 
 
@@ -206,7 +227,7 @@ def test_near_duplicates_with_a_passage_repeated_inside(spark):
     for k, times in enumerate((2, 5, 10, 50)):
         text = " ".join(rng.choice(WORDS) for _ in range(120))
         rows += [(k, text), (100 + k, text + f" {text[-40:]}" * times)]
-    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    got = _near(S.near_duplicates(spark.createDataFrame(rows, DOC)))
     want = _groups(rows)
     assert all(want[100 + k] == k for k in range(4))
     assert got == want
@@ -216,7 +237,7 @@ def test_equal_prints_of_different_texts_are_verified(spark):
     rng = random.Random(13)
     rows = [(k, " ".join(rng.choice(WORDS) for _ in range(60)) + " again" * 200) for k in range(6)]
     rows += [(10, rows[3][1].upper()), (11, rows[4][1].replace(" ", "  ") + " again")]
-    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    got = _near(S.near_duplicates(spark.createDataFrame(rows, DOC)))
     assert got == _groups(rows) == {**{k: k for k in range(6)}, 10: 3, 11: 4}
     # and prints that are equal though each shingle counts once
     prints = spark.createDataFrame([(7, b"\1" * 32, b"a"), (3, b"\1" * 32, b"b"), (5, b"\1" * 32, b"b")], "doc_id long, fp binary, digest binary")
