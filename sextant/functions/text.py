@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,16 +67,34 @@ def section_label(path: Column, title: Column, depth: int = 2) -> Column:
 
 
 def html_to_text(raw: Column) -> Column:
-    """Closing block tags and <br> end lines, other tags go; lines lose trailing space, empty lines collapse. References
-    are decoded for the entities named here; pages with others need the pandas version in operators.markdown."""
+    """Closing block tags and <br> end lines, other tags go; character references are decoded; lines lose trailing space,
+    empty lines collapse."""
     text = F.regexp_replace(raw, r"(?i)</(p|pre|li|h\d)>|<br\s*/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t]+(?=\n|$)", "")
+    text = F.regexp_replace(unescaped(text), r"[ \t]+(?=\n|$)", "")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
 
 
+def unescaped(text: Column) -> Column:
+    """Character references decoded: all names that HTML knows, and numbers; unknown ones stay. Text without an ampersand
+    isn't touched, and names are looked up only where one stands."""
+    names = F.create_map(*[F.lit(x) for k, v in html.entities.html5.items() if k.endswith(";") for x in (k, v)])
+
+    def decoded(part: Column) -> Column:
+        # what follows an ampersand: a reference up to its semicolon, then text
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;)", 1)
+        digits = F.regexp_extract(name, r"^#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        char = F.when(F.startswith(name, F.lit("#")), number).otherwise(F.try_element_at(names, name))
+        return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 1)))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+
+
 def doc_id(path: Column) -> Column:
     """A document's id from its path: no extension, no _index, no slash at the end."""
     return F.rtrim(F.regexp_replace(path, r"(/?_index)?\.md$", ""), F.lit("/"))
@@ -101,9 +122,19 @@ def eligible(text: Column, most_code: float = 0.8, least_prose: int = 120) -> Co
 
 
 def glob_pattern(glob: str) -> str:
-    """A regular expression for a shell pattern in which * crosses slashes."""
-    special = {"*": ".*", "?": "."}
-    return "^" + "".join(special.get(c) or ("\\" + c if not c.isalnum() and c not in "/_" else c) for c in glob) + "$"
+    """A regular expression for a shell pattern, with *, ? and [sets], in which * crosses slashes."""
+    parts, k = [], 0
+    while k < len(glob):
+        c, end = glob[k], glob.find("]", k + 2 + (glob[k + 1 : k + 2] == "!"))
+        if c == "[" and end > 0:
+            # a set of characters; ! at its beginning stands for all others
+            inner = re.sub(r"([\\\[\]^&~|])", r"\\\1", glob[k + 1 : end].removeprefix("!"))
+            parts.append(("[^" if glob[k + 1] == "!" else "[") + inner + "]")
+            k = end
+        else:
+            parts.append({"*": ".*", "?": "."}.get(c) or ("\\" + c if not c.isalnum() and c not in "/_" else c))
+        k += 1
+    return "^" + "".join(parts) + "$"
 
 
 def error_lines(text: Column, last: int = 2) -> Column:
@@ -159,9 +190,21 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def _letter(x: Column) -> Column:
+    """The place of a letter from 1, or 0 for what is no single letter."""
+    c = F.upper(F.trim(x))
+    return F.when(c.rlike("^[A-Z]$"), F.ascii(c) - 64).otherwise(0)
+
+
 def letter_choices(letters: Column, candidates: Column) -> Column:
-    """Candidates by letter, in order, once each; letters beyond the candidates are null."""
-    return F.array_distinct(F.transform(letters, lambda x: F.try_element_at(candidates, F.ascii(F.upper(F.trim(x))) - 64)))
+    """Candidates by letter, in order, once each; unknown letters are left out, see unknown_letters."""
+    known = F.filter(letters, lambda x: _letter(x).between(1, F.size(candidates)))
+    return F.array_distinct(F.transform(known, lambda x: F.element_at(candidates, _letter(x))))
+
+
+def unknown_letters(letters: Column, candidates: Column) -> Column:
+    """What of a list names no candidate."""
+    return F.filter(letters, lambda x: ~F.coalesce(_letter(x).between(1, F.size(candidates)), F.lit(False)))
 
 
 def lettered(candidates: Column) -> Column:

@@ -32,13 +32,23 @@ def json_lines(text: Column) -> Column:
 
 def answer_rows(files: DataFrame, schema: str = "id string, verdict string, reason string, relevant array<string>, also_relevant array<string>") -> DataFrame:
     """files: path, text. The answers of all files whose object lines are all JSON, with pos: their order by path and
-    line. A file with a line that isn't JSON is left out as a whole."""
-    rows = files.select("path", F.posexplode(json_lines(F.col("text"))).alias("line", "json")).withColumn("v", F.try_parse_json("json"))
-    bad = rows.where("v is null").select("path").distinct()
-    good = rows.join(bad, "path", "left_anti")
+    line. A file with a line that isn't JSON is left out as a whole; answer_errors names it."""
+    rows = _answer_lines(files)
+    good = rows.join(answer_errors(files).select("path"), "path", "left_anti")
     return good.select("path", "line", F.from_json("json", schema).alias("a")).select("path", "line", "a.*")
 
 
+def _answer_lines(files: DataFrame) -> DataFrame:
+    rows = files.select("path", F.posexplode(json_lines(F.col("text"))).alias("line", "json"))
+    return rows.withColumn("valid", F.try_parse_json("json").isNotNull())
+
+
+def answer_errors(files: DataFrame) -> DataFrame:
+    """path, error for each file that answer_rows leaves out: its first line that isn't JSON."""
+    bad = _answer_lines(files).where("not valid").groupBy("path").agg(F.min_by("json", "line").alias("json"))
+    return bad.select("path", F.concat(F.lit("not valid JSON: "), F.substring("json", 1, 80)).alias("error"))
+
+
 def runbook_errors(name: Column, body: Column, sections: list[str], least: int = 150, most: int = 700) -> Column:
     """What is wrong with a runbook: its name, its second-level headings, a first-level one, its length."""
     headings = F.regexp_extract_all(body, F.lit(r"(?m)^##\s+(.+?)\s*$"), F.lit(1))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.functions.text import error_lines
+from sextant.functions.text import ERROR_LINE, error_lines
 
 #: Events that happen all the time.
 ROUTINE = "Scheduled SuccessfulCreate ScalingReplicaSet Pulled Pulling Created Started SuccessfulDelete SandboxChanged Completed RegisteredNode Starting".split()
+#: Lines of a description that tell something; what marks the strongest error lines; what else a table says of
+#: an error; names of machines and of the cluster, and what stands for them.
+DESCRIBED = r"^\s*(Status|State|Reason|Exit Code|Message|Last State):\s*(.+)$"
+STRONG, TABLE_ERROR = "(?i)error|forbidden|denied|cannot|failed", "<pending>|<unknown>|NotReady"
+PLACES = (("k3d-rr-faults-agent-0", "worker-1"), ("k3d-rr-faults-server-0", "worker-2"), ("rr-faults", "cluster"))
 SECTION = "array<struct<title:string,command:string,output:string>>"
 #: Schema of a capture record.
 CAPTURE = f"id string, runbook string, description string, status string, error string, captured_at string, namespace string, missing array<string>, seconds double, versions struct<client:string,server:string>, sections {SECTION}"
@@ -40,7 +45,7 @@ def problem_pods(table: Column, most: int = 3) -> Column:
 
 def describe_lines(text: Column, most: int = 8) -> Column:
     """States, reasons, exit codes and messages, each once; what is running or none says nothing."""
-    pattern = r"^\s*(Status|State|Reason|Exit Code|Message|Last State):\s*(.+)$"
+    pattern = DESCRIBED
     found = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(pattern) & ~F.trim(F.regexp_extract(x, pattern, 2)).isin("Running", "<none>"))
     said = F.transform(found, lambda x: F.concat(F.regexp_extract(x, pattern, 1), F.lit(": "), F.regexp_replace(F.trim(F.regexp_extract(x, pattern, 2)), r"\s+", " ")))
     return F.slice(F.array_distinct(said), 1, most)
@@ -63,8 +68,8 @@ def snapshot_queries(captures: DataFrame, most_words: int = 160) -> DataFrame:
     is_log = lambda x: F.startswith(x["title"], F.lit("logs"))
     logs = F.flatten(F.transform(F.filter(s, is_log), lambda x: error_lines(x["output"])))
     other = F.filter(s, lambda x: ~is_log(x) & ~x["title"].isin("pods", "describe pods", "events"))
-    errors = F.flatten(F.transform(other, lambda x: F.filter(F.transform(F.split(x["output"], r"\r?\n"), lambda y: F.trim(y)), lambda y: F.size(error_lines(y)) > 0)))
-    strong = lambda x: x.rlike("(?i)error|forbidden|denied|cannot|failed")
+    errors = F.flatten(F.transform(other, lambda x: F.filter(F.transform(F.split(x["output"], r"\r?\n"), lambda y: F.trim(y)), lambda y: y.rlike("(?i)" + ERROR_LINE) | y.rlike(TABLE_ERROR))))
+    strong = lambda x: x.rlike(STRONG)
     rows = captures.where("status = 'ok'").select(
         "id", "namespace", problem_pods(_output(s, "pods")).alias("pods"), describe_lines(_output(s, "describe pods")).alias("describe"), event_lines(_output(s, "events")).alias("events"),
         F.transform(F.slice(F.array_distinct(logs), 1, 2), lambda x: F.concat(F.lit("log: "), x)).alias("logs"), F.array_distinct(errors).alias("errors"),
@@ -84,8 +89,26 @@ def snapshot_queries(captures: DataFrame, most_words: int = 160) -> DataFrame:
 
 
 def anonymous(text: Column, namespace: Column) -> Column:
-    """Names of the place that a capture comes from, replaced; generated names need operators.markdown.fresh_names."""
-    return F.replace(text, namespace, F.lit("prod"))
+    """Names of the place that a capture comes from, replaced: namespace, machines, cluster; generated names of pods need
+    operators.markdown.randomized."""
+    text = F.replace(text, namespace, F.lit("prod"))
+    for name, other in PLACES:
+        text = F.replace(text, F.lit(name), F.lit(other))
+    return text
+
+
+def incident_rows(captures: DataFrame, scenarios: DataFrame, splits: DataFrame) -> DataFrame:
+    """qid, query, variant, scenario, doc_id, relevant_docs, runbook_split: both variants of each good capture's query,
+    with names of pods regenerated, joined with its scenario (id, runbook, also_relevant) and its runbook's split (doc_id,
+    split). Captures without a scenario or a split have no rows; scenarios and splits are small tables of people."""
+    from sextant.operators.markdown import randomized
+
+    doc = lambda name: F.concat(F.lit("runbook/"), name)
+    made = snapshot_queries(captures).select("id", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("query")) for v in ("full", "brief")])).alias("q"))
+    rows = made.join(captures.where("status = 'ok'").select("id", F.col("runbook").alias("_seen")), "id").join(scenarios.select("id", "runbook", "also_relevant"), "id")
+    rows = rows.withColumn("doc_id", doc(F.col("_seen"))).join(splits.select("doc_id", "split"), "doc_id")
+    relevant = F.transform(F.concat(F.array("runbook"), F.coalesce("also_relevant", F.array().cast("array<string>"))), doc)
+    return rows.select(F.concat_ws("/", F.lit("incident"), "id", "q.variant").alias("qid"), randomized(F.col("q.query")).alias("query"), "q.variant", F.col("id").alias("scenario"), "doc_id", relevant.alias("relevant_docs"), F.col("split").alias("runbook_split"))
 
 
 POD = "metadata struct<name:string>, status struct<initContainerStatuses:{0},containerStatuses:{0}>".format("array<struct<name:string,restartCount:int,lastState:struct<terminated:struct<exitCode:int>>,state:struct<running:struct<startedAt:string>,terminated:struct<exitCode:int>>>>")

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEST_VERDICTS = ("correct", "wrong", "ambiguous")
+from sextant.functions.text import letter_choices, unknown_letters
+
+#: Verdicts by task; a task without any asks for relevant candidates alone.
+VERDICTS = {"test_pairs": ("correct", "wrong", "ambiguous"), "so_questions": (), "train_audit": ("correct", "wrong"), "negatives_audit": ("true_negative", "false_negative")}
+#: Characters of a reason that are kept; what a label consists of.
+REASON, FIELDS = 300, ("verdict", "also_relevant", "relevant", "reason", "labeler")
 
 
 def latest(log: DataFrame, id_: list[str], order: list[str]) -> DataFrame:
@@ -35,22 +40,60 @@ def summary(queue: DataFrame, labels: DataFrame, verdict: str) -> DataFrame:
 
 
 def agreement(human: DataFrame, other: DataFrame, labeler: str = "model") -> DataFrame:
-    """n, the share of equal verdicts to three places (null without any), and the sorted ids that differ."""
+    """n, the share of equal verdicts to three places (null without any), and confusion: how often each human and other
+    verdict met, as a map by h/c. human: id, verdict; other: id, verdict, labeler, of which only `labeler` counts."""
     both = human.select("id", F.col("verdict").alias("h")).join(other.where(F.col("labeler") == labeler).select("id", F.col("verdict").alias("c")), "id")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg((F.col("h") == F.col("c")).cast("double")), 3).alias("agreement"), F.array_sort(F.collect_list(F.when(F.col("h") != F.col("c"), F.col("id")))).alias("disagreements"))
+    each = both.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct(F.concat_ws("/", "h", "c").alias("key"), F.col("n").alias("value"))
+    n, equal = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("h") == F.col("c"), F.col("n"))), F.lit(0))
+    return each.agg(n.alias("n"), F.when(n > 0, F.bround(equal / n, 3)).alias("agreement"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("confusion"))
+
+
+def disagreements(human: DataFrame, other: DataFrame) -> DataFrame:
+    """id, human, other for each id on which a human and any other labeler differ, a row each."""
+    both = human.select("id", F.col("verdict").alias("human")).join(other.select("id", F.col("verdict").alias("other")), "id")
+    return both.where(~F.col("human").eqNullSafe(F.col("other")))
+
 
+def imported(answers: DataFrame, queue: DataFrame, labels: DataFrame, overwrite: bool = False, labeler: str = "model") -> DataFrame:
+    """One row for the last answer of each id: id, task, status, error and the label, FIELDS.
 
-def imported(answers: DataFrame, queue: DataFrame, labels: DataFrame, overwrite: bool = False) -> DataFrame:
-    """answers: id, verdict, pos; queue: id; labels: id, verdict, labeler. id, status for the last answer of each id.
+    answers: id, pos, verdict, reason, also_relevant, relevant (arrays of letters); queue: id, task, candidates (array);
+    labels: id and FIELDS, the latest of each id. status is unknown (id not in any queue), invalid (error says why),
+    kept_human (labelled by anyone but `labeler`, unless overwrite), unchanged (all FIELDS are the same) or saved; the
+    rows saved are what an import appends, so importing again changes nothing.
 
-    unknown: not in the queue; invalid: no such verdict; kept_human: a human labelled it; unchanged: the same already;
-    else saved. Rows with status saved are what an import appends, so importing again changes nothing.
+    test_pairs need a verdict and a list also_relevant, which counts for correct pairs only; so_questions a list
+    relevant; train_audit and negatives_audit a verdict of their own. A letter beyond the candidates is an error.
     """
-    last = latest(answers, ["id"], ["pos"]).select("id", F.lower(F.trim("verdict")).alias("verdict"))
-    joined = last.join(queue.select("id", F.lit(True).alias("_known")), "id", "left").join(labels.select("id", F.col("verdict").alias("_old"), F.coalesce("labeler", F.lit("human")).alias("_by")), "id", "left")
-    human = (F.col("_by") == "human") & F.lit(not overwrite)
-    status = F.when(F.col("_known").isNull(), "unknown").when(F.col("verdict").isNull() | ~F.col("verdict").isin(*TEST_VERDICTS), "invalid").when(human, "kept_human").when(F.col("verdict") == F.col("_old"), "unchanged").otherwise("saved")
-    return joined.select("id", "verdict", status.alias("status"))
+    last = latest(answers, ["id"], ["pos"]).select("id", F.lower(F.trim("verdict")).alias("verdict"), F.substring(F.coalesce("reason", F.lit("")), 1, REASON).alias("reason"), "also_relevant", "relevant")
+    joined = last.join(queue.select("id", "task", "candidates"), "id", "left")
+    task, verdict = F.col("task"), F.col("verdict")
+    allowed = F.try_element_at(F.create_map(*[x for t, vs in VERDICTS.items() for x in (F.lit(t), F.array(*map(F.lit, vs)).cast("array<string>"))]), task)
+    asked = F.when(task == "test_pairs", F.col("also_relevant")).when(task == "so_questions", F.col("relevant"))
+    listed = task.isin("test_pairs", "so_questions")
+    unknown = unknown_letters(asked, F.col("candidates"))
+    error = (
+        F.when(task.isNull(), F.lit("unknown id"))
+        .when((F.size(allowed) > 0) & ~F.coalesce(F.array_contains(allowed, verdict), F.lit(False)), F.concat(F.lit("no such verdict: "), F.coalesce(verdict, F.lit(""))))
+        .when(listed & asked.isNull(), F.lit("no list of letters"))
+        .when(listed & (F.size(unknown) > 0), F.concat(F.lit("unknown letter: "), F.array_join(unknown, ", ")))
+    )
+    chosen, none = letter_choices(asked, F.col("candidates")), F.lit(None).cast("array<string>")
+    made = joined.select(
+        "id", "task", error.alias("error"), F.when(F.size(allowed) > 0, verdict).alias("verdict"),
+        F.when(task == "test_pairs", F.when(verdict == "correct", chosen).otherwise(F.array().cast("array<string>"))).otherwise(none).alias("also_relevant"),
+        F.when(task == "so_questions", chosen).otherwise(none).alias("relevant"), "reason", F.lit(labeler).alias("labeler"),
+    )
+    old = labels.select("id", F.struct(*FIELDS).alias("_old"))
+    joined = made.join(old, "id", "left")
+    same = F.lit(True)
+    for c in FIELDS:
+        same = same & F.col(c).eqNullSafe(F.col("_old")[c])
+    there = F.col("_old").isNotNull()
+    by_human = there & ~F.col("_old.labeler").eqNullSafe(F.lit(labeler)) & F.lit(not overwrite)
+    status = F.when(task.isNull(), "unknown").when(F.col("error").isNotNull(), "invalid").when(by_human, "kept_human").when(there & same, "unchanged").otherwise("saved")
+    return joined.select("id", "task", status.alias("status"), "error", *FIELDS)
 
 
 def next_unlabelled(queue: DataFrame, labels: DataFrame, after: int) -> DataFrame:

@@ -155,16 +155,16 @@ def rank_of(scores: DataFrame, positives: DataFrame) -> DataFrame:
     return ranked.join(positives, ["qid", "doc_id"], "left_semi").select("qid", "doc_id", "rank")
 
 
-#: Other names of retrievers.
+#: Other names of rankers.
 ALIASES = {"okapi": "bm25", "vectors": "dense"}
 
 
-def retriever(name: str, known: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame], DataFrame]:
-    """A retriever by name: one of `known` (queries to rankings), an alias of one, or hybrid:<name>, its fusion with bm25."""
+def ranker(name: str, known: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame], DataFrame]:
+    """A ranker by name: one of `known` (queries to rankings), an alias of one, or hybrid:<name>, its fusion with bm25."""
     if name.startswith("hybrid:"):
-        other = retriever(name.removeprefix("hybrid:"), known)
+        other = ranker(name.removeprefix("hybrid:"), known)
         return lambda queries: rrf([other(queries), known["bm25"](queries)])
     name = ALIASES.get(name, name)
     if name not in known:
-        raise ValueError(f"no retriever is named {name}")
+        raise ValueError(f"no ranker is named {name}")
     return known[name]

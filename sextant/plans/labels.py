@@ -98,12 +98,63 @@ def q_next_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.next_unlabelled(queue, _labels(spark, sf_dir).select(F.col("doc_id").alias("id")), 500)
 
 
-@R.query("""with h as (select doc_id, quality = 1 as v from labels), c as (select doc_id, toxic = 0 as v, case when doc_id % 5 = 0 then 'human' else 'model' end as labeler from labels)
-select count(*) as n, round_even(avg(cast(h.v = c.v as integer)), 3) as agreement, list_sort(list(h.doc_id) filter (h.v <> c.v)) as disagreements from h join c using (doc_id) where labeler = 'model'""")
+OTHER = "select doc_id, case when toxic = 0 then 'correct' else 'wrong' end as c, case when doc_id % 5 = 0 then 'human' else 'model' end as labeler from labels"
+HUMAN = "select doc_id, case when quality = 1 then 'correct' else 'wrong' end as h from labels"
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "correct").otherwise("wrong").alias("verdict"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("labeler"))
+
+
+@R.query(f"""with b as (select * from ({HUMAN}) join ({OTHER}) using (doc_id) where labeler = 'model'), k as (select h || '/' || c as k, count(*) as n from b group by 1)
+select (select count(*) from b) as n, (select round_even(avg(cast(h = c as integer)), 3) from b) as agreement, string_agg(k || '=' || n, ',' order by k) as confusion from k""")
 def q_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(spark, sf_dir)
-    other = rows.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "correct").otherwise("wrong").alias("verdict"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("labeler"))
-    return labels.agreement(_verdicts(rows), other)
+    shown = F.array_join(F.transform(F.map_entries("confusion"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return labels.agreement(_verdicts(rows), _other(rows)).select("n", "agreement", shown.alias("confusion"))
+
+
+@R.query(f"select doc_id as id, h as human, c as other from ({HUMAN}) join ({OTHER}) using (doc_id) where h <> c")
+def q_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labels(spark, sf_dir)
+    return labels.disagreements(_verdicts(rows), _other(rows))
+
+
+#: A queue of parts by four tasks, what is labelled of them already, and answers made of line items: the last one counts.
+IMPORT_QUEUE = """select p_partkey as id, case p_size % 4 when 0 then 'test_pairs' when 1 then 'so_questions' when 2 then 'train_audit' else 'negatives_audit' end as task,
+  case when p_partkey % 3 = 0 then array({0}) else array({0}, {1}) end as candidates from part where p_partkey % 11 <> 0"""
+IMPORT_CANDIDATES = ("concat('c', cast(p_partkey as string))", "concat('d', cast(p_size as string))")
+IMPORT_LABELS = """select p_partkey as id, case p_size % 4 when 0 then 'wrong' when 1 then null when 2 then 'correct' else 'true_negative' end as verdict,
+  case when p_size % 4 = 0 then {0} end as also_relevant, case when p_size % 4 = 1 then {1} end as relevant, '' as reason,
+  case p_partkey % 5 when 0 then 'alice' when 1 then null else 'model' end as labeler from part where p_partkey % 2 = 0"""
+IMPORT_ANSWERS = """select l_partkey as id, l_orderkey * 10 + l_linenumber as pos, case l_linenumber when 1 then 'Correct ' when 2 then 'wrong' when 3 then 'true_negative' when 4 then 'maybe' when 5 then 'correct' when 6 then 'false_negative' end as verdict,
+  case when l_suppkey % 7 = 0 then 'why' else '' end as reason, case l_suppkey % 4 when 0 then array('a') when 1 then array('B', 'a', 'A') when 2 then array('?') end as also_relevant, case l_suppkey % 3 when 0 then array(' A') when 1 then array('b') end as relevant from lineitem"""
+
+
+def _duck(sql: str) -> str:
+    return sql.replace("as string)", "as varchar)").replace("array(", "list_value(")
+
+
+@R.query(f"""with q as ({_duck(IMPORT_QUEUE.format(*IMPORT_CANDIDATES))}), n as ({_duck(IMPORT_LABELS.format("cast([] as varchar[])", "list_value(concat('c', cast(p_partkey as string)))"))}),
+a as (select * from (select *, row_number() over (partition by id order by pos desc) as k from ({_duck(IMPORT_ANSWERS)})) where k = 1),
+j as (select a.id, q.task, lower(trim(a.verdict)) as v, a.reason, q.candidates as cs, case q.task when 'test_pairs' then a.also_relevant when 'so_questions' then a.relevant end as asked,
+  q.task in ('test_pairs', 'so_questions') as listed,
+  case q.task when 'test_pairs' then ['correct', 'wrong', 'ambiguous'] when 'train_audit' then ['correct', 'wrong'] when 'negatives_audit' then ['true_negative', 'false_negative'] else [] end as allowed from a left join q using (id)),
+u as (select *, list_filter(asked, lambda x: not (upper(trim(x)) between 'A' and 'Z') or ascii(upper(trim(x))) - 64 > len(cs)) as un, list_filter(asked, lambda x: upper(trim(x)) between 'A' and 'Z' and ascii(upper(trim(x))) - 64 <= len(cs)) as ok from j),
+e as (select *, case when task is null then 'unknown id' when len(allowed) > 0 and not coalesce(list_contains(allowed, v), false) then 'no such verdict: ' || coalesce(v, '') when listed and asked is null then 'no list of letters' when listed and len(un) > 0 then 'unknown letter: ' || array_to_string(un, ', ') end as error,
+  list_transform(ok, lambda x: cs[ascii(upper(trim(x))) - 64]) as ch from u),
+m as (select id, task, error, case when len(allowed) > 0 then v end as verdict, case when task = 'test_pairs' then case when v = 'correct' then case when len(ch) = 3 then [ch[1], ch[2]] when ch[1] = ch[2] then [ch[1]] else ch end else [] end end as also_relevant, case when task = 'so_questions' then ch end as relevant, reason from e)
+select m.id, m.task, case when m.task is null then 'unknown' when m.error is not null then 'invalid' when n.id is not null and coalesce(n.labeler, '') <> 'model' then 'kept_human'
+  when n.id is not null and m.verdict is not distinct from n.verdict and m.also_relevant is not distinct from n.also_relevant and m.relevant is not distinct from n.relevant and m.reason = n.reason then 'unchanged' else 'saved' end as status,
+  m.error, m.verdict, array_to_string(m.also_relevant, ',') as also, array_to_string(m.relevant, ',') as relevant, m.reason from m left join n using (id)""")
+def q_label_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import of four tasks' answers, over whole tables."""
+    for name in ("part", "lineitem"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    candidates = IMPORT_CANDIDATES
+    queue, known = spark.sql(IMPORT_QUEUE.format(*candidates)), spark.sql(IMPORT_LABELS.format("cast(array() as array<string>)", f"array({candidates[0]})"))
+    found = labels.imported(spark.sql(IMPORT_ANSWERS), queue, known)
+    return found.select("id", "task", "status", "error", "verdict", F.array_join("also_relevant", ",").alias("also"), F.array_join("relevant", ",").alias("relevant"), "reason")
 
 
 @R.query("""select count(*) as total, count(quality) as labelled, count(*) > 0 and count(quality) >= count(*) as done, count(*) filter (quality = 1) as correct, count(*) filter (quality = 0) as wrong,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
-from sextant.operators import generation, incident, labels, pairs
+from sextant.operators import generation, incident, pairs
 from sextant.operators.sampling import batches
 from sextant.plans import Registry, table
 
@@ -55,24 +55,15 @@ FILES = [
     ("b.jsonl", '{"id": "q1", "verdict": "wrong", "reason": "later"}\n{"id": "q3", "verdict": "maybe", "reason": ""}\n{"id": "q9", "verdict": "wrong"}\n{"id": "q4", "verdict": "correct"}\n{"id": "q5", "verdict": "correct", "also_relevant": ["A"]}'),
     ("c.jsonl", '{"id": "q2", "verdict": "correct"}\n{"id": broken}\n'),
 ]
-QUEUE = [(f"q{k}", ["d1", "d2"]) for k in range(1, 6)]
-KNOWN = [("q4", "correct", "model"), ("q5", "wrong", None)]
-
-
 @R.query(f"""with f as (select * from (values {_sql(FILES)}) t(path, body)), l as (select path, k as line, rtrim(trim(ls[k]), ',') as j from (select path, string_split(body, chr(10)) as ls, unnest(range(1, len(string_split(body, chr(10))) + 1)) as k from f)),
-o as (select * from l where starts_with(j, '{{')), good as (select *, json_extract_string(j, '$.id') as id, json_extract_string(j, '$.verdict') as verdict from o where path not in (select path from o where not json_valid(j))),
-last as (select id, lower(trim(verdict)) as verdict, from_json(json_extract(j, '$.also_relevant'), '["VARCHAR"]') as letters from (select *, row_number() over (partition by id order by path desc, line desc) as k from good) where k = 1),
-q as (select * from (values {_sql(QUEUE)}) t(id, candidates)), n as (select id, verdict as old, coalesce(labeler, 'human') as who from (values {_sql(KNOWN)}) t(id, verdict, labeler))
-select id, verdict, case when q.candidates is null then 'unknown' when verdict is null or verdict not in ('correct', 'wrong', 'ambiguous') then 'invalid' when who = 'human' then 'kept_human' when verdict = old then 'unchanged' else 'saved' end as status,
-  coalesce(array_to_string(list_transform(letters, lambda x: q.candidates[ascii(upper(x)) - 64]), ','), '') as also from last left join q using (id) left join n using (id)""")
+o as (select * from l where starts_with(j, '{{')), bad as (select path, arg_min(j, line) as j from o where not json_valid(j) group by path)
+select path, json_extract_string(j, '$.id') as id, json_extract_string(j, '$.verdict') as verdict, coalesce(array_to_string(from_json(json_extract(j, '$.also_relevant'), '["VARCHAR"]'), ','), '') as also, cast(null as varchar) as error from o where path not in (select path from bad)
+union all select path, null, null, null, 'not valid JSON: ' || substr(j, 1, 80) from bad""")
 def q_answer_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = generation.answer_rows(spark.createDataFrame(FILES, "path string, text string"))
-    answers = answers.withColumn("pos", F.struct("path", "line"))
-    queue = spark.createDataFrame(QUEUE, "id string, candidates array<string>")
-    done = labels.imported(answers.select("id", "verdict", "pos"), queue, spark.createDataFrame(KNOWN, "id string, verdict string, labeler string"))
-    last = labels.latest(answers, ["id"], ["pos"]).select("id", "also_relevant").join(queue, "id", "left")
-    also = F.array_join(T.letter_choices(F.col("also_relevant"), F.col("candidates")), ",")
-    return done.join(last.select("id", F.coalesce(also, F.lit("")).alias("also")), "id")
+    files = spark.createDataFrame(FILES, "path string, text string")
+    rows = generation.answer_rows(files).select("path", "id", "verdict", F.coalesce(F.array_join("also_relevant", ","), F.lit("")).alias("also"), F.lit(None).cast("string").alias("error"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("id", "verdict", "also")]
+    return rows.unionByName(generation.answer_errors(files).select("path", *nothing, "error"))
 
 
 PODS = "NAME READY STATUS RESTARTS AGE\nweb-1 1/1 Running 0 5m\nweb-2 0/1 CrashLoopBackOff 4 (12s ago) 5m\ndb-0 1/2 Running 0 9m\njob x\n"

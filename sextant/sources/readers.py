@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sextant.functions.text import doc_id, glob_pattern
 from sextant.operators.corpus import repeated_keys
 from sextant.operators.incident import CAPTURE
 
+FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 CHUNK = "chunk_id string, doc_id string, source string, source_path string, url string, title string, section string, text string, n_tokens int, meta map<string,string>"
 
 
@@ -22,12 +24,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+def _is_object(line: Column) -> Column:
+    return F.startswith(F.ltrim(line), F.lit("{")) & F.try_parse_json(line).isNotNull()
+
+
+def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 1), value of each line that is neither blank nor a JSON object.
+
+    A line's number is the number of lines in the parts of its file before its own, and its place there; rows of a part
+    are read in order, so a count and a least number for each part are all that is gathered.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value")
+    parts = rows.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("before", before).drop("n")
+    bad = rows.where((F.trim("value") != "") & ~_is_object(F.col("value")))
+    return bad.join(parts, ["path", "part"]).select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def jsonl(spark: SparkSession, path: str, schema: str | T.StructType, check: bool = False) -> DataFrame:
     """A row for each line that isn't blank, and its file as `path`; a line that isn't an object of the schema is an error
-    that names its file when it is read."""
+    that names its file when it is read. check: all lines are looked at first, and the error names file and line."""
+    if check and (bad := jsonl_problems(spark, path).orderBy("path", "line").limit(5).collect()):
+        raise ValueError("not a JSON object: " + "; ".join(f"{r['path']}:{r['line']}: {r['value'][:80]}" for r in bad))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
     wrong = F.concat(F.lit("not a JSON object, in "), "path", F.lit(": "), F.substring("value", 1, 80))
-    checked = F.when(F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.raise_error(wrong))
+    checked = F.when(_is_object(F.col("value")), F.col("value")).otherwise(F.raise_error(wrong))
     return lines.select("path", F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("row")).select("row.*", "path")
 
 
@@ -61,7 +83,8 @@ def _hidden(spark: SparkSession, root: str) -> DataFrame:
 
 def markdown_tree(spark: SparkSession, root: str, include: Iterable[str] = ("**",), exclude: Iterable[str] = ()) -> DataFrame:
     """path, doc_id, text of the Markdown files below root whose relative path an include pattern matches and no exclude
-    pattern does; pos gives their order by parts of the path, as a listing of directories has it."""
+    pattern does; pos gives their order by parts of the path, as a listing of directories has it. title is that of the front
+    matter, null without one, and text what follows it. An include pattern that no file matches is an error."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = root.rstrip("/").rpartition(":")[2].lstrip("/")
     shown = files.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("text"))
@@ -73,8 +96,14 @@ def markdown_tree(spark: SparkSession, root: str, include: Iterable[str] = ("**"
             found = found | F.col("path").rlike(glob_pattern(g))
         return found
 
+    include = list(include)
+    met = rows.agg(*[F.max(F.col("path").rlike(glob_pattern(g))).alias(f"g{k}") for k, g in enumerate(include)]).first()
+    if missing := [g for g, found in zip(include, met, strict=True) if not found and g != "**"]:
+        raise FileNotFoundError(f"no file below {root} matches {missing}")
     rows = rows.where(any_of(include) & ~any_of(exclude)).distinct()
-    return rows.select("path", doc_id(F.col("path")).alias("doc_id"), "text", F.split("path", "/").alias("pos"))
+    front = F.regexp_extract("text", FRONT_MATTER, 1)
+    title = F.regexp_replace(F.trim(F.regexp_extract(front, r"(?m)^title:[ \t]*(.*)$", 1)), r"^(['\"])(.*)\1$", "$2")
+    return rows.select("path", doc_id(F.col("path")).alias("doc_id"), F.nullif(title, F.lit("")).alias("title"), F.regexp_replace("text", FRONT_MATTER, "").alias("text"), F.split("path", "/").alias("pos"))
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:

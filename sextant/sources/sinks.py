@@ -15,7 +15,7 @@ from sextant.operators.metrics import METRICS
 from sextant.sources.readers import exists
 
 #: Slices in the order in which reports have them.
-SLICES = ("all", "generated", "low_overlap", "incident_heldout", "incident_seen", "stackoverflow", "handwritten")
+SLICES = ("all", "incident_snapshot", "error_string", "symptom", "how_to", "kubectl_output", "low_overlap", "real_incident_heldout", "real_incident_seen", "stackoverflow", "handwritten")
 RUN = "started string, name string, status string, seconds double, config string, metrics string"
 
 
@@ -26,17 +26,17 @@ def write_jsonl(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def metric_table(results: DataFrame, split: str, retriever: str) -> DataFrame:
+def metric_table(results: DataFrame, split: str, ranker: str) -> DataFrame:
     """Results by slice as text, four digits each, in the fixed order of slices, then by name."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SLICES]), F.col("slice")), F.lit(0))
     place = F.when(place == 0, len(SLICES) + 1).otherwise(place)
     rows = results.orderBy(place, "slice")
-    return rows.select(F.lit(split).alias("split"), F.lit(retriever).alias("retriever"), "slice", F.col("n").cast("string").alias("n"), *[F.format_string("%.4f", m).alias(m) for m in METRICS])
+    return rows.select(F.lit(split).alias("split"), F.lit(ranker).alias("ranker"), "slice", F.col("n").cast("string").alias("n"), *[F.format_string("%.4f", m).alias(m) for m in METRICS])
 
 
-def write_metrics(results: DataFrame, path: str, split: str, retriever: str) -> None:
+def write_metrics(results: DataFrame, path: str, split: str, ranker: str) -> None:
     """One CSV file with a header: a row for each slice, so small whatever the data."""
-    metric_table(results, split, retriever).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    metric_table(results, split, ranker).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -92,6 +92,24 @@ def report(rows: DataFrame, title: str) -> str:
     return "\n".join([*lines, *["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows.collect()], ""])
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small text file, such as a report, all or nothing: written beside it, then renamed over it."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{time.time_ns()}")
+    stream = files.create(beside, True)
+    try:
+        stream.write(text.encode())
+        stream.close()
+        if not files.rename(beside, target):
+            files.delete(target, False)
+            if not files.rename(beside, target):
+                raise OSError(f"{path} can't be replaced")
+    finally:
+        files.delete(beside, False)
+
+
 @contextmanager
 def tracked(spark: SparkSession, path: str, name: str, config: dict) -> Iterator[dict]:
     """Runs a block and appends a row about it to the log at path: how it ended, how long it took, what it put into

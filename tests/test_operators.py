@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+from html import unescape
 
 import pytest
 from hypothesis import given, settings
@@ -103,9 +105,9 @@ def test_dense_blocks_and_fusion(spark):
     one = got.where("qid = 0")
     assert [r["doc_id"] for r in retrieval.rrf([one, one], 2).orderBy("rank").collect()] == [29, 28]
     known = {"bm25": lambda q: one, "dense": lambda q: got.where("qid = 0")}
-    assert retrieval.retriever("hybrid:vectors", known)(queries).count() == 3
-    with pytest.raises(ValueError, match="no retriever"):
-        retrieval.retriever("other", known)
+    assert retrieval.ranker("hybrid:vectors", known)(queries).count() == 3
+    with pytest.raises(ValueError, match="no ranker"):
+        retrieval.ranker("other", known)
     assert retrieval.dense(queries.limit(0), docs).collect() == []
 
 
@@ -160,9 +162,10 @@ def test_labels(spark):
     human = spark.createDataFrame([("t1", "correct"), ("t2", "wrong")], "id string, verdict string")
     other = spark.createDataFrame([("t1", "correct", "model"), ("t2", "correct", "model"), ("t3", "wrong", "model")], "id string, verdict string, labeler string")
     r = labels.agreement(human, other).first()
-    assert (r["n"], r["agreement"], r["disagreements"]) == (2, 0.5, ["t2"])
+    assert (r["n"], r["agreement"], r["confusion"]) == (2, 0.5, {"correct/correct": 1, "wrong/correct": 1})
+    assert [tuple(x) for x in labels.disagreements(human, other.withColumn("labeler", F.lit("alice"))).collect()] == [("t2", "wrong", "correct")]
     empty = labels.agreement(human.limit(0), other).first()
-    assert (empty["n"], empty["agreement"], empty["disagreements"]) == (0, None, [])
+    assert (empty["n"], empty["agreement"], empty["confusion"]) == (0, None, {})
     queue = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "id string, pos long")
     done = spark.createDataFrame([("b", "correct"), ("zz", "wrong")], "id string, verdict string")
     s = labels.summary(queue, done, "verdict").first()
@@ -172,13 +175,20 @@ def test_labels(spark):
 
 
 def test_import_is_idempotent(spark):
-    queue = spark.createDataFrame([("a",), ("b",)], "id string")
-    none = spark.createDataFrame([("b", "wrong", None)], "id string, verdict string, labeler string")
-    answers = spark.createDataFrame([("a", "correct", 0), ("b", "correct", 1), ("x", "correct", 2)], "id string, verdict string, pos long")
-    first = {r["id"]: r["status"] for r in labels.imported(answers, queue, none).collect()}
-    assert first == {"a": "saved", "b": "kept_human", "x": "unknown"}
-    after = none.union(spark.createDataFrame([("a", "correct", "model")], none.schema))
-    assert {r["id"]: r["status"] for r in labels.imported(answers, queue, after).collect()} == {"a": "unchanged", "b": "kept_human", "x": "unknown"}
+    queue = spark.createDataFrame([("a", "test_pairs", ["c1", "c2"]), ("b", "test_pairs", ["c1"]), ("c", "so_questions", ["c1", "c2"]), ("d", "negatives_audit", None), ("e", "train_audit", None), ("f", "test_pairs", ["c1"]), ("g", "so_questions", ["c1"])], "id string, task string, candidates array<string>")
+    kind = "id string, verdict string, also_relevant array<string>, relevant array<string>, reason string, labeler string"
+    known = spark.createDataFrame([("b", "wrong", [], None, "", "alice"), ("c", None, None, ["c1"], "", "model"), ("e", "wrong", None, None, "", None)], kind)
+    rows = [("a", 0, " Correct", "x" * 400, ["b", "A", "B"], None), ("b", 1, "correct", "", [], None), ("x", 2, "correct", "", [], None), ("c", 3, None, "", None, ["A", "B"]), ("d", 4, "correct", "", None, None), ("d", 5, "true_negative", "", None, None), ("e", 6, "correct", "", None, None), ("f", 7, "wrong", "", ["B"], None), ("g", 8, None, "", ["A"], None)]
+    answers = spark.createDataFrame(rows, "id string, pos long, verdict string, reason string, also_relevant array<string>, relevant array<string>")
+    first = {r["id"]: r for r in labels.imported(answers, queue, known).collect()}
+    assert {i: r["status"] for i, r in first.items()} == {"a": "saved", "b": "kept_human", "x": "unknown", "c": "saved", "d": "saved", "e": "kept_human", "f": "invalid", "g": "invalid"}
+    assert first["a"]["also_relevant"] == ["c2", "c1"] and len(first["a"]["reason"]) == 300 and first["c"]["relevant"] == ["c1", "c2"]
+    assert first["f"]["error"] == "unknown letter: B" and first["g"]["error"] == "no list of letters" and first["d"]["verdict"] == "true_negative"
+    saved = [tuple(r[c] for c in ("id", *labels.FIELDS)) for r in first.values() if r["status"] == "saved"]
+    after = labels.latest(known.withColumn("pos", F.lit(0)).union(spark.createDataFrame(saved, kind).withColumn("pos", F.lit(1))), ["id"], ["pos"]).drop("pos")
+    again = {r["id"]: r["status"] for r in labels.imported(answers, queue, after).collect()}
+    assert again == {i: "unchanged" if r["status"] == "saved" else r["status"] for i, r in first.items()}
+    assert {r["id"]: r["status"] for r in labels.imported(answers, queue, known, overwrite=True).collect()}["b"] == "saved"
 
 
 def test_frozen_sets(spark):
@@ -196,6 +206,7 @@ def test_frozen_sets(spark):
 def test_answers_and_runbooks(spark):
     files = spark.createDataFrame([("a", 'x\n{"id": "1", "verdict": "ok"},\n'), ("b", '{"id": "2"}\n{bad}\n')], "path string, text string")
     assert [(r["path"], r["id"]) for r in generation.answer_rows(files).collect()] == [("a", "1")]
+    assert [tuple(r) for r in generation.answer_errors(files).collect()] == [("b", "not valid JSON: {bad}")]
     rows = spark.createDataFrame([("a", ["b", "c"]), ("b", None)], "id string, related array<string>")
     assert [tuple(r) for r in generation.dangling(rows).collect()] == [("a", "c")]
 
@@ -207,6 +218,14 @@ def test_captures(spark):
     assert len(got) == 1
     assert got[0]["full"] == "web 0/1 Error 4 (12s ago) | event: Warning BackOff Back-off in prod | log: ERROR: cannot open prod | claim Pending"
     assert got[0]["brief"] == "web 0/1 Error 4 (12s ago) | Warning BackOff Back-off in prod"
+    # a client's complaint isn't a log's, but the output of another command may consist of it
+    said = [("logs web", "", "Error from server (NotFound): gone"), ("can-i", "", "Error from server (Forbidden): no access\nok"), ("get nodes", "", "k3d-rr-faults-agent-0 NotReady")]
+    rows = spark.createDataFrame([("c3", "ok", "shop", said, "oom")], "id string, status string, namespace string, sections array<struct<title:string,command:string,output:string>>, runbook string")
+    assert incident.snapshot_queries(rows).first()["full"] == "Error from server (Forbidden): no access | worker-1 NotReady"
+    scenarios = spark.createDataFrame([("c3", "oom", ["disk"]), ("c9", "x", None)], "id string, runbook string, also_relevant array<string>")
+    made = incident.incident_rows(rows, scenarios, spark.createDataFrame([("runbook/oom", "train")], "doc_id string, split string")).collect()
+    assert sorted(r["qid"] for r in made) == ["incident/c3/brief", "incident/c3/full"]
+    assert made[0]["relevant_docs"] == ["runbook/oom", "runbook/disk"] and made[0]["runbook_split"] == "train" and made[0]["doc_id"] == "runbook/oom"
 
 
 MARKDOWN = """{{< comment >}}hidden{{< /comment >}}# Top
@@ -251,11 +270,75 @@ def test_short_sections_and_cuts():
     chunker = markdown.Chunker(markdown.word_count, 256, 40, 5)
     found = [(("T", "A"), "one two"), (("T", "B"), "three four five six"), (("T", "C"), "end")]
     assert chunker.merged("T", found) == [(("T", "B"), "A:\none two\n\nthree four five six\n\nC:\nend")]
-    assert markdown.cut("abcdefg", lambda x: len(x) <= 3) == ["abc", "def", "g"]
+    assert markdown.Chunker(markdown.word_count, 256, 40, 5).merged("T", [(("T", "A"), "one two three four")]) == [((), "A:\none two three four")]
+    assert markdown.Chunker(markdown.word_count, 256, 40, 6).merged("T", [(("T", "A"), "one two three four")]) == []
+    assert [*markdown.windows("abcdefg", len, 3, 3)] == ["abc", "def", "g"]
     with pytest.raises(ValueError, match="overlap"):
         markdown.Chunker(markdown.word_count, 20, 10)
 
 
+def _longest_first(text, size, most, kinds):
+    """What fits of a text from its beginning, found by trying every place to cut it from the last on; again with the rest."""
+    if not text or size(text) <= most:
+        return [text] if text else []
+    if not kinds:
+        return [text[:1], *_longest_first(text[1:], size, most, kinds)] if len(text) > 1 else [text]
+    spots = [m for m in re.finditer(kinds[0], text) if 0 < m.start() and m.end() < len(text)]
+    for m in reversed(spots):
+        if size(text[: m.start()]) <= most:
+            return [text[: m.start()], *_longest_first(text[m.end() :], size, most, kinds)]
+    first, rest = (text[: spots[0].start()], text[spots[0].end() :]) if spots else (text, "")
+    finer = kinds[1:] if kinds[1:] and (" " in first or kinds[1] != " ") else [r"(?=.)"] if kinds[0] != r"(?=.)" else []
+    return [*_longest_first(first, size, most, finer), *_longest_first(rest, size, most, kinds)]
+
+
+@given(st.lists(st.sampled_from(["a", "bb b", "Ends here. Next", "x" * 9, "\n", "y z. Q"]), min_size=1, max_size=25).map("".join), st.integers(3, 20), st.integers(0, 2))
+@settings(max_examples=200, deadline=None)
+def test_windows_equal_a_plain_search(text, most, level):
+    text = re.sub(r"\n+", "\n", text.strip())
+    kinds = [[r"\n", " ", r"(?=.)"], [markdown.SENTENCE.pattern, " ", r"(?=.)"], [" ", r"(?=.)"]][level]
+    if level and "\n" in text:
+        text = text.replace("\n", "-")
+    got = [*markdown.windows(text, len, most, level)] if text else []
+    assert got == [p for p in _longest_first(text, len, most, kinds) if p]
+    assert all(len(p) <= most for p in got)
+
+
+FENCED = "intro words here\n\n```sh\n" + "\n".join(f"run --step {k}" for k in range(30)) + "\n```\n\nafter it. " + "A sentence of six words here. " * 12
+
+
+def test_chunks_of_fences_and_their_overlap():
+    got = markdown.Chunker(markdown.word_count, 40, 8, 3).chunks("T", [(("T", "Do"), FENCED.strip())])
+    assert all(n <= 40 and name == "Do" for name, _, n in got)
+    code = [b for _, b, _ in got if "run --step" in b]
+    assert all(b.count("```") == 2 * b.count("```sh") for b in code)
+    steps = [line for b in code for line in b.split("\n") if line.startswith("run")]
+    assert steps == [f"run --step {k}" for k in range(30)]
+    prose = [b for _, b, _ in got if "run --step" not in b]
+    # the next chunk begins with the last sentence of the one before, which fits the overlap of eight words
+    assert all(b.startswith("A sentence of six words here.") for b in prose[2:]) and len(prose) > 3
+
+
+def test_cleaning_leaves_fences_alone(spark):
+    texts = [MARKDOWN, FENCED, None, "", "```\n&amp; <b>x</b>   y\n```\n&amp; <b>x</b>   y"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["x"] for r in rows.select("k", markdown.clean_markdown(F.col("t")).alias("x")).collect()}
+    assert got[2] is None and got[3] == "" and got[4] == "```\n&amp; <b>x</b>   y\n```\n& x y"
+    assert got[0] == markdown.clean(MARKDOWN) and "run --step 29\n```" in got[1]
+    made = markdown.chunked(spark.createDataFrame([("d", "T", "# Do\n" + FENCED)], "doc_id string, title string, text string"), [], max_tokens=40, overlap_tokens=8, min_tokens=3).collect()
+    assert [(r["section"], r["text"], r["n_tokens"]) for r in made] == markdown.Chunker(markdown.word_count, 40, 8, 3).chunks("T", markdown.sections(markdown.clean("# Do\n" + FENCED)))
+
+
+def test_letters_and_references(spark):
+    letters = F.array(*[F.lit(x) for x in (" b", "A", "c", "AB", "")], F.lit(None).cast("string"))
+    both = F.array(F.lit("x"), F.lit("y"))
+    assert value(spark, T.letter_choices(letters, both)) == ["y", "x"] and value(spark, T.unknown_letters(letters, both)) == ["c", "AB", "", None]
+    for raw in ("a &amp; b &lt;p&gt; &hellip;&nbsp;&eacute;&#233;&#xe9;&#x1F600; &unknown; &amp;lt; & &; &#0; &copy", "none", "&", "&&amp;&", "", "&#xD800;"):
+        got = value(spark, T.unescaped(F.lit(raw)))
+        assert got == raw.replace("&copy", "\0").replace("&#0;", "&#xFFFD;") and 0 or got == unescape(raw.replace("&copy", "\0")).replace("\0", "&copy")
+    assert value(spark, F.lit("a/b.md").rlike(T.glob_pattern("a/[!a-a]*.md"))) and not value(spark, F.lit("a/b.md").rlike(T.glob_pattern("a/[!ab].md")))
+
+
 def test_fresh_names():
     text = "pod web-7d9c5bf6b8-x2x4z and web-7d9c5bf6b8 in my-workloads-here"
     new = markdown.fresh_names(text)

@@ -21,6 +21,15 @@ def test_jsonl(spark, tmp_path):
         (tmp_path / "b.jsonl").write_text(bad)
         with pytest.raises(Exception, match=r"b\.jsonl"):
             readers.jsonl(spark, str(tmp_path), "id string").collect()
+    (tmp_path / "b.jsonl").write_text('{"id": "1"}\n\n' * 3 + "oops\n" + '{"id": "2"}\n[1]\n')
+    found = {(r["path"][-7:], r["line"], r["value"]) for r in readers.jsonl_problems(spark, str(tmp_path)).collect()}
+    assert found == {("b.jsonl", 7, "oops"), ("b.jsonl", 9, "[1]")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "11")
+    try:
+        with pytest.raises(ValueError, match=r"b\.jsonl:7: oops; .*b\.jsonl:9: \[1\]"):
+            readers.jsonl(spark, str(tmp_path), "id string", check=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert readers.optional_jsonl(spark, str(tmp_path / "none"), "id string").collect() == []
 
 
@@ -39,6 +48,11 @@ def test_markdown_tree(spark, tmp_path):
         (tmp_path / name).write_text("# " + name)
     got = readers.markdown_tree(spark, str(tmp_path), exclude=["draft/*"]).orderBy("pos").collect()
     assert [(r["path"], r["doc_id"]) for r in got] == [("a/_index.md", "a"), ("a/b.md", "a/b"), ("a-b/a.md", "a-b/a")]
+    (tmp_path / "a/b.md").write_text("---\ntitle: 'Drain a node'\nweight: 3\n---\nbody\n")
+    got = {r["path"]: (r["title"], r["text"]) for r in readers.markdown_tree(spark, str(tmp_path), include=["a/*"]).collect()}
+    assert got == {"a/_index.md": (None, "# a/_index.md"), "a/b.md": ("Drain a node", "body\n")}
+    with pytest.raises(FileNotFoundError, match="gone"):
+        readers.markdown_tree(spark, str(tmp_path), include=["a/*", "gone/*"])
 
 
 def test_captures_csv_and_fingerprints(spark, tmp_path):
@@ -75,10 +89,24 @@ def test_metric_table(spark, tmp_path):
     sinks.write_metrics(rows, str(tmp_path / "m"), "test", "bm25")
     (name,) = (tmp_path / "m").glob("*.csv")
     lines = name.read_text().splitlines()
-    assert lines[0].startswith("split,retriever,slice,n,hit_1") and lines[1] == "test,bm25,all,3," + ",".join(["0.3333"] * 5) and lines[2].startswith("test,bm25,zeta")
+    assert lines[0].startswith("split,ranker,slice,n,hit_1") and lines[1] == "test,bm25,all,3," + ",".join(["0.3333"] * 5) and lines[2].startswith("test,bm25,zeta")
     assert "| all | 3 |" in sinks.report(rows.select("slice", "n"), "Results")
 
 
+def test_slices_have_their_order(spark):
+    kind = "slice string, n long, hit_1 double, hit_5 double, hit_10 double, mrr_10 double, ndcg_10 double"
+    names = ["other", "stackoverflow", "how_to", "real_incident_seen", "symptom", "all", "low_overlap"]
+    got = sinks.metric_table(spark.createDataFrame([(s, 1, *[0.0] * 5) for s in names], kind), "val", "bm25").collect()
+    assert [r["slice"] for r in got] == ["all", "symptom", "how_to", "low_overlap", "real_incident_seen", "stackoverflow", "other"]
+
+
+def test_text_is_replaced(spark, tmp_path):
+    for text in ("one", "two\né"):
+        sinks.write_text(spark, str(tmp_path / "r" / "report.md"), text)
+        assert (tmp_path / "r" / "report.md").read_text() == text
+    assert [p.name for p in (tmp_path / "r").iterdir() if not p.name.endswith(".crc")] == ["report.md"]
+
+
 def test_frozen(spark, tmp_path):
     path = str(tmp_path / "f")
     rows = spark.createDataFrame([("a", "correct", 1), ("b", None, 2)], LABEL)
