@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.functions.text import STOPWORDS, WORD
+from sextant.functions.text import STOPWORDS, WORD, content_words, normalized, overlap
 from sextant.operators.retrieval import in_blocks
 
 _WORD, _STOP = re.compile(WORD), frozenset(STOPWORDS)
@@ -75,39 +75,91 @@ def overlap_cap(style: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in OVERLAP_MOST.items() for x in kv]), style)
 
 
-def first_reason(drop: Column, style: Column, overlap: Column, rank: Column, most_rank: int = 50) -> Column:
+def first_reason(drop: Column, style: Column, overlap: Column, rank: Column, near: Column | None = None, most_rank: int = 50) -> Column:
     """The first filter that a pair fails, in fixed order; the overlap is compared rounded to three places, half even."""
     cap = overlap_cap(style)
-    return F.when(drop != "", drop).when(cap.isNotNull() & (F.bround(overlap, 3) > cap), "overlap").when(rank > most_rank, "round_trip").otherwise("")
+    reason = F.when(drop != "", drop).when(cap.isNotNull() & (F.bround(overlap, 3) > cap), "overlap")
+    return (reason if near is None else reason.when(near, "near_duplicate")).when(rank > most_rank, "round_trip").otherwise("")
 
 
-def greedy_near_duplicates(rows: DataFrame, group: str, pos: str, vector: str, most: float = 0.95) -> DataFrame:
-    """Adds near_duplicate: within each group, in order of pos, a row whose cosine with an earlier kept row exceeds most.
+def greedy_near_duplicates(rows: DataFrame, group: str, pos: str, vector: str, most: float = 0.95, counts: str | None = None, siblings: int = 1000) -> DataFrame:
+    """Adds near_duplicate: within each group, in order of pos, a row whose cosine with an earlier kept row exceeds most. Rows
+    are kept if they are no near-duplicate and, if counts names a column, that holds.
 
-    A fold over the group's rows, in the JVM. Groups are the few queries of one passage.
+    Groups are the few queries of one passage; a fold in the JVM compares each row with those kept, so a group of more
+    than `siblings` rows is an error.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.transform(vector, lambda x: x.cast("double")).alias("v"))))
-    kind = "array<struct<pos:bigint,v:array<double>>>"
+    row = F.struct(F.col(pos).cast("long").alias("pos"), F.transform(vector, lambda x: x.cast("double")).alias("v"), (F.coalesce(counts, F.lit(False)) if counts else F.lit(True)).alias("ok"))
+    few = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > siblings).select(F.raise_error(F.concat(F.lit("too many rows for a fold: "), F.col("_n").cast("string"))).alias("_n"))
+    few.collect()  # none, or the error: before any group is gathered
+    kind = "struct<kept:array<array<double>>,near:array<bigint>>"
 
     def near(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) > most
 
-    kept = F.aggregate("_rows", F.array().cast(kind), lambda acc, r: F.when(F.exists(acc, lambda k: near(k["v"], r["v"])), acc).otherwise(F.concat(acc, F.array(r)).cast(kind)))
-    grouped = rows.groupBy(group).agg(ordered.cast(kind).alias("_rows")).select(group, F.transform(kept, lambda k: k["pos"]).alias("_kept"))
-    return rows.join(grouped, group).withColumn("near_duplicate", ~F.array_contains("_kept", F.col(pos).cast("long"))).drop("_kept")
+    def step(acc: Column, r: Column) -> Column:
+        again = F.exists(acc["kept"], lambda k: near(k, r["v"]))
+        kept = F.when(again | ~r["ok"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(r["v"])))
+        return F.struct(kept.alias("kept"), F.when(again, F.concat(acc["near"], F.array(r["pos"]))).otherwise(acc["near"]).alias("near")).cast(kind)
+
+    empty = F.struct(F.array().cast("array<array<double>>").alias("kept"), F.array().cast("array<bigint>").alias("near")).cast(kind)
+    found = rows.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows")).select(group, F.aggregate("_rows", empty, step)["near"].alias("_near"))
+    return rows.join(found, group).withColumn("near_duplicate", F.array_contains("_near", F.col(pos).cast("long"))).drop("_near")
+
+
+def filter_chain(rows: DataFrame, near: float = 0.95, most_rank: int = 50) -> DataFrame:
+    """rows: pos, query, style, chunk_id, passage, rt_rank (the passage's rank among all for the query), v (the query's unit
+    vector). Adds overlap (to three places) and drop: the first filter that the row fails, or empty for those kept.
+
+    In order: ambiguous and duplicate queries (by their normalised words), too much overlap with the passage,
+    near-duplicate of a kept query of the same passage, round trip. A query that fails the round trip is no sibling that
+    others could be near to.
+    """
+    cap = overlap_cap(F.col("style"))
+    marked = mark_duplicates(rows.withColumn("_norm", normalized(F.col("query"))), "_norm", "chunk_id", "pos")
+    marked = marked.withColumn("overlap", F.bround(overlap(content_words(F.col("query")), content_words(F.col("passage"))), 3))
+    left = marked.where((F.col("drop") == "") & ~F.coalesce(F.col("overlap") > cap, F.lit(False)))
+    left = left.select("pos", "chunk_id", "v", (F.col("rt_rank") <= most_rank).alias("_back"))
+    seen = greedy_near_duplicates(left, "chunk_id", "pos", "v", near, "_back").where("near_duplicate").select("pos", F.lit(True).alias("_near"))
+    joined = marked.join(seen, "pos", "left")
+    reason = first_reason(F.col("drop"), F.col("style"), F.col("overlap"), F.col("rt_rank"), F.coalesce("_near", F.lit(False)), most_rank)
+    return joined.withColumn("drop", reason).drop("_near", "_norm")
+
+
+def filter_stats(rows: DataFrame, by: str) -> DataFrame:
+    """For each value of `by`: generated, kept, dropped (a map by reason), kept_by_style (a map), kept_chunks. rows: as
+    filter_chain gives them."""
+    kept = F.col("drop") == ""
+
+    def counted(key: str, keep: Column, name: str) -> DataFrame:
+        each = rows.where(keep).groupBy(by, key).agg(F.count(F.lit(1)).alias("n"))
+        return each.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+
+    out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("generated"), F.count_if(kept).alias("kept"), F.count_distinct(F.when(kept, F.col("chunk_id"))).alias("kept_chunks"))
+    return out.join(counted("drop", ~kept, "dropped"), by, "left").join(counted("style", kept, "kept_by_style"), by, "left")
+
+
+def neighbours(a: Column, b: Column) -> Column:
+    """Whether two chunk ids, doc#000, are the same or next to each other in one document."""
+    doc = lambda c: F.regexp_extract(c, r"^(.*)#\d+$", 1)
+    number = lambda c: F.regexp_extract(c, r"#(\d+)$", 1).try_cast("long")
+    return (doc(a) == doc(b)) & F.coalesce(F.abs(number(a) - number(b)) <= 1, a == b)
 
 
 def hard_negatives(scores: DataFrame, positives: DataFrame, salt: str, keep: int = 3, margin: float = 0.95, main: tuple[int, int] = (10, 30), fallback: tuple[int, int] = (31, 60)) -> DataFrame:
     """scores: qid, doc_id, score over the pool; positives: qid, doc_id, score. qid, window, negatives (doc_ids).
 
-    Ranks are taken in the pool without the positive; a candidate must lie in the window, score at most margin times
-    the positive and be no neighbour of it (numbers that differ by 1). The second window counts only where the first
+    Of the pool no more than its best candidates are needed: the last rank of the second window, and one for the
+    positive. Ranks are taken in the pool without the positive; a candidate must lie in the window, score at most margin
+    times the positive and be no neighbour of it (numbers that differ by 1, or chunk ids as in `neighbours`). The second window counts only where the first
     leaves nothing. Of the window, `keep` are taken in an order hashed with the salt.
     """
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     pool = scores.join(positives.select("qid", F.col("doc_id").alias("_pos"), F.col("score").alias("_pos_score")), "qid").where("doc_id <> _pos")
     ranked = pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= fallback[1])
-    fits = ranked.where((F.col("score") <= margin * F.col("_pos_score")) & (F.abs(F.col("doc_id") - F.col("_pos")) > 1))
+    text = scores.schema["doc_id"].dataType.simpleString() == "string"
+    near = neighbours(F.col("doc_id"), F.col("_pos")) if text else F.abs(F.col("doc_id") - F.col("_pos")) <= 1
+    fits = ranked.where((F.col("score") <= margin * F.col("_pos_score")) & ~near)
     label = F.when(F.col("rank").between(*main), 1).when(F.col("rank").between(*fallback), 2)
     fits = fits.withColumn("w", label).where("w is not null")
     fits = fits.withColumn("least", F.min("w").over(Window.partitionBy("qid"))).where("w = least")
@@ -115,4 +167,4 @@ def hard_negatives(scores: DataFrame, positives: DataFrame, salt: str, keep: int
     taken = fits.withColumn("k", F.row_number().over(mixed)).where(F.col("k") <= keep)
     taken = taken.groupBy("qid").agg(F.min("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("k", "doc_id"))), lambda x: x["doc_id"]).alias("negatives"))
     out = positives.select("qid").join(taken, "qid", "left")
-    return out.select("qid", F.coalesce(F.when(F.col("w") == 1, "main").when(F.col("w") == 2, "fallback"), F.lit("none")).alias("window"), F.coalesce("negatives", F.array().cast("array<bigint>")).alias("negatives"))
+    return out.select("qid", F.coalesce(F.when(F.col("w") == 1, "main").when(F.col("w") == 2, "fallback"), F.lit("none")).alias("window"), F.coalesce("negatives", F.array().cast(f"array<{scores.schema['doc_id'].dataType.simpleString()}>")).alias("negatives"))

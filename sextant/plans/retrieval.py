@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators.metrics import evaluate, worst
-from sextant.operators.pairs import greedy_near_duplicates, hard_negatives
-from sextant.operators.retrieval import bm25_top_k, dense, rank_of, rrf, top_k
+from sextant.operators.pairs import filter_chain, filter_stats, greedy_near_duplicates, hard_negatives
+from sextant.operators.retrieval import bm25_top_k, dense, dense_ranks, rrf, top_k
 from sextant.operators.sampling import shuffled
 from sextant.plans import Registry, table
 from sextant.plans.text import CONTENT, OVERLAP, TOKENS
@@ -133,15 +133,20 @@ def q_dense_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _next_positive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Scores of every twentieth vector against all others, and the next vector as its positive."""
-    scores = _vectors(spark, sf_dir, 1 << 30)
-    return scores.drop("rank"), scores.where("doc_id = qid + 1").select("qid", "doc_id", "score")
+    """The best 90 of every twentieth vector, and the next vector as its positive, with its score and rank.
+
+    Hard negatives lie among ranks 10 to 60 of a pool without the positive, so more are never needed."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
+    docs = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    positives = queries.select("qid", (F.col("qid") + 1).alias("doc_id"))
+    return _vectors(spark, sf_dir, 90).drop("rank"), dense_ranks(queries, docs, positives)
 
 
 @R.query(f"with {VQ}, p as (select qid, doc_id, rank() over (partition by qid order by score desc) as rank from vs) select qid, doc_id, cast(rank as integer) as rank, rank <= 50 as kept from p where doc_id = qid + 1")
 def q_rank_of_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, positives = _next_positive(spark, sf_dir)
-    return rank_of(scores, positives).withColumn("kept", F.col("rank") <= 50)
+    _, positives = _next_positive(spark, sf_dir)
+    return positives.select("qid", "doc_id", "rank", (F.col("rank") <= 50).alias("kept"))
 
 
 @R.query(f"""with {VQ}, pos as (select qid, doc_id, score from vs where doc_id = qid + 1),
@@ -155,15 +160,57 @@ def q_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(scores, positives, "neg")
 
 
-@R.query(f"""with recursive v as (select vec_id, label, embedding as e, row_number() over (partition by label order by vec_id) as k from embeddings),
-s as (select label, k, [vec_id] as kept, [e] as es from v where k = 1
-  union all select v.label, v.k, case when ok then list_append(kept, v.vec_id) else kept end, case when ok then list_append(es, v.e) else es end
-  from (select s.kept, s.es, v.*, len(list_filter(s.es, lambda x: list_sum(list_transform(list_zip(x, v.e), lambda y: y[1]::double * y[2]::double)) > 45e-2)) = 0 as ok from s join v on v.label = s.label and v.k = s.k + 1) v)
-select label, count(*) as n, count(*) filter (list_contains(last.kept, v.vec_id)) as n_kept, min(v.vec_id) filter (not list_contains(last.kept, v.vec_id)) as first_dropped
-from v join (select label, arg_max(kept, k) as kept from s group by label) last using (label) group by label""")
+STYLES = ("incident_snapshot", "symptom", "how_to", "error_string")
+#: Rows of a filter chain: each vector is a query of one of few siblings, with words of a benchmark item and a document as
+#: its passage; some words repeat within a passage, some elsewhere too.
+CHAIN = f"""base as (select e.vec_id as pos, e.vec_id // 8 as chunk_id, case when e.vec_id % 17 = 0 then 'The same Words, here' else b.text || ' number' || (e.vec_id - e.vec_id % 2) end as query,
+  {list(STYLES)}[1 + label % 4] as style, d.text as passage, (label * 7 + e.vec_id) % 90 as rt_rank, embedding as v, d.lang as split
+  from embeddings e join documents d on d.doc_id = e.vec_id join benchmark b on b.item_id = (e.vec_id // 2) % 40),
+n as (select *, array_to_string(regexp_extract_all(lower(query), '[a-z0-9]+'), ' ') as norm, {CONTENT.format("query")} as q, {CONTENT.format("passage")} as p from base),
+g as (select norm, count(distinct chunk_id) as groups, min(pos) as first from n group by norm),
+o as (select n.*, round_even({OVERLAP.format("q", "p")}, 3) as overlap, case when groups > 1 then 'ambiguous' when pos > first then 'duplicate' else '' end as d0 from n join g using (norm)),
+c as (select *, case when d0 <> '' then d0 when overlap > case style when 'incident_snapshot' then 6e-1 when 'symptom' then 75e-2 when 'how_to' then 9e-1 else 2 end then 'overlap' else '' end as d1 from o),
+k as (select pos, chunk_id, v, rt_rank <= 50 as back, row_number() over (partition by chunk_id order by pos) as k from c where d1 = ''),
+s as (select chunk_id, k, pos, false as near, case when back then [v] else [] end as kept from k where k = 1
+  union all select k.chunk_id, k.k, k.pos, hit, case when hit or not back then kept else list_append(kept, k.v) end
+  from (select k.*, s.kept, len(list_filter(s.kept, lambda x: list_sum(list_transform(list_zip(x, k.v), lambda y: y[1]::double * y[2]::double)) > 12e-2)) > 0 as hit from s join k on k.chunk_id = s.chunk_id and k.k = s.k + 1) k),
+f as (select c.*, case when d1 <> '' then d1 when s.near then 'near_duplicate' when rt_rank > 50 then 'round_trip' else '' end as "drop" from c left join s using (pos))"""
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, docs, items = (table(spark, sf_dir, t) for t in ("embeddings", "documents", "benchmark"))
+    pos = F.col("vec_id")
+    query = F.when(pos % 17 == 0, "The same Words, here").otherwise(F.concat("words", F.lit(" number"), (pos - pos % 2).cast("string")))
+    style = F.element_at(F.array(*map(F.lit, STYLES)), (F.col("label") % 4 + 1).cast("int"))
+    joined = rows.join(docs.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("passage"), F.col("lang").alias("split")), "vec_id")
+    joined = joined.withColumn("item_id", F.floor(pos / 2) % 40).join(items.select("item_id", F.col("text").alias("words")), "item_id")
+    made = joined.select(pos.alias("pos"), F.floor(pos / 8).alias("chunk_id"), query.alias("query"), style.alias("style"), "passage", ((F.col("label") * 7 + pos) % 90).alias("rt_rank"), F.col("embedding").alias("v"), "split")
+    return filter_chain(made, 0.12)
+
+
+@R.query(f"with recursive {CHAIN} select pos, chunk_id, overlap, \"drop\" from f")
+def q_filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark, sf_dir).select("pos", "chunk_id", "overlap", "drop")
+
+
+@R.query(f"""with recursive {CHAIN} select split, count(*) as generated, count(*) filter ("drop" = '') as kept, count(distinct chunk_id) filter ("drop" = '') as kept_chunks,
+  (select string_agg(r || '=' || n, ',' order by r) from (select "drop" as r, count(*) as n from f g where g.split = f.split and "drop" <> '' group by 1)) as dropped,
+  (select string_agg(r || '=' || n, ',' order by r) from (select style as r, count(*) as n from f g where g.split = f.split and "drop" = '' group by 1)) as kept_by_style from f group by split""")
+def q_filter_chain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
+    return filter_stats(_chain(spark, sf_dir), "split").select("split", "generated", "kept", "kept_chunks", shown("dropped"), shown("kept_by_style"))
+
+
+@R.query(f"""with recursive v as (select vec_id, vec_id // 40 as g, embedding as e, row_number() over (partition by vec_id // 40 order by vec_id) as k from embeddings),
+s as (select g, k, [vec_id] as kept, [e] as es from v where k = 1
+  union all select v.g, v.k, case when ok then list_append(kept, v.vec_id) else kept end, case when ok then list_append(es, v.e) else es end
+  from (select s.kept, s.es, v.*, len(list_filter(s.es, lambda x: list_sum(list_transform(list_zip(x, v.e), lambda y: y[1]::double * y[2]::double)) > 15e-2)) = 0 as ok from s join v on v.g = s.g and v.k = s.k + 1) v)
+select g, count(*) as n, count(*) filter (list_contains(last.kept, v.vec_id)) as n_kept, min(v.vec_id) filter (not list_contains(last.kept, v.vec_id)) as first_dropped
+from v join (select g, arg_max(kept, k) as kept from s group by g) last using (g) group by g""")
 def q_near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = greedy_near_duplicates(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.45)
-    return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near_duplicate")).alias("n_kept"), F.min(F.when(F.col("near_duplicate"), F.col("vec_id"))).alias("first_dropped"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 40))
+    found = greedy_near_duplicates(rows, "g", "vec_id", "embedding", 0.15)
+    return found.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near_duplicate")).alias("n_kept"), F.min(F.when(F.col("near_duplicate"), F.col("vec_id"))).alias("first_dropped"))
 
 
 @R.query("""with t as (select label, vec_id, row_number() over (partition by label order by vec_id) as k, count(*) over () as n from embeddings),

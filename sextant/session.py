@@ -14,7 +14,7 @@ def session(cores: int | str = "*", name: str = "sextant", memory: str = "8g", p
     """A session on one machine; on a cluster the submitter's settings hold and this isn't used."""
     settings = {
         "spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": memory,
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.files.openCostInBytes": "1m",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for k, v in settings.items():

@@ -126,6 +126,59 @@ def test_greedy_near_duplicates(spark):
     assert got == {0: False, 1: True, 2: False, 3: False}
 
 
+    gated = rows.withColumn("ok", F.col("pos") > 0)
+    got = {r["pos"]: r["near_duplicate"] for r in pairs.greedy_near_duplicates(gated, "g", "pos", "v", counts="ok").collect()}
+    assert got == {0: False, 1: False, 2: True, 3: False}
+    with pytest.raises(Exception, match="too many rows"):
+        pairs.greedy_near_duplicates(rows, "g", "pos", "v", siblings=2)
+
+
+def test_filter_chain(spark):
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    rows = [
+        (0, "How to drain nodes?", "how_to", "a#000", "other text", 1, near),
+        (1, "how to DRAIN nodes", "how_to", "a#000", "other text", 1, far),
+        (2, "pods crash", "symptom", "a#000", "pods crash loop", 1, far),
+        (3, "image pull", "error_string", "a#000", "image pull", 60, far),
+        (4, "image pulls", "error_string", "a#000", "x", 1, far),
+        (5, "node drained", "error_string", "a#000", "x", 70, near),
+        (6, "shared words", "how_to", "a#000", "x", 1, far),
+        (7, "shared words", "how_to", "b#000", "x", 1, far),
+    ]
+    df = spark.createDataFrame(rows, "pos long, query string, style string, chunk_id string, passage string, rt_rank int, v array<float>").withColumn("split", F.lit("train"))
+    got = pairs.filter_chain(df)
+    # 3 fails the round trip, so 4 has no sibling to be near to; 5 is near 0 and fails that first
+    assert {r["pos"]: r["drop"] for r in got.collect()} == {0: "", 1: "duplicate", 2: "overlap", 3: "round_trip", 4: "", 5: "near_duplicate", 6: "ambiguous", 7: "ambiguous"}
+    s = pairs.filter_stats(got, "split").first()
+    assert (s["generated"], s["kept"], s["kept_chunks"]) == (8, 2, 1) and s["kept_by_style"] == {"how_to": 1, "error_string": 1} and s["dropped"]["ambiguous"] == 2
+
+
+def test_chunk_neighbours(spark):
+    rows = spark.createDataFrame([("d#009", "d#010", True), ("d#009", "d#011", False), ("d#1", "e#2", False), ("a#b#3", "a#b#2", True), ("x", "x", True)], "a string, b string, near boolean")
+    assert rows.where(pairs.neighbours(F.col("a"), F.col("b")) != F.col("near")).count() == 0
+    scores = spark.createDataFrame([("q", f"d#{k:03d}", 1 - k / 100) for k in range(1, 40)], "qid string, doc_id string, score double")
+    found = pairs.hard_negatives(scores, spark.createDataFrame([("q", "d#012", 1.0)], "qid string, doc_id string, score double"), "s", keep=50).first()
+    assert found["window"] == "main" and not {"d#011", "d#012", "d#013"} & {*found["negatives"]} and "d#014" in found["negatives"]
+
+
+def test_ranks_of_positives_without_pairs(spark):
+    rng = random.Random(2)
+    rows = [(k, [round(rng.gauss(0, 1), 1) for _ in range(3)]) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, v array<double>").repartition(5)
+    queries = spark.createDataFrame([(k, v) for k, v in rows if k % 9 == 0], "qid long, q array<double>")
+    positives = queries.select("qid", (F.col("qid") + 1).alias("doc_id"))
+    got = {r["qid"]: r["rank"] for r in retrieval.dense_ranks(queries, docs, positives, block=4).collect()}
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6)
+    assert got == {q: 1 + sum(dot(v, w) > dot(v, rows[q + 1][1]) for d, w in rows if d != q) for q, v in rows if q % 9 == 0 and q + 1 < 80}
+
+
+def test_single_precision_ranks(spark):
+    docs = spark.createDataFrame([(k, "alpha beta " * (k + 1) + "gamma " * 3) for k in range(6)] + [(9, "delta"), (10, "epsilon zeta"), (11, "eta")], "doc_id long, text string")
+    queries = spark.createDataFrame([("q", "alpha gamma")], "qid string, query string")
+    one, two = ({r["doc_id"]: r["score"] for r in retrieval.bm25_top_k(docs, queries, 9, digits=12, single=s).collect()} for s in (False, True))
+    assert all(abs(one[d] - two[d]) < 1e-6 for d in one) and any(one[d] != two[d] for d in one)
+
+
 def test_hard_negatives(spark):
     scores = [("q", k, round(1 - 0.9 * k / 39, 6)) for k in range(1, 40)]
     tight = [("t", k, 0.99) for k in range(1, 70)]
