@@ -39,9 +39,12 @@ def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     return numbered_within(rows, [], order)
 
 
-def stratified_split(docs: DataFrame, id_: str, stratum: str, seed: str, share: float = 0.1, least: int = 3) -> DataFrame:
+def stratified_split(docs: DataFrame, id_: str, stratum: str, seed: str, share: float = 0.1, least: int = 3, strict: bool = False) -> DataFrame:
     """Adds split: in each stratum max(least, share, rounded half to even) documents are test, as many val, the rest
-    train. Sizes are exact; membership follows the hash. A stratum needs 2 * least + 1 documents: check strata first."""
+    train. Sizes are exact; membership follows the hash. A stratum needs 2 * least + 1 documents; strict: else it is an
+    error that names some."""
+    if strict and (few := too_small(docs, stratum, least).limit(5).collect()):
+        raise ValueError(f"strata with too few documents: {sorted(str(r[stratum]) for r in few)}")
     out = numbered_within(docs, [stratum], shuffled(seed, F.col(id_)))
     n = F.greatest(F.lit(least), F.bround(F.col("n") * share))
     return out.withColumn("split", F.when(F.col("pos") <= n, "test").when(F.col("pos") <= 2 * n, "val").otherwise("train")).drop("pos", "n")

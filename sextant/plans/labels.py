@@ -77,12 +77,13 @@ def q_label_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("""with b as (select doc_id, lang, (row_number() over (partition by lang order by doc_id) - 1) // 50 + 1 as batch from documents),
 m as (select b.* from b anti join labels using (doc_id))
-select lang, count(*) as missing, list_sort(list(distinct lang || '-' || lpad(cast(batch as varchar), 2, '0') || '.md')) as files, (select count(*) from labels anti join documents using (doc_id)) as unknown from m group by lang""")
+select lang, lang || '-' || lpad(cast(batch as varchar), 2, '0') || '.md' as file, count(*) as missing, (select count(*) from labels anti join documents using (doc_id)) as unknown from m group by lang, batch""")
 def q_missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch files with gaps, a row each."""
     b = sampling.batches(_docs(spark, sf_dir), "lang", [F.col("doc_id")], 50).join(_labels(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
     unknown = _labels(spark, sf_dir).join(_docs(spark, sf_dir), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
-    files = F.sort_array(F.collect_set(F.format_string("%s-%02d.md", "lang", (F.col("batch") + 1).cast("int"))))
-    return b.groupBy("lang").agg(F.count(F.lit(1)).alias("missing"), files.alias("files")).join(F.broadcast(unknown), how="cross")
+    file = F.format_string("%s-%02d.md", "lang", (F.col("batch") + 1).cast("int"))
+    return b.groupBy("lang", file.alias("file")).agg(F.count(F.lit(1)).alias("missing")).join(F.broadcast(unknown), how="cross")
 
 
 @R.query("""select conv_id, turn, role, sha256(text) as text_sha256 from (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k = 1""")

@@ -24,10 +24,10 @@ def q_question_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("""with b as (select item_id, text, (row_number() over (order by item_id) - 1) as pos from benchmark)
 select 'audit-' || lpad(cast(pos // 15 + 1 as varchar), 2, '0') || '.md' as file, count(*) as items,
-  sha256(string_agg('<item id="' || item_id || '">' || chr(10) || '<query>' || substr(text, 1, 40) || '</query>' || chr(10) || '<candidate letter="A">' || substr(text, 1, 9) || '</candidate>' || chr(10) || '<candidate letter="B">none</candidate>' || chr(10) || '</item>', chr(10) || chr(10) order by pos)) as body_sha256
+  sha256(string_agg('<item id="' || item_id || '">' || chr(10) || '<query>' || text || '</query>' || chr(10) || '<candidate letter="A">' || text || '?' || '</candidate>' || chr(10) || '<candidate letter="B">none</candidate>' || chr(10) || '</item>', chr(10) || chr(10) order by pos)) as body_sha256
 from b group by pos // 15""")
 def q_labelling_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("query"), F.array(F.substring("text", 1, 9), F.lit("none")).alias("candidates"), "item_id")
+    queue = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.array(F.concat("text", F.lit("?")), F.lit("none")).alias("candidates"), "item_id")
     return queues.labelling_batches(queue, [F.col("item_id")], 15, "audit").select("file", "items", F.sha2("body", 256).alias("body_sha256"))
 
 

@@ -122,11 +122,11 @@ def q_item_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(r"""select doc_id, sha256(case when doc_id % 3 = 0 then source else source || ' > ' || lang end || chr(10) || chr(10) || text) as passage_sha256,
-  'query: ' || trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g')) as query, cast(least(100, n_chars // 100) as varchar) || '%' as share from documents""")
+  sha256('query: ' || trim(regexp_replace(text, '\s+', ' ', 'g'))) as query_sha256, cast(least(100, n_chars // 100) as varchar) || '%' as share from documents""")
 def q_passage_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     section = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))
-    return docs.select("doc_id", F.sha2(T.passage(F.col("source"), section, F.col("text")), 256).alias("passage_sha256"), F.concat(F.lit("query: "), T.one_line(F.substring("text", 1, 80))).alias("query"), F.format_string("%d%%", F.least(F.lit(100), F.floor(F.col("n_chars") / 100))).alias("share"))
+    return docs.select("doc_id", F.sha2(T.passage(F.col("source"), section, F.col("text")), 256).alias("passage_sha256"), F.sha2(F.concat(F.lit("query: "), T.one_line(F.col("text"))), 256).alias("query_sha256"), F.format_string("%d%%", F.least(F.lit(100), F.floor(F.col("n_chars") / 100))).alias("share"))
 
 
 @R.query("""select event_type, count(*) as n, count(k) as with_key, round(avg(coalesce(k, 0)), 6) as mean_k, max(t) as tag from (

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators import corpus, freeze, generation, incident, labels, markdown, metrics, pairs, retrieval, sampling
+from sextant.settings import Chunking, Training, Tree
+from sextant.settings import settings as checked
 
 
 def value(spark, column):
@@ -252,10 +254,46 @@ def test_frozen_sets(spark):
     queue = spark.createDataFrame([("t1", "q one", "d1#000"), ("t2", "q two", "d2#000")], "id string, query string, chunk_id string")
     done = spark.createDataFrame([("t1", "correct", ["d1#001", "d1#000"]), ("t2", "wrong", None)], "id string, verdict string, also_relevant array<string>")
     q, rel = freeze.test_pairs(queue, done)
-    assert [r["qid"] for r in q.collect()] == ["t1"] and sorted(r["chunk_id"] for r in rel.collect()) == ["d1#000", "d1#001"]
+    assert [r["qid"] for r in q.collect()] == ["gen/t1"] and sorted(r["chunk_id"] for r in rel.collect()) == ["d1#000", "d1#001"]
     assert freeze.problems(q, rel, chunks).collect() == []
 
 
+def test_sets_are_assembled(spark):
+    chunks = spark.createDataFrame([("runbook/a", "a#000"), ("runbook/a", "a#001"), ("runbook/b", "b#000")], "doc_id string, chunk_id string")
+    rows = spark.createDataFrame([("i1", "q1", ["runbook/a", "runbook/b"], "train"), ("i2", "q2", ["runbook/b"], "val"), ("i3", "q3", ["runbook/b"], "test")], "qid string, query string, relevant_docs array<string>, runbook_split string")
+    q, rel = freeze.incidents(rows, chunks, "test")
+    assert {(r["qid"], r["slice"]) for r in q.collect()} == {("i1", "real_incident_seen"), ("i3", "real_incident_heldout")} and rel.count() == 4
+    q, rel = freeze.incidents(rows, chunks, "val")
+    assert [(r["qid"], r["slice"]) for r in q.collect()] == [("i2", "real_incident_heldout")] and rel.count() == 1
+    queue = spark.createDataFrame([(f"s{k}", k, f"q{k}", "me") for k in range(7)], "id string, dataset_row int, query string, author string")
+    done = spark.createDataFrame([("s0", ["a#000", "a#000"]), *[(f"s{k}", []) for k in range(1, 6)]], "id string, relevant array<string>")
+    q, rel, rest = freeze.questions(queue, done, "x")
+    assert [r["qid"] for r in q.collect()] == ["so/0"] and rel.count() == 1
+    assert {r["half"]: r["count"] for r in rest.groupBy("half").count().collect()} == {"val": 2, "test": 3} and {r["slice"] for r in rest.collect()} == {"out_of_scope"}
+    q, rel = freeze.val_pairs(spark.createDataFrame([(3, "q", "how_to", "docs", "a#000")], "pos long, query string, style string, source string, chunk_id string"))
+    assert q.first()["qid"] == "val/00003" == rel.first()["qid"]
+    known = spark.createDataFrame([("s0", "correct"), ("s1", "wrong")], "id string, verdict string")
+    assert {r["verdict"]: r["n"] for r in freeze.outcomes(queue, known).collect()} == {"correct": 1, "wrong": 1, "unlabeled": 5}
+    with pytest.raises(ValueError, match="too few"):
+        sampling.stratified_split(queue, "id", "author", "x", least=4, strict=True)
+
+
+def test_settings():
+    good = {"max_tokens": 256, "overlap_tokens": 40, "min_tokens": 20, "exclude_sections": ["x"]}
+    assert checked(Chunking, good).exclude_sections == ("x",)
+    for change, said in (({"max_tokens": 0}, "max_tokens"), ({"overlap_tokens": 128}, "overlap"), ({"other": 1}, "unknown: other"), ({"min_tokens": "3"}, "not int: min_tokens"), ({"exclude_sections": "x"}, "not tuple")):
+        with pytest.raises(ValueError, match=said):
+            checked(Chunking, good | change)
+    with pytest.raises(ValueError, match="missing: min_tokens"):
+        checked(Chunking, {"max_tokens": 9, "overlap_tokens": 1})
+    with pytest.raises(ValueError, match="commit"):
+        checked(Tree, {"repo": "r", "commit": "abc", "docs_root": "d", "examples_root": "e", "include": ["a"]})
+    train = {"base_model": "m", "train_file": "t", "output_dir": "o", "batch_size": 64, "mini_batch_size": 8, "learning_rate": 2e-5, "warmup_ratio": 0.1, "epochs": 3, "weight_decay": 0, "eval_steps": 20}
+    assert checked(Training, train).train_fraction == 1.0
+    with pytest.raises(ValueError, match="warmup_ratio, train_fraction"):
+        checked(Training, train | {"warmup_ratio": 1.0, "train_fraction": 0.0})
+
+
 def test_answers_and_runbooks(spark):
     files = spark.createDataFrame([("a", 'x\n{"id": "1", "verdict": "ok"},\n'), ("b", '{"id": "2"}\n{bad}\n')], "path string, text string")
     assert [(r["path"], r["id"]) for r in generation.answer_rows(files).collect()] == [("a", "1")]
