@@ -153,24 +153,34 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int, more: tuple[int, i
     return i, j, d
 
 
-def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None = None, more: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame]:
-    """Links between different fingerprints at radius differing bits or fewer.
-
-    prints: doc_id (of any kind that has an order), fp (binary) and any columns that tell texts of equal fingerprints apart,
-    which then link at distance 0. Returns (reps, links): reps has each fingerprint (with these columns) once with rep, its smallest
-    doc_id; links has u, v (reps) and distance: within each pair of tiles a minimum spanning forest of all links, so
-    components at every distance are those of all links; for `more` see compare. Rows whose doc_ids are all null have
-    no rep and no links.
-
-    Equal fingerprints are grouped first (partial minima before the shuffle: no hot key). The rest are dealt into tiles
-    by population count; pairs of tiles whose counts differ by more than the radius can hold no link and are skipped.
-    A tile is bounded, as tiles of a frequent count are split by hash. Counts by population reach the driver, no more
-    than bits + 1 numbers, and tile numbers; fingerprints don't.
+def representatives(prints: DataFrame) -> DataFrame:
+    """prints: id (of any kind that has an order), fp and any columns that tell texts of equal fingerprints apart. Each
+    different fingerprint, with these columns, once: rep, its smallest id, and node, a number of its own, written down so
+    that it stays. Partial minima come before the shuffle, so no fingerprint is a hot key."""
+    key = [c for c in prints.columns if c != "id"]
+    return checkpointed(prints.groupBy(*key).agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+
+
+def smallest_of(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, least for each node of a component (found: node, component): the smallest rep in it."""
+    named = found.join(reps.select("node", "rep"), "node")
+    # cut off, so that both sides of the join are plain shuffles and a large component's rows can be split over tasks
+    least = checkpointed(named.groupBy("component").agg(F.min("rep").alias("least")))
+    return found.join(least, "component").select("node", "least")
+
+
+def simhash_links(reps: DataFrame, bits: int, radius: int, tile: int | None = None, more: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Links u, v (nodes), distance between different nodes at radius differing bits or fewer. reps: see representatives.
+
+    Equal fingerprints of different texts link at distance 0. Within each pair of tiles links are a minimum spanning
+    forest of all links, so components at every distance are those of all links; for `more` see compare.
+
+    Fingerprints are dealt into tiles by population count; pairs of tiles whose counts differ by more than the radius can
+    hold no link and are skipped. A tile is bounded, as tiles of a frequent count are split by hash. Counts by
+    population reach the driver, no more than bits + 1 numbers, and tile numbers; fingerprints don't.
     """
-    spark = prints.sparkSession
+    spark = reps.sparkSession
     bounded_batches(spark)
-    key = [c for c in prints.columns if c != "doc_id"]
-    reps = checkpointed(prints.groupBy(*key).agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     words = [F.conv(F.hex(F.substring("fp", 8 * w + 1, 8)), 16, -10).cast("long") for w in range(bits // 64)]
     count = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
     width = max(1, (radius + 1) // 4)
@@ -178,14 +188,12 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None =
     counts = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}
     tile = tile or min(LARGEST_TILE, max(TILE, sum(counts.values()) // 32))
     sizes = {k: ceil(n / tile) for k, n in counts.items()}
-    kind = reps.schema["rep"].dataType.simpleString()
-    schema = f"u {kind}, v {kind}, distance int"
-    empty = spark.createDataFrame([], schema)
+    schema = "u long, v long, distance int"
     if not sizes:
-        return reps, empty
+        return spark.createDataFrame([], schema)
     split = F.create_map(*[F.lit(int(x)) for kv in sorted(sizes.items()) for x in kv])
-    number = F.col("bucket").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64(*key), F.element_at(split, F.col("bucket")))
-    tiles = checkpointed(dealt.withColumn("tile", number).groupBy("tile").agg(F.collect_list(F.struct("fp", "rep")).alias("items")))
+    number = F.col("bucket").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.element_at(split, F.col("bucket")))
+    tiles = checkpointed(dealt.withColumn("tile", number).groupBy("tile").agg(F.collect_list(F.struct("fp", "node")).alias("items")))
     known = spark.createDataFrame([(b, b << 32 | k) for b, n in sorted(sizes.items()) for k in range(n)], "bucket int, tile long")
     # buckets reach as far as counts can differ: (c - b - 1) * width + 1 <= radius
     reach = (radius - 1) // width + 1 if radius else 0
@@ -195,9 +203,9 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None =
     right = tiles.select(F.col("tile").alias("b"), F.col("items").alias("y"))
     work = pairs.join(left, "a").join(right, "b")
 
-    def matrix(items: pa.ListScalar) -> tuple[np.ndarray, pa.Array]:
+    def matrix(items: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
         raw = b"".join(items.values.field("fp").to_pylist())
-        return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, bits // 64), items.values.field("rep")
+        return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, bits // 64), items.values.field("node").to_numpy(zero_copy_only=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,11 +214,11 @@ def simhash_links(prints: DataFrame, bits: int, radius: int, tile: int | None =
                 other = None
                 if a.as_py() != b.as_py():
                     other, theirs = matrix(y)
-                    ids = pa.concat_arrays([ids, theirs])
+                    ids = np.concatenate([ids, theirs])
                 i, j, d = compare(m, other, radius, more)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(d.astype(np.int32))], ["u", "v", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(d.astype(np.int32))], ["u", "v", "distance"])
 
-    return reps, work.mapInArrow(run, schema)
+    return work.mapInArrow(run, schema)
 
 
 def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: int = 4, seed: int = 42, tile: int | None = None) -> DataFrame:
@@ -222,24 +230,22 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: i
     them; a component_id is null only if no doc_id can be reached. A very long text costs memory for its shingles alone.
     """
     prints = checkpointed(fingerprints(docs, size, bits, seed))
-    # a node is a fingerprint; nodes are in the order of their smallest doc_id, those without one last
-    named = prints.select("fp", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "fp").alias("doc_id"))
-    reps, links = simhash_links(named, bits, radius, tile)
-    found = connected_components(links.select("u", "v"))
-    of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep")["doc_id"].alias("component_id"))
+    # rows without a doc_id come last in order
+    reps = representatives(prints.select("fp", F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id").alias("id")))
+    found = connected_components(simhash_links(reps, bits, radius, tile).select("u", "v"))
+    of = reps.join(smallest_of(found, reps), "node", "left").select("fp", F.coalesce("least", "rep")["doc_id"].alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, shingles (array of the different shingles' hashes) for each row of docs (id, text)."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """node, shingles (array of the different shingles' hashes) for each row of docs (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [list({int.from_bytes(xxhash.xxh64_digest(x, 42), "big", signed=True) for x in shingles(t, size)}) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return map_batches(docs, run, f"id {kind}, shingles array<long>")
+    return map_batches(docs, run, "node long, shingles array<long>")
 
 
 def true_links(m: np.ndarray, sizes: np.ndarray, items: np.ndarray, labels: np.ndarray, first: int, radius: int, least: float) -> list[tuple[int, int]]:
@@ -280,17 +286,16 @@ def true_links(m: np.ndarray, sizes: np.ndarray, items: np.ndarray, labels: np.n
 
 
 def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile: int) -> DataFrame:
-    """u, v: true links that join what candidates within a group can join. nodes: group, label, fp, rep, shingles.
+    """u, v: true links that join what candidates within a group can join. nodes: group, label, fp, node, shingles.
 
     Groups are dealt into tiles of about set_tile shingles by hash; every pair of a group's tiles is compared by one
     task at a time, so memory is bounded at any size of a group, and texts of a group that fits one tile are sent once.
     """
     total = nodes.groupBy("group").agg(F.ceil(F.sum(F.size("shingles").cast("long") + 32) / set_tile).cast("long").alias("tiles"))
-    dealt = nodes.join(total, "group").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles"))
+    dealt = nodes.join(total, "group").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     key = ["group", "low", "high"]
-    dealt = dealt.select("group", F.xxhash64("group").alias("group_hash"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "label", "fp", "rep", "shingles")
-    kind = dealt.schema["rep"].dataType.simpleString()
+    dealt = dealt.select("group", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "label", "fp", "node", "shingles")
     # a pair of tiles is a run of rows, the lower tile's first
     dealt = dealt.repartition(*key).sortWithinPartitions(*key, "tile")
 
@@ -298,19 +303,18 @@ def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile:
         t = pa.Table.from_batches(parts).combine_chunks()
         col = {c: t.column(c).combine_chunks() for c in t.column_names}
         m = np.frombuffer(b"".join(col["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
-        tile, ids = col["tile"].to_numpy(zero_copy_only=False), col["rep"]
-        labels = np.unique(np.array([str(x) for x in col["label"].to_pylist()]), return_inverse=True)[1]
+        tile, ids, labels = (col[c].to_numpy(zero_copy_only=False) for c in ("tile", "node", "label"))
         sizes = np.diff(col["shingles"].offsets.to_numpy()).astype(np.int64)
         pair = col["low"][0].as_py() != col["high"][0].as_py()
         first = int(np.searchsorted(tile, col["high"][0].as_py())) if pair else 0
         links = true_links(m, sizes, col["shingles"].flatten().to_numpy(), labels, first, radius, least) if not pair or 0 < first < len(m) else []
         u, v = np.array(links, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v))], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for b in batches:
-            keys = np.stack([b.column(c).to_numpy() for c in ("group_hash", "low", "high")], axis=1)
+            keys = np.stack([b.column(c).to_numpy() for c in key], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
             for x, y in zip(cuts, cuts[1:]):
                 if parts and tuple(keys[x]) != now:
@@ -321,7 +325,7 @@ def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile:
         if parts:
             yield verify(parts)
 
-    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 72, tile: int | None = None, set_tile: int = SET_TILE) -> DataFrame:
@@ -343,13 +347,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     """
     doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
     docs = docs.select(row_id(doc_id, text).alias("id"), text.alias("text"))
-    prints = checkpointed(_set_prints(docs, size, bits).select(F.col("id").alias("doc_id"), "fp", "digest"))
-    reps, links = simhash_links(prints, bits, radius, tile, (3, int(0.11 * bits)))
-    links = checkpointed(links.select("u", "v").distinct())
-    ends = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = _sets(docs.join(ends, "id", "left_semi"), size).groupBy("id").agg(F.max("shingles").alias("shingles"))
+    prints = checkpointed(_set_prints(docs, size, bits))
+    reps = representatives(prints)
+    links = checkpointed(simhash_links(reps, bits, radius, tile, (3, int(0.11 * bits))).select("u", "v").distinct())
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps.select("node", F.col("rep").alias("id")), "node")
+    sets = _sets(docs.join(ends, "id").select("node", "text"), size).groupBy("node").agg(F.max("shingles").alias("shingles"))
     sets = checkpointed(sets)
-    both = links.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    both = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     true = both.withColumn("common", common).select("u", "v", (F.col("common") >= least * (F.size("a") + F.size("b") - F.col("common"))).alias("same"))
     true = checkpointed(true)
@@ -359,14 +363,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     failed = true.where("not same").join(label("u"), "u", "left").join(label("v"), "v", "left")
     failed = failed.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")).where("u <> v")
     groups = connected_components(failed).select(F.col("node").alias("label"), F.col("component").alias("group"))
-    nodes = reps.join(found, reps["rep"] == found["node"], "left").withColumn("label", F.coalesce("component", "rep")).join(groups, "label")
-    nodes = nodes.join(sets.withColumnRenamed("id", "rep"), "rep").select("group", "label", "fp", "rep", "shingles")
+    nodes = reps.select("node", "fp").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).join(groups, "label")
+    nodes = nodes.join(sets, "node").select("group", "label", "fp", "node", "shingles")
     rest = checkpointed(_remaining(nodes, bits, radius, least, set_tile))
     if not rest.isEmpty():
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
-    of = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "digest", F.coalesce("component", "rep").alias("component"))
+    of = reps.join(smallest_of(found, reps), "node", "left").select("fp", "digest", F.coalesce("least", "rep").alias("component"))
     # partial groups before the shuffle: equal rows are one, however many
-    return prints.join(of, ["fp", "digest"], "left").groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"))
+    return prints.join(of, ["fp", "digest"], "left").groupBy("id").agg(F.min("component").alias("component"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -240,10 +240,11 @@ def test_equal_prints_of_different_texts_are_verified(spark):
     got = _near(S.near_duplicates(spark.createDataFrame(rows, DOC)))
     assert got == _groups(rows) == {**{k: k for k in range(6)}, 10: 3, 11: 4}
     # and prints that are equal though each shingle counts once
-    prints = spark.createDataFrame([(7, b"\1" * 32, b"a"), (3, b"\1" * 32, b"b"), (5, b"\1" * 32, b"b")], "doc_id long, fp binary, digest binary")
-    reps, links = S.simhash_links(prints, 256, 72)
-    assert sorted(r["rep"] for r in reps.collect()) == [3, 7]
-    assert [sorted(r[:2]) + [r[2]] for r in links.collect()] == [[3, 7, 0]]
+    prints = spark.createDataFrame([(7, b"\1" * 32, b"a"), (3, b"\1" * 32, b"b"), (5, b"\1" * 32, b"b")], "id long, fp binary, digest binary")
+    reps = S.representatives(prints)
+    name = {r["node"]: r["rep"] for r in reps.collect()}
+    assert sorted(name.values()) == [3, 7]
+    assert [sorted(map(name.get, r[:2])) + [r[2]] for r in S.simhash_links(reps, 256, 72).collect()] == [[3, 7, 0]]
 
 
 def test_large_group_of_near_copies_gives_few_links():
