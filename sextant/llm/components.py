@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import checkpointed
+from sextant.llm.common import checkpointed, released
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -27,14 +27,17 @@ def connected_components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour of a node, and the node, point to the smallest of all
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")  # links that repeat do no harm until the round's end
         # small star: all smaller neighbours of a node point to the smallest of them
         small = large.join(_least(large), "u")
         small = small.select("u", F.col("least").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("least").alias("v")))
         links = checkpointed(small.where("u <> v").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
+            released(links.sparkSession)
             break
         before = now
+        both = large = small = None
+        released(links.sparkSession)
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, checkpointed, map_batches, texts, unwrapped
+from sextant.llm.common import bounded_batches, checkpointed, map_batches, released, texts, unwrapped
 from sextant.llm.components import connected_components
 
 #: Fingerprints in a tile, at least and at most: a 32nd of all, so what is sent around grows with the input, not with its
@@ -357,6 +357,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     common = F.size(F.array_intersect("a", "b"))
     true = both.withColumn("common", common).select("u", "v", (F.col("common") >= least * (F.size("a") + F.size("b") - F.col("common"))).alias("same"))
     true = checkpointed(true)
+    ends = both = None
+    released(docs.sparkSession)
     found = connected_components(true.where("same").select("u", "v"))
     # failed links between different components join them to groups, and no candidate lies outside of one
     label = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
@@ -366,6 +368,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     nodes = reps.select("node", "fp").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).join(groups, "label")
     nodes = nodes.join(sets, "node").select("group", "label", "fp", "node", "shingles")
     rest = checkpointed(_remaining(nodes, bits, radius, least, set_tile))
+    failed = groups = nodes = None
+    released(docs.sparkSession)
     if not rest.isEmpty():
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
     of = reps.join(smallest_of(found, reps), "node", "left").select("fp", "digest", F.coalesce("least", "rep").alias("component"))
