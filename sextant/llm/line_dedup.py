@@ -36,23 +36,24 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     doc_id, if it has one, and its text, and the text is reassembled by position, in place.
     """
     named = "doc_id" in (c.lower() for c in docs.columns)
-    kinds = {"text": "string"} | ({"doc_id": docs.schema[_name(docs, "doc_id")].dataType.simpleString()} if named else {})
-    rows = wrapped(docs, MADE, **kinds).withColumn("text", F.coalesce("text", F.lit("")))
+    # the text is read from the row, so that it is shuffled once
+    text = F.coalesce(F.col("row").getField(_name(docs, "text")).cast("string"), F.lit(""))
+    own = [F.col("row").getField(_name(docs, "doc_id"))] if named else []
     # the row's key: of all it is known by, so that copies of a text under other ids are dealt to different tasks
-    by = [F.col("doc_id")] * named
-    rows = rows.withColumns({"ka": F.xxhash64(*by, "text"), "kb": F.xxhash64(F.lit(11), *by, "text")})
+    rows = wrapped(docs, MADE).withColumns({"ka": F.xxhash64(*own, text), "kb": F.xxhash64(F.lit(11), *own, text)})
+    ids, by = [c.alias("doc_id") for c in own], ["doc_id"] * named
     # a row for each document and key, so that partial sums leave one row a key and task, however hot the key
     # (outer: a plain explode would have the optimizer compute all lines once more, to see that there are any)
-    keys = rows.select("ka", "kb", *by, F.explode_outer(F.array_distinct(line_keys(F.col("text")))).alias("key"))
+    keys = rows.select("ka", "kb", *ids, F.explode_outer(F.array_distinct(line_keys(text))).alias("key"))
     keys = keys.where(F.length("key") >= min_chars).select("ka", "kb", *by, _hash(F.col("key")).alias("h")).select("ka", "kb", *by, "h.a", "h.b")
     counted = keys
-    if named and not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
+    if named and not rows.select(*ids).where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         # only where ids repeat do lines have to be told apart by document; else a row is one
         counted = keys.where("doc_id is not null").select("doc_id", "a", "b").distinct().unionByName(keys.where("doc_id is null").select("doc_id", "a", "b"))
     # cut off, so that both sides of the join are plain shuffles and a hot key's rows can be split over tasks
     often = checkpointed(counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
     gone = keys.select("ka", "kb", "a", "b").join(often, ["a", "b"]).groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
-    out = rows.join(gone, ["ka", "kb"], "left").withColumn("lines", F.split("text", "\n", -1))
+    out = rows.join(gone, ["ka", "kb"], "left").withColumn("lines", F.split(text, "\n", -1))
 
     def stays(line: Column) -> Column:
         key = F.trim(ascii_lower(line), F.lit(STRIPPED))
