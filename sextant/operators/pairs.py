@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.functions.text import STOPWORDS, WORD, content_words, normalized, overlap
-from sextant.operators.retrieval import in_blocks
+from sextant.operators.retrieval import BLOCK_TERMS
 
 _WORD, _STOP = re.compile(WORD), frozenset(STOPWORDS)
 #: The largest overlap that a style of query may have with its passage; others have no cap.
@@ -24,17 +24,31 @@ def word_set(text: str) -> set[str]:
     return {w for w in _WORD.findall(text.lower()) if len(w) > 1 and w not in _STOP}
 
 
+def _by_words(queries: DataFrame, block: int) -> Iterator[tuple[list, list[set[str]], set[str]]]:
+    """Queries in blocks of at most `block` and of BLOCK_TERMS different words, or one query: matrices are as wide."""
+    rows, sets, words = [], [], set[str]()
+    for r in queries.toLocalIterator():
+        own = word_set(r["text"] or "")
+        if rows and (len(rows) == block or len(words | own) > BLOCK_TERMS):
+            yield rows, sets, words
+            rows, sets, words = [], [], set()
+        rows.append(r)
+        sets.append(own)
+        words |= own
+    if rows:
+        yield rows, sets, words
+
+
 def overlaps(docs: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
     """docs: doc_id, text; queries: qid, text, a stated set. qid, doc_id, ov, has for every pair: the share of the query's
     content words that the document has (1 for a query without any), and whether its text stands in the document.
 
-    Queries go out in blocks, a batch of documents meets a block in one matrix product. A text that stands in another
+    Queries go out in blocks of bounded words, a batch of documents meets a block in one matrix product. A text that stands in another
     shares all its words but the first and the last, which may be cut, so only pairs that lack two at most are searched.
     """
     spark, out = docs.sparkSession, None
-    for rows in in_blocks(queries.select("qid", "text"), block):
-        sets = [word_set(r["text"] or "") for r in rows]
-        place = {w: j for j, w in enumerate(sorted(set().union(*sets)))}
+    for rows, sets, words in _by_words(queries.select("qid", "text"), block):
+        place = {w: j for j, w in enumerate(sorted(words))}
         member = np.zeros((len(rows), len(place)), np.float32)
         for i, ws in enumerate(sets):
             member[i, [place[w] for w in ws]] = 1
