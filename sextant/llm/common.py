@@ -87,3 +87,10 @@ def unwrapped(rows: DataFrame, docs: DataFrame, made: Iterable[str]) -> DataFram
 def _kept(docs: DataFrame, made: Iterable[str]) -> list[str]:
     gone = {c.lower() for c in made}
     return [c for c in docs.columns if c.lower() not in gone]
+
+
+def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, to be broadcast if its values written out take `most` bytes at most; else as it is, for Spark to decide how it is
+    joined. Reads df once, so give it a checkpoint."""
+    size = df.select(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(16)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sextant.llm.ann import ann_search
 from sextant.llm.bpe_stream import encode_decode
 from sextant.llm.decontaminate import contamination
+from sextant.llm.divergence import source_divergence
 from sextant.llm.html_extract import extract_text
 from sextant.llm.langid import language_id
 from sextant.llm.licenses import license_scan
@@ -19,6 +20,8 @@ from sextant.llm.line_dedup import line_dedup
 from sextant.llm.quality import quality_scores
 from sextant.llm.simhash import simhash_components
 from sextant.llm.token_counts import token_counts
+from sextant.llm.url_filter import url_filter
+from sextant.llm.vector_codes import vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +90,76 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of every usable vector, with what it loses, by itself and by label, and a digest of the codebooks."""
+    return vector_codes(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+#: The list that urls are judged by: host, path, action.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+_RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, the longest rule that fits and its verdict for every page's url; a url that none fits is allowed."""
+    rules = spark.sql(f"select * from values {_RULES} as t(host, path, action)")
+    found = url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words are from those of every other source of its language, and its 200 most telling words."""
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _round(k: int) -> str:
+    """Parts assigned to the codebooks of round k, and those of the next."""
+    return f"""
+a{k} as (select r, p, v, min({{'d': d, 'e': e}}) as best from (
+  select x.r, x.p, x.v, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from x join c{k} c using (p)) group by r, p, v),
+s{k} as (select p, e, list(m order by i) as v from (
+    select p, best.e as e, i, ((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*))::bigint as m from a{k}, range(1, 1 + (select max(len(v)) from x)) t(i) group by all) group by p, e),
+c{k + 1} as (select c.p, c.e, coalesce(s.v, c.v) as v from c{k} c left join s{k} s using (p, e))"""
+
+
 ORACLES = {
+    "op11_vector_codes": f"""
+with kept as (select row_number() over (order by vec_id, embedding) as r, vec_id, label, embedding from embeddings where embedding is not null and len(list_filter(embedding, lambda z: z is null or not isfinite(z))) = 0),
+x as (select r, p, list_transform(embedding[p * len(embedding) // 16 + 1 : (p + 1) * len(embedding) // 16], lambda z: floor(256 * z::double)::bigint) as v from kept, range(16) t(p)),
+c0 as (select p, r - 1 as e, v from x where r <= 64),{_round(0)},{_round(1)},{_round(2).rpartition("s2 as")[0].rstrip().rstrip(",")},
+o as (select r, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.d)::bigint as error from a2 group by r),
+l as (select label, sum(error)::bigint as label_error from o join kept using (r) group by label)
+select vec_id, code, error, label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from c2) as codebooks_sha256
+from kept join o using (r) join l on kept.label is not distinct from l.label""",
+    "op12_url_filter": f"""
+with u as (select row_number() over () as r, page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+h as (select r, page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+rules as (select * from (values {_RULES}) t(host, path, action)),
+fit as (select h.r, arg_max({{'rule': rules.host || rules.path, 'action': action}}, length(rules.host || rules.path)) as best
+  from h join rules on (h.host = rules.host or ends_with(h.host, '.' || rules.host)) and starts_with(h.path, rules.path) group by h.r)
+select page_id, host, path, best.rule as rule, coalesce(best.action, 'allow') as verdict from h left join fit using (r)""",
+    "op13_source_divergence": rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+kept as (select lang, term from t group by lang, term having count(distinct r) >= 3),
+v as (select lang, count(*) as v from kept group by lang),
+g as (select distinct lang, source from d),
+c as (select t.lang, t.source, t.term, count(*) as n from t join kept using (lang, term) group by all),
+full_ as (select g.lang, g.source, kept.term, coalesce(c.n, 0)::hugeint as n from g join kept using (lang) left join c using (lang, source, term)),
+tot as (select lang, source, sum(n) as total from full_ group by all),
+p as (select f.*, 1 + (1000000000 * (n + 1)) // (total + v) as p from full_ f join tot using (lang, source) join v using (lang)),
+lt as (select lang, term, sum(n) as n from full_ group by all),
+ln as (select lang, sum(n) as total from lt group by lang),
+q as (select lt.lang, lt.term, 1 + (1000000000 * (n + 1)) // (total + v) as q from lt join ln using (lang) join v using (lang)),
+sums as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b using (lang, term) group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sums.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source),
+term as (select p.lang, p.source, 'term' as part, p.term as item, ((p - q) * (p - q)) // q as value from p join q using (lang, term) where n > 0 and p > q),
+both_ as (select * from pair union all select * from term)
+select lang, source, part, item, value::bigint as value, rank::integer as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from both_) where part = 'pair' or rank <= 200""",
     "op4_license_scan": license_oracle(),
     "op2_decontaminate": rf"""
 with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -120,7 +190,7 @@ from l left join often on l.key = often.key group by r, doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract_html, op2_decontaminate, op3_simhash, op4_license_scan, op5_quality, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_extract_html, op2_decontaminate, op3_simhash, op4_license_scan, op5_quality, op6_language_id, op7_ann, op8_token_counts, op9_bpe_round_trip, op10_line_dedup, op11_vector_codes, op12_url_filter, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
