@@ -15,6 +15,10 @@ from sextant.llm.common import checkpointed, map_batches, small
 
 #: Letters and the bytes, in UTF-8, of whatever isn't ASCII.
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Different terms of all groups that a task holds before it passes their counts on, and those of a batch.
+HELD = 200_000
+#: Sources whose contributions are summed side by side.
+WIDTH = 32
 #: Parts that a group's terms are ranked in before their best meet.
 SALTS = 64
 
@@ -34,21 +38,30 @@ def _distance(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), df (documents) of docs (lang, source, text, none of them null). The texts of a batch
-    are counted together, group by group, and Spark adds up the batches' counts, in part before the shuffle."""
+    """lang, source, term, n (occurrences), df (documents) of docs (lang, source, text, none of them null). A task counts its
+    texts group by group, as many as fit, and Spark adds up the tasks' counts, in part before the shuffle."""
+
+    def counted(found: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, df) in found.items():
+            of = [pa.array([x] * len(n), pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
         for b in batches:
-            found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
             for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text"), strict=True):
                 # bytes.lower() is about A-Z alone
                 terms = _TERM.findall(text.as_py().lower())
                 n, df = found.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(n)
                 n.update(terms)
                 df.update(set(terms))
-            for (lang, source), (n, df) in found.items():
-                of = [pa.array([x] * len(n), pa.string()) for x in (lang, source)]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "df"])
+                size += len(n)
+            if size > HELD:
+                yield from counted(found)
+                found, size = {}, 0
+        yield from counted(found)
 
     rows = map_batches(docs.select("lang", "source", F.col("text").cast("binary").alias("text")), run, "lang string, source string, term string, n long, df long")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
@@ -88,13 +101,23 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, scale:
     shares = F.zip_with("n", "g", lambda n, s: _share(n, s["total"], F.col("v"), scale))
     dense = dense.select("lang", "term", "g", "n", shares.alias("p"), _share(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x), F.col("all"), F.col("v"), scale).alias("q"))
 
+    # a row for each term, source and block of other sources: the contributions to each of these are a column's sum
+    most = langs.agg(F.max(F.size("g"))).first()[0] or 0
+    width = min(WIDTH, most)
     own = dense.select("lang", "p", F.posexplode_outer("p").alias("i", "x"))
-    each = own.select("lang", "i", F.posexplode_outer(F.transform("p", lambda y: _distance(F.col("x"), y))).alias("j", "value"))
-    sums = each.where("i <> j").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    if most > width:
+        own = own.select("lang", "i", "x", "p", F.explode_outer(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / width).cast("int"))).alias("block"))
+    else:
+        own = own.select("lang", "i", "x", "p", F.lit(0).alias("block"))
+    each = own.select("lang", "i", "block", F.transform(F.slice("p", F.col("block") * width + 1, width), lambda y: _distance(F.col("x"), y)).alias("f"))
+    sums = each.groupBy("lang", "i", "block").agg(F.array(*[F.sum(F.get("f", F.lit(k))) for k in range(width)]).alias("f")) if width else None
     # every pair once with its names, whether it has terms or not
     named = langs.select("lang", "g", F.posexplode("g").alias("i", "a")).select("lang", "i", F.col("a.source").alias("source"), F.posexplode("g").alias("j", "b")).where("i <> j")
     named = named.select("lang", "i", "j", F.lit(0).cast("long").alias("value"), "source", F.col("b.source").alias("item"))
-    pairs = named.unionByName(sums, allowMissingColumns=True).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"), F.max("source").alias("source"), F.max("item").alias("item"))
+    if width:
+        sums = sums.select("lang", "i", "block", F.posexplode("f").alias("k", "value")).where("value is not null").select("lang", "i", (F.col("block") * width + F.col("k")).alias("j"), "value").where("i <> j")
+        named = named.unionByName(sums, allowMissingColumns=True)
+    pairs = named.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"), F.max("source").alias("source"), F.max("item").alias("item"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(best).alias("rank"))
 

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from sextant.llm import divergence
 from sextant.llm import url_filter as U
 from sextant.llm import vector_codes as V
 from sextant.llm.divergence import source_divergence
@@ -155,7 +156,9 @@ def plain_divergence(rows, min_docs, top, scale):
 DOCS = "text string, lang string, source string"
 
 
-def test_divergence_brute_force(spark):
+@pytest.mark.parametrize("width", [32, 2])
+def test_divergence_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr(divergence, "WIDTH", width)
     rng = random.Random(2)
     words = [f"{a}{b}" for a in "abcdeÉéß日" for b in ("x", "Y", "zz", "\U0001f600")] + ["it's", "a1b", "", "_", "\x00", "x y"]
     rows = [(" ".join(rng.choice(words[: rng.randint(3, len(words))]) for _ in range(rng.randint(0, 30))), rng.choice(("en", "de", "", None)), rng.choice(("a", "b", "b", "b", "é", "", None))) for _ in range(150)]
