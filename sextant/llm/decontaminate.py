@@ -19,6 +19,8 @@ _FOLD = bytes.maketrans(_SPACES + bytes(range(0x41, 0x5B)), b" " * len(_SPACES)
 #: Words of a shard, at least one document; bytes of benchmark words held at once: the index of a block takes about 25
 #: times as many, so 100 MB, on the driver and in each worker.
 SHARD_WORDS, BLOCK_BYTES = 1 << 19, 4 << 20
+#: Blocks that are searched for in one reading of the documents, each in a worker of its own.
+CHAINED = 4
 
 Item = tuple[str | None, list[bytes]]
 
@@ -62,10 +64,11 @@ class Tests:
         item = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64) + 1)
         left = runs(stream)
         need = np.minimum(window, np.array(sizes, np.int64))[item] if sizes else left
-        suffixes = suffix_array(stream, np.flatnonzero(stream >= 0), max(sizes, default=1))
+        ranks = Ranks(stream, max(sizes, default=1))
+        suffixes = ranks.sorted(np.flatnonzero(stream >= 0))
         # windows that are equal stand side by side among the suffixes that hold one
         at = suffixes[left[suffixes] >= need[suffixes]]
-        agree, _ = _compare(stream, at[1:], stream, at[:-1], need[at[:-1]])
+        agree, _ = ranks.compare(at[1:], at[:-1], need[at[:-1]]) if len(at) else (np.zeros(0, np.int64), None)
         fresh = np.ones(len(at), bool)
         fresh[1:] = (agree < need[at[:-1]]) | (need[at[1:]] != need[at[:-1]])
         number = np.cumsum(fresh) - 1
@@ -91,53 +94,69 @@ class Tests:
 
 
 def suffix_array(text: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
-    """The positions `begin` of text in the order of the suffixes there, compared to at least `depth` numbers.
+    """The positions `begin` of text in the order of the suffixes there, compared to at least `depth` numbers; see Ranks."""
+    return Ranks(text, depth).sorted(begin)
 
-    text: numbers from 0, -1 where a suffix ends. Ranks are doubled: each round sorts by the ranks of two halves. Ranks
-    are over all positions that `begin` can lead to; those that can't be reached keep the lowest.
+
+class Ranks:
+    """Ranks of all positions of a text by their first 1, 2, 4, ... numbers, -1 included as an end: two suffixes are compared in as
+    many steps as there are ranks, however much they agree in.
+
+    text: numbers from 0, -1 where a suffix ends. Ranks are doubled: each round sorts by the ranks of two halves, until
+    `depth` numbers are compared or nothing is told apart any more.
     """
-    rank, have = text.astype(np.int64), 1
-    while have < depth:
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[: max(0, len(rank) - have)] = rank[have:]
-        ahead[rank < 0] = -1
-        live = np.flatnonzero(rank >= 0)
-        if not live.size:
-            break
-        key = rank[live] * (int(rank.max()) + 2) + ahead[live] + 1
-        order = np.argsort(key, kind="stable")
-        step = np.zeros(len(order), np.int64)
-        step[1:] = np.cumsum(key[order][1:] != key[order][:-1])
-        fresh = np.full(len(rank), -1, np.int64)
-        fresh[live[order]] = step
-        rank, have = fresh, 2 * have
-    return begin[np.argsort(rank[begin], kind="stable")]
-
-
-def _compare(text: np.ndarray, at: np.ndarray, stream: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair of suffixes: how many numbers agree, at most length, and the sign of the first difference."""
-    agree, sign = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    left = np.arange(len(at))
-    k = 0
-    while left.size:
-        left = left[k < length[left]]
-        x = text[np.minimum(at[left] + k, len(text) - 1)]
-        y = stream[start[left] + k]
-        differs = (x != y) | (x < 0)
-        sign[left[differs]] = np.where(x < y, -1, 1)[differs]
-        left = left[~differs]
-        agree[left] += 1
-        k += 1
-    return agree, sign
-
-
-def bounds(text: np.ndarray, suffixes: np.ndarray, stream: np.ndarray, start: np.ndarray, length: np.ndarray, upper: bool = False) -> np.ndarray:
-    """Where each prefix (start, length) of the stream would stand among the text's suffixes: before all that begin with
-    it, or with `upper` behind them. Binary search, for all prefixes at once."""
+
+    def __init__(self, text: np.ndarray, depth: int) -> None:
+        self.text, self.left = text, runs(text)
+        rank, have = text.astype(np.int64), 1
+        self.levels, self.whole = [rank.astype(np.int32)], False
+        while have < depth:
+            ahead = np.full(len(rank), -1, np.int64)
+            ahead[: max(0, len(rank) - have)] = rank[have:]
+            ahead[rank < 0] = -1
+            live = np.flatnonzero(rank >= 0)
+            if not live.size:
+                break
+            key = rank[live] * (int(rank.max()) + 2) + ahead[live] + 1
+            order = np.argsort(key, kind="stable")
+            step = np.zeros(len(order), np.int64)
+            step[1:] = np.cumsum(key[order][1:] != key[order][:-1])
+            fresh = np.full(len(rank), -1, np.int64)
+            fresh[live[order]] = step
+            # as many ranks as before: what is equal now is equal to the end
+            self.whole = bool(have > 1 and step[-1] == rank.max())
+            rank, have = fresh, 2 * have
+            if self.whole:
+                break
+            self.levels.append(rank.astype(np.int32))
+        self.rank = rank
+
+    def sorted(self, begin: np.ndarray) -> np.ndarray:
+        """Positions in the order of the suffixes there."""
+        return begin[np.argsort(self.rank[begin], kind="stable")]
+
+    def compare(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of suffixes: how many numbers agree, at most length, and the sign of the first difference."""
+        agree, last = np.zeros(len(a), np.int64), len(self.text) - 1
+        for k in range(len(self.levels) - 1, -1, -1):
+            level, step = self.levels[k], 1 << k
+            x, y = level[np.minimum(a + agree, last)], level[np.minimum(b + agree, last)]
+            same = (x == y) & (x >= 0) & (agree < length)
+            # the last rank reaches as far as is asked for, or tells that all is equal
+            agree[same] = length[same] if self.whole and k == len(self.levels) - 1 else agree[same] + step
+        # ranks tell ends apart only by where they are: nothing agrees beyond one
+        agree = np.minimum(np.minimum(agree, length), np.minimum(self.left[a], self.left[b]))
+        x, y = self.text[np.minimum(a + agree, last)], self.text[np.minimum(b + agree, last)]
+        return agree, np.where(agree >= length, 0, np.where(x < y, -1, 1))
+
+
+def bounds(ranks: Ranks, suffixes: np.ndarray, start: np.ndarray, length: np.ndarray, upper: bool = False) -> np.ndarray:
+    """Where each prefix (start, length) would stand among sorted suffixes, all of them positions in one text: before all that
+    begin with it, or with `upper` behind them. Binary search, for all prefixes at once."""
     low, high = np.zeros(len(start), np.int64), np.full(len(start), len(suffixes), np.int64)
     while (open_ := np.flatnonzero(low < high)).size:
         mid = (low[open_] + high[open_]) // 2
-        _, sign = _compare(text, suffixes[mid], stream, start[open_], length[open_])
+        _, sign = ranks.compare(suffixes[mid], start[open_], length[open_])
         right = (sign < 0) | (upper & (sign == 0))
         low[open_] = np.where(right, mid + 1, low[open_])
         high[open_] = np.where(right, high[open_], mid)
@@ -167,7 +186,10 @@ class Shard:
         drop = np.repeat(short, left[short]) + np.arange(int(left[short].sum())) - np.repeat(np.cumsum(left[short]) - left[short], left[short])
         self.text[drop] = -1
         left[drop] = 0
-        self.suffixes = suffix_array(self.text, np.flatnonzero(left >= tests.least), tests.longest)
+        # the tests' words stand behind the shard's, so that both are compared by the same ranks
+        self.shift = len(self.text)
+        self.ranks = Ranks(np.concatenate([self.text, tests.stream]), tests.longest)
+        self.suffixes = self.ranks.sorted(np.flatnonzero(left >= tests.least))
 
     @classmethod
     def of(cls, tests: Tests, documents: list[list[bytes]]) -> Shard:
@@ -181,10 +203,10 @@ class Shard:
         start = t.suffixes
         best, place = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
         if len(self.suffixes) and len(start):
-            low = bounds(self.text, self.suffixes, t.stream, start, t.left[start])
+            low = bounds(self.ranks, self.suffixes, start + self.shift, t.left[start])
             for near in (low - 1, low):
                 at = self.suffixes[np.clip(near, 0, len(self.suffixes) - 1)]
-                agree, _ = _compare(self.text, at, t.stream, start, t.left[start])
+                agree, _ = self.ranks.compare(at, start + self.shift, t.left[start])
                 better = agree > best
                 best, place = np.where(better, agree, best), np.where(better, at, place)
         return start, np.where(best >= t.least, best, 0), np.where(best >= t.least, place, -1)
@@ -198,7 +220,7 @@ class Shard:
         some = np.unique(of[(of >= 0) & (best >= t.lengths[of] if len(t.lengths) else False)])
         if not len(some):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low, high = (bounds(self.text, self.suffixes, t.stream, t.starts[some], t.lengths[some], upper) for upper in (False, True))
+        low, high = (bounds(self.ranks, self.suffixes, t.starts[some] + self.shift, t.lengths[some], upper) for upper in (False, True))
         times = high - low
         inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         return np.repeat(some, times), self.suffixes[np.repeat(low, times) + inside]
@@ -206,17 +228,13 @@ class Shard:
     def verbatim(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The longest match of any item's words with the text from each position, and where in the stream it begins."""
         t = self.tests
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(t.suffixes), np.int64)
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
-            _, sign = _compare(self.text, at[open_], t.stream, t.suffixes[mid], t.left[t.suffixes[mid]])
-            right = sign >= 0
-            low[open_] = np.where(right, mid + 1, low[open_])
-            high[open_] = np.where(right, high[open_], mid)
         best, where = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+        if not len(t.suffixes):
+            return best, where
+        low = bounds(self.ranks, t.suffixes + self.shift, at, self.ranks.left[at])
         for near in (low - 1, low):
             start = t.suffixes[np.clip(near, 0, len(t.suffixes) - 1)]
-            agree, _ = _compare(self.text, at, t.stream, start, t.left[start])
+            agree, _ = self.ranks.compare(at, start + self.shift, t.left[start])
             better = agree > best
             best, where = np.where(better, agree, best), np.where(better, start, where)
         return best, where
@@ -332,8 +350,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words
     match within each shard of docs, and one place of it, where it is at least as long as the shortest window. For
     inspection: a shard is some documents of one partition, so a suffix has a row for each shard that holds a match.
 
-    Null and empty texts and items match nothing; items without an id have a null item. Suffixes of an item cut for
-    its length count from where the part begins. More than one block of the benchmark: results of each are put together.
+    Null and empty texts and items match nothing; items without an id have a null item; columns other than those named are
+    ignored, whatever their names. A very long text is a shard by itself, held in memory with ranks for each power of
+    two up to the longest item. Suffixes of an item cut for its length count from where the part begins. More than one
+    block of the benchmark: results of each are put together.
     """
     out = None
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -371,18 +391,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     array is sorted by rank doubling as deep as the longest item; every suffix of every item is binary-searched in it
     for its longest match, and where that holds a window all occurrences are read from the array. Documents never move.
     The benchmark is a stated query set. It is indexed on the driver and sent out one block of about block_bytes at a
-    time, whatever its size; for more than one block the rows, with what was found, are written down between blocks.
+    time, whatever its size; CHAINED blocks are searched for in one reading of the rows, after which these are written
+    down with what was found. Suffixes are compared by ranks, so a document that holds a long item, or is one, takes
+    little more time than others of its length.
     """
     spark = docs.sparkSession
     made = ("n_words", "n_hit", "items", "contaminated", "hits", "longest")
     rows = wrapped(docs, made, text="string")
     blocks = _blocks(benchmark, window, block_bytes)
-    block, again = next(blocks), False
-    while block is not None:
-        rows = _searched(rows, Tests.of(block, window), shard_words, again)
-        block, again = next(blocks, None), True
-        if block is not None:
+    for k, block in enumerate(blocks):
+        if k and k % CHAINED == 0:
             rows = checkpointed(rows)
+        rows = _searched(rows, Tests.of(block, window), shard_words, k > 0)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
     rows = rows.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     return unwrapped(rows, docs, made)
