@@ -30,10 +30,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     code points found in at least min_docs documents lose all their lines in every row. A document is a doc_id: rows
     that share one count once, rows without one, or all if docs has no such column, count each. Every row is
     reassembled by itself. Null and empty texts are one empty line and stay as an empty text. A very long text is a row
-    of one task, and as many hashes as it has lines.
+    of one task, and a place for each of its lines that goes; time grows with its lines.
 
-    Lines are exploded only as 128-bit hashes. The hashes to drop come back a document, keyed by a 128-bit hash of its
-    doc_id, if it has one, and its text, and the text is reassembled by position, in place.
+    Lines are exploded only as 128-bit hashes. The places to drop come back a document, in order, keyed by a 128-bit hash
+    of its doc_id, if it has one, and its text, and what stands between them is put together in place.
     """
     named = "doc_id" in (c.lower() for c in docs.columns)
     # the text is read from the row, so that it is shuffled once
@@ -52,16 +52,16 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
         counted = keys.where("doc_id is not null").select("doc_id", "a", "b").distinct().unionByName(keys.where("doc_id is null").select("doc_id", "a", "b"))
     # cut off, so that both sides of the join are plain shuffles and a hot key's rows can be split over tasks
     often = checkpointed(counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
-    gone = keys.select("ka", "kb", "a", "b").join(often, ["a", "b"]).groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    # all lines with their places, repeats included: what comes back of a document are the places to drop
+    places = rows.select("ka", "kb", F.posexplode_outer(line_keys(text)).alias("at", "key")).where(F.length("key") >= min_chars).select("ka", "kb", "at", _hash(F.col("key")).alias("h"))
+    gone = places.select("ka", "kb", "at", "h.a", "h.b").join(often, ["a", "b"]).groupBy("ka", "kb").agg(F.sort_array(F.collect_set("at")).alias("drop"))
     out = rows.join(gone, ["ka", "kb"], "left").withColumn("lines", F.split(text, "\n", -1))
-
-    def stays(line: Column) -> Column:
-        key = F.trim(ascii_lower(line), F.lit(STRIPPED))
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("drop"), _hash(key))
-
-    out = out.withColumn("kept", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
-    n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
-    return unwrapped(out.withColumns({"kept_text": F.array_join("kept", "\n"), "n_lines": n_lines, "n_dropped": n_lines - n_kept}), docs, MADE)
+    # what stands between two places to drop stays, so a document takes time in proportion to its lines
+    n_lines, n_dropped = F.size("lines"), F.coalesce(F.size("drop"), F.lit(0))
+    after, before = F.concat(F.array(F.lit(-1)), F.col("drop")), F.concat(F.col("drop"), F.array(n_lines))
+    kept = F.flatten(F.zip_with(after, before, lambda a, b: F.slice("lines", a + 2, b - a - 1)))
+    kept_text = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return unwrapped(out.withColumns({"kept_text": kept_text, "n_lines": n_lines.cast("long"), "n_dropped": n_dropped.cast("long")}), docs, MADE)
 
 
 def _name(docs: DataFrame, name: str) -> str:
