@@ -17,8 +17,8 @@ from sextant.llm.common import map_batches
 #: Elements that end one line and begin another.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that by their meaning hold no text of an article.
-BOILERPLATE = frozenset("aside button canvas dialog footer form head iframe menu nav noscript object script search select style svg template textarea title".split())
+#: Elements that by their meaning hold no text of an article: of a form these are its controls.
+BOILERPLATE = frozenset("aside button canvas datalist dialog footer head iframe label legend menu nav noscript object script search select style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or an id that speak against a region, if all its other words are about layout.
 MARKS = frozenset(
@@ -34,8 +34,9 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINERS = frozenset("article blockquote body center dir div dl html main ol section table td ul".split())
 #: Elements that one of the same group closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: What a mark, and an article around it, does to a line's ratio.
-AGAINST, FOR = 0.02, 4.0
+#: What a mark, and an article or main around it, does to a line's ratio; and that it stands outside of these, on a page that
+#: has one.
+AGAINST, FOR, OUTSIDE = 0.02, 4.0, 0.05
 #: How many times as high the ratios of contents are as those of the rest, at least.
 CONTRAST = 3.0
 #: Characters that the parser is given at once.
@@ -56,7 +57,7 @@ def marked(value: str, but: frozenset[str] | set[str] = frozenset()) -> bool:
 class Element:
     """An open element, with all that it passes on to those inside it, so that a line costs the same at any depth."""
 
-    __slots__ = ("article", "box", "depth", "heading", "in_header", "link", "main", "out", "parent", "region", "tag")
+    __slots__ = ("article", "box", "depth", "form", "heading", "in_header", "link", "main", "out", "parent", "region", "tag")
 
     def __init__(self, tag: str, parent: Element | None, out: bool, against: bool) -> None:
         self.tag, self.parent, self.out = tag, parent, out or (parent is not None and parent.out)
@@ -64,9 +65,10 @@ class Element:
         self.link = tag == "a" or (parent is not None and parent.link)
         self.heading = tag in HEADINGS or (parent is not None and parent.heading)
         self.in_header = tag == "header" or (parent is not None and parent.in_header)
-        #: The outermost article, the outermost main, the innermost container, the outermost element with a mark.
+        #: The outermost article, main and form, the innermost container, the outermost element with a mark.
         self.article = (parent and parent.article) or (self if tag == "article" else None)
         self.main = (parent and parent.main) or (self if tag == "main" else None)
+        self.form = (parent and parent.form) or (self if tag == "form" else None)
         self.box = self if tag in CONTAINERS or not parent else parent.box
         self.region = (parent and parent.region) or (self if against else None)
 
@@ -143,7 +145,7 @@ class Lines(HTMLParser):
         if tag in ("article", "main") and (self.open[-1].out or self.open[-1].region):
             # an article never begins inside an element that was left open before it
             k = next(k for k, x in enumerate(self.open) if x.out or x.region)
-            if self.open[k].tag not in ("dialog", "form", "noscript", "template") and not self.open[k].article:
+            if self.open[k].tag not in ("dialog", "noscript", "template") and not self.open[k].article:
                 self.close_to(k)
         self.open.append(Element(tag, self.open[-1], *self.judged(tag, attrs)))
         self.counts[tag] += 1
@@ -206,10 +208,32 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2)) if high - low >= np.log(CONTRAST) else -1.0
 
 
+def without_forms(lines: list[Line]) -> list[Line]:
+    """Lines outside of forms, and all inside of a form that holds the page: an article or main, or half of its text."""
+    sizes: Counter[Element | None] = Counter()
+    for x in lines:
+        sizes[x.at.form] += len(x.text)
+    whole = {x.at.form for x in lines if (r := x.at.article or x.at.main) and x.at.form and x.at.form.depth < r.depth}
+    whole |= {f for f, n in sizes.items() if f and 2 * n >= sum(sizes.values())}
+    return [x for x in lines if not x.at.form or x.at.form in whole]
+
+
+def root(at: Element) -> Element:
+    """The region that a line is selected with: main, or its article, or else its outermost element with a mark, or container."""
+    return at.main or at.article or at.region or at.box
+
+
 def ratios(lines: list[Line]) -> np.ndarray:
-    """Characters outside of links for each tag; less in a region with a mark, more in an article. Lines are smoothed
-    within their region with a mark, article, main or else container, so an advert gains nothing from its place."""
-    raw = np.array([(len(x.text) - x.linked) / max(1, x.tags) * (AGAINST if x.at.region else FOR if x.at.article or x.at.main else 1.0) for x in lines])
+    """Characters outside of links for each tag; less in a region with a mark, more in an article or main, less outside of
+    these where there is one. Lines are smoothed within their region with a mark, article, main or else container, so an
+    advert gains nothing from its place."""
+    named = any(x.at.article or x.at.main for x in lines)
+
+    def factor(at: Element) -> float:
+        inside = bool(at.article or at.main)
+        return (AGAINST if at.region else FOR if inside else 1.0) * (OUTSIDE if named and not inside else 1.0)
+
+    raw = np.array([(len(x.text) - x.linked) / max(1, x.tags) * factor(x.at) for x in lines])
     flows: dict[Element, list[int]] = {}
     for k, x in enumerate(lines):
         flows.setdefault(x.at.region or x.at.article or x.at.main or x.at.box, []).append(k)
@@ -223,12 +247,13 @@ def extract(html: str, cut: Callable[[np.ndarray], float] = threshold) -> list[s
     """The lines of a page's main text. cut: where the clusters of ratios part.
 
     Lines in the upper cluster select the regions. A region whose class speaks against it goes unless one of its lines is
-    in the upper cluster. An article (or main, where no article is) stays if one of its lines is, and stays whole but
-    for such regions. On a page without these a line stays if its container holds one of the upper cluster, at any
-    depth, or if it stands between two of these; so do headings that lead to the first. Containers that hold two
-    links or more, and little else, go.
+    in the upper cluster. Main, or an article where no main is, stays if one of its lines is, and stays whole but for such
+    regions; so does any other region beside them. On a page without main and articles a line stays if its container
+    holds one of the upper cluster, at any depth, or if it stands between two of these; so do headings that lead to the
+    first. Containers there that hold two links or more, and little else, go, unless they stand between lines of the
+    upper cluster that are directly in the container around them.
     """
-    lines = lines_of(html)
+    lines = without_forms(lines_of(html))
     if not lines:
         return []
     ratio = ratios(lines)
@@ -236,23 +261,31 @@ def extract(html: str, cut: Callable[[np.ndarray], float] = threshold) -> list[s
     strong = {x.at.region for x, up in zip(lines, upper, strict=True) if up}
     some = [k for k, x in enumerate(lines) if not x.at.region or x.at.region in strong]
     chosen = [k for k in some if upper[k]] or some
-    for kind in ("article", "main"):
-        roots = {r for k in chosen if (r := getattr(lines[k].at, kind))}
-        if roots:
-            return [lines[k].text for k in some if getattr(lines[k].at, kind) in roots]
+    if any(x.at.article or x.at.main for x in lines):
+        roots = {root(lines[k].at) for k in chosen}
+        return [lines[k].text for k in some if root(lines[k].at) in roots]
     sums: dict[Element, np.ndarray] = {}
     for k in some:
         x = lines[k]
         sums[x.at.box] = sums.get(x.at.box, 0) + np.array([len(x.text), x.linked, x.links])
     menus = {box for box, (n, linked, links) in sums.items() if links > 1 and 2 * linked > n}
-    some = [k for k in some if lines[k].at.box not in menus]
-    chosen = [k for k in chosen if lines[k].at.box not in menus] or some
-    around: set[Element] = set()
+    chosen = [k for k in chosen if lines[k].at.box not in menus]
+    around = _around(lines, chosen)
+    direct: dict[Element, list[int]] = {}
     for k in chosen:
-        x = lines[k].at.box
+        direct.setdefault(lines[k].at.box, []).append(k)
+    ends: dict[Element, list[int]] = {}
+    for k in some:
+        ends.setdefault(lines[k].at.box, []).append(k)
+    for menu in list(menus):
+        x = menu.parent and menu.parent.box
         while x and x not in around:
-            around.add(x)
             x = x.parent and x.parent.box
+        if x and (at := direct.get(x)) and at[0] < ends[menu][0] and at[-1] > ends[menu][-1]:
+            menus.discard(menu)
+    some = [k for k in some if lines[k].at.box not in menus]
+    chosen = chosen or some
+    around = _around(lines, chosen)
     before = [k for k in some if k < chosen[0]] if chosen else []
     lead = len(before)
     while lead and lines[before[lead - 1]].at.heading:
@@ -261,12 +294,24 @@ def extract(html: str, cut: Callable[[np.ndarray], float] = threshold) -> list[s
     return [lines[k].text for k in some if first <= k <= chosen[-1] or lines[k].at.box in around]
 
 
+def _around(lines: list[Line], chosen: list[int]) -> set[Element]:
+    """The containers of some lines, and all that these are in."""
+    found: set[Element] = set()
+    for k in chosen:
+        x = lines[k].at.box
+        while x and x not in found:
+            found.add(x)
+            x = x.parent and x.parent.box
+    return found
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (string), n_chars (long, code points) for every row of pages (page_id, url, html; others ignored).
 
     text is the article without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and
     reader comments: its blocks in page order, joined by \\n, with character references decoded and white space inside
     a block made one space and trimmed. A null or empty page, or one without an article's text, has the empty text.
+    Of a form that holds the page only the controls go.
     Unclosed elements and cut-off markup do no harm. Pages are independent: nothing is shuffled, repeated rows stay,
     and other columns of any name are ignored. A page goes through the parser in chunks, in time that grows with its
     length; what is held is its lines. See extract for how regions are selected.

@@ -449,3 +449,33 @@ def test_blocks_without_an_article_all_stay(block):
     assert extract(page) == [*(t.strip() for t in texts), "All of it", "A paragraph that is a link"]
     two = ["x" * 600, "y" * 400]
     assert extract("<body><div class=content>" + "".join(f"<div><p>{t}</p></div>" for t in two) + "</div></body>") == two
+
+
+def test_forms_around_the_page_lose_controls_only():
+    inner = f"<div class=content><h1>T</h1><p>{LONG}</p><label>Your name</label><input><select><option>one</option></select><p>{SHORT}</p><button>Send</button></div>"
+    assert extract(f"<body><form id=aspnetForm>{MENU}{inner}<div class=ad>Buy now</div></form></body>") == ["T", LONG.strip(), SHORT]
+    article = f"<article><h1>T</h1><p>{LONG}</p><form><p>Get our letter</p><input></form></article>"
+    assert extract(f"<body><form>{article}<div>Buy now</div></form></body>") == ["T", LONG.strip(), "Get our letter"]
+    assert extract(f"<body>{article}</body>") == ["T", LONG.strip()]
+
+
+def test_articles_and_the_text_around_them_stay():
+    two = f"<main><p>Before.</p><article><h2>A</h2><p>{LONG}</p></article><p>Between the two.</p><article><p>{SHORT}</p></article><p>After.</p></main>"
+    assert extract(f"<body>{MENU}{two}<div class=ad>{SHORT}</div></body>") == ["Before.", "A", LONG.strip(), "Between the two.", SHORT, "After."]
+
+
+def test_references_between_paragraphs_stay():
+    refs = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
+    page = f"<body><div>{MENU}</div><div><h1>T</h1><p>{LONG}</p>{refs}<p>{LONG}</p></div>{MENU}</body>"
+    assert extract(page) == ["T", LONG.strip(), "First source", "Second source", LONG.strip()]
+
+
+def test_clusters_decide_on_given_pages():
+    """Of every given page that has an advert the clusters, and nothing else, leave it out; and regions with a mark inside an
+    article, but for those that read like it."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    ads = [" ".join(unescape(re.search(r'<div class="ad">(.*?)</div>', r["html"], re.DOTALL)[1]).split()) for r in pages]
+    assert all((a in extract(r["html"], _everything)) == bool(a) and extract(r["html"], _everything) != extract(r["html"]) for a, r in zip(ads, pages, strict=True) if a)
+    for r in pages[:50]:
+        noisy = r["html"].replace("</article>", "<div class='share-bar'>Tell your friends</div><div class='comments'><p>I like this.</p></div></article>")
+        assert extract(noisy) == extract(r["html"]) != extract(noisy, _everything)
