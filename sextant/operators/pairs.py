@@ -2,79 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.functions.text import STOPWORDS, WORD, content_words, normalized, overlap
-from sextant.operators.retrieval import BLOCK_TERMS
+from sextant.functions.text import content_words, normalized, overlap
 
-_WORD, _STOP = re.compile(WORD), frozenset(STOPWORDS)
 #: The largest overlap that a style of query may have with its passage; others have no cap.
 OVERLAP_MOST = {"incident_snapshot": 0.6, "symptom": 0.75, "how_to": 0.9}
 
 
-def word_set(text: str) -> set[str]:
-    """What functions.text.content_words gives, for one text in Python."""
-    return {w for w in _WORD.findall(text.lower()) if len(w) > 1 and w not in _STOP}
-
-
-def _by_words(queries: DataFrame, block: int) -> Iterator[tuple[list, list[set[str]], set[str]]]:
-    """Queries in blocks of at most `block` and of BLOCK_TERMS different words, or one query: matrices are as wide."""
-    rows, sets, words = [], [], set[str]()
-    for r in queries.toLocalIterator():
-        own = word_set(r["text"] or "")
-        if rows and (len(rows) == block or len(words | own) > BLOCK_TERMS):
-            yield rows, sets, words
-            rows, sets, words = [], [], set()
-        rows.append(r)
-        sets.append(own)
-        words |= own
-    if rows:
-        yield rows, sets, words
-
-
-def overlaps(docs: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
-    """docs: doc_id, text; queries: qid, text, a stated set. qid, doc_id, ov, has for every pair: the share of the query's
-    content words that the document has (1 for a query without any), and whether its text stands in the document.
-
-    Queries go out in blocks of bounded words, a batch of documents meets a block in one matrix product. A text that stands in another
-    shares all its words but the first and the last, which may be cut, so only pairs that lack two at most are searched.
-    """
-    spark, out = docs.sparkSession, None
-    for rows, sets, words in _by_words(queries.select("qid", "text"), block):
-        place = {w: j for j, w in enumerate(sorted(words))}
-        member = np.zeros((len(rows), len(place)), np.float32)
-        for i, ws in enumerate(sets):
-            member[i, [place[w] for w in ws]] = 1
-        given = spark.sparkContext.broadcast(([r["qid"] for r in rows], [r["text"] for r in rows], place, member))
-
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            names, texts, place, member = given.value
-            sizes = member.sum(axis=1)[:, None]
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
-                    bodies, have = b.column("text").to_pylist(), np.zeros((b.num_rows, len(place)), np.float32)
-                    for i, body in enumerate(bodies):
-                        have[i, [j for w in word_set(body or "") if (j := place.get(w)) is not None]] = 1
-                    shared = member @ have.T
-                    has = np.zeros(shared.shape, bool)
-                    for i, j in zip(*np.nonzero(sizes - shared <= 2), strict=True):
-                        has[i, j] = texts[i] is not None and bodies[j] is not None and texts[i] in bodies[j]
-                    ov = np.where(sizes == 0, 1.0, shared.astype(np.float64) / np.maximum(sizes, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, b.num_rows)), pa.array(np.tile(b.column("doc_id").to_numpy(), len(names))), pa.array(ov.ravel()), pa.array(has.ravel())], ["qid", "doc_id", "ov", "has"])
-
-        some = docs.select("doc_id", "text").mapInArrow(run, "qid long, doc_id long, ov double, has boolean")
-        out = some if out is None else out.unionByName(some)
-    return spark.createDataFrame([], "qid long, doc_id long, ov double, has boolean") if out is None else out
-
-
 def mark_duplicates(rows: DataFrame, key: str, group: str, pos: str) -> DataFrame:
     """Adds drop: ambiguous where a key occurs with several groups (every row of it), duplicate after its first row, else
     empty. Counts are joined back, not gathered, so a frequent key is no window of its own."""

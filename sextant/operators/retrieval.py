@@ -1,4 +1,5 @@
-"""Ranking: BM25, dense vectors, reciprocal rank fusion. Rankings are rows: qid, doc_id, score, rank from 1."""
+"""Ranking: dense vectors, reciprocal rank fusion, rankers by name. Rankings are rows: qid, doc_id, score, rank from 1. Ids
+are of any kind that has an order."""
 
 from __future__ import annotations
 
@@ -10,14 +11,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from sextant.functions.text import COMPOUND, tokens
-from sextant.session import checkpointed
+from sextant.functions.text import COMPOUND
 
 _COMPOUND, _SEPARATOR = re.compile(COMPOUND), re.compile("[._:/-]")
 
 
+def arrow_type(kind: str) -> pa.DataType:
+    """The Arrow type of a column of this kind, as Spark names it: Python's numbers don't tell int from long."""
+    return to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ties to the smaller doc_id. The window is cut to k rows before the shuffle and after."""
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
@@ -52,7 +59,8 @@ def best_of_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarr
 def ranked_batches(docs: DataFrame, blocks: Iterable[tuple[list, object]], score: Callable[[object, pa.RecordBatch], np.ndarray], k: int, qid: str = "long") -> DataFrame:
     """A stated query set against all documents (doc_id and what score needs), block by block: each block is broadcast,
     each batch of documents scored against all of it at once, and only each query's k best of a batch are shuffled."""
-    spark, out = docs.sparkSession, None
+    spark, out, of = docs.sparkSession, None, arrow_type(qid)
+    kind = f"qid {qid}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
     for names, block in blocks:
         given = spark.sparkContext.broadcast((names, block))
 
@@ -61,12 +69,15 @@ def ranked_batches(docs: DataFrame, blocks: Iterable[tuple[list, object]], score
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     b = whole.slice(at, 512)
-                    row, doc, value = best_of_batch(score(block, b), b.column("doc_id").to_numpy(), k)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()]), pa.array(doc), pa.array(value)], ["qid", "doc_id", "score"])
+                    # ids of any kind by their places in order
+                    order = pc.sort_indices(b.column("doc_id"), null_placement="at_start").to_numpy()
+                    place = np.argsort(order)
+                    row, at, value = best_of_batch(score(block, b), place, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()], of), b.column("doc_id").take(pa.array(order[at])), pa.array(value)], ["qid", "doc_id", "score"])
 
-        some = docs.mapInArrow(run, f"qid {qid}, doc_id long, score double")
+        some = docs.mapInArrow(run, kind)
         out = some if out is None else out.unionByName(some)
-    return spark.createDataFrame([], f"qid {qid}, doc_id long, score double") if out is None else out
+    return spark.createDataFrame([], kind) if out is None else out
 
 
 def in_blocks(rows: DataFrame, size: int) -> Iterator[list]:
@@ -81,126 +92,8 @@ def in_blocks(rows: DataFrame, size: int) -> Iterator[list]:
         yield held
 
 
-#: Queries and different terms of a block that is scored at once; different terms of all queries that one reading of the
-#: documents serves.
-BLOCK_QUERIES, BLOCK_TERMS, ASKED_TERMS = 256, 8192, 1 << 20
-
-
-def postings(docs: DataFrame, asked: list[str]) -> DataFrame:
-    """One reading of docs (doc_id, text), cut off. Rows of documents: doc_id, dl (tokens), ids (places in `asked`, which is
-    sorted, of those tokens that are asked for, repeats included). Rows of counts: terms, dfs: how many of some documents
-    have each term.
-
-    The JVM splits texts into tokens; they reach Python as Arrow arrays and are looked up and counted as arrays.
-    """
-    given = docs.sparkSession.sparkContext.broadcast(pa.array(asked, pa.string()))
-    kind = "doc_id long, dl long, ids array<int>, terms array<string>, dfs array<long>"
-    names = ["doc_id", "dl", "ids", "terms", "dfs"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                lists, n = b.column("w"), b.num_rows
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat, row = lists.flatten(), np.repeat(np.arange(n), sizes)
-                place = pc.fill_null(pc.index_in(flat, value_set=given.value), -1).to_numpy(zero_copy_only=False)
-                some = place >= 0
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row[some], minlength=n))]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[some].astype(np.int32)))
-                code = flat.dictionary_encode()
-                width = max(1, len(code.dictionary))
-                seen = np.unique(row * width + code.indices.to_numpy(zero_copy_only=False)) % width
-                dfs = np.bincount(seen, minlength=len(code.dictionary))
-                none = [pa.nulls(n, f) for f in (pa.list_(pa.string()), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), ids, *none], names)
-                counts = [pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (None, pa.list_(pa.int32())), (code.dictionary.to_pylist(), pa.list_(pa.string())), (dfs.tolist(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(counts, names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("w"))
-    return checkpointed(rows.mapInArrow(run, kind))
-
-
-def _asked(queries: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
-    """Queries with their tokens in lists whose different terms are few enough for one reading of the documents."""
-    held, terms = [], set[str]()
-    for r in queries.toLocalIterator():
-        own = split_tokens(r["query"] or "")
-        if held and len(terms | {*own}) > ASKED_TERMS:
-            yield held
-            held, terms = [], set()
-        held.append((r["qid"], own))
-        terms |= {*own}
-    if held:
-        yield held
-
-
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 4, block: int = BLOCK_QUERIES, single: bool = False) -> DataFrame:
-    """docs: doc_id, text; queries: qid, query. The k best documents of every query by BM25, those that score 0 included.
-
-    Okapi: idf = ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by epsilon times the mean idf of all terms;
-    query tokens count as often as they occur; parts of identifiers count in lengths and frequencies. Scores are
-    rounded, so that their order doesn't hang on the order of a sum; single: to single precision before that.
-
-    The documents are read and split into tokens once: what is written down are the tokens that any query asks for, as
-    numbers, and counts of terms (see postings). Queries go out in blocks of bounded terms, and a batch of
-    postings meets a block in one matrix product, so documents and postings never move.
-    """
-    out = None
-    kind = queries.schema["qid"].dataType.simpleString()
-    for held in _asked(queries.select("qid", "query")):
-        asked = sorted({t for _, ts in held for t in ts})
-        rows = postings(docs, asked)
-        texts = rows.where("dl is not null")
-        size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).first()
-        if not size["n"]:
-            break
-        n, avgdl = size["n"], (size["dl"] / size["n"]) or 1.0
-        df = rows.where("terms is not null").select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy("t.terms").agg(F.sum("t.dfs").alias("df"))
-        raw = df.select("terms", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-        terms = docs.sparkSession.createDataFrame([(t,) for t in asked], "terms string")
-        found = raw.join(F.broadcast(terms).withColumn("asked", F.lit(True)), "terms", "left").groupBy("asked").agg(F.sum("raw").alias("raw"), F.count("raw").alias("n"), F.collect_list(F.when(F.col("asked"), F.struct("terms", "raw"))).alias("each")).collect()
-        low = epsilon * sum(r["raw"] for r in found) / max(1, sum(r["n"] for r in found))
-        idf = {e["terms"]: e["raw"] if e["raw"] >= 0 else low for r in found for e in r["each"]}
-        some = ranked_batches(texts.select("doc_id", "dl", "ids"), _weighted(held, asked, idf, k1 + 1, block), _scorer(len(asked), k1, b, avgdl, digits, single), k, kind)
-        out = some if out is None else out.unionByName(some)
-    return docs.sparkSession.createDataFrame([], f"qid {kind}, doc_id long, score double, rank int") if out is None else top_k(out, k)
-
-
-def _weighted(held: list[tuple[object, list[str]]], asked: list[str], idf: dict[str, float], factor: float, block: int) -> Iterator[tuple[list, object]]:
-    """Blocks of queries: their ids, the places of their terms in `asked`, and how much each term weighs in each query."""
-    at = {t: j for j, t in enumerate(asked)}
-    while held:
-        some, terms = [], set[str]()
-        while held and len(some) < block and (not some or len(terms | {*held[0][1]}) <= BLOCK_TERMS):
-            some.append(held[0])
-            terms |= {*held[0][1]}
-            held = held[1:]
-        own = sorted(at[t] for t in terms if t in idf)
-        place = {asked[j]: i for i, j in enumerate(own)}
-        often = np.zeros((len(some), len(own)))
-        for i, (_, ts) in enumerate(some):
-            for t in ts:
-                if t in place:
-                    often[i, place[t]] += idf[t] * factor
-        yield [q for q, _ in some], (np.array(own, np.int64), often)
-
-
-def _scorer(n_asked: int, k1: float, b: float, avgdl: float, digits: int, single: bool) -> Callable[[object, pa.RecordBatch], np.ndarray]:
-    def score(given: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch) -> np.ndarray:
-        own, often = given
-        local = np.full(n_asked + 1, -1, np.int64)
-        local[own] = np.arange(len(own))
-        ids = batch.column("ids")
-        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(ids).to_numpy(zero_copy_only=False))
-        term = local[ids.flatten().to_numpy()]
-        cell = (row * len(own) + term)[term >= 0]
-        tf = np.bincount(cell, minlength=batch.num_rows * len(own)).reshape(batch.num_rows, len(own)).astype(np.float64)
-        weight = tf / (tf + k1 * (1 - b + b * batch.column("dl").to_numpy() / avgdl)[:, None])
-        found = often @ weight.T
-        return np.round(found.astype(np.float32).astype(np.float64) if single else found, digits) + 0.0
-
-    return score
+#: Queries and different terms of a block that is scored at once.
+BLOCK_QUERIES, BLOCK_TERMS = 256, 8192
 
 
 def dense(queries: DataFrame, docs: DataFrame, k: int = 100, digits: int = 6, block: int = 1024) -> DataFrame:
@@ -228,7 +121,7 @@ def rank_of(scores: DataFrame, positives: DataFrame) -> DataFrame:
     """qid, doc_id, rank of each query's positive: 1 and the count of strictly larger scores, so ties favour it. scores: qid,
     doc_id, score. Scores are counted where they are: a row for each query and task is all that is shuffled of them."""
     own = scores.join(positives.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi").groupBy("qid", "doc_id").agg(F.max("score").alias("_own"))
-    better = scores.select("qid", "score").join(F.broadcast(own), "qid").where(F.col("score") > F.col("_own")).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    better = scores.select("qid", "score").join(own, "qid").where(F.col("score") > F.col("_own")).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return own.join(better, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("rank"))
 
 
@@ -241,6 +134,8 @@ def dense_ranks(queries: DataFrame, docs: DataFrame, positives: DataFrame, digit
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("v").cast("array<double>").alias("v"))
     target = positives.join(queries, "qid").join(rows, "doc_id").select("qid", "doc_id", "q", "v")
+    kinds = {c: target.schema[c].dataType.simpleString() for c in ("qid", "doc_id")}
+    of, kinds = [arrow_type(x) for x in kinds.values()], ", ".join(f"{c} {x}" for c, x in kinds.items())
     out = None
     for some in in_blocks(target, block):
         q, v = (np.array([r[c] for r in some], np.float64).reshape(len(some), -1) for c in ("q", "v"))
@@ -250,18 +145,22 @@ def dense_ranks(queries: DataFrame, docs: DataFrame, positives: DataFrame, digit
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             names, docs_, q, own = given.value
             counts = np.zeros(len(names), np.int64)
+            rows_of: dict[object, list[int]] = {}
+            for i, x in enumerate(names):
+                rows_of.setdefault(x, []).append(i)
             for whole in batches:
                 for at in range(0, whole.num_rows, 4096):
                     b = whole.slice(at, 4096)
-                    s = np.round(q @ b.column("v").flatten().to_numpy().reshape(b.num_rows, -1).T, digits) + 0.0
-                    rival = b.column("doc_id").to_numpy()[None, :] != np.array(names)[:, None]
-                    counts += ((s > own[:, None]) & rival).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(docs_), pa.array(own), pa.array(counts)], ["qid", "doc_id", "score", "n"])
+                    better = np.round(q @ b.column("v").flatten().to_numpy().reshape(b.num_rows, -1).T, digits) + 0.0 > own[:, None]
+                    for j, x in enumerate(b.column("doc_id").to_pylist()):
+                        better[rows_of.get(x, []), j] = False
+                    counts += better.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names, of[0]), pa.array(docs_, of[1]), pa.array(own), pa.array(counts)], ["qid", "doc_id", "score", "n"])
 
-        part = rows.mapInArrow(run, "qid long, doc_id long, score double, n long")
+        part = rows.mapInArrow(run, f"{kinds}, score double, n long")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "qid long, doc_id long, score double, rank int")
+        return spark.createDataFrame([], f"{kinds}, score double, rank int")
     return out.groupBy("qid", "doc_id").agg(F.max("score").alias("score"), (F.sum("n") + 1).cast("int").alias("rank"))
 
 

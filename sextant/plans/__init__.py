@@ -26,3 +26,10 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files, dealt to all cores if it has fewer parts than there are: a small table is one. Of a large one nothing
+    moves. For texts that are worked on one by one."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

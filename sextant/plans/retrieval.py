@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
+from sextant.operators.bm25_index import bm25_top_k, stored
 from sextant.operators.metrics import evaluate, worst
 from sextant.operators.pairs import filter_chain, filter_stats, greedy_near_duplicates, hard_negatives
-from sextant.operators.retrieval import bm25_top_k, dense, dense_ranks, rrf, top_k
+from sextant.operators.overlap import overlap_top_k
+from sextant.operators.retrieval import dense, dense_ranks, rrf, top_k
 from sextant.operators.sampling import shuffled
-from sextant.plans import Registry, table
+from sextant.plans import Registry, spread, table
 from sextant.plans.text import CONTENT, OVERLAP, TOKENS
 
 R = Registry()
@@ -49,7 +51,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return bm25_top_k(table(spark, sf_dir, "documents").select("doc_id", "text"), _items(spark, sf_dir), k)
+    return stored(table(spark, sf_dir, "documents"), "documents").top_k(_items(spark, sf_dir), k)
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +78,8 @@ fr as (select * from (select *, row_number() over (partition by qid order by sco
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sextant.plans.text import _pairs
-
-    shared = _pairs(spark, sf_dir).select(F.col("item_id").alias("qid"), "doc_id", F.round("ov", 6).alias("score"))
-    return rrf([_bm25(spark, sf_dir, 20), top_k(shared, 20)], 10)
+    shared = overlap_top_k(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), _items(spark, sf_dir).withColumnRenamed("query", "text"), 20)
+    return rrf([_bm25(spark, sf_dir, 20), shared], 10)
 
 
 @R.query(f"with {BTOP.format(k=20)}, {OVR} select qid, doc_id, score, cast(rank as integer) as rank from fr")
@@ -132,6 +132,26 @@ def q_dense_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(_vectors(spark, sf_dir, 10), same, asked.select("qid", F.array(F.lit("all"), F.col("label").cast("string")).alias("slices")))
 
 
+PICKED = "docs_ as (select d.source || '#' || lpad(cast(d.doc_id as varchar), 7, '0') as doc_id, d.doc_id as n, d.text, e.embedding as v from documents d join embeddings e on e.vec_id = d.doc_id)"
+ASKED = "asked_ as (select doc_id as qid, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:12], ' ') as query, v as q from docs_ where n % 20 = 0)"
+
+
+@R.query(f"""with {PICKED}, {ASKED}, {BM25.replace("from documents)", "from docs_)").replace("item_id as qid, unnest(" + TOKENS.format("text") + ") as term from benchmark", "qid, unnest(" + TOKENS.format("query") + ") as term from asked_").rpartition("ball as")[0]}
+ball as (select q.qid, d.doc_id, coalesce(score, 0e0) as score from asked_ q cross join docs_ d left join bs on bs.qid = q.qid and bs.doc_id = d.doc_id),
+br as (select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) as rank from ball where qid <> doc_id),
+vr as (select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) as rank from (select q.qid, d.doc_id, {DOT.format("q.q", "d.v")} as score from asked_ q, docs_ d where q.qid <> d.doc_id)),
+fu as (select qid, doc_id, round(sum(1e0 / (60 + rank)), 9) as score from (select * from br where rank <= 20 union all select * from vr where rank <= 20) group by qid, doc_id)
+select qid, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from fu) where rank <= 10""")
+def q_hybrid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 and vectors fused, over chunk ids (strings): documents that have a vector, every twentieth as a query by its
+    first words and its vector, itself no candidate."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    docs = docs.select(F.concat("source", F.lit("#"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("doc_id"), F.col("doc_id").alias("n"), "text", F.col("embedding").alias("v"))
+    asked = docs.where("n % 20 = 0").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(T.words(F.col("text")), 1, 12), " ").alias("query"), F.col("v").cast("array<double>").alias("q"))
+    others = [top_k(found.where("qid <> doc_id").drop("rank"), 20) for found in (bm25_top_k(docs, asked, 21), dense(asked, docs, 21))]
+    return rrf(others, 10)
+
+
 def _next_positive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The best 90 of every twentieth vector, and the next vector as its positive, with its score and rank.
 

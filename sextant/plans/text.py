@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators.corpus import numbered, statistics, without_duplicates
-from sextant.operators.pairs import mark_duplicates, overlaps
-from sextant.plans import Registry, table
+from sextant.operators.overlap import containing, overlap_summary
+from sextant.operators.pairs import mark_duplicates
+from sextant.plans import Registry, spread, table
 
 R = Registry()
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -31,17 +32,16 @@ d as (select doc_id, text, {CONTENT.format("text")} as p from documents),
 o as (select item_id, doc_id, {OVERLAP.format("q", "p")} as ov, contains(d.text, b.text) as has from b, d)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id, ov, has for every benchmark item, a stated query set, and document."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return overlaps(table(spark, sf_dir, "documents"), items).withColumnRenamed("qid", "item_id")
+def _items_and_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and benchmark items as a stated query set."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 @R.query(f"""with {PAIRS} select item_id, count(*) filter (ov > 5e-1) as over_half, round(max(ov), 6) as most, round_even(max(ov), 3) as most3, count(*) filter (has) as containing
 from o group by item_id""")
 def q_content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _pairs(spark, sf_dir)
-    return o.groupBy("item_id").agg(F.count_if(F.col("ov") > 0.5).alias("over_half"), F.round(F.max("ov"), 6).alias("most"), F.bround(F.max("ov"), 3).alias("most3"), F.count_if("has").alias("containing"))
+    o = overlap_summary(*_items_and_docs(spark, sf_dir), over=0.5)
+    return o.select(F.col("qid").alias("item_id"), F.col("over").alias("over_half"), F.round("most", 6).alias("most"), F.bround("most", 3).alias("most3"), "containing")
 
 
 @R.query(f"""with {PAIRS}, s as (select item_id, avg(ov) as ov from o where not has group by item_id),
@@ -50,7 +50,8 @@ select slice, count(*) as n, round(avg(ov), 6) as mean_overlap from e group by s
 def q_low_overlap_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sextant.operators.metrics import slices_of
 
-    s = _pairs(spark, sf_dir).where(~F.col("has")).groupBy("item_id").agg(F.avg("ov").alias("ov"))
+    o = overlap_summary(*_items_and_docs(spark, sf_dir)).where("n > containing")
+    s = o.select(F.col("qid").alias("item_id"), ((F.col("total") - F.col("total_containing")) / (F.col("n") - F.col("containing"))).alias("ov"))
     generated = F.col("item_id") % 2 == 0
     each = s.select("item_id", "ov", F.explode(slices_of(F.when(generated, "generated").otherwise("written"), generated, F.col("ov"))).alias("slice"))
     return each.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ov"), 6).alias("mean_overlap"))
@@ -58,7 +59,7 @@ def q_low_overlap_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("""select item_id, doc_id from benchmark b, documents d where contains(d.text, b.text)""")
 def q_leak_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).where("has").select("item_id", "doc_id")
+    return containing(*_items_and_docs(spark, sf_dir)).select(F.col("qid").alias("item_id"), "doc_id")
 
 
 @R.query("""with f as (select *, row_number() over (partition by text order by doc_id) as k from documents)

@@ -22,18 +22,24 @@ def session(cores: int | str = "*", name: str = "sextant", memory: str = "8g", p
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts df's lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names. Without one a temporary
-    folder serves where all runs on one machine; elsewhere that is an error, as executors couldn't write there."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, for whatever a job writes down on its way. Without one a temporary folder
+    serves where all runs on one machine; elsewhere that is an error, as executors couldn't write there."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        named = spark.conf.get("spark.checkpoint.dir", "")
         if not named:
             if sc.master.partition("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="sextant-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts df's lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

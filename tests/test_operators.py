@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
-from sextant.operators import corpus, freeze, generation, incident, labels, markdown, metrics, pairs, retrieval, sampling
+from sextant.operators import bm25_index, corpus, freeze, generation, incident, labels, markdown, metrics, pairs, retrieval, sampling
 from sextant.settings import Chunking, Training, Tree
 from sextant.settings import settings as checked
 
@@ -94,7 +94,7 @@ def test_top_k_ties(spark):
 def test_bm25(spark):
     docs = spark.createDataFrame([(0, "pods restart"), (1, "node drain guide"), (2, "ImagePullBackOff when a deploy pulls"), (3, "x y z")], "doc_id long, text string")
     queries = spark.createDataFrame([("a", "ImagePullBackOff on deploy"), ("b", "nothing known")], "qid string, query string")
-    got = retrieval.bm25_top_k(docs, queries, 3).orderBy("qid", "rank").collect()
+    got = bm25_index.bm25_top_k(docs, queries, 3).orderBy("qid", "rank").collect()
     assert [r["doc_id"] for r in got if r["qid"] == "a"] == [2, 0, 1]
     assert [(r["doc_id"], r["score"]) for r in got if r["qid"] == "b"] == [(0, 0.0), (1, 0.0), (2, 0.0)]
 
@@ -177,7 +177,7 @@ def test_ranks_of_positives_without_pairs(spark):
 def test_single_precision_ranks(spark):
     docs = spark.createDataFrame([(k, "alpha beta " * (k + 1) + "gamma " * 3) for k in range(6)] + [(9, "delta"), (10, "epsilon zeta"), (11, "eta")], "doc_id long, text string")
     queries = spark.createDataFrame([("q", "alpha gamma")], "qid string, query string")
-    one, two = ({r["doc_id"]: r["score"] for r in retrieval.bm25_top_k(docs, queries, 9, digits=12, single=s).collect()} for s in (False, True))
+    one, two = ({r["doc_id"]: r["score"] for r in bm25_index.bm25_top_k(docs, queries, 9, digits=12, single=s).collect()} for s in (False, True))
     assert all(abs(one[d] - two[d]) < 1e-6 for d in one) and any(one[d] != two[d] for d in one)
 
 
