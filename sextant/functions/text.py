@@ -137,12 +137,22 @@ def glob_pattern(glob: str) -> str:
     return "^" + "".join(parts) + "$"
 
 
+def is_error_line(line: Column) -> Column:
+    """Whether a trimmed line of a log looks like an error; a client's own complaints aren't the log's."""
+    return (line != "") & ~line.startswith("unable to retrieve") & ~line.startswith("Error from server") & line.rlike("(?i)" + ERROR_LINE)
+
+
 def error_lines(text: Column, last: int = 2) -> Column:
-    """The last lines of a log that look like errors; a client's own complaints aren't the log's."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("unable to retrieve") & ~x.startswith("Error from server") & x.rlike("(?i)" + ERROR_LINE))
+    """The last lines of a log that look like errors."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), is_error_line)
     return F.slice(lines, F.greatest(F.lit(1), F.size(lines) - last + 1), F.lit(last))
 
 
+def excluded(headings: Column, banned: list[str]) -> Column:
+    """Whether one of a section's headings is banned, in any case."""
+    return F.exists(headings, lambda h: F.lower(h).isin([b.lower() for b in banned]))
+
+
 def head_words(text: Column, n: int) -> Column:
     """The first n words, joined by spaces."""
     return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n), " ")

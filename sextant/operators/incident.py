@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sextant.functions.text import ERROR_LINE, error_lines
+from sextant.functions.text import ERROR_LINE, error_lines, is_error_line
 
 #: Events that happen all the time.
 ROUTINE = "Scheduled SuccessfulCreate ScalingReplicaSet Pulled Pulling Created Started SuccessfulDelete SandboxChanged Completed RegisteredNode Starting".split()
@@ -58,11 +59,24 @@ def event_lines(table: Column, most: int = 4) -> Column:
     return F.slice(F.array_distinct(F.transform(rows, lambda c: F.concat_ws(" ", c[1], c[2], c[4]))), 1, most)
 
 
+def last_error_lines(rows: DataFrame, group: str, pos: str, line: str, last: int = 2) -> DataFrame:
+    """rows: group, pos, line: a log for each value of group, a line a row. group, n_lines (that look like errors), lines (the
+    last of them, in order); groups without such lines have no row. Lines are counted and picked where they are, so a
+    log may be of any length."""
+    text = F.trim(line)
+    found = rows.select(group, pos, text.alias("_line")).where(is_error_line(F.col("_line")))
+    counts = found.groupBy(group).agg(F.count(F.lit(1)).alias("n_lines"))
+    latest = Window.partitionBy(group).orderBy(F.desc(pos))
+    picked = found.withColumn("_k", F.row_number().over(latest)).where(F.col("_k") <= last)
+    picked = picked.groupBy(F.col(group).alias("_group")).agg(F.transform(F.sort_array(F.collect_list(F.struct(pos, "_line"))), lambda x: x["_line"]).alias("lines"))
+    return counts.join(picked, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def _output(sections: Column, title: str) -> Column:
     return F.coalesce(F.get(F.filter(sections, lambda s: s["title"] == title), 0)["output"], F.lit(""))
 
 
-def snapshot_queries(captures: DataFrame, most_words: int = 160) -> DataFrame:
+def snapshot_queries(captures: DataFrame, most_words: int = 160, places: tuple[tuple[str, str], ...] = PLACES) -> DataFrame:
     """captures: CAPTURE rows. id, full, brief for those whose status is ok: what is seen, errors first, as one line."""
     s = F.col("sections")
     is_log = lambda x: F.startswith(x["title"], F.lit("logs"))
@@ -82,17 +96,17 @@ def snapshot_queries(captures: DataFrame, most_words: int = 160) -> DataFrame:
 
     def line(parts: Column) -> Column:
         text = F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), " | ")
-        text = F.regexp_replace(F.trim(anonymous(text, F.col("namespace"))), r"\s+", " ")
+        text = F.regexp_replace(F.trim(anonymous(text, F.col("namespace"), places)), r"\s+", " ")
         return F.array_join(F.slice(F.split(text, " "), 1, most_words), " ")
 
     return rows.select("id", line(full).alias("full"), line(brief).alias("brief"))
 
 
-def anonymous(text: Column, namespace: Column) -> Column:
+def anonymous(text: Column, namespace: Column, places: tuple[tuple[str, str], ...] = PLACES) -> Column:
     """Names of the place that a capture comes from, replaced: namespace, machines, cluster; generated names of pods need
     operators.markdown.randomized."""
     text = F.replace(text, namespace, F.lit("prod"))
-    for name, other in PLACES:
+    for name, other in places:
         text = F.replace(text, F.lit(name), F.lit(other))
     return text
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.functions.text import content_words, normalized, overlap
+from sextant.session import checkpointed
 
 #: The largest overlap that a style of query may have with its passage; others have no cap.
 OVERLAP_MOST = {"incident_snapshot": 0.6, "symptom": 0.75, "how_to": 0.9}
@@ -33,29 +36,75 @@ def first_reason(drop: Column, style: Column, overlap: Column, rank: Column, nea
     return (reason if near is None else reason.when(near, "near_duplicate")).when(rank > most_rank, "round_trip").otherwise("")
 
 
-def greedy_near_duplicates(rows: DataFrame, group: str, pos: str, vector: str, most: float = 0.95, counts: str | None = None, siblings: int = 1000) -> DataFrame:
-    """Adds near_duplicate: within each group, in order of pos, a row whose cosine with an earlier kept row exceeds most. Rows
-    are kept if they are no near-duplicate and, if counts names a column, that holds.
+#: Rows of a group that are decided in the first round, and in any: what one task compares.
+ROUND, LARGEST = 1024, 16_384
 
-    Groups are the few queries of one passage; a fold in the JVM compares each row with those kept, so a group of more
-    than `siblings` rows is an error.
+
+def _greedy(v: np.ndarray, ok: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order: which are near to an earlier kept one, and which are kept."""
+    near, kept = np.zeros(len(v), bool), np.zeros(len(v), bool)
+    for at in range(0, len(v), 512):
+        close = v[at : at + 512] @ v.T > most
+        for k in range(len(close)):
+            near[at + k] = close[k][kept].any()
+            kept[at + k] = ok[at + k] and not near[at + k]
+    return near, kept
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(table.num_rows, -1)
+
+
+def greedy_near_duplicates(rows: DataFrame, group: str, pos: str, vector: str, most: float = 0.95, counts: str | None = None, size: int = ROUND) -> DataFrame:
+    """Adds near_duplicate: within each group, in order of pos, a row whose product with an earlier kept row exceeds most. Rows
+    are kept if they are no near-duplicate and, if counts names a column, that holds. Rows without a group are one; pos
+    tells the rows of a group apart. A null vector is near to nothing and keeps nothing.
+
+    Rounds: of each group the first rows that are left are decided by themselves, since all earlier ones are; those
+    kept of them then go against all others of the group, in blocks, and what is near to one is decided too. Rounds
+    take `size` rows of a group, then twice as many each, LARGEST at most, so no task holds more than that many, however
+    large a group; groups of up to `size` rows, as the queries of a passage, take one round.
     """
-    row = F.struct(F.col(pos).cast("long").alias("pos"), F.transform(vector, lambda x: x.cast("double")).alias("v"), (F.coalesce(counts, F.lit(False)) if counts else F.lit(True)).alias("ok"))
-    few = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > siblings).select(F.raise_error(F.concat(F.lit("too many rows for a fold: "), F.col("_n").cast("string"))).alias("_n"))
-    few.collect()  # none, or the error: before any group is gathered
-    kind = "struct<kept:array<array<double>>,near:array<bigint>>"
-
-    def near(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) > most
-
-    def step(acc: Column, r: Column) -> Column:
-        again = F.exists(acc["kept"], lambda k: near(k, r["v"]))
-        kept = F.when(again | ~r["ok"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(r["v"])))
-        return F.struct(kept.alias("kept"), F.when(again, F.concat(acc["near"], F.array(r["pos"]))).otherwise(acc["near"]).alias("near")).cast(kind)
-
-    empty = F.struct(F.array().cast("array<array<double>>").alias("kept"), F.array().cast("array<bigint>").alias("near")).cast(kind)
-    found = rows.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows")).select(group, F.aggregate("_rows", empty, step)["near"].alias("_near"))
-    return rows.join(found, group).withColumn("near_duplicate", F.array_contains("_near", F.col(pos).cast("long"))).drop("_near")
+    key = F.to_json(F.struct(F.col(group).alias("g")))
+    left = rows.select(key.alias("g"), F.col(pos).alias("pos"), F.col(vector).cast("array<double>").alias("v"), (F.coalesce(counts, F.lit(False)) if counts else F.lit(True)).alias("ok")).where("v is not null")
+    kinds = f"g string, pos {left.schema['pos'].dataType.simpleString()}"
+    left = checkpointed(left)
+    near = None
+
+    def decided(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        close, kept = _greedy(_vectors(table), table.column("ok").to_numpy(zero_copy_only=False), most)
+        return pa.table({"g": table.column("g"), "pos": table.column("pos"), "v": table.column("v"), "near": pa.array(close), "kept": pa.array(kept)})
+
+    def met(table: pa.Table) -> pa.Table:
+        """Rows of a block that are near to one of those kept."""
+        new = table.column("new").to_numpy(zero_copy_only=False)
+        v, close = _vectors(table), np.zeros(0, bool)
+        if new.any():
+            close = np.concatenate([(v[~new][at : at + 1024] @ v[new].T > most).any(axis=1) for at in range(0, max(1, int((~new).sum())), 1024)])
+        return table.select(["g", "pos"]).filter(pa.array(~new)).filter(pa.array(close if new.any() else np.zeros(int((~new).sum()), bool)))
+
+    while True:
+        place = F.row_number().over(Window.partitionBy("g").orderBy("pos"))
+        head = left.withColumn("k", place).where(F.col("k") <= size).drop("k")
+        first = checkpointed(head.groupBy("g").applyInArrow(decided, f"{kinds}, v array<double>, near boolean, kept boolean"))
+        some = first.where("near").select("g", "pos")
+        rest = left.join(first.select("g", "pos"), ["g", "pos"], "left_anti")
+        sizes = checkpointed(rest.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+        if sizes.isEmpty():
+            near = some if near is None else near.unionByName(some)
+            break
+        blocks = F.ceil(F.col("n") / size).cast("int")
+        old = rest.join(sizes, "g").select("g", "pos", "v", F.pmod(F.xxhash64("pos"), blocks).cast("int").alias("block"), F.lit(False).alias("new"))
+        new = first.where("kept").join(sizes, "g").select("g", "pos", "v", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("new"))
+        close = checkpointed(old.unionByName(new).groupBy("g", "block").applyInArrow(met, kinds))
+        some = some.unionByName(close)
+        near = some if near is None else near.unionByName(some)
+        left = checkpointed(rest.join(close, ["g", "pos"], "left_anti"))
+        size = min(2 * size, LARGEST)
+    found = near.select(F.col("g").alias("_g"), F.col("pos").alias("_pos"), F.lit(True).alias("_near"))
+    return rows.join(found, (key == F.col("_g")) & (F.col(pos) == F.col("_pos")), "left").withColumn("near_duplicate", F.coalesce("_near", F.lit(False))).drop("_g", "_pos", "_near")
 
 
 def filter_chain(rows: DataFrame, near: float = 0.95, most_rank: int = 50) -> DataFrame:

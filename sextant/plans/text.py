@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators.corpus import numbered, statistics, without_duplicates
+from sextant.operators.incident import last_error_lines
 from sextant.operators.overlap import containing, overlap_summary
 from sextant.operators.pairs import mark_duplicates
 from sextant.plans import Registry, spread, table
@@ -106,16 +107,14 @@ def q_url_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", T.doc_id(F.concat("path", F.lit("/_index.md"))).alias("doc_id"), T.slug(F.col("path")).alias("slug"), T.last_part(F.col("path")).alias("last"))
 
 
-@R.query(f"""with g as (select user_id, event_id // 500 as part, string_agg(case when value > 15 then ' error: ' || event_type || ' ' || event_id else 'started ' || event_id end, chr(10) order by event_id) as text from events group by user_id, event_id // 500),
-l as (select user_id, part, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, 'unable to retrieve') and not starts_with(x, 'Error from server') and regexp_matches(x, '(?i){T.ERROR_LINE.replace("'", "''")}')) as ls from g)
-select user_id, part, cast(len(ls) as bigint) as n_lines, array_to_string(ls[-2:], chr(10)) as last from l where len(ls) > 0""")
+@R.query(f"""with l as (select user_id, event_id, trim(case when value > 15 then ' error: ' || event_type || ' ' || event_id else 'started ' || event_id end) as line from events),
+e as (select * from l where line <> '' and not starts_with(line, 'unable to retrieve') and not starts_with(line, 'Error from server') and regexp_matches(line, '(?i){T.ERROR_LINE.replace("'", "''")}'))
+select user_id, count(*) as n_lines, array_to_string(list(line order by event_id)[-2:], chr(10)) as last from e group by user_id""")
 def q_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log is what a user did within 500 events, so it is bounded however busy the user."""
+    """A log is all that a user did."""
     line = F.when(F.col("value") > 15, F.concat(F.lit(" error: "), "event_type", F.lit(" "), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("started "), F.col("event_id").cast("string")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
-    logs = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("part")).agg(F.array_join(lines, "\n").alias("text"))
-    found = logs.select("user_id", "part", T.error_lines(F.col("text"), 1 << 30).alias("all"), T.error_lines(F.col("text")).alias("ls"))
-    return found.select("user_id", "part", F.size("all").cast("long").alias("n_lines"), F.array_join("ls", "\n").alias("last")).where("n_lines > 0")
+    found = last_error_lines(table(spark, sf_dir, "events").withColumn("line", line), "user_id", "event_id", "line")
+    return found.select("user_id", "n_lines", F.array_join("lines", "\n").alias("last"))
 
 
 @R.query("""select doc_id, substr(sha256('["' || lang || '","' || source || '","' || cast(doc_id as varchar) || '"]'), 1, 16) as item_id from documents""")

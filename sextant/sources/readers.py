@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from sextant.functions.text import doc_id, glob_pattern
 from sextant.operators.corpus import repeated_keys
+from sextant.operators.generation import dangling, runbook_errors
 from sextant.operators.incident import CAPTURE
 
 FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
@@ -84,7 +85,7 @@ def _hidden(spark: SparkSession, root: str) -> DataFrame:
 def markdown_tree(spark: SparkSession, root: str, include: Iterable[str] = ("**",), exclude: Iterable[str] = ()) -> DataFrame:
     """path, doc_id, text of the Markdown files below root whose relative path an include pattern matches and no exclude
     pattern does; pos gives their order by parts of the path, as a listing of directories has it. title is that of the front
-    matter, null without one, and text what follows it. An include pattern that no file matches is an error."""
+    matter, null without one, meta its plain entries, and text what follows it. An include pattern that no file matches is an error."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = root.rstrip("/").rpartition(":")[2].lstrip("/")
     shown = files.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("text"))
@@ -103,7 +104,34 @@ def markdown_tree(spark: SparkSession, root: str, include: Iterable[str] = ("**"
     rows = rows.where(any_of(include) & ~any_of(exclude)).distinct()
     front = F.regexp_extract("text", FRONT_MATTER, 1)
     title = F.regexp_replace(F.trim(F.regexp_extract(front, r"(?m)^title:[ \t]*(.*)$", 1)), r"^(['\"])(.*)\1$", "$2")
-    return rows.select("path", doc_id(F.col("path")).alias("doc_id"), F.nullif(title, F.lit("")).alias("title"), F.regexp_replace("text", FRONT_MATTER, "").alias("text"), F.split("path", "/").alias("pos"))
+    return rows.select("path", doc_id(F.col("path")).alias("doc_id"), F.nullif(title, F.lit("")).alias("title"), F.regexp_replace("text", FRONT_MATTER, "").alias("text"), F.split("path", "/").alias("pos"), front_matter(front).alias("meta"))
+
+
+def front_matter(front: Column) -> Column:
+    """The plain entries of a front matter, name: value, as a map; of several of a name the last one. Nested ones are left out."""
+    lines = F.filter(F.split(front, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:[ \t]*\S"))
+    entry = lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[\w-]+:[ \t]*(.*)$", 1)), r"^(['\"])(.*)\1$", "$2").alias("value"))
+    return F.aggregate(lines, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != entry(x)["key"]), F.create_map(entry(x)["key"], entry(x)["value"])))
+
+
+def list_entry(value: Column) -> Column:
+    """The items of an entry such as [a, b], or a, b."""
+    items = F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), lambda x: F.regexp_replace(F.trim(x), r"^(['\"])(.*)\1$", "$2"))
+    return F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x != "")
+
+
+def runbooks(spark: SparkSession, root: str, sections: list[str], least: int = 150, most: int = 700) -> DataFrame:
+    """id, title, body, related of the runbooks below root: Markdown files, their id the file's name. All files are looked at
+    before anything is raised: the error lists everything that is wrong with any of them, rules and references alike."""
+    rows = markdown_tree(spark, root).select(F.regexp_replace(F.element_at("pos", -1), r"\.md$", "").alias("id"), "title", F.trim("text", F.lit(" \t\r\n")).alias("body"), list_entry(F.col("meta")["related"]).alias("related"))
+    wrong = rows.select("id", F.explode(F.concat(runbook_errors(F.col("id"), F.col("body"), sections, least, most), F.when(F.col("title").isNull(), F.array(F.lit("no title"))).otherwise(F.array().cast("array<string>")))).alias("error"))
+    wrong = wrong.unionByName(dangling(rows).select("id", F.concat(F.lit("related runbook '"), "related", F.lit("' does not exist")).alias("error")))
+    found = [f"{r['id']}: {r['error']}" for r in wrong.orderBy("id", "error").toLocalIterator()]
+    if rows.isEmpty():
+        raise ValueError(f"no runbooks in {root}")
+    if found:
+        raise ValueError("invalid runbooks:\n  " + "\n  ".join(found))
+    return rows
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:

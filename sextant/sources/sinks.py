@@ -5,17 +5,21 @@ from __future__ import annotations
 import json
 import time
 import traceback
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.operators.freeze import slice_counts
 from sextant.operators.metrics import METRICS
 from sextant.sources.readers import exists
 
 #: Slices in the order in which reports have them.
 SLICES = ("all", "incident_snapshot", "error_string", "symptom", "how_to", "kubectl_output", "low_overlap", "real_incident_heldout", "real_incident_seen", "stackoverflow", "handwritten")
+#: The file of a frozen set that names the folder that counts. Its name begins with no underscore, so Spark reads it.
+POINTER = "current.txt"
 RUN = "started string, name string, status string, seconds double, config string, metrics string"
 
 
@@ -49,39 +53,74 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def with_time(labels: DataFrame) -> DataFrame:
+    """Adds labeled_at: the time in UTC to the second."""
+    return labels.withColumn("labeled_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+
+
 def append_labels(labels: DataFrame, path: str) -> None:
-    """Appends labels, each with the time in UTC to the second."""
-    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    append(labels.withColumn("labeled_at", now), path)
+    """Appends labels, each with the time."""
+    append(with_time(labels), path)
+
+
+MANIFEST = "name string, rows long, content string, slices map<string,long>"
 
 
 def freeze(tables: dict[str, DataFrame], path: str, force: bool = False) -> DataFrame:
-    """Writes tables as Parquet below path and a manifest of their rows and contents; refuses to replace one unless
-    forced. A table's content is the sum of its rows' hashes, so it doesn't hang on files or on the order of rows."""
+    """Writes tables as Parquet below path and a manifest of their rows, contents and, where they have a column `slice`, rows
+    by slice; refuses to replace a set unless forced. A table's content is the sum of its rows' hashes, so it doesn't
+    hang on files or on the order of rows.
+
+    All or nothing: tables and manifest are written to a folder of their own, and one small file, replaced at the end,
+    says which folder counts. Until then readers see the old set, and afterwards the new one; folders that don't count
+    are left for whoever reads them still.
+    """
     spark = next(iter(tables.values())).sparkSession
-    if exists(spark, f"{path}/manifest") and not force:
+    if exists(spark, f"{path}/{POINTER}") and not force:
         raise FileExistsError(f"{path} is frozen")
+    name = f"set-{uuid.uuid4().hex}"
     found = None
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-        one = content(spark.read.parquet(f"{path}/{name}"), name)
+    for table, rows in tables.items():
+        rows.write.parquet(f"{path}/{name}/{table}")
+        one = content(spark.read.parquet(f"{path}/{name}/{table}"), table)
         found = one if found is None else found.unionByName(one)
-    found.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return spark.read.schema("name string, rows long, content string").json(f"{path}/manifest")
+    found.coalesce(1).write.json(f"{path}/{name}/manifest")
+    write_text(spark, f"{path}/{POINTER}", name)
+    return manifest(spark, path)
+
+
+def frozen_folder(spark: SparkSession, path: str) -> str:
+    """The folder of the set that counts."""
+    return f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}"
+
+
+def frozen(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of a frozen set."""
+    return spark.read.parquet(f"{frozen_folder(spark, path)}/{table}")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """name, rows, content, slices of each table of a frozen set."""
+    return spark.read.schema(MANIFEST).json(f"{frozen_folder(spark, path)}/manifest")
 
 
 def content(rows: DataFrame, name: str) -> DataFrame:
-    """name, rows, content of a table."""
+    """name, rows, content, slices (null without a column of that name) of a table."""
     value = F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct("*")), 256), 1, 15), 16, 10).cast("decimal(38,0)"))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(value, F.lit(0)).cast("string").alias("content")).select(F.lit(name).alias("name"), "rows", "content")
+    whole = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(value, F.lit(0)).cast("string").alias("content"))
+    if "slice" in rows.columns:
+        each = slice_counts(rows).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("slice", F.lit("")), "n")))).alias("slices"))
+    else:
+        each = rows.sparkSession.range(1).select(F.lit(None).cast("map<string,long>").alias("slices"))
+    return whole.join(F.broadcast(each), how="cross").select(F.lit(name).alias("name"), "rows", "content", "slices")
 
 
 def verify(spark: SparkSession, path: str) -> list[str]:
     """Names of frozen tables that aren't what the manifest says."""
     wrong = []
-    for r in spark.read.schema("name string, rows long, content string").json(f"{path}/manifest").collect():
-        now = content(spark.read.parquet(f"{path}/{r['name']}"), r["name"]).first()
-        if (now["rows"], now["content"]) != (r["rows"], r["content"]):
+    for r in manifest(spark, path).collect():
+        now = content(frozen(spark, path, r["name"]), r["name"]).first()
+        if (now["rows"], now["content"], now["slices"]) != (r["rows"], r["content"], r["slices"]):
             wrong.append(r["name"])
     return wrong
 
@@ -102,10 +141,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     try:
         stream.write(text.encode())
         stream.close()
-        if not files.rename(beside, target):
-            files.delete(target, False)
-            if not files.rename(beside, target):
-                raise OSError(f"{path} can't be replaced")
+        # a rename that replaces is one step of the file system, where rename alone may refuse
+        how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, how)
     finally:
         files.delete(beside, False)
 

@@ -131,8 +131,29 @@ def test_greedy_near_duplicates(spark):
     gated = rows.withColumn("ok", F.col("pos") > 0)
     got = {r["pos"]: r["near_duplicate"] for r in pairs.greedy_near_duplicates(gated, "g", "pos", "v", counts="ok").collect()}
     assert got == {0: False, 1: False, 2: True, 3: False}
-    with pytest.raises(Exception, match="too many rows"):
-        pairs.greedy_near_duplicates(rows, "g", "pos", "v", siblings=2)
+
+
+def test_greedy_rounds_equal_a_fold(spark):
+    """Groups of any size, in rounds of few rows; rows without a group or vector; rows that don't count."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, [rng.choice((-1.0, 0.0, 1.0)) for _ in range(3)] if k % 17 else None, rng.random() < 0.8) for k in range(300)]
+    kept, want = {}, {}
+    for g, k, v, ok in rows:
+        want[k] = v is not None and any(sum(x * y for x, y in zip(v, w)) > 1.5 for w in kept.get(g, []))
+        if v is not None and ok and not want[k]:
+            kept.setdefault(g, []).append(v)
+    df = spark.createDataFrame(rows, "g string, pos long, v array<float>, ok boolean").repartition(3)
+    for size in (2, 40, 1024):
+        got = pairs.greedy_near_duplicates(df, "g", "pos", "v", 1.5, "ok", size=size)
+        assert {r["pos"]: r["near_duplicate"] for r in got.collect()} == want and got.columns == [*df.columns, "near_duplicate"]
+
+
+def test_greedy_takes_a_large_group(spark):
+    df = spark.range(100_000).selectExpr("'all' as g", "id as pos", "array(cos(id % 5000), sin(id % 5000)) as v")
+    got = pairs.greedy_near_duplicates(df, "g", "pos", "v", 0.9999)
+    # what is kept is apart by 0.0141 at least, on a circle
+    n = got.where("not near_duplicate").count()
+    assert 200 < n < 2 * math.pi / 0.01414 and got.count() == 100_000
 
 
 def test_filter_chain(spark):

@@ -114,11 +114,45 @@ def test_frozen(spark, tmp_path):
     assert sinks.verify(spark, path) == []
     with pytest.raises(FileExistsError):
         sinks.freeze({"labels": rows}, path)
-    rows.limit(1).write.mode("overwrite").parquet(f"{path}/labels")
+    rows.limit(1).write.mode("overwrite").parquet(f"{sinks.frozen_folder(spark, path)}/labels")
     spark.catalog.clearCache()
     assert sinks.verify(spark, path) == ["labels"]
 
 
+def test_frozen_set_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "f")
+    rows = spark.createDataFrame([("a", "how_to"), ("b", "how_to"), ("c", None)], "qid string, slice string")
+    done = {r["name"]: r["slices"] for r in sinks.freeze({"queries": rows, "rel": rows.select("qid")}, path).collect()}
+    assert done == {"queries": {"how_to": 2, "": 1}, "rel": None}
+    broken = rows.select(F.when(F.col("qid") == "c", F.raise_error(F.lit("killed"))).otherwise(F.col("qid")).cast("string").alias("qid"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.freeze({"queries": rows.limit(1), "rel": broken}, path, force=True)
+    monkeypatch.setattr(sinks, "write_text", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        sinks.freeze({"queries": rows.limit(1)}, path, force=True)
+    monkeypatch.undo()
+    assert sinks.frozen(spark, path, "queries").count() == 3 and sinks.frozen(spark, path, "rel").count() == 3 and sinks.verify(spark, path) == []
+    sinks.freeze({"queries": rows.limit(1)}, path, force=True)
+    assert sinks.frozen(spark, path, "queries").count() == 1 and [r["name"] for r in sinks.manifest(spark, path).collect()] == ["queries"]
+
+
+def test_runbooks_tell_all_errors_at_once(spark, tmp_path):
+    good = "---\ntitle: Out of memory\nrelated: [node-down]\n---\n## Symptoms\n" + "word " * 10 + "\n## Fix\nraise it"
+    (tmp_path / "oom-killed.md").write_text(good)
+    (tmp_path / "node-down.md").write_text(good.replace("[node-down]", "oom-killed, 'node-down'").replace("Out of", "'Out of'"))
+    got = {r["id"]: (r["title"], r["related"]) for r in readers.runbooks(spark, str(tmp_path), ["Symptoms", "Fix"], 8).collect()}
+    assert got == {"oom-killed": ("Out of memory", ["node-down"]), "node-down": ("'Out of' memory", ["oom-killed", "node-down"])}
+    (tmp_path / "Bad_Name.md").write_text("# Title\n## Fix\nshort")
+    (tmp_path / "_index.md").write_text(good.replace("node-down", "gone"))
+    with pytest.raises(ValueError) as e:
+        readers.runbooks(spark, str(tmp_path), ["Symptoms", "Fix"], 8)
+    said = str(e.value).splitlines()
+    assert [x.strip() for x in said[1:]] == ["Bad_Name: name", "Bad_Name: no title", "Bad_Name: sections", "Bad_Name: title", "Bad_Name: words", "_index: name", "_index: related runbook 'gone' does not exist"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no runbooks"):
+        readers.runbooks(spark, str(tmp_path / "none"), ["Fix"])
+
+
 def test_tracked(spark, tmp_path):
     path = str(tmp_path / "runs")
     with sinks.tracked(spark, path, "one", {"b": 1}) as metrics:
