@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html.entities
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, StringType, StructType
 
 #: Words that carry no content.
 STOPWORDS = "a an and are as at be but by can do does for from how i if in is it its my of on or our so that the their there this to was we what when where which why will with you your not no".split()
@@ -75,20 +78,43 @@ def html_to_text(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is named: in functions of arrays nothing else is shared."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def unescaped(text: Column) -> Column:
-    """Character references decoded: all names that HTML knows, and numbers; unknown ones stay. Text without an ampersand
-    isn't touched, and names are looked up only where one stands."""
-    names = F.create_map(*[F.lit(x) for k, v in html.entities.html5.items() if k.endswith(";") for x in (k, v)])
+    """Character references decoded as html.unescape does: all names that HTML knows, old ones without a semicolon too, and
+    numbers, of which 128 to 159 are those of Windows; unknown ones stay. Text without an ampersand isn't touched, and
+    names are looked up only where one stands."""
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")  # a constant, folded once
+    old = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    windows = bytes(range(128, 160)).decode("cp1252", "replace")
+
+    # what is no character goes
+    gone = lambda c: c.between(1, 8) | c.between(14, 31) | c.isin(11, 127) | c.between(0xFDD0, 0xFDEF) | ((c % 0x10000 >= 0xFFFE) & (c <= 0x10FFFF))
+    table = F.array(*[F.lit(chr(k + 128) if c == "\ufffd" else c) for k, c in enumerate(windows)])
+
+    def number(code: Column) -> Column:
+        usual = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(code.between(128, 159), F.get(table, code - 128)).when(gone(code), "").otherwise(usual)
+
+    def numeric(name: Column) -> Column:
+        digits = F.regexp_extract(name, r"^#[xX]?0*([0-9a-fA-F]*);?$", 1)
+        code = _let(digits, lambda d: F.when(F.length(d) > 7, 0x110000).when(d == "", 0).when(name.rlike("^#[xX]"), F.conv(d, 16, 10).cast("int")).otherwise(d.try_cast("int")))
+        return _let(code, number)
 
     def decoded(part: Column) -> Column:
         # what follows an ampersand: a reference up to its semicolon, then text
-        name = F.regexp_extract(part, r"^(#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;)", 1)
-        digits = F.regexp_extract(name, r"^#[xX]?([0-9a-fA-F]+);$", 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        char = F.when(F.startswith(name, F.lit("#")), number).otherwise(F.try_element_at(names, name))
-        return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 1)))
+        full = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
+        known = lambda x: (x != "") & (F.startswith(x, F.lit("#")) | F.try_element_at(names, x).isNotNull())
+        name = _let(full, lambda x: F.when(known(x), x).otherwise(F.regexp_extract(part, "^(" + "|".join(old) + ")", 1)))
+
+        def put(n: Column) -> Column:
+            char = F.when(F.startswith(n, F.lit("#")), numeric(n)).otherwise(F.try_element_at(names, n))
+            return F.when(n == "", F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(n) + 1)))
+
+        return _let(name, put)
 
     parts = F.split(text, "&")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded)
@@ -158,9 +184,44 @@ def head_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n), " ")
 
 
-def stable_hash(strings: Column) -> Column:
-    """SHA-256 of an array of strings as compact JSON."""
-    return F.sha2(F.to_json(strings), 256)
+def canonical_json(value: Column, kind: DataType) -> Column:
+    """Compact JSON of a value of any kind, keys in order: what Python's json.dumps writes with sort_keys, without spaces and
+    with characters beyond ASCII as they are. Null fields are null, dates and decimals are their texts."""
+    if isinstance(kind, StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), canonical_json(value[f.name], f.dataType)) for f in sorted(kind, key=lambda f: f.name)]
+        out = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, MapType):
+        each = F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(_quoted(k.cast("string")), F.lit(":"), canonical_json(F.element_at(value, k), kind.valueType)))
+        out = F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}"))
+    elif isinstance(kind, (DoubleType, FloatType)):
+        out = _python_float(value.cast("double"))
+    elif isinstance(kind, (BooleanType, IntegralType)):
+        out = value.cast("string")
+    else:
+        out = _quoted(value.cast("string"))
+    return F.coalesce(out, F.lit("null"))
+
+
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
+
+
+def _python_float(x: Column) -> Column:
+    """A double as Python writes it: plain from 1e-4 up to 1e16, else with an exponent of two digits at least."""
+    text = x.cast("string")
+    digits, power = F.regexp_replace(F.regexp_extract(text, r"^(-?[\d.]+)E", 1), r"\.0$", ""), F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    scientific = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    return F.when(~text.contains("E"), text).when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain).otherwise(scientific)
+
+
+def stable_hash(value: Column, kind: DataType | None = None) -> Column:
+    """SHA-256 of a value as canonical JSON; without a kind, of an array of strings."""
+    return F.sha2(canonical_json(value, kind or ArrayType(StringType())), 256)
 
 
 def item_id(*parts: Column) -> Column:

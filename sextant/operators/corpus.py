@@ -34,6 +34,18 @@ def statistics(chunks: DataFrame, by: str, size: str) -> DataFrame:
     )
 
 
+def summary(pieces: DataFrame, doc: str, source: str, text: str, order: list[str]) -> DataFrame:
+    """pieces: doc, source, text and what orders them; a document without any is one row with a null text. source (null for
+    all), docs, chunks (first rows of their text) of each source; for all also duplicate_chunks and empty_docs, which
+    are dropped. One shuffle by the text's hash counts everything; another, of kept rows, puts sources together."""
+    first = F.min_by(F.struct(F.col(doc).alias("doc"), F.col(source).alias("source")), F.struct(*[F.col(c) for c in order]))
+    texts = pieces.groupBy(F.sha2(text, 256).alias("h")).agg(first.alias("row"), F.count(F.lit(1)).alias("n")).select("h", "n", F.when(F.col("h").isNotNull(), F.col("row.doc")).alias("doc"), F.col("row.source").alias("source"))
+    kept = texts.where("h is not null").rollup("source").agg(F.count_distinct("doc").alias("docs"), F.count(F.lit(1)).alias("chunks"), F.grouping("source").alias("all"))
+    gone = texts.agg(F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("duplicate_chunks"), F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)).alias("empty_docs"))
+    shown = [F.when(F.col("all") == 1, F.col(c)).alias(c) for c in ("duplicate_chunks", "empty_docs")]
+    return kept.join(F.broadcast(gone), how="cross").select("source", "docs", "chunks", *shown)
+
+
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once: must be empty for a corpus."""
     return rows.groupBy(key).count().where("count > 1")

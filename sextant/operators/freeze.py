@@ -63,6 +63,12 @@ def val_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.select("qid", "query", F.col("style").alias("slice"), "source"), _judged(named, F.array("chunk_id"))
 
 
+def handwritten(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: pos (from 0), query, relevant (chunk_ids). Queries hand/000 and so on, and qrels, each chunk once a query."""
+    named = rows.withColumn("qid", F.format_string("hand/%03d", F.col("pos").cast("long")))
+    return named.select("qid", "query", F.lit("handwritten").alias("slice"), F.lit("human").alias("source")), _judged(named, F.col("relevant"))
+
+
 def slice_counts(queries: DataFrame) -> DataFrame:
     """slice, n: what a manifest says of a set besides its rows."""
     return queries.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from sextant.plans import labels, derived, markdown, queues, retrieval, text
+from sextant.plans import derived, labels, markdown, queues, retrieval, stores, text
 
 SF = "/root/testdata/sf0.001"
-MODULES = (text, retrieval, labels, queues, derived, markdown)
+MODULES = (text, retrieval, labels, queues, derived, stores, markdown)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the synthetic tables aren't here")
 
