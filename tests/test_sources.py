@@ -172,3 +172,23 @@ def test_label_stream_equals_batch(spark, tmp_path):
             keep_latest(label_stream(spark, log, LABEL, 1), table, seen, ["id"], ["pos"]).awaitTermination()
     got = {r["id"]: r["verdict"] for r in current(spark, table).collect()}
     assert got == {"a": "correct", "b": "wrong", "c": "wrong"}
+
+
+def test_a_batch_touches_its_buckets_only(spark, tmp_path):
+    """A batch of one label writes one bucket; the same batch again, as after a failure, gives the same table."""
+    log, table, seen = (str(tmp_path / x) for x in ("log", "table", "seen"))
+    spark.createDataFrame([(f"i{k}", "wrong", k) for k in range(200)], LABEL).coalesce(1).write.mode("append").json(log)
+    keep_latest(label_stream(spark, log, LABEL, 1), table, seen, ["id"], ["pos"], 8).awaitTermination()
+    assert len(list((tmp_path / "table" / "version=0").glob("bucket=*"))) == 8
+    spark.createDataFrame([("i7", "correct", 500)], LABEL).coalesce(1).write.mode("append").json(log)
+    keep_latest(label_stream(spark, log, LABEL, 1), table, seen, ["id"], ["pos"], 8).awaitTermination()
+    assert len(list((tmp_path / "table" / "version=1").glob("bucket=*"))) == 1
+    first = sorted(map(tuple, current(spark, table).collect()))
+    assert len(first) == 200 and ("i7", "correct", 500) in first
+    # the second batch is committed no more, and half of what it wrote is there without the mark of a whole one
+    for name in ("1", ".1.crc"):
+        (tmp_path / "seen" / "commits" / name).unlink(missing_ok=True)
+    (tmp_path / "table" / "version=1" / "_SUCCESS").unlink()
+    assert ("i7", "wrong", 7) in [tuple(r) for r in current(spark, table).collect()]
+    keep_latest(label_stream(spark, log, LABEL, 1), table, seen, ["id"], ["pos"], 8).awaitTermination()
+    assert sorted(map(tuple, current(spark, table).collect())) == first
