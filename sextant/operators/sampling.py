@@ -82,6 +82,20 @@ def hash_sample(rows: DataFrame, id_: str, seed: str, n: int) -> DataFrame:
     return rows.orderBy(*shuffled(seed, F.col(id_))).limit(n)
 
 
+def sample_each(rows: DataFrame, group: str, id_: str, seed: str, n: int) -> DataFrame:
+    """Up to n rows of each group, by hash: of a group a task keeps n at most, before the shuffle and after."""
+    k = F.row_number().over(Window.partitionBy(group).orderBy(*shuffled(seed, F.col(id_))))
+    return rows.withColumn("_k", k).where(F.col("_k") <= n).drop("_k")
+
+
+def seeded_share(rows: DataFrame, id_: str, seed: str, share: float) -> DataFrame:
+    """That share of the rows by hash, rounded half to even, one at least. No rows are an error: nothing could be trained on."""
+    if rows.isEmpty():
+        raise ValueError("no rows to take a share of")
+    found = ranked(rows, shuffled(seed, F.col(id_)))
+    return found.where(F.col("pos") <= F.greatest(F.lit(1), F.bround(F.col("n") * share))).drop("pos", "n")
+
+
 def batches(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
     """Adds batch: consecutive rows of a group, `size` each, numbered from 0."""
     out = numbered_within(rows, [group], order)

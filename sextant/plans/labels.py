@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sextant.operators import freeze, labels, sampling
 from sextant.plans import Registry, table
@@ -150,11 +151,19 @@ select m.id, m.task, case when m.task is null then 'unknown' when m.error is not
   m.error, m.verdict, array_to_string(m.also_relevant, ',') as also, array_to_string(m.relevant, ',') as relevant, m.reason from m left join n using (id)""")
 def q_label_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The import of four tasks' answers, over whole tables."""
-    for name in ("part", "lineitem"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+    def made(sql: str, name: str) -> DataFrame:
+        # the name is this query's own, and gone once the plan is made
+        view = f"sextant_{uuid.uuid4().hex}"
+        table(spark, sf_dir, name).createTempView(view)
+        try:
+            return spark.sql(sql.replace(f"from {name}", f"from {view}"))
+        finally:
+            spark.catalog.dropTempView(view)
+
     candidates = IMPORT_CANDIDATES
-    queue, known = spark.sql(IMPORT_QUEUE.format(*candidates)), spark.sql(IMPORT_LABELS.format("cast(array() as array<string>)", f"array({candidates[0]})"))
-    found = labels.imported(spark.sql(IMPORT_ANSWERS), queue, known)
+    queue, known = made(IMPORT_QUEUE.format(*candidates), "part"), made(IMPORT_LABELS.format("cast(array() as array<string>)", f"array({candidates[0]})"), "part")
+    found = labels.imported(made(IMPORT_ANSWERS, "lineitem"), queue, known)
     return found.select("id", "task", "status", "error", "verdict", F.array_join("also_relevant", ",").alias("also"), F.array_join("relevant", ",").alias("relevant"), "reason")
 
 
@@ -229,9 +238,9 @@ def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@R.query("""select source, least(count(*), 5) as n, min(doc_id) as first from documents where n_chars > 100 group by source""")
+@R.query("""with k as (select source, doc_id, row_number() over (partition by source order by md5('look:' || doc_id), doc_id) as k from documents where n_chars > 100)
+select source, count(*) as n, list(doc_id order by doc_id) as docs from k where k <= 5 group by source""")
 def q_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five documents of each source, and the first one's id."""
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    few = _docs(spark, sf_dir).where("n_chars > 100").withColumn("k", k).where("k <= 5")
-    return few.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    """Up to five documents of each source, drawn at random."""
+    few = sampling.sample_each(_docs(spark, sf_dir).where("n_chars > 100"), "source", "doc_id", "look", 5)
+    return few.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("docs"))

@@ -11,7 +11,6 @@ from sextant.operators.metrics import evaluate, worst
 from sextant.operators.pairs import filter_chain, filter_stats, greedy_near_duplicates, hard_negatives
 from sextant.operators.overlap import overlap_top_k
 from sextant.operators.retrieval import dense, dense_ranks, rrf, top_k
-from sextant.operators.sampling import shuffled
 from sextant.plans import Registry, spread, table
 from sextant.plans.text import CONTENT, OVERLAP, TOKENS
 
@@ -238,10 +237,9 @@ p as (select a.vec_id as anchor, b.vec_id as positive, c.vec_id as negative from
 r as (select *, row_number() over (order by md5('frac:' || anchor), anchor) as k, count(*) over () as n from p)
 select anchor, positive, negative from r where k <= greatest(1, round_even(n * 25e-2, 0))""")
 def q_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sextant.operators.sampling import numbered_within, ranked
+    from sextant.operators.sampling import numbered_within, seeded_share
 
     t = numbered_within(table(spark, sf_dir, "embeddings").select("label", "vec_id"), ["label"], [F.col("vec_id")]).select("label", "vec_id", F.col("pos").alias("k"))
     other = t.select(((F.col("label") + 9) % 10).alias("label"), "k", F.col("vec_id").alias("negative"))
     pairs = t.withColumnRenamed("vec_id", "anchor").join(t.select("label", (F.col("k") - 1).alias("k"), F.col("vec_id").alias("positive")), ["label", "k"]).join(other, ["label", "k"])
-    found = ranked(pairs.select("anchor", "positive", "negative"), shuffled("frac", F.col("anchor")))
-    return found.where(F.col("pos") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.25))).select("anchor", "positive", "negative")
+    return seeded_share(pairs.select("anchor", "positive", "negative"), "anchor", "frac", 0.25)
