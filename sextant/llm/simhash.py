@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -17,6 +18,8 @@ from sextant.llm.components import connected_components
 #: Fingerprints in a tile, at least and at most: a 32nd of all, so what is sent around grows with the input, not with its
 #: square, up to 32 times the most. Pairs of tiles are compared in blocks of at most BLOCK pairs of fingerprints.
 TILE, LARGEST_TILE, BLOCK = 16_384, 1 << 18, 1 << 20
+#: Shingles of a set whose parts are looked up by themselves.
+SMALL = 10
 #: Shingles in a tile of texts whose sets are compared, on average.
 SET_TILE = 1 << 20
 _DIGEST = {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest, 256: lambda x, seed: xxhash.xxh3_128_digest(x, seed) + xxhash.xxh3_128_digest(x, seed + 1)}
@@ -48,11 +51,16 @@ def _majority(items: list[bytes], bits: int, seed: int) -> tuple[bytes, list[byt
     return np.packbits(2 * counts > len(items)).tobytes(), parts
 
 
-def set_print(text: str, size: int, bits: int = 256, seed: int = 42) -> tuple[bytes, bytes]:
-    """The fingerprint of the different shingles, each counted once, and 128 bits that tell sets of shingles apart."""
+def set_print(text: str, size: int, bits: int = 256, seed: int = 42, least: float = 0.8) -> tuple[bytes, bytes, list[bytes]]:
+    """The fingerprint of the different shingles, each counted once; 128 bits that tell sets of shingles apart; and of a set of
+    SMALL shingles at most these bits of each part of it that is similar enough: of sets so small that their fingerprints
+    say little, the smaller of two similar ones is a part of the other, but for fingerprints that agree well."""
     fp, parts = _majority([*set(shingles(text, size))], bits, seed)
     raw = np.frombuffer(b"".join(parts), ">u8").reshape(-1, bits // 64)
-    return fp, xxhash.xxh3_128_digest(raw[np.lexsort(raw.T)].tobytes(), seed)
+    raw = raw[np.lexsort(raw.T)]
+    keep = [k for k in range(ceil(least * len(raw)), len(raw))] if len(raw) <= SMALL else []
+    some = [xxhash.xxh3_128_digest(raw[list(at)].tobytes(), seed) for k in keep for at in combinations(range(len(raw)), k)]
+    return fp, xxhash.xxh3_128_digest(raw.tobytes(), seed), some
 
 
 def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, seed: int = 42) -> DataFrame:
@@ -72,16 +80,17 @@ def row_id(doc_id: Column, text: Column) -> Column:
     return F.struct(F.isnull(doc_id).alias("unnamed"), doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(11), doc_id, text).alias("b"))
 
 
-def _set_prints(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """id, fp, digest (see set_print) for each row of docs (id, text)."""
+def _set_prints(docs: DataFrame, size: int, bits: int, least: float) -> DataFrame:
+    """id, fp, digest, parts (see set_print) for each row of docs (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [set_print(t, size, bits) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["id", "fp", "digest"])
+            found = [set_print(t, size, bits, least=least) for t in texts(b.column("text"))]
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[k] for x in found], kinds[k]) for k in range(3))], ["id", "fp", "digest", "parts"])
 
-    return map_batches(docs, run, f"id {kind}, fp binary, digest binary")
+    return map_batches(docs, run, f"id {kind}, fp binary, digest binary, parts array<binary>")
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -328,7 +337,7 @@ def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 72, tile: int | None = None, set_tile: int = SET_TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 84, tile: int | None = None, set_tile: int = SET_TILE) -> DataFrame:
     """id, component for every different pair of doc_id and text in docs (doc_id, text; others are ignored): near-duplicate
     groups. id is row_id of the pair, component the smallest id in the group, so the rows whose id is their component
     are one of each group.
@@ -337,8 +346,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     digest, are grouped first; equal fingerprints of different sets are candidates like any others.
     Fingerprints of that many bits over the different shingles find the candidates, so passages that a text repeats count
     once there too: at a similarity of 0.8, 256 bits differ in 39 places on average
-    with a deviation of 6, for texts of four and five shingles in 48; 72 miss one in thousands of such pairs, while
-    texts that share nothing come that near once in 10^11. Of the candidates a spanning forest, nearest first, and each
+    with a deviation of 6, so that more than 84 differ in fewer than one of 10^14 such pairs, while texts that share
+    nothing come that near once in 10^7. Sets of few shingles, where it may be 48 places, don't rely on that: of two
+    similar sets of which one has SMALL shingles at most, unless both have nine or more, the smaller is a part of the
+    other, and such parts are looked up by their digests. Of the candidates a spanning forest, nearest first, and each
     text's three nearest beyond 28 bits, below which links hardly ever fail, are verified on exact shingle sets first.
     Where links fail and leave apart what candidates join, all candidates between the parts are verified as well, so
     groups are those of all true candidates. Texts without words are equal. Rows that share a doc_id but not the text are
@@ -347,8 +358,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     """
     doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
     docs = docs.select(row_id(doc_id, text).alias("id"), text.alias("text"))
-    prints = checkpointed(_set_prints(docs, size, bits))
-    reps = representatives(prints)
+    prints = checkpointed(_set_prints(docs, size, bits, least))
+    reps = representatives(prints.drop("parts"))
+    # each different set with its similar parts, as many as a small set has, and those of them that are sets of texts
+    parts = prints.where(F.size("parts") > 0).select("digest", F.explode("parts").alias("part")).distinct()
+    parts = parts.join(reps.select("digest", F.col("node").alias("v")), "digest").join(reps.select(F.col("digest").alias("part"), F.col("node").alias("u")), "part")
+    parts = checkpointed(parts.select("u", "v"))
     links = checkpointed(simhash_links(reps, bits, radius, tile, (3, int(0.11 * bits))).select("u", "v").distinct())
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps.select("node", F.col("rep").alias("id")), "node")
     sets = _sets(docs.join(ends, "id").select("node", "text"), size).groupBy("node").agg(F.max("shingles").alias("shingles"))
@@ -359,7 +374,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     true = checkpointed(true)
     ends = both = None
     released(docs.sparkSession)
-    found = connected_components(true.where("same").select("u", "v"))
+    found = connected_components(true.where("same").select("u", "v").unionByName(parts))
     # failed links between different components join them to groups, and no candidate lies outside of one
     label = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
     failed = true.where("not same").join(label("u"), "u", "left").join(label("v"), "v", "left")

@@ -355,3 +355,24 @@ def test_suffix_array_is_sorted(numbers):
     order = D.suffix_array(text, begin, 64)
     suffix = lambda k: numbers[k:][: ([*numbers[k:], -1]).index(-1)]
     assert [suffix(k) for k in order.tolist()] == sorted(suffix(k) for k in begin.tolist())
+
+
+def test_small_sets_are_matched_without_fingerprints(spark):
+    """Of texts of few shingles a shorter one that is similar enough is found whatever the fingerprints say."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        words = [f"w{k}x{j}" for j in range(rng.randint(4, 14))]
+        texts += [" ".join(words), " ".join(words[: rng.randint(3, len(words))]), " ".join(words[rng.randint(0, 2) :])]
+    sets = [set(S.shingles(t, 5)) for t in texts]
+    assert max(map(len, sets)) <= S.SMALL
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(3)
+    got = {r["id"]["doc_id"]: r["component"]["doc_id"] for r in S.near_duplicates(df, radius=0).collect()}
+    # pairs of which neither is a part of the other are left to fingerprints: here there are none that aren't joined anyway
+    assert got == dict(enumerate(root)) and len(set(root)) < len(texts) - 40
