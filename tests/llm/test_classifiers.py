@@ -479,3 +479,11 @@ def test_clusters_decide_on_given_pages():
     for r in pages[:50]:
         noisy = r["html"].replace("</article>", "<div class='share-bar'>Tell your friends</div><div class='comments'><p>I like this.</p></div></article>")
         assert extract(noisy) == extract(r["html"]) != extract(noisy, _everything)
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(20_000).selectExpr("id as vec_id")
+    want = [r["vec_id"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(500).collect()]
+    drawn = ann._smallest(rows, 20_000, 500)
+    assert [r["vec_id"] for r in drawn.collect()] == want
+    assert [r["vec_id"] for r in ann._smallest(rows.limit(3), 3, 500).orderBy("vec_id").collect()] == [0, 1, 2]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -376,3 +377,39 @@ def test_small_sets_are_matched_without_fingerprints(spark):
     got = {r["id"]["doc_id"]: r["component"]["doc_id"] for r in S.near_duplicates(df, radius=0).collect()}
     # pairs of which neither is a part of the other are left to fingerprints: here there are none that aren't joined anyway
     assert got == dict(enumerate(root)) and len(set(root)) < len(texts) - 40
+
+
+def test_long_copied_items_take_no_square(spark):
+    """An item of 16,000 words copied in full: every suffix's longest match, and all words hit."""
+    rng = random.Random(3)
+    item = [b"w%d" % rng.randrange(500) for _ in range(16_000)]
+    began = time.perf_counter()
+    shard = D.Shard.of(D.Tests.of([("a", item)], 13), [item, [b"x"] * 50 + item[:8000] + [b"y"], item[::-1]])
+    _, best, _ = shard.longest()
+    _, at = shard.windows()
+    most, _ = shard.verbatim(np.unique(at))
+    assert best.max() == most.max() == 16_000 and len(at) == 16_000 - 12 + 8000 - 12
+    assert time.perf_counter() - began < 10
+    docs = spark.createDataFrame([(1, b" ".join(item).decode()), (2, "nothing of it")], DOC)
+    got = D.contamination(docs, spark.createDataFrame([(7, b" ".join(item).decode())], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["contaminated"]) for r in got] == [(16_000, 16_000, True), (3, 0, False)] and got[0]["longest"]["n_words"] == 16_000
+
+
+def test_blocks_of_a_benchmark_are_chained(spark):
+    """Many blocks, several in one reading: the same as one block."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    items = spark.createDataFrame([(k, words(20)) for k in range(30)], "item_id long, text string")
+    texts = [r["text"] for r in items.collect()]
+    docs = spark.createDataFrame([(k, words(30) + " " + texts[k % 30][: 10 + 3 * k] + " " + words(5)) for k in range(40)], DOC).repartition(2)
+    one, many = (sorted(map(str, D.contamination(docs, items, window=5, block_bytes=size).drop("longest").collect())) for size in (1 << 20, 300))
+    assert one == many and sum("contaminated=True" in r for r in one) > 20
+
+
+def test_documents_of_many_common_lines(spark):
+    lines = "\n".join(f"line {k}" for k in range(30_000))
+    df = spark.createDataFrame([(k, f"own {k}\n{lines}\nlast {k}") for k in range(10)], DOC)
+    began = time.perf_counter()
+    got = line_dedup(df).select("doc_id", "kept_text", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, got)) == [(k, f"own {k}\nlast {k}", 30_002, 30_000) for k in range(10)]
+    assert time.perf_counter() - began < 60
