@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sextant.functions import text as T
-from sextant.operators import bm25_index, cache, corpus, freeze, generation, incident, labels, markdown, metrics, pairs, retrieval, sampling
+from sextant.operators import bm25_index, cache, corpus, freeze, generation, incident, labels, markdown, metrics, pairs, queues, retrieval, sampling
 from sextant.settings import Chunking, Training, Tree
 from sextant.settings import settings as checked
 
@@ -515,3 +515,22 @@ def test_cache_makes_nothing_twice(spark, tmp_path):
     # another maker's entries are others
     cache.cached(rows, path, "n", "text", "out string", make)
     assert sorted(made) == ["a", "b"]
+
+
+def test_items_of_a_task(spark):
+    chunks = spark.createDataFrame([("c1", "one"), ("c2", "two")], "chunk_id string, passage string")
+    asked = spark.createDataFrame([("a", "How?", ["c2", "c1"]), ("b", "Why?", None)], "id string, question string, candidates array<string>")
+    got = {r["id"]: r["item"] for r in queues.rendered(asked, chunks, "so_questions").collect()}
+    assert got == {"a": '<item id="a">\n<question>\nHow?\n</question>\n<candidate letter="A" id="c2">\ntwo\n</candidate>\n<candidate letter="B" id="c1">\none\n</candidate>\n</item>', "b": '<item id="b">\n<question>\nWhy?\n</question>\n</item>'}
+    pairs_ = spark.createDataFrame([("a", "q", "c1")], "id string, query string, chunk_id string")
+    assert queues.rendered(pairs_, chunks, "train_audit").first()["item"] == '<item id="a">\n<query>q</query>\n<chunk id="c1">\none\n</chunk>\n</item>'
+    with pytest.raises(Exception, match="no such chunk: c2"):
+        queues.rendered(pairs_.withColumn("chunk_id", F.lit("c2")), chunks.where("chunk_id = 'c1'"), "train_audit").collect()
+
+
+def test_shares_and_samples(spark):
+    rows = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "id int, g string")
+    assert sampling.sample_each(rows, "g", "id", "s", 3).groupBy("g").count().where("count <> 3").count() == 0
+    assert sampling.seeded_share(rows, "id", "s", 0.25).count() == 5 and sampling.seeded_share(rows.limit(1), "id", "s", 0.1).count() == 1
+    with pytest.raises(ValueError, match="no rows"):
+        sampling.seeded_share(rows.limit(0), "id", "s", 0.25)
