@@ -64,6 +64,12 @@ def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir)
 
 
+@R.query(f"with {BTOP.format(k=K).replace('round(sum(', 'round(cast(cast(sum(').replace('dl / avgdl))), 4) as score', 'dl / avgdl))) as float) as double), 4) as score')} select qid, doc_id, score, cast(rank as integer) as rank from br")
+def q_bm25_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to single precision before they are rounded and ranked."""
+    return stored(table(spark, sf_dir, "documents"), "documents").top_k(_items(spark, sf_dir), K, single=True)
+
+
 @R.query(f"with {BTOP.format(k=K)}, {QRELS}, sl as (select item_id as qid, unnest(['all', case when item_id % 2 = 0 then 'even' else 'odd' end]) as slice from benchmark), {metrics_sql('br', 'qrels', 'sl')}")
 def q_bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     slices = _items(spark, sf_dir).select("qid", F.array(F.lit("all"), F.when(F.col("qid") % 2 == 0, "even").otherwise("odd")).alias("slices"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
-from sextant.operators import cache, corpus, freeze
+from sextant.operators import cache, corpus, freeze, incident
 from sextant.operators.labels import latest
 from sextant.plans import Registry, table
+from sextant.plans.derived import CAPTURED
 from sextant.session import shared_folder
 from sextant.sources import readers, sinks
 
@@ -122,3 +123,60 @@ def q_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.struct("n_chars", "doc_id").alias("pos"), F.concat("lang", F.col("doc_id").cast("string")).alias("chunk_id"))
     return freeze.doc_chunks(rows)
+
+
+@R.query("""select 'build' as name, 'ok' as status, '{"rows": ' || (select count(*) from documents) || '}' as metrics, '{"seed": 1}' as config union all select 'broken', 'failed:ValueError', '{}', '{}'""")
+def q_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs as the log has them: one that counts documents, one that fails."""
+    path = _folder(spark)
+    with sinks.tracked(spark, path, "build", {"seed": 1}) as metrics:
+        metrics["rows"] = table(spark, sf_dir, "documents").count()
+    try:
+        with sinks.tracked(spark, path, "broken", {}):
+            raise ValueError("of no use")
+    except ValueError:
+        pass
+    return spark.read.parquet(path).where("driver_mb > 0 and length(run_id) = 12").select("name", "status", "metrics", "config")
+
+
+@R.query("""with e as (select event_type, count(*) as n from events group by event_type),
+l as (select 0 as pos, '# Events' as line union all select 2, '| event_type | n |' union all select 3, '| --- | --- |' union all select 3 + row_number() over (order by event_type), '| ' || event_type || ' | ' || n || ' |' from e)
+select pos, line from l""")
+def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report as Markdown, written over another one, read line by line."""
+    path = f"{_folder(spark)}/report.md"
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type")
+    for text in ("an older report", sinks.report(counts, "Events")):
+        sinks.write_text(spark, path, text)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    return lines.where("line <> ''").select(F.col("pos").cast("long").alias("pos"), "line")
+
+
+SHOT = {
+    "id": "'shot-' || event_id", "runbook": "'rb-' || user_id % 7", "status": "case when event_id % 11 = 0 then 'failed' else 'ok' end", "namespace": "'ns-' || event_type",
+    "pods": f"{CAPTURED['pods']}", "logs": f"{CAPTURED['logs']} || ' of ns-' || event_type",
+}
+
+
+@R.query(f"""with v as (select event_id as k, {", ".join(f"{x} as {c}" for c, x in SHOT.items())} from events), s as (select * from v where status = 'ok'),
+pr as (select id, k, regexp_split_to_array(trim(x), '\\s+') as c from (select id, generate_subscripts(ls, 1) as k, unnest(ls) as x from (select id, list_filter(string_split(pods, chr(10)), lambda x: trim(x) <> '')[2:] as ls from s))),
+pb as (select id, list(c[1] || ' ' || c[2] || ' ' || c[3] || ' ' || case when starts_with(coalesce(c[5], ''), '(') then c[4] || ' ' || c[5] || ' ' || c[6] else c[4] end order by k)[:3] as x
+  from pr where len(c) >= 4 and contains(c[2], '/') and (split_part(c[2], '/', 1) <> split_part(c[2], '/', 2) or c[3] <> 'Running' or c[4] <> '0') group by id),
+lg as (select id, list_transform(list_filter(list_transform(string_split(logs, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, 'unable to retrieve') and not starts_with(x, 'Error from server') and regexp_matches(x, '(?i){T.ERROR_LINE.replace("'", "''")}'))[-2:], lambda x: 'log: ' || x) as x from s),
+q as (select s.id, s.runbook, namespace, coalesce(pb.x, []) as p, lg.x as l from s left join pb using (id) join lg using (id)),
+w as (select id, runbook, replace(array_to_string(list_concat(p, case when len(l) = 2 and l[1] = l[2] then [l[1]] else l end), ' | '), namespace, 'prod') as full_, replace(array_to_string(list_concat(p[:1], l[:1]), ' | '), namespace, 'prod') as brief from q),
+sc as (select distinct 'rb-' || user_id % 7 as runbook from events where user_id % 7 <> 3)
+select 'incident/' || id || '/' || variant as qid, query, variant, ['runbook/' || runbook, 'runbook/other'] as relevant_docs, case runbook when 'rb-1' then 'test' when 'rb-2' then 'val' else 'train' end as runbook_split
+from (select id, runbook, 'full' as variant, full_ as query from w union all select id, runbook, 'brief', brief from w) join sc using (runbook)""")
+def q_incident_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture of each event, written as JSON and read back, made into queries that are joined with scenarios and splits."""
+    path = _folder(spark)
+    section = lambda title, c: F.struct(F.lit(title).alias("title"), F.lit("c").alias("command"), F.col(c).alias("output"))
+    shots = table(spark, sf_dir, "events").selectExpr("event_id as k", *[f"{x} as {c}" for c, x in SHOT.items()])
+    shots.select("id", "runbook", "status", "namespace", F.array(section("pods", "pods"), section("logs web", "logs")).alias("sections")).write.json(path)
+    captures = readers.captures(spark, path, lines=True)
+    runbooks = table(spark, sf_dir, "events").select(F.concat(F.lit("rb-"), F.col("user_id") % 7).alias("runbook")).distinct()
+    scenarios = captures.select("id", "runbook").where("runbook <> 'rb-3'").withColumn("also_relevant", F.array(F.lit("other")))
+    split = F.when(F.col("runbook") == "rb-1", "test").when(F.col("runbook") == "rb-2", "val").otherwise("train")
+    rows = incident.incident_rows(captures, scenarios, runbooks.select(F.concat(F.lit("runbook/"), "runbook").alias("doc_id"), split.alias("split")))
+    return rows.select("qid", "query", "variant", "relevant_docs", "runbook_split")

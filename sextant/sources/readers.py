@@ -134,9 +134,9 @@ def runbooks(spark: SparkSession, root: str, sections: list[str], least: int = 1
     return rows
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of incidents, a JSON document each."""
-    return spark.read.schema(CAPTURE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def captures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Captures of incidents: a JSON document each, or a line each."""
+    return spark.read.schema(CAPTURE).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def csv_results(spark: SparkSession, path: str, schema: str, slice_: str | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import resource
+import subprocess
 import time
 import traceback
 import uuid
@@ -20,7 +22,7 @@ from sextant.sources.readers import exists
 SLICES = ("all", "incident_snapshot", "error_string", "symptom", "how_to", "kubectl_output", "low_overlap", "real_incident_heldout", "real_incident_seen", "stackoverflow", "handwritten")
 #: The file of a frozen set that names the folder that counts. Its name begins with no underscore, so Spark reads it.
 POINTER = "current.txt"
-RUN = "started string, name string, status string, seconds double, config string, metrics string"
+RUN = "run_id string, started string, phase string, name string, status string, commit string, seed long, seconds double, driver_mb double, executor_mb double, config string, metrics string, notes string"
 
 
 def write_jsonl(rows: DataFrame, path: str) -> int:
@@ -149,10 +151,27 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         files.delete(beside, False)
 
 
+def commit_of(folder: str = ".") -> str | None:
+    """The commit that a folder's files are of, if it is a git repository."""
+    try:
+        done = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout.strip() or None
+
+
+def executor_peak_mb(spark: SparkSession) -> float | None:
+    """The most memory, heap and beyond, that any executor has told of so far; null before the first has."""
+    known = spark._jsc.sc().statusStore().executorList(True)
+    peaks = [known.apply(k).peakMemoryMetrics() for k in range(known.size())]
+    found = [p.get().getMetricValue("JVMHeapMemory") + p.get().getMetricValue("JVMOffHeapMemory") for p in peaks if p.isDefined()]
+    return round(max(found) / (1 << 20), 1) if found else None
+
+
 @contextmanager
-def tracked(spark: SparkSession, path: str, name: str, config: dict) -> Iterator[dict]:
-    """Runs a block and appends a row about it to the log at path: how it ended, how long it took, what it put into
-    the dictionary that it is given."""
+def tracked(spark: SparkSession, path: str, name: str, config: dict, phase: str = "", seed: int | None = None) -> Iterator[dict]:
+    """Runs a block and appends a row about it to the log at path: how it ended, how long it took, the commit, the driver's and
+    the executors' peak memory, and what it put into the dictionary that it is given (of that, `notes` by itself)."""
     metrics: dict = {}
     started, began, status = time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime()), time.time(), "ok"
     try:
@@ -161,5 +180,8 @@ def tracked(spark: SparkSession, path: str, name: str, config: dict) -> Iterator
         status = "failed:" + traceback.format_exc().strip().rpartition("\n")[2].partition(":")[0]
         raise
     finally:
-        row = (started, name, status, round(time.time() - began, 1), json.dumps(config, sort_keys=True), json.dumps(metrics, sort_keys=True))
+        notes = str(metrics.pop("notes", ""))
+        peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+        as_json = lambda x: json.dumps(x, sort_keys=True, default=str)
+        row = (uuid.uuid4().hex[:12], started, phase, name, status, commit_of(), seed, round(time.time() - began, 1), round(peak, 1), executor_peak_mb(spark), as_json(config), as_json(metrics), notes)
         append(spark.createDataFrame([row], RUN), path)

@@ -155,12 +155,15 @@ def test_runbooks_tell_all_errors_at_once(spark, tmp_path):
 
 def test_tracked(spark, tmp_path):
     path = str(tmp_path / "runs")
-    with sinks.tracked(spark, path, "one", {"b": 1}) as metrics:
+    with sinks.tracked(spark, path, "one", {"b": 1}, "3", 42) as metrics:
         metrics["hit"] = 0.5
+        metrics["notes"] = "fine"
     with pytest.raises(KeyError), sinks.tracked(spark, path, "two", {}):
         raise KeyError("x")
     got = {r["name"]: r for r in spark.read.parquet(path).collect()}
     assert got["one"]["status"] == "ok" and json.loads(got["one"]["metrics"]) == {"hit": 0.5} and got["two"]["status"] == "failed:KeyError"
+    assert (got["one"]["phase"], got["one"]["seed"], got["one"]["notes"], got["two"]["seed"]) == ("3", 42, "fine", None)
+    assert got["one"]["driver_mb"] > 10 and got["one"]["run_id"] != got["two"]["run_id"] and (got["one"]["commit"] is None or len(got["one"]["commit"]) == 40)
 
 
 def test_label_stream_equals_batch(spark, tmp_path):
