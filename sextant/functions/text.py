@@ -18,6 +18,8 @@ ERROR_LINE = r"error|fail|forbidden|denied|cannot|can't|not found|refused|timed
 TROUBLE = r"error|fail|crash|pending|not work|doesn'?t work|can'?t|cannot|unable|timeout|timed out|refused|backoff|oom|evict|forbidden|denied|stuck|restart|not found|unhealthy|probe"
 #: Languages by file extension.
 LANGUAGES = {".yaml": "yaml", ".yml": "yaml", ".json": "json", ".sh": "shell", ".conf": ""}
+#: The front matter at the beginning of a Markdown file, as a pattern in which a dot is any character.
+FRONT = r"---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COMPOUND, WORD = "[a-z0-9]+(?:[._:/-][a-z0-9]+)*", "[a-z0-9]+"
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sextant.functions.text import doc_id, glob_pattern
+from sextant.functions.text import FRONT, doc_id, glob_pattern
 from sextant.operators.corpus import repeated_keys
 from sextant.operators.generation import dangling, runbook_errors
 from sextant.operators.incident import CAPTURE
 
-FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+FRONT_MATTER = r"(?s)\A" + FRONT
 CHUNK = "chunk_id string, doc_id string, source string, source_path string, url string, title string, section string, text string, n_tokens int, meta map<string,string>"
 
 
