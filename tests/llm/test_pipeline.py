@@ -25,7 +25,7 @@ def test_query(spark, name):
     assert got
     if name in Q.oracle_sql():
         db = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "embeddings", "pages"):
             db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         found = db.execute(Q.oracle_sql()[name])
         at = [[d[0] for d in found.description].index(c) for c in columns]
