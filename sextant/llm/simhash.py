@@ -22,6 +22,11 @@ TILE, LARGEST_TILE, BLOCK = 16_384, 1 << 18, 1 << 20
 SMALL = 10
 #: Shingles in a tile of texts whose sets are compared, on average.
 SET_TILE = 1 << 20
+#: One of so many texts tells which shingles are frequent, so many of them at most: they decide how much is compared, never
+#: what is found.
+TOLD_BY, TOLD = 64, 1 << 18
+#: Sets of a list that share a shingle and are compared by one task, at most; those of longer lists go into tiles.
+LIST = 4096
 _DIGEST = {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest, 256: lambda x, seed: xxhash.xxh3_128_digest(x, seed) + xxhash.xxh3_128_digest(x, seed + 1)}
 
 
@@ -51,16 +56,49 @@ def _majority(items: list[bytes], bits: int, seed: int) -> tuple[bytes, list[byt
     return np.packbits(2 * counts > len(items)).tobytes(), parts
 
 
-def set_print(text: str, size: int, bits: int = 256, seed: int = 42, least: float = 0.8) -> tuple[bytes, bytes, list[bytes]]:
-    """The fingerprint of the different shingles, each counted once; 128 bits that tell sets of shingles apart; and of a set of
+Often = tuple[np.ndarray, np.ndarray]
+
+
+def set_print(text: str, size: int, bits: int = 256, seed: int = 42, least: float = 0.8, often: Often | None = None) -> tuple[bytes, bytes, list[bytes], np.ndarray]:
+    """The fingerprint of the different shingles, each counted once; 128 bits that tell sets of shingles apart; of a set of
     SMALL shingles at most these bits of each part of it that is similar enough: of sets so small that their fingerprints
-    say little, the smaller of two similar ones is a part of the other, but for fingerprints that agree well."""
+    say little, the smaller of two similar ones is a part of the other, but for fingerprints that agree well; and the
+    set's first shingles, see first_shingles."""
     fp, parts = _majority([*set(shingles(text, size))], bits, seed)
     raw = np.frombuffer(b"".join(parts), ">u8").reshape(-1, bits // 64)
     raw = raw[np.lexsort(raw.T)]
     keep = [k for k in range(ceil(least * len(raw)), len(raw))] if len(raw) <= SMALL else []
     some = [xxhash.xxh3_128_digest(raw[list(at)].tobytes(), seed) for k in keep for at in combinations(range(len(raw)), k)]
-    return fp, xxhash.xxh3_128_digest(raw.tobytes(), seed), some
+    return fp, xxhash.xxh3_128_digest(raw.tobytes(), seed), some, first_shingles(raw[:, 0].astype(np.uint64).view(np.int64), least, often)
+
+
+def first_shingles(items: np.ndarray, least: float, often: Often | None = None) -> np.ndarray:
+    """Of a set's different shingles (int64 hashes) the first, rare ones before frequent ones: as many that any set of
+    similarity `least` or more has one of them among its own first. Of n shingles such a set has `least` times n at
+    least, so the first that both have comes before the last of these. often: hashes in order, and their counts; all
+    others are rare. Any order that all sets share would do."""
+    if not len(items):
+        return items
+    keep = len(items) - ceil(least * len(items) - 1e-9) + 1
+    if often is None or not len(often[0]):
+        return np.sort(items)[:keep]
+    at = np.minimum(np.searchsorted(often[0], items), len(often[0]) - 1)
+    return items[np.lexsort((items, np.where(often[0][at] == items, often[1][at], 0)))[:keep]]
+
+
+def _often(docs: DataFrame, size: int, bits: int, seed: int = 42) -> Often:
+    """Shingles that stand in several of every TOLD_BY-th text of docs (id, text), and in how many; TOLD at most."""
+    digest = _DIGEST[bits]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in texts(b.column("text")):
+                raw = np.frombuffer(b"".join([digest(x, seed) for x in set(shingles(t, size))]), ">u8").reshape(-1, bits // 64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(raw[:, 0].astype(np.uint64).view(np.int64)))], ["item"])
+
+    some = map_batches(docs.where(F.pmod(F.xxhash64("text"), F.lit(TOLD_BY)) == 0).select("text").distinct(), run, "item long")
+    found = some.groupBy("item").count().where("count > 1").orderBy(F.desc("count"), "item").limit(TOLD).toArrow().sort_by("item")
+    return found.column("item").to_numpy(), found.column("count").to_numpy()
 
 
 def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, seed: int = 42) -> DataFrame:
@@ -81,16 +119,17 @@ def row_id(doc_id: Column, text: Column) -> Column:
 
 
 def _set_prints(docs: DataFrame, size: int, bits: int, least: float) -> DataFrame:
-    """id, fp, digest, parts (see set_print) for each row of docs (id, text)."""
+    """id, fp, digest, parts, firsts (see set_print) for each row of docs (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
+    given = docs.sparkSession.sparkContext.broadcast(_often(docs, size, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [set_print(t, size, bits, least=least) for t in texts(b.column("text"))]
-            kinds = (pa.binary(), pa.binary(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[k] for x in found], kinds[k]) for k in range(3))], ["id", "fp", "digest", "parts"])
+            found = [set_print(t, size, bits, least=least, often=given.value) for t in texts(b.column("text"))]
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[k] for x in found], kinds[k]) for k in range(4))], ["id", "fp", "digest", "parts", "firsts"])
 
-    return map_batches(docs, run, f"id {kind}, fp binary, digest binary, parts array<binary>")
+    return map_batches(docs, run, f"id {kind}, fp binary, digest binary, parts array<binary>, firsts array<long>")
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -246,6 +285,106 @@ def simhash_components(docs: DataFrame, size: int = 4, bits: int = 64, radius: i
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _lists(keyed: DataFrame, most: int) -> DataFrame:
+    """members, long: the nodes of keyed (key, node) that share a key, in order, of keys that several have; those of a key
+    that more than `most` have come in pieces, marked as long. A task holds no more than `most` nodes of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, long = np.zeros(0, np.int64), None, False  # the nodes of the last key, which may go on
+
+        def rows(values: np.ndarray, sizes: np.ndarray, long: bool) -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([long] * len(sizes), pa.bool_())], ["members", "long"])
+
+        for b in batches:
+            key, node = (b.column(c).to_numpy() for c in ("key", "node"))
+            if not len(key):
+                continue
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[new], node[new]
+            goes_on = now is not None and key[0] == now
+            if goes_on and len(held) and held[-1] == node[0]:
+                key, node = key[1:], node[1:]
+            if not len(key):
+                continue
+            if not goes_on:
+                if len(held) > 1 or long and len(held):
+                    yield rows(held, np.array([len(held)]), long)
+                held, long = np.zeros(0, np.int64), False
+            key, node = np.concatenate([np.full(len(held), key[0]), key]), np.concatenate([held, node])
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
+            was = long
+            long = was and len(starts) == 1 or int(sizes[-1]) > most
+            marked = sizes > most
+            marked[0] |= was
+            marked[-1] = long
+            whole = np.flatnonzero((sizes > 1) & ~marked)
+            whole = whole[whole < len(sizes) - 1]
+            if whole.size:
+                yield rows(node[np.repeat(np.isin(np.arange(len(sizes)), whole), sizes)], sizes[whole], False)
+            for k in np.flatnonzero(marked).tolist():
+                if k < len(sizes) - 1 or sizes[k] > 1:
+                    yield rows(node[starts[k] : starts[k] + sizes[k]], sizes[k : k + 1], True)
+            now = int(key[-1])
+            held = node[-1:] if long else node[starts[-1] :]
+        if len(held) > 1 or long and len(held):
+            yield rows(held, np.array([len(held)]), long)
+
+    return map_batches(keyed.repartition("key").sortWithinPartitions("key", "node"), run, "members array<long>, long boolean")
+
+
+def set_links(prints: DataFrame, reps: DataFrame, bits: int, radius: int, tile: int | None, more: tuple[int, int], most: int = LIST) -> DataFrame:
+    """u, v: links between sets that share one of their first shingles and whose fingerprints are within the radius, so that all
+    similar ones are joined. prints: id, firsts; reps: see representatives.
+
+    Sets are looked up by their first shingles, as no similar set has none of these, and compared with those they share one with:
+    a spanning forest of each list. Lists that repeat, as those of a text and its copy do for each shingle, are compared once. Of
+    keys that more than `most` sets have, which are copies or all but copies, all sets are compared once with each
+    other instead, in tiles, see simhash_links.
+    """
+    keyed = prints.select("id", "firsts").join(reps.select(F.col("rep").alias("id"), "node"), "id").select(F.explode("firsts").alias("key"), "node")
+    lists = checkpointed(_lists(keyed, most).distinct().withColumn("list", F.monotonically_increasing_id()))
+    long = reps.join(lists.where("long").select(F.explode("members").alias("node")).distinct(), "node", "left_semi")
+    rows = lists.where("not long").select("list", F.explode("members").alias("node")).join(reps.select("node", "fp"), "node")
+
+    def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        m = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
+        ids, at = t.column("node").to_numpy(), t.column("list").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+        two = cuts[:-1][np.diff(cuts) == 2]
+        near = np.bitwise_count(m[two] ^ m[two + 1]).sum(axis=1, dtype=np.int64) <= radius
+        u, v = [ids[two[near]]], [ids[two[near] + 1]]
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if y - x > 2:
+                i, j, _ = compare(m[x:y], None, radius, more)
+                u.append(ids[x:y][i])
+                v.append(ids[x:y][j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for b in batches:
+            at = b.column("list").to_numpy()
+            if not len(at):
+                continue
+            # all lists but the last are whole
+            cut = int(np.searchsorted(at, at[-1]))
+            if parts and (cut or at[-1] != parts[-1].column("list")[-1].as_py()):
+                yield linked([*parts, b.slice(0, cut)])
+                parts = []
+            elif cut:
+                yield linked([b.slice(0, cut)])
+            parts.append(b.slice(cut))
+        if parts:
+            yield linked(parts)
+
+    found = map_batches(rows.repartition("list").sortWithinPartitions("list", "node"), run, "u long, v long")
+    return found.unionByName(simhash_links(checkpointed(long), bits, radius, tile, more).select("u", "v")).distinct()
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """node, shingles (array of the different shingles' hashes) for each row of docs (node, text)."""
 
@@ -337,14 +476,15 @@ def _remaining(nodes: DataFrame, bits: int, radius: int, least: float, set_tile:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 84, tile: int | None = None, set_tile: int = SET_TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: int = 256, radius: int = 84, tile: int | None = None, set_tile: int = SET_TILE, most: int = LIST) -> DataFrame:
     """id, component for every different pair of doc_id and text in docs (doc_id, text; others are ignored): near-duplicate
     groups. id is row_id of the pair, component the smallest id in the group, so the rows whose id is their component
     are one of each group.
 
     Documents link if the Jaccard similarity of their sets of word shingles is `least` or more. Equal sets, told by a
     digest, are grouped first; equal fingerprints of different sets are candidates like any others.
-    Fingerprints of that many bits over the different shingles find the candidates, so passages that a text repeats count
+    Candidates are sets that share one of their first shingles, as all similar ones do, and whose fingerprints are near, see
+    set_links. Fingerprints are of that many bits over the different shingles, so passages that a text repeats count
     once there too: at a similarity of 0.8, 256 bits differ in 39 places on average
     with a deviation of 6, so that more than 84 differ in fewer than one of 10^14 such pairs, while texts that share
     nothing come that near once in 10^7. Sets of few shingles, where it may be 48 places, don't rely on that: of two
@@ -359,12 +499,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bits: in
     doc_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
     docs = docs.select(row_id(doc_id, text).alias("id"), text.alias("text"))
     prints = checkpointed(_set_prints(docs, size, bits, least))
-    reps = representatives(prints.drop("parts"))
+    reps = representatives(prints.drop("parts", "firsts"))
     # each different set with its similar parts, as many as a small set has, and those of them that are sets of texts
     parts = prints.where(F.size("parts") > 0).select("digest", F.explode("parts").alias("part")).distinct()
     parts = parts.join(reps.select("digest", F.col("node").alias("v")), "digest").join(reps.select(F.col("digest").alias("part"), F.col("node").alias("u")), "part")
     parts = checkpointed(parts.select("u", "v"))
-    links = checkpointed(simhash_links(reps, bits, radius, tile, (3, int(0.11 * bits))).select("u", "v").distinct())
+    links = checkpointed(set_links(prints, reps, bits, radius, tile, (3, int(0.11 * bits)), most))
+    released(docs.sparkSession)
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps.select("node", F.col("rep").alias("id")), "node")
     sets = _sets(docs.join(ends, "id").select("node", "text"), size).groupBy("node").agg(F.max("shingles").alias("shingles"))
     sets = checkpointed(sets)

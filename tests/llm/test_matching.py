@@ -413,3 +413,34 @@ def test_documents_of_many_common_lines(spark):
     got = line_dedup(df).select("doc_id", "kept_text", "n_lines", "n_dropped").collect()
     assert sorted(map(tuple, got)) == [(k, f"own {k}\nlast {k}", 30_002, 30_000) for k in range(10)]
     assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("most", [S.LIST, 3])
+def test_only_sets_that_share_a_first_shingle_are_compared(spark, most, monkeypatch):
+    """Tiles, in which each is compared with each, hold only sets of keys that more than `most` sets have; groups are those of
+    all pairs, in lists and in tiles."""
+    rng = random.Random(21)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n)]
+    rows, common = [], text(12)
+    for k in range(60):
+        words = text(rng.randint(1, 90))
+        if k % 3 == 0:
+            words = common + words
+        for copy in range(rng.randint(1, 7)):
+            changed = [w if rng.random() > 0.01 * copy else "changed" for w in words]
+            rows.append((len(rows), " ".join(changed[: len(changed) - rng.randint(0, 2)])))
+    tiled, made = [], S.simhash_links
+    monkeypatch.setattr(S, "simhash_links", lambda reps, *more: (tiled.append(reps.count()), made(reps, *more))[1])
+    assert _near(S.near_duplicates(spark.createDataFrame(rows, DOC).repartition(3), most=most)) == _groups(rows)
+    assert len(set(_groups(rows).values())) < 0.7 * len(rows)
+    assert tiled == [0] if most == S.LIST else 0 < tiled[0] < len(rows)
+
+
+def test_lists_of_a_key_over_many_batches(spark):
+    """Keys of one node, of few, of up to `most` and of more, in batches that cut them; repeated rows count once."""
+    sizes = {1: 1, 2: 2, 3: 700, 4: 1, 5: 701, 6: 2500, 7: 3, 8: 1}
+    rows = [(k, n) for k, m in sizes.items() for n in range(m)] * 2
+    keyed = spark.createDataFrame(rows, "key long, node long").coalesce(1)
+    got = S._lists(keyed, 700).collect()
+    assert sorted(r["members"] for r in got if not r["long"]) == sorted([*range(m)] for m in sizes.values() if 2 <= m <= 700)
+    assert {n for r in got if r["long"] for n in r["members"]} == {*range(2500)} and max(len(r["members"]) for r in got) < 1300
