@@ -47,3 +47,20 @@ def test_query(spark, db, name):
 def test_entry(spark):
     rows = __spark_entry__.entry(spark)
     assert rows.columns[0] == "slice" and {r["slice"] for r in rows.collect()} >= {"all"}
+
+
+def agrees(spark, name, folder, made):
+    """Whether a query equals its SQL over these tables, by name in SQL over the smallest ones."""
+    c = duckdb.connect()
+    for t, sql in made.items():
+        c.execute(f"copy ({sql}) to '{folder}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    found = c.execute(__spark_entry__.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    want = sorted([plain(x) for x in r] for r in found.fetchall())
+    assert want and sorted([plain(x) for x in r] for r in __spark_entry__.queries()[name](spark, str(folder)).select(*names).collect()) == want
+
+
+def test_only_common_references_are_decoded(spark, tmp_path):
+    html = "<p>a &amp; b &amp c &am &ampd &amp;lt; &amp;amp; &lt;x&gt; &quot;q&#39; &copy; &middot; &nbsp; &eacute; &#38; &COPY;</p>end  "
+    agrees(spark, "q_html_to_text", tmp_path, {"pages": f"select page_id, html || '{html.replace(chr(39), chr(39) * 2)}' as html from '{SF}/pages.parquet'"})
