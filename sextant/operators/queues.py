@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,10 @@ from sextant.operators.retrieval import rrf
 from sextant.operators.sampling import hash_sample, numbered_within
 
 
-def question_queue(pages: DataFrame, seed: str, n: int, pattern: str = T.TROUBLE, least: int = 80, most: int = 2500, head: int = 200) -> DataFrame:
+def question_queue(pages: DataFrame, seed: str, n: int, pattern: str = T.TROUBLE, least: int = 80, most: int = 2500, head: int = 200, decode: Callable[[Column], Column] | None = None) -> DataFrame:
     """pages: page_id, html. id, page_id, question, query of n pages, by hash, whose text is of fitting length and about
-    trouble; the query is the question's first words."""
-    rows = pages.select("page_id", T.html_to_text(F.col("html")).alias("question"))
+    trouble; the query is the question's first words. decode: see text.html_to_text."""
+    rows = pages.select("page_id", T.html_to_text(F.col("html"), decode).alias("question"))
     fits = rows.where(F.length("question").between(least, most) & F.col("question").rlike(f"(?i){pattern}"))
     some = hash_sample(fits, "page_id", seed, n)
     return some.select(T.item_id(F.lit("so"), F.col("page_id").cast("string")).alias("id"), "page_id", "question", T.head_words(F.col("question"), head).alias("query"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.functions import text as T
 from sextant.operators import metrics, queues
 from sextant.operators.bm25_index import stored
 from sextant.operators.overlap import overlap_top_k
@@ -22,7 +23,7 @@ TEXT = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(re
 select substr(sha256('["so","' || page_id || '"]'), 1, 16) as id, page_id, sha256(q) as question_sha256, array_to_string(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')[:20], ' ') as query
 from f order by md5('so:' || page_id), page_id limit 25""")
 def q_question_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = queues.question_queue(table(spark, sf_dir, "pages"), "so", 25, "the|und|ver", 80, 4000, 20)
+    found = queues.question_queue(table(spark, sf_dir, "pages"), "so", 25, "the|und|ver", 80, 4000, 20, T.common_references)
     return found.select("id", "page_id", F.sha2("question", 256).alias("question_sha256"), "query")
 
 
@@ -68,7 +69,7 @@ select qid as page_id, list(doc_id order by rank) as candidates from (select *,
 @R.query(FUSED)
 def q_question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with the documents that BM25 and word overlap agree on."""
-    found = checkpointed(queues.question_queue(table(spark, sf_dir, "pages"), "so", 25, "the|und|ver", 80, 4000, 20))
+    found = checkpointed(queues.question_queue(table(spark, sf_dir, "pages"), "so", 25, "the|und|ver", 80, 4000, 20, T.common_references))
     docs, asked = table(spark, sf_dir, "documents"), found.select(F.col("page_id").alias("qid"), "query")
     rankings = [stored(docs, "documents").top_k(asked, 20), overlap_top_k(spread(docs.select("doc_id", "text")), asked.withColumnRenamed("query", "text"), 20)]
     return queues.with_candidates(found, "page_id", rankings, 10).select("page_id", "candidates")
