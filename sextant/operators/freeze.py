@@ -20,6 +20,19 @@ def qrels(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return named.join(corpus.select("doc_id", "chunk_id"), "doc_id").select("qid", "chunk_id", F.lit(1).alias("relevance")).distinct()
 
 
+def qrel_counts(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """What qrels gives, counted: qid, n (chunks), first, last (the smallest and the largest) of each query that has any, without
+    a row for each pair. Chunks are counted by the set of documents that they are in, which is mostly one, and queries
+    with the same set of documents are looked up once."""
+    within = corpus.where("doc_id is not null").groupBy("chunk_id").agg(F.array_sort(F.collect_set("doc_id")).alias("within"))
+    sizes = within.groupBy("within").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+    asked = queries.select("qid", F.explode("relevant_docs").alias("doc_id")).groupBy("qid").agg(F.array_sort(F.collect_set("doc_id")).alias("asked"))
+    each = sizes.select("within", F.explode("within").alias("doc_id"))
+    met = asked.select("asked").distinct().select("asked", F.explode("asked").alias("doc_id")).join(each, "doc_id").select("asked", "within").distinct()
+    found = met.join(sizes, "within").groupBy("asked").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return asked.join(found, "asked").select("qid", "n", "first", "last")
+
+
 def _judged(queries: DataFrame, chunks: Column) -> DataFrame:
     """qid, chunk_id, relevance: each chunk of an array once."""
     return queries.select("qid", F.explode(F.array_distinct(chunks)).alias("chunk_id"), F.lit(1).alias("relevance"))

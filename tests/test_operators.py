@@ -534,3 +534,17 @@ def test_shares_and_samples(spark):
     assert sampling.seeded_share(rows, "id", "s", 0.25).count() == 5 and sampling.seeded_share(rows.limit(1), "id", "s", 0.1).count() == 1
     with pytest.raises(ValueError, match="no rows"):
         sampling.seeded_share(rows.limit(0), "id", "s", 0.25)
+
+
+def test_qrels_are_counted_without_a_row_for_each(spark):
+    """Queries with many, repeated and unknown documents, chunks of several documents and of none; 20,000 queries of one set
+    against 20,000 chunks, which would be 400 million pairs."""
+    rng = random.Random(17)
+    queries = [(k % 50, [rng.choice(["a", "b", "c", "d", "no", None]) for _ in range(rng.randint(0, 4))]) for k in range(70)] + [(None, ["a"])]
+    corpus = [(rng.choice(["a", "b", "c", "d", "e", None]), rng.choice([*range(25), None])) for _ in range(40)]
+    q, c = spark.createDataFrame(queries, "qid int, relevant_docs array<string>"), spark.createDataFrame(corpus, "doc_id string, chunk_id int")
+    want = freeze.qrels(q, c).groupBy("qid").agg(F.count(F.lit(1)), F.min("chunk_id"), F.max("chunk_id"))
+    assert sorted(map(str, map(tuple, freeze.qrel_counts(q, c).collect()))) == sorted(map(str, map(tuple, want.collect())))
+    many = spark.range(20_000)
+    found = freeze.qrel_counts(many.select(F.col("id").alias("qid"), F.array(F.lit("x"), F.lit("y")).alias("relevant_docs")), many.select(F.lit("x").alias("doc_id"), F.col("id").alias("chunk_id")))
+    assert found.groupBy("n", "first", "last").count().collect() == [(20_000, 0, 19_999, 20_000)]
