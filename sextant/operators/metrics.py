@@ -16,16 +16,40 @@ def query_metrics(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
     """
     relevant = qrels.select("qid", "doc_id").distinct()
     hits = relevant.join(rankings.where(F.col("rank") <= DEPTH).select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left")
-    found = hits.groupBy("qid").agg(
-        F.count(F.lit(1)).alias("n_rel"),
+    return _of_ranks(hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"), *_ranks()))
+
+
+def _ranks() -> list[Column]:
+    """Aggregates over rows with a rank, null for none."""
+    return [
         *[F.max(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))).cast("double").alias(f"hit_{k}") for k in CUTS],
         F.coalesce(F.max(1 / F.col("rank")), F.lit(0.0)).alias("mrr_10"),
         F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1.0)), F.lit(0.0)).alias("dcg"),
-    )
+    ]
+
+
+def _of_ranks(found: DataFrame) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(DEPTH)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
     return found.select("qid", "n_rel", *[f"hit_{k}" for k in CUTS], "mrr_10", (F.col("dcg") / ideal).alias("ndcg_10"))
 
 
+def group_metrics(rankings: DataFrame, asked: DataFrame, members: DataFrame) -> DataFrame:
+    """query_metrics, where relevant are all documents of a query's own groups but the one that is the query, without a row
+    for each of them. asked: qid, group, each of them a document too; members: doc_id, group. rankings leave out the
+    query's own document."""
+    from sextant.operators.freeze import qrel_counts
+
+    of = asked.groupBy("qid").agg(F.collect_set("group").alias("relevant_docs"))
+    sizes = qrel_counts(of, members.select(F.col("group").alias("doc_id"), F.col("doc_id").alias("chunk_id")))
+    sizes = sizes.where("n > 1").select(F.col("qid").alias("_qid"), (F.col("n") - 1).alias("_n"))
+    top = rankings.where(F.col("rank") <= DEPTH).select("qid", "doc_id", "rank")
+    hits = top.join(members, "doc_id").join(asked, ["qid", "group"]).select("qid", "doc_id", "rank").distinct()
+    # a document that is ranked more than once counts as often, as in query_metrics
+    found = hits.groupBy("qid").agg((F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("_again"), *_ranks())
+    found = sizes.join(found, F.col("_qid") == F.col("qid"), "left").drop("qid").withColumn("n_rel", F.col("_n") + F.coalesce("_again", F.lit(0)))
+    return _of_ranks(found.withColumnRenamed("_qid", "qid").fillna(0.0, [*[f"hit_{k}" for k in CUTS], "mrr_10", "dcg"]))
+
+
 def slices_of(own: Column, generated: Column, overlap: Column, low: float = 0.5) -> Column:
     """all, a query's own slice, and low_overlap for generated queries that share few words with their passage."""
     return F.array_compact(F.array(F.lit("all"), own, F.when(generated & (overlap <= low), F.lit("low_overlap"))))

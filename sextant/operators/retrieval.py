@@ -56,9 +56,17 @@ def best_of_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarr
     return row[keep], ids[column[keep]], scores[row[keep], column[keep]]
 
 
+def _best_of(parts: list[pa.Table], k: int) -> pa.Table:
+    """Of tables of row (a query's), doc_id, score the k best of each query, ties to the smaller doc_id."""
+    t = pa.concat_tables(parts).combine_chunks()
+    t = t.take(pc.sort_indices(t, [("row", "ascending"), ("score", "descending"), ("doc_id", "ascending")], null_placement="at_start"))
+    row = t.column("row").to_numpy()
+    return t.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k)).combine_chunks()
+
+
 def ranked_batches(docs: DataFrame, blocks: Iterable[tuple[list, object]], score: Callable[[object, pa.RecordBatch], np.ndarray], k: int, qid: str = "long") -> DataFrame:
     """A stated query set against all documents (doc_id and what score needs), block by block: each block is broadcast,
-    each batch of documents scored against all of it at once, and only each query's k best of a batch are shuffled."""
+    each batch of documents scored against all of it at once, and only each query's k best of a task are shuffled."""
     spark, out, of = docs.sparkSession, None, arrow_type(qid)
     kind = f"qid {qid}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
     for names, block in blocks:
@@ -66,6 +74,7 @@ def ranked_batches(docs: DataFrame, blocks: Iterable[tuple[list, object]], score
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             names, block = given.value
+            held, size = list[pa.Table](), 0
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     b = whole.slice(at, 512)
@@ -73,7 +82,13 @@ def ranked_batches(docs: DataFrame, blocks: Iterable[tuple[list, object]], score
                     order = pc.sort_indices(b.column("doc_id"), null_placement="at_start").to_numpy()
                     place = np.argsort(order)
                     row, at, value = best_of_batch(score(block, b), place, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()], of), b.column("doc_id").take(pa.array(order[at])), pa.array(value)], ["qid", "doc_id", "score"])
+                    held.append(pa.table({"row": pa.array(row, pa.int32()), "doc_id": b.column("doc_id").take(pa.array(order[at])), "score": pa.array(value, pa.float64())}))
+                    size += len(row)
+                    if size > 2 * k * len(names) + (1 << 16):
+                        held = [_best_of(held, k)]
+                        size = held[0].num_rows
+            for b in _best_of(held, k).to_batches(1 << 14) if held else []:
+                yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in b.column("row").to_pylist()], of), b.column("doc_id"), b.column("score")], ["qid", "doc_id", "score"])
 
         some = docs.mapInArrow(run, kind)
         out = some if out is None else out.unionByName(some)

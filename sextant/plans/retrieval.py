@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators.bm25_index import bm25_top_k, stored
-from sextant.operators.metrics import evaluate, worst
+from sextant.operators.metrics import by_slice, evaluate, group_metrics, worst
 from sextant.operators.pairs import filter_chain, filter_stats, greedy_near_duplicates, hard_negatives
 from sextant.operators.overlap import overlap_top_k
 from sextant.operators.retrieval import dense, dense_ranks, rrf, top_k
@@ -133,8 +133,8 @@ sl as (select vec_id as qid, unnest(['all', cast(label as varchar)]) as slice fr
 def q_dense_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
-    same = asked.join(rows.withColumnRenamed("vec_id", "doc_id"), "label").where("qid <> doc_id").select("qid", "doc_id")
-    return evaluate(_vectors(spark, sf_dir, 10), same, asked.select("qid", F.array(F.lit("all"), F.col("label").cast("string")).alias("slices")))
+    found = group_metrics(_vectors(spark, sf_dir, 10), asked.select("qid", F.col("label").alias("group")), rows.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("group")))
+    return by_slice(found, asked.select("qid", F.array(F.lit("all"), F.col("label").cast("string")).alias("slices")))
 
 
 PICKED = "docs_ as (select d.source || '#' || lpad(cast(d.doc_id as varchar), 7, '0') as doc_id, d.doc_id as n, d.text, e.embedding as v from documents d join embeddings e on e.vec_id = d.doc_id)"

@@ -7,6 +7,7 @@ import random
 import re
 from html import unescape
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -548,3 +549,30 @@ def test_qrels_are_counted_without_a_row_for_each(spark):
     many = spark.range(20_000)
     found = freeze.qrel_counts(many.select(F.col("id").alias("qid"), F.array(F.lit("x"), F.lit("y")).alias("relevant_docs")), many.select(F.lit("x").alias("doc_id"), F.col("id").alias("chunk_id")))
     assert found.groupBy("n", "first", "last").count().collect() == [(20_000, 0, 19_999, 20_000)]
+
+
+def test_a_task_leaves_each_query_no_more_than_its_best(spark):
+    """k rows a query and task, however many batches; ids that are strings, ties to the smaller."""
+    rng = random.Random(3)
+    rows = [(f"d{k:05}", [float(rng.randint(0, 9)), 1.0]) for k in range(6000)]
+    asked = [(f"q{k}", [rng.choice([-1.0, 0.0, 1.0]), 0.0]) for k in range(9)]
+    docs, queries = spark.createDataFrame(rows, "doc_id string, v array<double>").coalesce(1), spark.createDataFrame(asked, "qid string, q array<double>")
+    blocks = [([q for q, _ in asked], [v for _, v in asked])]
+    score = lambda q, batch: np.array(q) @ np.array(batch.column("v").to_pylist()).T
+    found = retrieval.ranked_batches(docs, blocks, score, 7, "string")
+    want = {q: sorted(rows, key=lambda r: (-r[1][0] * v[0], r[0]))[:7] for q, v in asked}
+    assert found.count() == 7 * 9
+    assert {q: [r["doc_id"] for r in sorted(found.where(f"qid = '{q}'").collect(), key=lambda r: (-r["score"], r["doc_id"]))] for q, _ in asked} == {q: [d for d, _ in w] for q, w in want.items()}
+    assert {(r["qid"], r["doc_id"]) for r in retrieval.dense(queries, docs, 7).collect()} == {(q, d) for q, w in want.items() for d, _ in w}
+
+
+def test_metrics_of_groups_without_a_row_for_each_member(spark):
+    rng = random.Random(5)
+    label = {k: rng.choice([0, 1, 2, None]) for k in range(60)} | {60: 9}
+    members = spark.createDataFrame([*label.items()], "doc_id long, group int")
+    asked = members.where("doc_id % 4 = 0").withColumnRenamed("doc_id", "qid")
+    ranks = spark.createDataFrame([(q, d, k + 1) for q in label if q % 4 == 0 and q != 8 for k, d in enumerate(rng.sample([x for x in label if x != q], 14))], "qid long, doc_id long, rank int")
+    qrels = asked.join(members, "group").where("qid <> doc_id").select("qid", "doc_id")
+    rounded = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    want = rounded(metrics.query_metrics(ranks, qrels))
+    assert want and rounded(metrics.group_metrics(ranks, asked, members)) == want
