@@ -576,3 +576,13 @@ def test_metrics_of_groups_without_a_row_for_each_member(spark):
     rounded = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
     want = rounded(metrics.query_metrics(ranks, qrels))
     assert want and rounded(metrics.group_metrics(ranks, asked, members)) == want
+
+
+def test_a_filter_chain_moves_no_passages(spark, tmp_path):
+    """Once overlaps are there passages aren't read again, unless they are asked for."""
+    rows = spark.range(40).selectExpr("id as pos", "id div 4 as chunk_id", "concat('q ', id) as query", "'how_to' as style", "concat('some passage ', id) as passage", "cast(id % 60 as int) as rt_rank", "array(cast(id as double), 1d) as v", "'a' as split")
+    rows.write.parquet(str(tmp_path / "rows"))
+    got = pairs.filter_chain(spark.read.parquet(str(tmp_path / "rows")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "passage" in plan(got) and "passage" not in plan(got.select("pos", "overlap", "drop"))
+    assert {*rows.columns, "overlap", "drop"} == {*got.columns} and got.count() == 40
