@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.operators.retrieval import BLOCK_QUERIES, arrow_type, best_of_batch, split_tokens, top_k
-from sextant.session import checkpointed, shared_folder
+from sextant.session import bounded_batches, checkpointed, shared_folder
 
 #: Documents and tokens of a shard, at most (or one document): what one task scores at a time.
 SHARD_DOCS, SHARD_TOKENS = 4096, 1 << 21
@@ -67,21 +67,24 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ord_ = TaskContext.get().partitionId() * SPAN
-            ids, lengths, lists = [], [], {}
-
-            def shard() -> pa.RecordBatch:
-                n, m = len(ids), len(lists)
-                head = [pa.array([ord_] * (m + 1)), pa.array([n] + [None] * m, pa.int32()), pa.array([ord_] * (m + 1)), pa.array([ids] + [None] * m, pa.list_(kind))]
-                sizes = np.array(lengths, np.int32)
-                tail = [[None], [None], [None], [None], [None]]
-                lens = [lengths]
-                for t, (places, tfs) in lists.items():
+            ids, lengths, words, found = [], [], dict[str, int](), list[np.ndarray]()
+
+            def shard() -> Iterator[pa.RecordBatch]:
+                n, sizes = len(ids), np.array(lengths, np.int32)
+                none, numbers, ints = pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.list_(pa.int32())
+                one = [pa.array([ord_]), pa.array([n], pa.int32()), pa.array([ord_]), pa.array([ids], pa.list_(kind)), pa.array([lengths], ints)]
+                yield pa.RecordBatch.from_arrays([*one, none, pa.array([None], ints), pa.array([None], ints), numbers, numbers], _NAMES)
+                # a number for each term and document, in order: the lists one after the other
+                at, tfs = np.unique(np.concatenate(found).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+                term, places, tfs = at // n, (at % n).astype(np.int32), tfs.astype(np.int32)
+                if m := len(words):
+                    starts = np.searchsorted(term, np.arange(m))
+                    offsets = pa.array(np.append(starts, len(at)), pa.int32())
+                    listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
                     of = sizes[places]
-                    lens.append(of)
-                    for c, x in zip(tail, (t, places, tfs, max(tfs), int(of.min())), strict=True):
-                        c.append(x)
-                kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32())
-                return pa.RecordBatch.from_arrays([*head, pa.array(lens, pa.list_(pa.int32())), *[pa.array(c, k) for c, k in zip(tail, kinds, strict=True)]], _NAMES)
+                    same = [pa.array([ord_] * m), pa.nulls(m, pa.int32()), pa.array([ord_] * m), pa.nulls(m, pa.list_(kind)), listed(of)]
+                    own = [pa.array([*words]), listed(places), listed(tfs), pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(of, starts))]
+                    yield from pa.table([*same, *own], _NAMES).to_batches(1 << 12)
 
             tokens = 0
             for b in batches:
@@ -89,19 +92,17 @@ class Index:
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                     own = split_tokens(text.as_py() or "")
                     if ids and (len(ids) == shard_docs or tokens + len(own) > SHARD_TOKENS):
-                        yield shard()
+                        yield from shard()
                         ord_ += len(ids)
-                        ids, lengths, lists, tokens = [], [], {}, 0
-                    for t, n in Counter(own).items():
-                        places, tfs = lists.setdefault(t, ([], []))
-                        places.append(len(ids))
-                        tfs.append(n)
+                        ids, lengths, words, found, tokens = [], [], {}, [], 0
+                    found.append(np.fromiter((words.setdefault(t, len(words)) for t in own), np.int32, len(own)))
                     ids.append(doc_id)
                     lengths.append(len(own))
                     tokens += len(own)
             if ids:
-                yield shard()
+                yield from shard()
 
+        bounded_batches(spark)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = buckets or parts
         rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")

@@ -33,8 +33,10 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 def split_tokens(text: str) -> list[str]:
     """What functions.text.tokens gives, for one text in Python."""
-    out: list[str] = []
-    for c in _COMPOUND.findall(text.lower()):
+    found, out = _COMPOUND.findall(text.lower()), list[str]()
+    if all(map(str.isalnum, found)):
+        return found
+    for c in found:
         if not c.isalnum():
             out += _SEPARATOR.split(c)
         out.append(c)

@@ -43,6 +43,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch: texts may be long, and a worker holds a batch as Arrow's and as Python's.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the size of Arrow batches so that a Python worker holds few texts at once; never raises it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 _SHIPPED: set[str] = set()
 
 
