@@ -586,3 +586,13 @@ def test_a_filter_chain_moves_no_passages(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "passage" in plan(got) and "passage" not in plan(got.select("pos", "overlap", "drop"))
     assert {*rows.columns, "overlap", "drop"} == {*got.columns} and got.count() == 40
+
+
+def test_workers_hold_few_texts_at_once(spark):
+    """Whatever the session's batches, those of Markdown and of an index are bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "t", "some text")], "doc_id long, title string, text string")
+    for use in (lambda: docs.select(markdown.clean_markdown(F.col("text"))), lambda: docs.select(markdown.randomized(F.col("text"))), lambda: markdown.chunked(docs, []), lambda: bm25_index.bm25_top_k(docs, docs.selectExpr("doc_id as qid", "text as query"))):
+        spark.conf.set(key, "10000")
+        use()
+        assert int(spark.conf.get(key)) <= 512
