@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,14 @@ from sextant.session import bounded_batches, checkpointed, shared_folder
 SHARD_DOCS, SHARD_TOKENS = 4096, 1 << 21
 #: Different terms of the queries that one reading of the postings serves.
 ASKED_TERMS = 1 << 20
-#: Terms that are listed in the condition of a reading, at most.
-LISTED_TERMS = 256
 #: Documents of a partition: an ordinal is the partition's number times this and the place in it.
 SPAN = 1 << 33
-_MADE = "shard long, n int, first long, ids array<{id}>, lengths array<int>, term string, places array<int>, tfs array<int>, most int, least int"
-_NAMES = ["shard", "n", "first", "ids", "lengths", "term", "places", "tfs", "most", "least"]
+_MADE = "shard long, n int, ids array<{id}>, lengths array<int>, bucket int, terms array<string>, counts array<int>, places array<int>, tfs array<int>"
+_NAMES = ["shard", "n", "ids", "lengths", "bucket", "terms", "counts", "places", "tfs"]
+
+
+def _bucket(term: str, buckets: int) -> int:
+    return zlib.crc32(term.encode()) % buckets
 
 
 @dataclass
@@ -42,9 +46,9 @@ class Statistics:
 
 @dataclass
 class Index:
-    """What is stored in a folder: `shards` (shard, n, first: the smallest ordinal), `documents` (ord, doc_id), `postings` by
-    bucket and term (term, shard, places, tfs, lengths, most: the largest tf, least: the smallest length) and statistics.
-    Ordinals and shards follow the order of doc_ids."""
+    """What is stored in a folder: `shards` (shard: its smallest ordinal, n, lengths), `documents` (ord, doc_id), `postings` by
+    shard and bucket of terms (shard, bucket, terms; for each term the count of its documents; places and tfs of all
+    terms, one after the other), `terms` (term, df) and statistics. Ordinals and shards follow the order of doc_ids."""
 
     path: str
     statistics: Statistics
@@ -59,32 +63,47 @@ class Index:
         share a doc_id; a null text has no tokens. What is at path is replaced; statistics come last, so a half
         written index can't be opened.
 
-        Documents are dealt by ranges of doc_id and split into tokens once; a shard leaves its documents and, for each
-        of its terms, a posting list. Lists are then dealt by bucket, the hash of the term (as many as Spark's shuffle
-        partitions, if not said), and sorted by term, so that a query set reads little but its own terms.
+        Documents are dealt by ranges of doc_id and split into tokens once; a shard leaves its documents and a row for each
+        bucket, the hash of a term (as many as Spark's shuffle partitions, if not said), with the lists of its terms
+        there. These are written where they are made: postings aren't shuffled, and are a row for many terms.
         """
         spark, id_ = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or parts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ord_ = TaskContext.get().partitionId() * SPAN
-            ids, lengths, words, found = [], [], dict[str, int](), list[np.ndarray]()
+            ids, lengths, found = [], [], list[np.ndarray]()
+            words: defaultdict[str, int] = defaultdict()
+            words.default_factory = words.__len__
+            ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
 
             def shard() -> Iterator[pa.RecordBatch]:
-                n, sizes = len(ids), np.array(lengths, np.int32)
-                none, numbers, ints = pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.list_(pa.int32())
-                one = [pa.array([ord_]), pa.array([n], pa.int32()), pa.array([ord_]), pa.array([ids], pa.list_(kind)), pa.array([lengths], ints)]
-                yield pa.RecordBatch.from_arrays([*one, none, pa.array([None], ints), pa.array([None], ints), numbers, numbers], _NAMES)
-                # a number for each term and document, in order: the lists one after the other
-                at, tfs = np.unique(np.concatenate(found).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
-                term, places, tfs = at // n, (at % n).astype(np.int32), tfs.astype(np.int32)
-                if m := len(words):
-                    starts = np.searchsorted(term, np.arange(m))
-                    offsets = pa.array(np.append(starts, len(at)), pa.int32())
-                    listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
-                    of = sizes[places]
-                    same = [pa.array([ord_] * m), pa.nulls(m, pa.int32()), pa.array([ord_] * m), pa.nulls(m, pa.list_(kind)), listed(of)]
-                    own = [pa.array([*words]), listed(places), listed(tfs), pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(of, starts))]
-                    yield from pa.table([*same, *own], _NAMES).to_batches(1 << 12)
+                n, m = len(ids), len(words)
+                none = [pa.nulls(1, kind_) for kind_ in (pa.int32(), strings, ints, ints, ints)]
+                yield pa.RecordBatch.from_arrays([pa.array([ord_]), pa.array([n], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([lengths], ints), *none], _NAMES)
+                if not m:
+                    return
+                of = np.fromiter((_bucket(t, buckets) for t in words), np.int32, m)
+                order = np.argsort(of, kind="stable")
+                rank = np.empty(m, np.int64)
+                rank[order] = np.arange(m)
+                # a number for each term, by bucket, and document, in order: the lists one after the other
+                at = rank[np.concatenate(found)]
+                at *= n
+                at += np.repeat(np.arange(n), lengths)
+                at.sort()
+                starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                tfs = np.diff(np.append(starts, len(at))).astype(np.int32)
+                at = at[starts]
+                counts = np.bincount(at // n, minlength=m).astype(np.int32)
+                here, first = np.unique(of[order], return_index=True)
+                ends = np.append(first, m)
+                by_term, by_place = pa.array(ends, pa.int32()), pa.array(np.append(0, np.cumsum(counts))[ends], pa.int32())
+                columns = [pa.ListArray.from_arrays(by_term, pa.array([*words], pa.string()).take(pa.array(order))), pa.ListArray.from_arrays(by_term, pa.array(counts))]
+                columns += [pa.ListArray.from_arrays(by_place, pa.array(x)) for x in ((at % n).astype(np.int32), tfs)]
+                b = len(here)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b, ord_)), pa.nulls(b, pa.int32()), pa.nulls(b, pa.list_(kind)), pa.nulls(b, ints), pa.array(here), *columns], _NAMES)
 
             tokens = 0
             for b in batches:
@@ -94,8 +113,9 @@ class Index:
                     if ids and (len(ids) == shard_docs or tokens + len(own) > SHARD_TOKENS):
                         yield from shard()
                         ord_ += len(ids)
-                        ids, lengths, words, found, tokens = [], [], {}, [], 0
-                    found.append(np.fromiter((words.setdefault(t, len(words)) for t in own), np.int32, len(own)))
+                        ids, lengths, found, tokens = [], [], [], 0
+                        words.clear()
+                    found.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
                     ids.append(doc_id)
                     lengths.append(len(own))
                     tokens += len(own)
@@ -103,18 +123,17 @@ class Index:
                 yield from shard()
 
         bounded_batches(spark)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = buckets or parts
         rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-        made = checkpointed(rows.mapInArrow(run, _MADE.format(id=id_)))
-        heads, lists = made.where("term is null"), made.where("term is not null")
-        heads.select("shard", "n", "first").write.mode("overwrite").parquet(f"{path}/shards")
-        heads.select("first", F.posexplode("ids").alias("at", "doc_id")).select((F.col("first") + F.col("at")).alias("ord"), "doc_id").write.mode("overwrite").parquet(f"{path}/documents")
-        stored = lists.select("term", "shard", "places", "tfs", "lengths", "most", "least", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
-        stored.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket", "term", "shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        rows.mapInArrow(run, _MADE.format(id=id_)).write.mode("overwrite").parquet(f"{path}/postings")
+        made = spark.read.schema(_MADE.format(id=id_)).parquet(f"{path}/postings")
+        heads, lists = made.where("bucket is null"), made.where("bucket is not null")
+        heads.select("shard", "n", "lengths").write.mode("overwrite").parquet(f"{path}/shards")
+        heads.select("shard", F.posexplode("ids").alias("at", "doc_id")).select((F.col("shard") + F.col("at")).alias("ord"), "doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+        each = lists.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+        each.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         size = heads.agg(F.sum("n").alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("tokens")).first()
         n = size["n"] or 0
-        df = lists.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+        df = spark.read.schema("term string, df long").parquet(f"{path}/terms")
         raw = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).first()
         found = Statistics(n, (size["tokens"] / n if n else 0) or 1.0, raw["n"], raw["raw"] or 0.0, buckets)
         spark.createDataFrame([(json.dumps(asdict(found)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/statistics")
@@ -124,9 +143,9 @@ class Index:
         """queries: qid, query, a stated set. qid, doc_id, score, rank: the k best documents of every query by BM25, those that
         score 0 included, ties to the smaller doc_id; see retrieval.bm25_top_k for the score.
 
-        Only lists of terms that are asked for are read; they are dealt by shard. A task keeps each query's k best so
-        far, and leaves out a shard for a query that its best possible score, from each term's largest tf and smallest
-        length there, can't bring among them. Documents without any of a query's terms score 0: of these only the
+        Only lists of terms that are asked for leave the tasks that read their buckets; they are dealt by shard. A task keeps
+        each query's k best so far, and leaves out a shard for a query that its best possible score, from each term's
+        best document there, can't bring among them. Documents without any of a query's terms score 0: of these only the
         first shards can count, as many as hold k documents (`dense`, more if that turns out not to be enough).
         """
         spark = queries.sparkSession
@@ -140,9 +159,11 @@ class Index:
         for held in _asked(queries.select("qid", "query"), block):
             if not first:
                 break
-            lists = self._lists(spark, sorted({t for _, ts in held for t in ts}))
-            df = {r["term"]: r["df"] for r in lists.groupBy("term").agg(F.sum(F.size("places")).alias("df")).collect()}
-            scored = _scored(lists, first, held, self._idf(df, epsilon), k, (k1, b, self.statistics.average), digits, single, kind, block)
+            asked = sorted({t for _, ts in held for t in ts})
+            terms = spark.createDataFrame(pa.table({"term": pa.array(asked, pa.string())}))
+            df = {r["term"]: r["df"] for r in spark.read.parquet(f"{self.path}/terms").join(F.broadcast(terms), "term", "left_semi").collect()}
+            lists, lengths = self._lists(spark, sorted(df)), spark.read.parquet(f"{self.path}/shards").select("shard", "lengths")
+            scored = _scored(lists, lengths, first, held, self._idf(df, epsilon), k, (k1, b, self.statistics.average), digits, single, kind, block)
             out = scored if out is None else out.unionByName(scored)
         if out is None:
             return spark.createDataFrame([], f"qid {kind}, doc_id {spark.read.parquet(f'{self.path}/documents').schema['doc_id'].dataType.simpleString()}, score double, rank int")
@@ -158,11 +179,28 @@ class Index:
         return _named(best, spark.read.parquet(f"{self.path}/documents"))
 
     def _lists(self, spark: SparkSession, asked: list[str]) -> DataFrame:
-        rows = spark.read.parquet(f"{self.path}/postings")
-        if len(asked) <= LISTED_TERMS:  # so that only row groups with one of the terms are read; terms hold no quotes
-            rows = rows.where(f"term in ({', '.join(repr(t) for t in asked)})" if asked else "false")
-        terms = spark.createDataFrame(pa.table({"term": pa.array(asked, pa.string())})).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.statistics.buckets)).cast("int"))
-        return rows.join(F.broadcast(terms), ["bucket", "term"], "left_semi")
+        """shard, term, places, tfs: a row for each shard that has one of the terms."""
+        by: dict[int, list[str]] = {}
+        for t in asked:
+            by.setdefault(_bucket(t, self.statistics.buckets), []).append(t)
+        given = spark.sparkContext.broadcast(by)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by = {b: pa.array(ts, pa.string()) for b, ts in given.value.items()}
+            for batch in batches:
+                columns = [batch.column(c) for c in ("shard", "bucket", "terms", "counts", "places", "tfs")]
+                for r in range(batch.num_rows):
+                    shard, bucket, terms, counts, places, tfs = (c[r] for c in columns)
+                    asked = by.get(bucket.as_py())
+                    found = pc.indices_nonzero(pc.is_in(terms.values, value_set=asked)) if asked is not None else ()
+                    if len(found):
+                        ends = pa.array(np.append(0, np.cumsum(counts.values.to_numpy())), pa.int32())
+                        lists = [pa.ListArray.from_arrays(ends, x.values).take(found) for x in (places, tfs)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), shard.as_py())), terms.values.take(found), *lists], ["shard", "term", "places", "tfs"])
+
+        bounded_batches(spark)
+        rows = spark.read.parquet(f"{self.path}/postings").select("shard", "bucket", "terms", "counts", "places", "tfs")
+        return rows.where(F.col("bucket").isin(sorted(by)) if by else F.lit(False)).mapInArrow(run, "shard long, term string, places array<int>, tfs array<int>")
 
     def _idf(self, df: dict[str, int], epsilon: float) -> dict[str, float]:
         s = self.statistics
@@ -185,7 +223,7 @@ def _asked(queries: DataFrame, block: int) -> Iterator[list[tuple[object, list[s
         yield held
 
 
-def _scored(lists: DataFrame, first: dict[int, int], held: list, idf: dict[str, float], k: int, shape: tuple[float, float, float], digits: int, single: bool, kind: str, block: int) -> DataFrame:
+def _scored(lists: DataFrame, lengths: DataFrame, first: dict[int, int], held: list, idf: dict[str, float], k: int, shape: tuple[float, float, float], digits: int, single: bool, kind: str, block: int) -> DataFrame:
     """qid, ord, score: of each task every query's k best."""
     spark = lists.sparkSession
     (k1, b, average), of = shape, arrow_type(kind)
@@ -204,12 +242,13 @@ def _scored(lists: DataFrame, first: dict[int, int], held: list, idf: dict[str,
         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
         floor = np.full(len(names), -np.inf)
 
-        def score(shard: int, rows: list[tuple]) -> None:
+        def score(shard: int, sizes: np.ndarray, found: list[tuple[str, np.ndarray, np.ndarray]]) -> None:
             # what each query can score here at most; places that aren't listed score 0
             most = np.zeros(len(names))
+            rows = [(term, places, weight(tfs, sizes[places])) for term, places, tfs in found]
             asked: list[list[tuple[tuple, float]]] = [[] for _ in names]
             for r in rows:
-                bound = float(weight(r[3], r[4]))
+                bound = float(r[2].max())
                 for q, w in by.get(r[0], ()):
                     most[q] += max(0.0, w * bound)
                     asked[q].append((r, w))
@@ -222,7 +261,7 @@ def _scored(lists: DataFrame, first: dict[int, int], held: list, idf: dict[str,
                 sums = np.zeros(size)
                 listed = np.zeros(size, bool)
                 listed[:n] = True
-                for (_, places, weights, _, _), w in asked[q]:
+                for (_, places, weights), w in asked[q]:
                     sums[places] += w * weights
                     listed[places] = True
                 at = np.flatnonzero(listed)
@@ -233,26 +272,26 @@ def _scored(lists: DataFrame, first: dict[int, int], held: list, idf: dict[str,
                 if len(s) == k:
                     floor[q] = s[-1]
 
-        shard, rows = None, []
+        shard, of_shard, rows = None, None, []
         for b_ in batches:
-            columns = [b_.column(c) for c in ("shard", "term", "places", "tfs", "lengths", "most", "least")]
+            columns = [b_.column(c) for c in ("shard", "term", "places", "tfs", "lengths")]
             for r in range(b_.num_rows):
-                s, term, places, tfs, lengths, top, least = (c[r] for c in columns)
+                s, term, places, tfs, lengths = (c[r] for c in columns)
                 if shard is not None and s.as_py() != shard:
-                    score(shard, rows)
+                    score(shard, of_shard, rows)
                     rows = []
                 shard = s.as_py()
                 if term.is_valid:
-                    rows.append((term.as_py(), places.values.to_numpy(), weight(tfs.values.to_numpy(), lengths.values.to_numpy()), top.as_py(), least.as_py()))
+                    rows.append((term.as_py(), places.values.to_numpy(), tfs.values.to_numpy()))
+                else:
+                    of_shard = lengths.values.to_numpy()
         if shard is not None:
-            score(shard, rows)
+            score(shard, of_shard, rows)
         sizes = [len(s) for _, s in best]
         if sum(sizes):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, n in zip(names, sizes, strict=True) for _ in range(n)], of), pa.array(np.concatenate([o for o, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["qid", "ord", "score"])
 
-    columns = ["shard", "term", "places", "tfs", "lengths", "most", "least"]
-    empty = spark.createDataFrame([(s,) for s in first], "shard long")
-    both = lists.select(columns).unionByName(empty, allowMissingColumns=True)
+    both = lists.unionByName(lengths, allowMissingColumns=True)
     return both.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"qid {kind}, ord long, score double")
 
 

@@ -6,12 +6,14 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from sextant.operators import bm25_index as B
 from sextant.operators import overlap as O
 from sextant.operators import retrieval
+from sextant.session import shared_folder
 
 DOCS = "doc_id string, text string"
 
@@ -66,6 +68,19 @@ def test_small_and_empty_collections(spark, tmp_path):
     assert index.top_k(spark.createDataFrame([], "qid string, query string")).collect() == []
 
 
+def test_index_keeps_a_row_for_many_terms(spark, tmp_path):
+    """A shard leaves a row for each bucket, however many terms it has; no copy of the lists stays among the checkpoints."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), k -> concat('t', id * 30 + k))) || ' all' as text")
+    kept = lambda: sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.is_file())
+    before = kept()
+    index = B.Index.write(docs, str(tmp_path / "index"), 100, 4)
+    shards = spark.read.parquet(f"{index.path}/shards").count()
+    assert spark.read.parquet(f"{index.path}/postings").count() <= 5 * shards and kept() == before
+    assert index.statistics.terms == 400 * 30 + 1
+    got = ranked(index.top_k(spark.createDataFrame([("q", "t31 all"), ("r", "t11999 t95")], "qid string, query string"), 3))
+    assert [d for d, _ in got["q"]] == [1, 0, 2] and [d for d, _ in got["r"]] == [3, 399, 0]
+
+
 def test_stored_index_follows_the_files(spark, tmp_path):
     path = str(tmp_path / "docs.parquet")
     spark.createDataFrame([("a", "alpha"), ("b", "beta"), ("c", "gamma")], DOCS).write.parquet(path)
