@@ -6,8 +6,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,22 +21,91 @@ _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 HELD = 200_000
 #: Sources whose contributions are summed side by side.
 WIDTH = 32
+#: Counts of terms by source that a task works on at once, and sums of pairs that it holds before it passes them on.
+CELLS, SUMS = 1 << 20, 1 << 22
 #: Parts that a group's terms are ranked in before their best meet.
 SALTS = 64
 
 
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+def _share(count: np.ndarray, total: np.ndarray, terms: int, scale: int) -> np.ndarray:
+    """1 + floor(scale * (count + 1) / (total + terms)), of numbers of any size."""
+    if count.size and (int(count.max()) + 1) * scale >= 1 << 63:
+        count = count.astype(object)
+    return (1 + (count + 1) * scale // (total + terms)).astype(np.int64)
 
 
-def _share(count: Column, total: Column, terms: Column, scale: int) -> Column:
-    """1 + floor(scale * (count + 1) / (total + terms)), of numbers of any size."""
-    kind = "decimal(18,0)"
-    return 1 + _div(F.lit(scale).cast("decimal(10,0)") * (count + 1).cast(kind), (total + terms).cast(kind))
+def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """floor((p - q)^2 / q); unsigned division is faster, and nothing here is negative."""
+    d = p - q
+    d *= d
+    return (d.view(np.uint64) // q.view(np.uint64)).view(np.int64)
 
 
-def _distance(p: Column, q: Column) -> Column:
-    return _div((p - q) * (p - q), q)
+def _contributions(dense: DataFrame, top: int, scale: int) -> DataFrame:
+    """lang, i, j, term, value of dense (lang, term, cells: place of a source and count, totals by place, all, v): values of
+    pairs of places i and j, to be summed, without a term; and, without j, such of terms that may be among the top of i."""
+    width, cells, sums_held = WIDTH, CELLS, SUMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        floor: dict[tuple[str, int], int] = {}
+
+        def rows(lang: str, i: np.ndarray, j: np.ndarray | None, term: pa.Array | None, value: np.ndarray) -> pa.RecordBatch:
+            n = len(value)
+            columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(i.astype(np.int32))]
+            columns += [pa.nulls(n, pa.int32()) if j is None else pa.array(j.astype(np.int32)), pa.nulls(n, pa.string()) if term is None else term, pa.array(value)]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "i", "j", "term", "value"])
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for (lang, a, b), f in sums.items():
+                i, j = np.indices(f.shape)
+                yield rows(lang, a + i.ravel(), b + j.ravel(), None, f.ravel())
+            sums.clear()
+
+        def work(t: pa.RecordBatch, lang: str) -> Iterator[pa.RecordBatch]:
+            totals, of, terms = t.column("totals")[0].values.to_numpy(), t.column("cells"), t.column("term")
+            all_, v = t.column("all")[0].as_py(), t.column("v")[0].as_py()
+            flat = of.flatten()
+            n = np.zeros((len(totals), t.num_rows), np.int64)
+            n[flat.field("i").to_numpy(), np.repeat(np.arange(t.num_rows), pc.list_value_length(of).to_numpy())] = flat.field("n").to_numpy()
+            p, q = _share(n, totals[:, None], v, scale), _share(n.sum(axis=0), np.int64(all_), v, scale)
+            for b in range(0, len(p), width):
+                for i in range(len(p)):
+                    key = (lang, i - i % width, b)
+                    if key not in sums:
+                        sums[key] = np.zeros((min(width, len(p) - key[1]), min(width, len(p) - b)), np.int64)
+                    sums[key][i % width] += _distance(p[i], p[b : b + width]).sum(axis=1)
+                if len(sums) * width * width > sums_held:
+                    yield from summed()
+            for i in range(len(p)):
+                at = np.flatnonzero((n[i] > 0) & (p[i] > q))
+                value = _distance(p[i][at], q[at])
+                least = floor.get((lang, i), 0)
+                if len(value) > top:  # all that are worth as much as the last, in case of ties
+                    least = floor[lang, i] = max(least, int(np.partition(value, len(value) - top)[len(value) - top]))
+                at, value = at[value >= least], value[value >= least]
+                yield rows(lang, np.full(len(at), i), None, terms.take(pa.array(at)), value)
+
+        def worked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            for lang in pc.unique(t.column("lang")).to_pylist():
+                own = t.filter(pc.equal(t.column("lang"), lang)).combine_chunks()
+                most = max(1, cells // len(own.column("totals")[0]))
+                for b in own.to_batches(most):
+                    yield from work(b, lang)
+
+        held, size = list[pa.RecordBatch](), 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows + len(b.column("totals").values)
+            if size > cells:
+                yield from worked(held)
+                held, size = [], 0
+        if held:
+            yield from worked(held)
+        yield from summed()
+
+    return map_batches(dense.select("lang", "term", "cells", "totals", "all", "v"), run, "lang string, i int, j int, term string, value long")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -82,47 +153,32 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, scale:
     their pairs; a lang of one source without kept terms has no rows; no documents no rows. A very long text is a row
     of one task, with its terms in memory.
 
-    A kept term is one row, its counts an array with a place for each source of the lang; functions of arrays make the
-    shares and from these the contributions to pairs, which are summed before they are shuffled. The array of a lang's
-    sources is sent out if small, else joined.
+    A kept term is one row with its counts by source, whose place among the lang's tells it; a task makes shares of many
+    terms at once and from these the contributions to pairs, which are summed before they are shuffled, and leaves terms
+    that can't be among the best of what it has seen. The array of a lang's sources is sent out if small, else joined.
     """
+    if scale > 3_000_000_000:
+        raise ValueError("the square of a share must fit 64 bits: scale can't be beyond 3,000,000,000")
     rows = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = term_counts(rows)
-    wide = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("cells"))
+    places = rows.select("lang", "source").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("g"))
+    named = checkpointed(places.select("lang", F.posexplode("g").alias("i", "source")))
+    counts = term_counts(rows).join(small(named), ["lang", "source"])
+    wide = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("i", "n")).alias("cells"))
     wide = checkpointed(wide.where(F.col("df") >= min_docs).select("lang", "term", "cells"))
-    totals = wide.select("lang", F.explode("cells").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = rows.select("lang", "source", F.lit(0).cast("long").alias("total")).distinct().unionByName(totals).groupBy("lang", "source").agg(F.sum("total").alias("total"))
-    langs = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("g"), F.sum("total").alias("all"))
-    terms = wide.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    langs = checkpointed(langs.join(terms, "lang", "left").select("lang", "g", "all", F.coalesce("v", F.lit(0)).alias("v")))
-
-    dense = wide.join(small(langs), "lang")
-    dense = dense.select("lang", "term", "g", "all", "v", F.transform("g", lambda s: F.coalesce(F.try_element_at("cells", s["source"]), F.lit(0))).alias("n"))
-    shares = F.zip_with("n", "g", lambda n, s: _share(n, s["total"], F.col("v"), scale))
-    dense = dense.select("lang", "term", "g", "n", shares.alias("p"), _share(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x), F.col("all"), F.col("v"), scale).alias("q"))
-
-    # a row for each term, source and block of other sources: the contributions to each of these are a column's sum
-    most = langs.agg(F.max(F.size("g"))).first()[0] or 0
-    width = min(WIDTH, most)
-    own = dense.select("lang", "p", F.posexplode_outer("p").alias("i", "x"))
-    if most > width:
-        own = own.select("lang", "i", "x", "p", F.explode_outer(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / width).cast("int"))).alias("block"))
-    else:
-        own = own.select("lang", "i", "x", "p", F.lit(0).alias("block"))
-    each = own.select("lang", "i", "block", F.transform(F.slice("p", F.col("block") * width + 1, width), lambda y: _distance(F.col("x"), y)).alias("f"))
-    sums = each.groupBy("lang", "i", "block").agg(F.array(*[F.sum(F.get("f", F.lit(k))) for k in range(width)]).alias("f")) if width else None
+    found = wide.select("lang", F.explode("cells").alias("c")).groupBy("lang", "c.i").agg(F.sum("c.n").alias("total"))
+    totals = named.join(found, ["lang", "i"], "left").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("total", F.lit(0)).alias("total")))).alias("t"))
+    totals = totals.select("lang", F.col("t.total").alias("totals"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["total"]).alias("all"))
+    langs = checkpointed(totals.join(wide.groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "lang"))
+    values = checkpointed(_contributions(wide.join(small(langs), "lang"), top, scale))
+
     # every pair once with its names, whether it has terms or not
-    named = langs.select("lang", "g", F.posexplode("g").alias("i", "a")).select("lang", "i", F.col("a.source").alias("source"), F.posexplode("g").alias("j", "b")).where("i <> j")
-    named = named.select("lang", "i", "j", F.lit(0).cast("long").alias("value"), "source", F.col("b.source").alias("item"))
-    if width:
-        sums = sums.select("lang", "i", "block", F.posexplode("f").alias("k", "value")).where("value is not null").select("lang", "i", (F.col("block") * width + F.col("k")).alias("j"), "value").where("i <> j")
-        named = named.unionByName(sums, allowMissingColumns=True)
-    pairs = named.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"), F.max("source").alias("source"), F.max("item").alias("item"))
+    pairs = named.select("lang", "i", "source").join(named.select("lang", F.col("i").alias("j"), F.col("source").alias("item")), "lang").where("i <> j")
+    pairs = pairs.select("lang", "i", "j", F.lit(0).cast("long").alias("value"), "source", "item").unionByName(values.where("term is null and i <> j").select("lang", "i", "j", "value"), allowMissingColumns=True)
+    pairs = pairs.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"), F.max("source").alias("source"), F.max("item").alias("item"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(best).alias("rank"))
 
-    cells = dense.select("lang", "term", "q", F.explode_outer(F.arrays_zip("g", "n", "p")).alias("c")).where("c.n > 0 and c.p > q")
-    found = cells.select("lang", F.col("c.g.source").alias("source"), F.col("term").alias("item"), _distance(F.col("c.p"), F.col("q")).alias("value"))
+    found = values.where("j is null").join(small(named), ["lang", "i"]).select("lang", "source", F.col("term").alias("item"), "value")
     # a hot group's terms are ranked in parts first, so no task holds more than the best of each
     salted = Window.partitionBy("lang", "source", "salt").orderBy(F.desc("value"), "item")
     found = found.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= top).drop("rank", "salt")

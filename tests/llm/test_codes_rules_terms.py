@@ -170,6 +170,24 @@ def test_divergence_brute_force(spark, monkeypatch, width):
     assert source_divergence(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_divergence_in_pieces(spark, monkeypatch):
+    """Few cells and sums at a time give the same; a task leaves a term's row for few of its cells, and a row a pair."""
+    rng = random.Random(5)
+    rows = [(" ".join(f"w{rng.randint(0, 9)}{c}" for c in rng.choices("abcdefghijkl", k=30)).translate(str.maketrans("0123456789", "ABCDEFGHIJ")), "en", f"s{k % 7}") for k in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for width, cells, sums in ((2, 40, 1), (32, 1 << 20, 1 << 22)):
+        for name, value in (("WIDTH", width), ("CELLS", cells), ("SUMS", sums)):
+            monkeypatch.setattr(divergence, name, value)
+        assert sorted(tuple(r) for r in source_divergence(df, 3, 4, 1_000_000_000).collect()) == plain_divergence(rows, 3, 4, 1_000_000_000)
+    cells = [(k, [(i, 1 + (k * i) % 97) for i in range(7)]) for k in range(2000)]
+    dense = spark.createDataFrame([("en", f"t{k}", c, [100_000] * 7, 700_000, 2000) for k, c in cells], "lang string, term string, cells array<struct<i: int, n: long>>, totals array<long>, all long, v long").coalesce(2)
+    found = divergence._contributions(dense, 4, 1_000_000_000)
+    parts = dense.rdd.getNumPartitions()
+    assert found.where("term is null").count() <= parts * 49 and found.where("j is null").count() <= 200 * parts
+    count = np.array([10**11, 3])
+    assert divergence._share(count, np.int64(10**11), 5, 10**9).tolist() == [1 + 10**9 * (n + 1) // (10**11 + 5) for n in count.tolist()]
+
+
 @pytest.mark.parametrize("name", ["op11_vector_codes", "op12_url_filter", "op13_source_divergence"])
 def test_queries_equal_sql(spark, name, tmp_path):
     """Over small tables with nulls and repeated rows."""
