@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -21,6 +22,8 @@ from sextant.session import bounded_batches, checkpointed, shared_folder
 
 #: Documents and tokens of a shard, at most (or one document): what one task scores at a time.
 SHARD_DOCS, SHARD_TOKENS = 4096, 1 << 21
+#: Tokens that are made lists of at once, at most (or those of one bucket): a part of a shard.
+LIST_TOKENS = 1 << 18
 #: Different terms of the queries that one reading of the postings serves.
 ASKED_TERMS = 1 << 20
 #: Documents of a partition: an ordinal is the partition's number times this and the place in it.
@@ -65,7 +68,8 @@ class Index:
 
         Documents are dealt by ranges of doc_id and split into tokens once; a shard leaves its documents and a row for each
         bucket, the hash of a term (as many as Spark's shuffle partitions, if not said), with the lists of its terms
-        there. These are written where they are made: postings aren't shuffled, and are a row for many terms.
+        there, made of a part of the buckets at a time. These are written where they are made: postings aren't shuffled,
+        and are a row for many terms.
         """
         spark, id_ = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -73,7 +77,7 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ord_ = TaskContext.get().partitionId() * SPAN
-            ids, lengths, found = [], [], list[np.ndarray]()
+            ids, lengths, found = [], [], array("i")
             words: defaultdict[str, int] = defaultdict()
             words.default_factory = words.__len__
             ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
@@ -86,24 +90,33 @@ class Index:
                     return
                 of = np.fromiter((_bucket(t, buckets) for t in words), np.int32, m)
                 order = np.argsort(of, kind="stable")
-                rank = np.empty(m, np.int64)
+                terms = pa.array([*words], pa.string()).take(pa.array(order))
+                rank = np.empty(m, np.int32)
                 rank[order] = np.arange(m)
-                # a number for each term, by bucket, and document, in order: the lists one after the other
-                at = rank[np.concatenate(found)]
-                at *= n
-                at += np.repeat(np.arange(n), lengths)
-                at.sort()
-                starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                tfs = np.diff(np.append(starts, len(at))).astype(np.int32)
-                at = at[starts]
-                counts = np.bincount(at // n, minlength=m).astype(np.int32)
+                # each token's term, by bucket, and document
+                at = np.frombuffer(found, np.int32)
+                at[:] = rank[at]
+                doc = np.repeat(np.arange(n, dtype=np.min_scalar_type(n)), lengths)
                 here, first = np.unique(of[order], return_index=True)
                 ends = np.append(first, m)
-                by_term, by_place = pa.array(ends, pa.int32()), pa.array(np.append(0, np.cumsum(counts))[ends], pa.int32())
-                columns = [pa.ListArray.from_arrays(by_term, pa.array([*words], pa.string()).take(pa.array(order))), pa.ListArray.from_arrays(by_term, pa.array(counts))]
-                columns += [pa.ListArray.from_arrays(by_place, pa.array(x)) for x in ((at % n).astype(np.int32), tfs)]
-                b = len(here)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b, ord_)), pa.nulls(b, pa.int32()), pa.nulls(b, pa.list_(kind)), pa.nulls(b, ints), pa.array(here), *columns], _NAMES)
+                before, lo = np.append(0, np.cumsum(np.bincount(at, minlength=m)))[ends], 0
+                while lo < len(here):
+                    hi = max(lo + 1, int(np.searchsorted(before, before[lo] + LIST_TOKENS, "right")) - 1)
+                    some, (a, z) = ends[lo : hi + 1] - ends[lo], ends[[lo, hi]]
+                    # a number for each term and document, in order: the lists one after the other
+                    own = np.flatnonzero((at >= a) & (at < z))
+                    keys = np.subtract(at[own], a, dtype=np.int64) * n + doc[own]
+                    keys.sort()
+                    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                    tfs = np.diff(np.append(starts, len(keys))).astype(np.int32)
+                    keys = keys[starts]
+                    counts = np.bincount(keys // n, minlength=z - a).astype(np.int32)
+                    by_term, by_place = pa.array(some, pa.int32()), pa.array(np.append(0, np.cumsum(counts))[some], pa.int32())
+                    columns = [pa.ListArray.from_arrays(by_term, terms.slice(a, z - a)), pa.ListArray.from_arrays(by_term, pa.array(counts))]
+                    columns += [pa.ListArray.from_arrays(by_place, pa.array(x)) for x in ((keys % n).astype(np.int32), tfs)]
+                    b = hi - lo
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b, ord_)), pa.nulls(b, pa.int32()), pa.nulls(b, pa.list_(kind)), pa.nulls(b, ints), pa.array(here[lo:hi]), *columns], _NAMES)
+                    lo = hi
 
             tokens = 0
             for b in batches:
@@ -113,9 +126,9 @@ class Index:
                     if ids and (len(ids) == shard_docs or tokens + len(own) > SHARD_TOKENS):
                         yield from shard()
                         ord_ += len(ids)
-                        ids, lengths, found, tokens = [], [], [], 0
+                        ids, lengths, found, tokens = [], [], array("i"), 0
                         words.clear()
-                    found.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
+                    found.extend(map(words.__getitem__, own))
                     ids.append(doc_id)
                     lengths.append(len(own))
                     tokens += len(own)

@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sextant.operators import bm25_index as B
@@ -81,6 +85,36 @@ def test_index_keeps_a_row_for_many_terms(spark, tmp_path):
     assert [d for d, _ in got["q"]] == [1, 0, 2] and [d for d, _ in got["r"]] == [3, 399, 0]
 
 
+def test_index_is_made_a_part_of_a_shard_at_a_time(spark, tmp_path, monkeypatch):
+    """A task holds a few bytes a token of a full shard, and no batch that it leaves holds the lists of all of it."""
+
+    class Docs:
+        sparkSession, schema = spark, spark.createDataFrame([], DOCS).schema
+        select = repartitionByRange = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, kind):  # noqa: ANN001
+            self.run = run
+            raise InterruptedError
+
+    docs = Docs()
+    with pytest.raises(InterruptedError):
+        B.Index.write(docs, str(tmp_path / "index"), 4096, 16)
+    monkeypatch.setattr(B, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng, words = np.random.default_rng(1), np.array([f"w{k}" for k in range(5000)])
+    given = [pa.record_batch({"doc_id": [f"d{k}" for k in range(at, at + 64)], "text": [" ".join(rng.choice(words, 500)) for _ in range(64)]}) for at in range(0, 4096, 64)]
+    tracemalloc.start()
+    try:
+        pairs, largest = 0, 0
+        for b in docs.run(iter(given)):
+            n = sum(len(x) for x in b.column("places") if x.is_valid)
+            pairs, largest = pairs + n, max(largest, n)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs == sum(len({*t.split()}) for b in given for t in b.column("text").to_pylist())
+    assert largest <= 1 << 18 and peak < 22 * 4096 * 500
+
+
 def test_stored_index_follows_the_files(spark, tmp_path):
     path = str(tmp_path / "docs.parquet")
     spark.createDataFrame([("a", "alpha"), ("b", "beta"), ("c", "gamma")], DOCS).write.parquet(path)
