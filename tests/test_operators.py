@@ -56,6 +56,13 @@ def test_small_text_functions(spark):
     assert value(spark, T.error_lines(F.lit("ok\nError one\nunable to retrieve it\nTIMEOUT two\npanic three"))) == ["TIMEOUT two", "panic three"]
 
 
+def test_last_error_lines_of_a_log(spark):
+    # lines of one position stand in the order of the ties
+    rows = [("a", 1, 2, "panic 2"), ("a", 1, 1, "panic 1\nok\nfailed 1"), ("a", 0, 3, "panic 0"), ("b", 5, 1, "ok\n\nfine"), ("c", 1, 1, None), (None, 1, 1, "Error from server\n\u00a0OOM")]
+    found = incident.last_error_lines(spark.createDataFrame(rows, "k string, pos int, tie int, text string"), "k", "pos", "text", ties=["tie"])
+    assert {r["k"]: (r["n_lines"], r["lines"]) for r in found.collect()} == {"a": (4, ["failed 1", "panic 2"]), None: (1, ["OOM"])}
+
+
 def test_item_id_is_of_compact_json(spark):
     import hashlib
 

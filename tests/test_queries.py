@@ -69,3 +69,15 @@ def test_only_common_references_are_decoded(spark, tmp_path):
 def test_more_batches_than_two_digits(spark, tmp_path):
     docs = f"select cast(d.doc_id + 1000 * n.range as bigint) as doc_id, 'en' as lang, source, n_chars from '{SF}/documents.parquet' d, range(60) n"
     agrees(spark, "q_missing_labels", tmp_path, {"documents": docs, "labels": f"select * from '{SF}/labels.parquet'"})
+
+
+def test_logs_are_split_at_every_line_break(spark, tmp_path):
+    kinds = ["click", "a\npanic b", "x\n\u00a0failed\u2003\n ", "e\nError from server: error\nok", "p\nbac\u212aoff\npermi\u017f\u017fion\r", "q\n\ttimed out\n\n", "\nunable to retrieve"]
+    # a log of each kind, and logs of all kinds, some of whose events are no errors, one of them nobody's
+    rows = [(k, k, kind, 20) for k, kind in enumerate(kinds)]
+    rows += [(10 * u + k, u if u < 12 else "null", kind, 15 + (k + u) % 3) for u in (10, 11, 12) for k, kind in enumerate([*kinds, None])]
+    rows = ", ".join(f"({i}, {u}, " + ("null" if kind is None else f"'{kind}'") + f", {v})" for i, u, kind, v in rows)
+    agrees(spark, "q_error_lines", tmp_path, {"events": f"select event_id::bigint as event_id, user_id::bigint as user_id, event_type, value::double as value from (values {rows}) t(event_id, user_id, event_type, value)"})
+    got = {r["user_id"]: (r["n_lines"], r["last"]) for r in __spark_entry__.queries()["q_error_lines"](spark, str(tmp_path)).collect()}
+    assert got[1] == (2, "error: a\npanic b 1") and got[2] == (2, "error: x\nfailed") and got[3] == (1, "error: e") and got[4] == (3, "bacKoff\npermiſſion\r 4")
+    assert got[5] == (2, "error: q\n\ttimed out") and got[6] == (1, "error:")
